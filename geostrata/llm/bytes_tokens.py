@@ -35,14 +35,14 @@ class PieceEncoder:
         other, plain = [], []
         for x in new:
             (other if "<|" in x or _NOT_PLAIN.search(x) else plain).append(x)
-        for at in range(0, len(plain), 512):
-            part = plain[at : at + 512]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.asarray(found.ids, "<u4").tobytes()
-            begins = np.cumsum([0, *(len(x) + 1 for x in part)])
-            cuts = (4 * np.searchsorted(np.array([a for a, _ in found.offsets]), begins)).tolist()
-            for k, piece in enumerate(part):
-                self.known[piece] = ids[cuts[k] : cuts[k + 1]]
+        parts = [plain[at : at + 64] for at in range(0, len(plain), 64)]
+        for at in range(0, len(parts), 128):
+            some = parts[at : at + 128]
+            for part, found in zip(some, self.tokenizer.encode_batch([" ".join(x) for x in some], add_special_tokens=False), strict=True):
+                ids = np.asarray(found.ids, "<u4").tobytes()
+                begins = np.cumsum([0, *map(len, part)]) + np.arange(len(part) + 1)
+                cuts = (4 * np.searchsorted(np.array([x for x, _ in found.offsets]), begins)).tolist()
+                self.known.update((piece, ids[cuts[k] : cuts[k + 1]]) for k, piece in enumerate(part))
         for piece, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.known[piece] = np.asarray(found.ids, "<u4").tobytes()
 
