@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from geostrata.llm import token_files
+from geostrata.llm import bpe_automaton, packing, token_files
 
-QUERIES = {"op5_token_files": token_files.op5_token_files}
+QUERIES = {
+    "op5_token_files": token_files.op5_token_files,
+    "op7_packing": packing.op7_packing,
+    "op10_bpe": bpe_automaton.op10_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}
