@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from geostrata.llm import bpe_automaton, packing, token_files
+from geostrata.llm import bpe_automaton, packing, secrets, token_files
 
 QUERIES = {
     "op5_token_files": token_files.op5_token_files,
     "op7_packing": packing.op7_packing,
+    "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe_automaton.op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
