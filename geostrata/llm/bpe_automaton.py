@@ -17,7 +17,7 @@ one left-to-right pass over the word with the transition table finds the path. D
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import json
 from collections.abc import Iterator
 
@@ -174,6 +174,12 @@ class ByteBpe:
         return self.automaton.decode(ids).decode("utf-8", "replace")
 
 
+@functools.cache
+def byte_bpe(path: str) -> ByteBpe:
+    """One automaton for all tasks that a Python worker runs; compiling it takes about a second."""
+    return ByteBpe(path)
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids, decoded): ids as text joined by commas, decoded text; one row per input row.
 
@@ -182,7 +188,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = ByteBpe(tokenizer)
+        bpe = byte_bpe(tokenizer)
         for frame in frames:
             for at in range(0, len(frame), 256):
                 part = frame.iloc[at : at + 256]

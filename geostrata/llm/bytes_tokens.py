@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
@@ -64,3 +65,9 @@ class PieceEncoder:
         for k in late:
             out[k] = b"".join(map(self.known.__getitem__, self.pieces(texts[k])))
         return out
+
+
+@functools.cache
+def piece_encoder(path: str) -> PieceEncoder:
+    """One encoder for all tasks that a Python worker runs, so that what one task has encoded serves the next."""
+    return PieceEncoder(path)

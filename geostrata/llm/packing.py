@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostrata.llm.bytes_tokens import PieceEncoder
+from geostrata.llm.bytes_tokens import piece_encoder
 from geostrata.llm.common import saved
 
 PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, nth long"
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, key:
     spark = docs.sparkSession
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = PieceEncoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        encoder, end = piece_encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), {}
         for frame in frames:
             for at in range(0, len(frame), 256):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from geostrata.llm import bpe_automaton, packing, secrets, token_files
+from geostrata.llm import bpe_automaton, language, packing, quality, secrets, token_files
 
 QUERIES = {
+    "op2_language": language.op2_language,
     "op5_token_files": token_files.op5_token_files,
+    "op6_quality": quality.op6_quality,
     "op7_packing": packing.op7_packing,
     "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe_automaton.op10_bpe,
