@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from geostrata.llm import bpe_automaton, language, packing, quality, secrets, token_files
+from geostrata.llm import bpe_automaton, language, packing, quality, secrets, substrings, token_files
 
 QUERIES = {
     "op2_language": language.op2_language,
+    "op3_substrings": substrings.op3_substrings,
     "op5_token_files": token_files.op5_token_files,
     "op6_quality": quality.op6_quality,
     "op7_packing": packing.op7_packing,
