@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from geostrata.llm import bpe_automaton, language, packing, quality, secrets, substrings, token_files
+from geostrata.llm import bpe_automaton, language, minhash, packing, quality, secrets, substrings, token_files
 
 QUERIES = {
+    "op1_minhash": minhash.op1_minhash,
     "op2_language": language.op2_language,
     "op3_substrings": substrings.op3_substrings,
     "op5_token_files": token_files.op5_token_files,
