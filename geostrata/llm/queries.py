@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from geostrata.llm import bpe_automaton, language, minhash, packing, quality, secrets, substrings, token_files
+from geostrata.llm import bpe_automaton, embedding_dedup, language, minhash, neighbours, packing, quality, secrets, substrings, token_files
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_language": language.op2_language,
     "op3_substrings": substrings.op3_substrings,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op5_token_files": token_files.op5_token_files,
     "op6_quality": quality.op6_quality,
     "op7_packing": packing.op7_packing,
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe_automaton.op10_bpe,
 }
