@@ -1,10 +1,80 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, near-duplicates, repeated passages, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as Parquet
+in the shared folder and rereads it as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geostrata.llm import minhash, packing, quality, secrets, substrings
+from geostrata.llm.common import saved
+
+#: SQL can't express these stages; each is tested against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
+QUALITY_THRESHOLD = 0.3
+WINDOW, END_ID = 2048, 1
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold, unchanged. The model learns from the labels of sf_dir."""
+    model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, model, QUALITY_THRESHOLD)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id, unchanged."""
+    out = minhash.near_duplicates(docs)
+    gone = out.where(F.col("component") < F.col("doc")).select(F.col("doc").alias("doc_id")).distinct()
+    return docs.join(saved(gone, "near-duplicates"), "doc_id", "left_anti").select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; where words repeat an earlier passage, the text is the other words, joined by one space."""
+    out = substrings.dedup_substrings(docs)
+    return _with_text(docs, out, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret, access identifier and linked weak part replaced by a mask."""
+    out = secrets.scan_secrets(docs)
+    spans = F.array_sort(F.concat("secret_base", "secret_linked"))
+    return _with_text(docs, out, secrets.masked(F.col("text"), spans))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=END_ID, window=WINDOW)
+
+
+def _with_text(docs: DataFrame, out: DataFrame, text) -> DataFrame:
+    """The columns of docs from out with a new text; n_chars follows where the text changed."""
+    out = out.withColumn("__new", text)
+    changed = ~F.col("text").eqNullSafe(F.col("__new"))
+    values = {"text": F.col("__new").alias("text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        values["n_chars"] = F.when(changed, F.length("__new").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
+    return out.select([values.get(c, F.col(f"`{c}`")) for c in docs.columns])
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_one_of_near_duplicates),
+    ("repeats", cut_repeats),
+    ("secrets", mask_secrets),
+    ("packing", pack_windows),
+]
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = saved(docs, f"stage-{name}")
     return docs
