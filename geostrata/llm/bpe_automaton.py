@@ -150,8 +150,8 @@ class ByteBpe:
 
     def __call__(self, text: str | None) -> tuple[int, str, bytes]:
         """(number of ids, decimal ids joined by commas, decoded text as bytes)."""
-        words: list[str] = []
-        for part in self.split.split(text or "") if self.split and any(x in text or "" for x in self.added) else [text or ""]:
+        text, words = text or "", []
+        for part in self.split.split(text) if self.split and any(x in text for x in self.added) else [text]:
             words += [part] if part in self.added else PRE_TOKENS.findall(part)
         known = self.known
         if len(known) >= CACHE_WORDS:
@@ -193,7 +193,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
             for at in range(0, len(frame), 256):
                 part = frame.iloc[at : at + 256]
                 got = [bpe(x) for x in part["text"]]
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "n_tokens": [x[0] for x in got], "ids": [x[1] for x in got], "decoded": [x[2].decode("utf-8", "replace") for x in got]})
+                yield pd.DataFrame({"key": part["key"].astype("Int64"), "n_tokens": [x[0] for x in got], "ids": [x[1] for x in got], "decoded": [x[2].decode("utf-8", "replace") for x in got]})
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInPandas(run, "key long, n_tokens long, ids string, decoded string")

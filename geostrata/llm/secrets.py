@@ -91,9 +91,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE, keep:
     kept = [F.col(f"`{x}`") for x in (docs.columns if keep is None else keep) if x not in ("secret_base", "secret_linked")]
     rows = with_parts(docs, text, "secret_base", "__weak").select(*kept, "secret_base", "__weak", F.monotonically_increasing_id().alias("__row"))
     rows = saved(rows, "secret-parts")
-    linked = link_weak(rows, "__row", "secret_base", "__weak", scope)
-    out = rows.join(linked, rows["__row"] == linked["r"], "left")
-    return out.select(*kept, "secret_base", F.coalesce("linked", F.array().cast(SPAN)).alias("secret_linked"))
+    linked = link_weak(rows, "__row", "secret_base", "__weak", scope).select(F.col("r").alias("__row"), F.col("linked").alias("__linked"))
+    out = rows.join(linked, "__row", "left")
+    return out.select(*kept, "secret_base", F.coalesce("__linked", F.array().cast(SPAN)).alias("secret_linked"))
 
 
 def named(spans: Column) -> Column:
