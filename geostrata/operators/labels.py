@@ -34,8 +34,8 @@ def raster(segments: DataFrame, keys: list[str]) -> DataFrame:
     sx, sz = F.when(F.col("x0") < F.col("x1"), 1).otherwise(-1), F.when(F.col("z0") < F.col("z1"), 1).otherwise(-1)
     rows = segments.withColumns({"dx": dx, "dz": dz, "sx": sx, "sz": sz}).withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest("dx", "dz"))))
     along_x = F.col("dx") > F.col("dz")
-    minor_z = F.floor((2 * F.col("k") * F.col("dz") + F.col("dx") - 1) / F.greatest(2 * F.col("dx"), F.lit(1))).cast("int")
-    minor_x = F.floor((2 * F.col("k") * F.col("dx") + F.col("dz") - 1) / F.greatest(2 * F.col("dz"), F.lit(1))).cast("int")
+    minor_z = F.greatest(F.lit(0), F.floor((2 * F.col("k") * F.col("dz") + F.col("dx") - 1) / F.greatest(2 * F.col("dx"), F.lit(1)))).cast("int")
+    minor_x = F.greatest(F.lit(0), F.floor((2 * F.col("k") * F.col("dx") + F.col("dz") - 1) / F.greatest(2 * F.col("dz"), F.lit(1)))).cast("int")
     x = F.col("x0") + F.col("sx") * F.when(along_x, F.col("k")).otherwise(minor_x)
     z = F.col("z0") + F.col("sz") * F.when(along_x, minor_z).otherwise(F.col("k"))
     return rows.select(*keys, x.alias("x"), z.alias("z")).distinct()

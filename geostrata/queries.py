@@ -229,7 +229,7 @@ def density_clusters(spark, sf_dir):
 
 
 LABELLED_SQL = f"""{A.FAULT_POINTS_SQL},
-labelled AS (SELECT sec AS inline_number, cluster AS label, x * 4 AS x, z * 10 AS z, row_number() OVER (PARTITION BY sec, cluster ORDER BY x, z) - 1 AS pid FROM fault_points WHERE sec % 3 = 0 OR true)"""
+labelled AS (SELECT sec AS inline_number, cluster AS label, x * 4 AS x, z * 10 AS z, row_number() OVER (PARTITION BY sec, cluster ORDER BY x, z) - 1 AS pid FROM fault_points)"""
 
 
 def _labelled(spark, sf_dir):
@@ -316,8 +316,8 @@ seg AS (SELECT inline_id, x_idx AS x0, z_idx AS z0, lead(x_idx) OVER w AS x1, le
 seg2 AS (SELECT inline_id, x0, z0, coalesce(x1, x0) AS x1, coalesce(z1, z0) AS z1 FROM seg WHERE x1 IS NOT NULL OR first),
 steps AS (SELECT *, abs(x1 - x0) AS dx, abs(z1 - z0) AS dz, unnest(range(greatest(abs(x1 - x0), abs(z1 - z0)) + 1)) AS k FROM seg2),
 drawn AS (SELECT DISTINCT inline_id,
-  x0 + (CASE WHEN x0 < x1 THEN 1 ELSE -1 END) * (CASE WHEN dx > dz THEN k ELSE CAST(floor((2.0 * k * dx + dz - 1) / greatest(2 * dz, 1)) AS INTEGER) END) AS x,
-  z0 + (CASE WHEN z0 < z1 THEN 1 ELSE -1 END) * (CASE WHEN dx > dz THEN CAST(floor((2.0 * k * dz + dx - 1) / greatest(2 * dx, 1)) AS INTEGER) ELSE k END) AS z FROM steps)"""
+  x0 + (CASE WHEN x0 < x1 THEN 1 ELSE -1 END) * (CASE WHEN dx > dz THEN k ELSE CAST(greatest(0, floor((2.0 * k * dx + dz - 1) / greatest(2 * dz, 1))) AS INTEGER) END) AS x,
+  z0 + (CASE WHEN z0 < z1 THEN 1 ELSE -1 END) * (CASE WHEN dx > dz THEN CAST(greatest(0, floor((2.0 * k * dz + dx - 1) / greatest(2 * dx, 1))) AS INTEGER) ELSE k END) AS z FROM steps)"""
 MAP_SQL = f"""{SEGMENTS_SQL},
 offs AS (SELECT i, j FROM range(-3, 4) a(i), range(-2, 3) b(j) WHERE power(i / 3.0, 2) + power(j / 2.0, 2) <= 1.0),
 wide AS (SELECT DISTINCT inline_id, x + i AS x, z + j AS z FROM drawn, offs WHERE x + i >= 0 AND x + i < {NX} AND z + j >= 0 AND z + j < {NZ}),
