@@ -85,10 +85,10 @@ def weak_smoothing(points: DataFrame, local_window: int = 7, smoothing_window: i
 
 
 def turning_angle(x0: Column, z0: Column, x1: Column, z1: Column, x2: Column, z2: Column) -> Column:
-    """Angle at the middle point in degrees; 180 where an arm has no length."""
+    """Angle at the middle point in degrees; 180 where an arm has no length, null where there is none."""
     ax, az, bx, bz = x0 - x1, z0 - z1, x2 - x1, z2 - z1
     size = F.hypot(ax, az) * F.hypot(bx, bz)
-    return F.when(size == 0, 180.0).otherwise(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ax * bx + az * bz) / size)))))
+    return F.when(size == 0, 180.0).when(size.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ax * bx + az * bz) / size)))))
 
 
 def sharp_points(points: DataFrame, threshold: float = 90, keys: list[str] = KEYS) -> DataFrame:

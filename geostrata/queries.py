@@ -264,12 +264,12 @@ def cluster_pairs(spark, sf_dir):
 
 ANGLE_SQL = """
 bad_flags AS (
-  SELECT *, coalesce(degrees(acos(greatest(-1.0, least(1.0, (ax * bx + az * bz) / nullif(sqrt(ax * ax + az * az) * sqrt(bx * bx + bz * bz), 0))))) < 90, false) AS bad
+  SELECT *, sqrt(ax * ax + az * az) * sqrt(bx * bx + bz * bz) > 0 AND coalesce(degrees(acos(greatest(-1.0, least(1.0, (ax * bx + az * bz) / nullif(sqrt(ax * ax + az * az) * sqrt(bx * bx + bz * bz), 0))))) < 90, false) AS bad
   FROM (SELECT inline_number, label, pid, 'x' AS axis, lag(x) OVER w - x AS ax, lag(z) OVER w - z AS az, lead(x) OVER w - x AS bx, lead(z) OVER w - z AS bz FROM labelled WINDOW w AS (PARTITION BY inline_number, label ORDER BY x, pid)
         UNION ALL SELECT inline_number, label, pid, 'z', lag(x) OVER w - x, lag(z) OVER w - z, lead(x) OVER w - x, lead(z) OVER w - z FROM labelled WINDOW w AS (PARTITION BY inline_number, label ORDER BY z, pid)))"""
 
 
-@query("sharp_points", f"WITH {LABELLED_SQL}, {ANGLE_SQL} SELECT inline_number, label, pid, bool_or(bad) AS bad FROM bad_flags GROUP BY 1, 2, 3")
+@query("sharp_points", f"WITH {LABELLED_SQL}, {ANGLE_SQL} SELECT inline_number, label, pid, coalesce(bool_or(bad), false) AS bad FROM bad_flags GROUP BY 1, 2, 3")
 def sharp_points(spark, sf_dir):
     return curve.sharp_points(_labelled(spark, sf_dir)).select("inline_number", "label", "pid", "bad")
 
