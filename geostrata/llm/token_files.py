@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.bytes_tokens import PieceEncoder
+from geostrata.llm.bytes_tokens import piece_encoder
 from geostrata.llm.common import new_path
 
 # Fixed values of the public seekable format.
@@ -115,7 +115,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
-        shard, encoder, end = context.partitionId(), PieceEncoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        shard, encoder, end = context.partitionId(), piece_encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
         final = f"{folder}/shard-{shard:06d}.tok"
         store, at = _opened(final)
         writer, out, n_docs, n_tokens = None, None, 0, 0
