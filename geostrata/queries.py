@@ -11,6 +11,7 @@ from geostrata import adapters as A
 from geostrata.config import LinkConfig
 from geostrata.functions import scalars
 from geostrata.operators import catalogue, cluster, curve, grid, islands, labels, linking, normalise
+from geostrata.plans import detection, reconstruction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -119,6 +120,34 @@ def track_membership(spark, sf_dir):
     return linking.build_tracks(linking.best_matches(linking.score_candidates(lines, LINK)), lines, LINK)
 
 
+@query("track_summary", f"""{TRACKS_SQL} SELECT track_id, count(*) AS lines, min(m.sec) AS first, max(m.sec) AS last, round(min(similarity), 6) AS min_similarity, round(avg(similarity), 6) AS mean_similarity
+  FROM member m JOIN tracks USING (start) LEFT JOIN (SELECT target_id, similarity FROM matches WHERE selected AND gap = 1) e ON e.target_id = m.line_id GROUP BY track_id""")
+def track_summary(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    matches = linking.best_matches(linking.score_candidates(lines, LINK))
+    out = reconstruction.track_summary(linking.build_tracks(matches, lines, LINK), matches)
+    return out.select("track_id", "lines", "first", "last", *_r("min_similarity", "mean_similarity"))
+
+
+@query("track_surfaces")
+def track_surfaces(spark, sf_dir):
+    """Vertices of every surface; smoothing is tested against a plain two-dimensional sum."""
+    return reconstruction.reconstruct(A.fault_points(spark, sf_dir), LINK)["surfaces"]
+
+
+@query("resampled_lines", f"""WITH {A.FAULT_POINTS_SQL}, o AS (SELECT sec, cluster, x, z, row_number() OVER (PARTITION BY sec, cluster ORDER BY x, z) - 1 AS pos FROM fault_points),
+  st AS (SELECT *, CASE WHEN pos = 0 THEN 0.0 ELSE greatest(sqrt(power(x - lag(x) OVER w, 2) + power(z - lag(z) OVER w, 2)), 1e-6) END AS d FROM o WINDOW w AS (PARTITION BY sec, cluster ORDER BY pos)),
+  s AS (SELECT *, sum(d) OVER (PARTITION BY sec, cluster ORDER BY pos) AS s FROM st),
+  u AS (SELECT *, s / max(s) OVER (PARTITION BY sec, cluster) * 16 AS u FROM s),
+  g AS (SELECT *, lead(u) OVER w AS u2, lead(x) OVER w AS x2, lead(z) OVER w AS z2, lead(u, 2) OVER w IS NULL AS last FROM u WINDOW w AS (PARTITION BY sec, cluster ORDER BY pos)),
+  e AS (SELECT *, unnest(range(CAST(ceil(u) AS INTEGER), CAST(CASE WHEN last THEN 16 ELSE ceil(u2) - 1 END AS INTEGER) + 1)) AS i FROM g WHERE u2 IS NOT NULL)
+  SELECT sec, cluster, CAST(i AS INTEGER) AS i, CAST(floor((x + least(1.0, (i - u) / (u2 - u)) * (x2 - x)) * 1000 + 0.3137) AS BIGINT) AS x_milli, CAST(floor((z + least(1.0, (i - u) / (u2 - u)) * (z2 - z)) * 1000 + 0.3137) AS BIGINT) AS z_milli FROM e""")
+def resampled_lines(spark, sf_dir):
+    w = Window.partitionBy("sec", "cluster").orderBy("x", "z")
+    ordered = A.fault_points(spark, sf_dir).withColumn("pos", F.row_number().over(w) - 1)
+    return curve.resample(ordered, 17, ["sec", "cluster"]).select("sec", "cluster", "i", F.floor(F.col("x") * 1000 + 0.3137).alias("x_milli"), F.floor(F.col("z") * 1000 + 0.3137).alias("z_milli"))
+
+
 @query("neighbouring_sections", f"WITH {A.FAULT_POINTS_SQL}, s AS (SELECT DISTINCT sec FROM fault_points) SELECT a.sec, b.sec AS neighbour FROM s a JOIN s b ON abs(a.sec - b.sec) <= 5 AND a.sec <> b.sec")
 def neighbouring_sections(spark, sf_dir):
     return linking.neighbouring_sections(A.fault_points(spark, sf_dir), 5)
@@ -495,3 +524,10 @@ def inline_selection(spark, sf_dir):
 def stage_counts(spark, sf_dir):
     c = [df.groupBy("inline_number").agg(F.count("*").alias("n")).select("inline_number", F.lit(name).alias("stage"), "n") for name, df in (("points", A.grid_points(spark, sf_dir)), ("grouped", _grouped(spark, sf_dir)))]
     return c[0].union(c[1]).rollup("inline_number", "stage").agg(F.sum("n").alias("n"))
+
+
+@query("detected_lines")
+def detected_lines(spark, sf_dir):
+    """The whole detection on one pixel grid per line number, with thresholds for its coarse counts; tested stage by stage."""
+    config = detection.DetectionConfig(threshold=0.7, max_gap=1, eps=4, min_samples=2, second_min_samples=2, merge_distance=10, min_cluster_points=3, min_vertical_range=2, support_radius=2)
+    return detection.detect_lines(A.pixels(spark, sf_dir), config)["interpolated"]
