@@ -16,4 +16,35 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe_automaton.op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+REACH = """
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, far) AS (SELECT a, a FROM both_ways UNION SELECT r.node, t.b FROM reach r JOIN both_ways t ON t.a = r.far),
+component AS (SELECT node, min(far) AS c FROM reach GROUP BY node)"""
+
+#: SQL for the operators that it expresses; the others learn a model, call a tokenizer or report positions of matches.
+ORACLE_SQL = {
+    "op1_minhash": f"""
+WITH RECURSIVE split AS (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),{REACH}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN component ON node = d.doc_id""",
+    "op3_substrings": f"""
+WITH split AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM split),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS pos, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS seq FROM split WHERE len(w) >= 20),
+late AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY seq ORDER BY doc_id, pos) AS nth FROM windows) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM late),
+marked AS (SELECT words.doc_id, words.pos, word, gone.pos IS NOT NULL AS removed FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.pos = words.pos),
+counted AS (SELECT doc_id, count(*) AS n, count(*) FILTER (removed) AS r, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT removed), '') AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN counted c ON c.doc_id = d.doc_id""",
+    "op8_embedding_dedup": f"""
+WITH RECURSIVE good AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM good p JOIN good q ON p.label = q.label AND p.vec_id < q.vec_id AND list_cosine_similarity(p.x, q.x) >= 0.93),{REACH},
+counts AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, coalesce(c, e.vec_id) AS component_id, coalesce(c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts ON counts.a = e.vec_id LEFT JOIN component ON node = e.vec_id""",
+}
