@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geostrata import adapters as A
 from geostrata.config import LinkConfig
 from geostrata.functions import scalars
-from geostrata.operators import catalogue, cluster, curve, grid, islands, labels, linking, normalise
+from geostrata.operators import catalogue, cluster, contracts, curve, grid, islands, labels, linking, normalise
 from geostrata.plans import detection, reconstruction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -531,3 +531,30 @@ def detected_lines(spark, sf_dir):
     """The whole detection on one pixel grid per line number, with thresholds for its coarse counts; tested stage by stage."""
     config = detection.DetectionConfig(threshold=0.7, max_gap=1, eps=4, min_samples=2, second_min_samples=2, merge_distance=10, min_cluster_points=3, min_vertical_range=2, support_radius=2)
     return detection.detect_lines(A.pixels(spark, sf_dir), config)["interpolated"]
+
+
+# Contracts -----------------------------------------------------------------------------------------------------
+
+@query("cluster_contract", f"""WITH {A.FAULT_POINTS_SQL} SELECT sec, cluster, count(*) AS points, count(DISTINCT (x, z)) AS distinct_points, bool_and(x >= 0 AND z >= 0 AND x < 20 AND z < 10) AS in_bounds, true AS finite,
+  bool_and(abs(x - round_even(x, 0)) <= 1e-9 AND abs(z - round_even(z, 0)) <= 1e-9) AS whole, count(DISTINCT (x, z)) >= 2 AND bool_and(x >= 0 AND z >= 0 AND x < 20 AND z < 10) AS ok FROM fault_points GROUP BY sec, cluster""")
+def cluster_contract(spark, sf_dir):
+    return contracts.cluster_contract(A.fault_points(spark, sf_dir), ["sec", "cluster"], F.lit(20), F.lit(10))
+
+
+@query("dense_ids", "SELECT DISTINCT n_regionkey, CAST(n_nationkey AS VARCHAR) AS cluster, CAST(dense_rank() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS id FROM nation")
+def dense_ids(spark, sf_dir):
+    return contracts.dense_ids(A.table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").cast("string").alias("cluster")), "n_regionkey", "cluster")
+
+
+@query("count_mismatches", """WITH f AS (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1), d AS (SELECT o_orderkey, 4 AS n FROM orders)
+  SELECT o_orderkey, CAST(d.n AS BIGINT) AS declared, f.n AS found FROM d FULL OUTER JOIN f USING (o_orderkey) WHERE d.n IS DISTINCT FROM f.n""")
+def count_mismatches(spark, sf_dir):
+    found = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    declared = A.table(spark, sf_dir, "orders").select("o_orderkey", F.lit(4).cast("long").alias("n"))
+    return contracts.count_mismatches(declared, found, "o_orderkey", "n")
+
+
+@query("repeated_sections", "SELECT sha256(text) AS sha, lang AS section, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) > 1")
+def repeated_sections(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha"), F.col("lang").alias("section"))
+    return contracts.repeated_sections(rows, "sha", "section")
