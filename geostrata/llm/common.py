@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import posixpath
 import tempfile
 import uuid
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries after which a task's word cache is emptied, so that its memory stays bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +66,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@functools.cache
+def word_hashes() -> WordHashes:
+    """One cache for all operators and tasks that a Python worker runs."""
+    return WordHashes()
+
+
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -92,33 +99,34 @@ def in_chunks(frames: Iterator, rows: int) -> Iterator:
             yield frame.iloc[at : at + rows]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of edges(a, b) reaches.
 
-    Alternates the large-star and small-star steps: each node's larger neighbours, then its smaller
-    ones, are linked to the smallest node nearby, until the edges are a forest of depth one and no
-    longer change. Every step joins and aggregates; a hub's neighbours are never gathered in one task.
-    Null ends are ignored; repeated edges and self-loops are harmless (a self-loop makes a component of one).
+    Each node points to its smallest neighbour or itself; pointers are followed to their ends by doubling,
+    the edges are drawn anew between the ends, and what is left of them goes the same way, until none is.
+    Every round at least halves the nodes; stars, as most groups of copies are, take one. Neighbours are
+    only aggregated and joined, so no hub's are gathered in one task. Null ends are ignored; repeated edges
+    are harmless, and a self-loop makes a component of one.
     """
-    spark = edges.sparkSession
-    edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    nodes = now.select(F.col("u").alias("node")).union(now.select("v")).distinct()
-    nodes = saved(nodes, "cc-nodes")
-    first, now = now, now.where("u <> v")
-    last = None
-    for _ in range(max_rounds):
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = saved(small.union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "cc")
-        state = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        drop_saved(now)
-        now = after
-        if state == last:
+    left = saved(edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b").distinct(), "edges")
+    levels = []
+    while True:
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(left.select("b", "a"))
+        ends = saved(both.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("end")), "ends")
+        while True:
+            further = ends.select(F.col("node").alias("end"), F.col("end").alias("far"))
+            then = saved(ends.join(further, "end").select("node", F.col("far").alias("end"), (F.col("far") != F.col("end")).alias("moved")), "ends")
+            moved = not then.where("moved").isEmpty()
+            drop_saved(ends)
+            ends = then
+            if not moved:
+                break
+        levels.append(ends.select("node", "end"))
+        drawn = left.join(ends.select(F.col("node").alias("a"), F.col("end").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("end").alias("y")), "b")
+        left = saved(drawn.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        if left.isEmpty():
             break
-        last = state
-    drop_saved(first)
-    return nodes.join(now, nodes.node == now.u, "left").select("node", F.coalesce("v", "node").alias("component"))
+    out = levels[0].select("node", F.col("end").alias("component"))
+    for level in levels[1:]:
+        out = out.join(level.select(F.col("node").alias("component"), "end"), "component", "left").select("node", F.coalesce("end", "component").alias("component"))
+    return out

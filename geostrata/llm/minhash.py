@@ -22,18 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import WordHashes, connected_components, drop_saved, mixed, saved, window_hashes
+from geostrata.llm.common import connected_components, drop_saved, mixed, saved, window_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 75
 BINS, BAND_ROWS = 256, 5
 BANDS = BINS // BAND_ROWS
-#: Candidates that agree in a smaller share of bins are not confirmed: seven standard errors below the threshold.
-LEAST_AGREEMENT = 0.55
-
-
-@functools.cache
-def _hashes() -> WordHashes:
-    return WordHashes()
 
 
 @functools.cache
@@ -49,8 +42,8 @@ def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < width:
-        return mixed(window_hashes(_hashes().of(words), len(words)) + np.uint64(len(words)))
-    return np.unique(window_hashes(_hashes().of(words), width))
+        return mixed(window_hashes(word_hashes().of(words), len(words)) + np.uint64(len(words)))
+    return np.unique(window_hashes(word_hashes().of(words), width))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -75,29 +68,16 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("bands", pa.list_(pa.int64()))])
     for batch in batches:
         for at in range(0, len(batch), 1000):
             some = batch.slice(at, 1000)
             rows = []
             for text in some["text"].to_pylist():
                 h = shingles(text)
-                if len(h):
-                    values = signature(h)
-                    rows.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), (values & np.uint64(0xFF)).astype(np.uint8).tobytes(), bands(values).view(np.int64)))
-                else:
-                    rows.append((0, None, None, None))
-            n, same, sig, keys = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([some["doc"], pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
-
-
-def _agreeing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for x in frames:
-        if len(x):
-            a = np.frombuffer(b"".join(x["sig_a"]), np.uint8).reshape(-1, BINS)
-            b = np.frombuffer(b"".join(x["sig_b"]), np.uint8).reshape(-1, BINS)
-            x = x[(a == b).mean(axis=1) >= LEAST_AGREEMENT]
-        yield x[["a", "b"]]
+                rows.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), bands(signature(h)).view(np.int64)) if len(h) else (0, None, None))
+            n, same, keys = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([some["doc"], pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
 
 def _confirmed(threshold: int):
@@ -127,48 +107,45 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     Other columns are left out, whatever their names. An empty table gives no rows.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    sketch = saved(rows.mapInArrow(_sketches, "doc long, n long, same binary, sig binary, bands array<long>"), "sketch")
-    usable = sketch.where("n > 0 and doc is not null")
-    nodes = saved(usable.groupBy("same").agg(F.min("doc").alias("node")), "nodes")
-    heads = sketch.where("n > 0").join(nodes.select(F.col("node").alias("doc")), "doc", "left_semi").select("doc", "sig", "bands")
-    heads = saved(heads.dropDuplicates(["doc"]), "heads")
-    members = heads.select(F.explode("bands").alias("band"), "doc")
+    sketch = saved(rows.mapInArrow(_sketches, "doc long, n long, same binary, bands array<long>"), "sketch")
+    heads = sketch.where("n > 0 and doc is not null").groupBy("same").agg(F.min(F.struct("doc", "bands")).alias("h"))
+    heads = saved(heads.select("same", F.col("h.doc").alias("doc"), F.col("h.bands").alias("bands")), "heads")
+    members = heads.select("doc", F.explode("bands").alias("band"))
     buckets = saved(members.groupBy("band").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "buckets")
-    members = members.join(buckets, "band")
-    sigs = heads.select("doc", "sig")
-
-    def agreeing(pairs: DataFrame) -> DataFrame:
-        with_b = pairs.join(sigs.select(F.col("doc").alias("b"), F.col("sig").alias("sig_b")), "b")
-        return with_b.join(sigs.select(F.col("doc").alias("a"), F.col("sig").alias("sig_a")), "a").mapInPandas(_agreeing, "a long, b long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = saved(agreeing(pairs), "candidates")
         ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
         texts = saved(rows.join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
         with_b = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
         with_both = with_b.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
         out = saved(with_both.mapInPandas(_confirmed(threshold), "a long, b long"), "links")
         drop_saved(texts)
-        drop_saved(pairs)
         return out
 
-    tried = saved(members.where("first < doc").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), "tried")
-    new = links = confirmed(tried)
-    while not new.isEmpty():
-        component = saved(connected_components(links), "components")
-        part = tried.join(component.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(component.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        failed = saved(part.where("ca is null or cb is null or ca <> cb").select(F.col("a").alias("first"), F.col("b").alias("doc")).distinct(), "failed")
-        left = saved(members.join(failed, ["first", "doc"]), "left-over")
-        least = saved(left.groupBy("band").agg(F.min("doc").alias("least"), F.count("*").alias("size")).where("size > 1"), "least")
+    def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
+        """Pairs whose ends are not in one component yet."""
+        a, b = component.select(F.col("node").alias("a"), F.col("component").alias("ca")), component.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        return pairs.join(a, "a", "left").join(b, "b", "left").where("ca is null or cb is null or ca <> cb").drop("ca", "cb")
+
+    tried = saved(members.join(buckets, "band").where("first < doc").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), "tried")
+    links = confirmed(tried)
+    component = saved(connected_components(links), "components")
+    failed = saved(apart(tried, component), "failed")
+    while not failed.isEmpty():
+        ends = heads.join(failed.select(F.col("b").alias("doc")).distinct(), "doc", "left_semi")
+        left = ends.select("doc", F.explode("bands").alias("band")).join(buckets, "band").join(failed.select(F.col("a").alias("first"), F.col("b").alias("doc")), ["first", "doc"])
+        left = saved(left.select("band", "doc", "last"), "left-over")
+        least = saved(left.groupBy("band").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("band", "least"), "least")
         again = left.join(least, "band").where("least < doc").select(F.col("least").alias("a"), F.col("doc").alias("b"))
         again = again.union(left.where("doc < last").select(F.col("doc").alias("a"), F.col("last").alias("b"))).distinct()
-        again = again.join(component.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(component.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        again = saved(again.where("ca is null or cb is null or ca <> cb").select("a", "b").join(tried, ["a", "b"], "left_anti"), "tried")
+        again = saved(apart(again, component).join(tried, ["a", "b"], "left_anti"), "tried")
         new = confirmed(again)
-        tried = saved(tried.union(again), "tried")
-        links = saved(links.union(new), "links")
-    component = connected_components(links)
-    by_set = nodes.join(component, nodes["node"] == component["node"], "left").select("same", F.coalesce("component", nodes["node"]).alias("component"))
+        if new.isEmpty():
+            break
+        tried, links = saved(tried.union(again), "tried"), saved(links.union(new), "links")
+        component = saved(connected_components(links), "components")
+        failed = saved(apart(failed, component), "failed")
+    by_set = heads.join(component, heads["doc"] == component["node"], "left").select("same", F.coalesce("component", "doc").alias("component"))
     by_set = saved(by_set, "by-set")
     out = sketch.select("doc", "n", "same").join(by_set, "same", "left")
     return out.select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
