@@ -11,7 +11,6 @@ occurs in a third of all documents costs a bucket one entry per sender. No pairs
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -21,12 +20,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import WordHashes, window_hashes
+from geostrata.llm.common import window_hashes, word_hashes
 
 WINDOW = 20
 #: Difference covers by period.
 COVERS = {13: (0, 1, 3, 9), 7: (0, 1, 3), 3: (0, 1), 1: (0,)}
-CHUNK_WORDS = 4_000_000
+CHUNK_WORDS = 1_000_000
 BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 BLOCK_SQL = "bucket int, block binary"
 
@@ -36,11 +35,6 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     return next((v, c) for v, c in COVERS.items() if v == 1 or window - v + 1 >= 8)
 
 
-@functools.cache
-def _hashes() -> WordHashes:
-    return WordHashes()
-
-
 def split_words(text: str | None) -> list[bytes]:
     """Words of a text: runs of anything but blanks and 0x09 to 0x0D, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -139,7 +133,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
     added names is replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    n = buckets or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     period, cover = cover_for(window)
     span = window - period + 1
     added = ["n_words", "n_removed", "kept", "bucket", "__key", "__text"]
@@ -167,7 +161,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
                 if len(w) < window:
                     continue
                 at = np.flatnonzero(np.resize(starts, len(w) - span + 1))
-                held.append((window_hashes(_hashes().of(w), span)[at], doc, at))
+                held.append((window_hashes(word_hashes().of(w), span)[at], doc, at))
                 words += len(w)
             if words >= CHUNK_WORDS:
                 yield flush()
@@ -195,7 +189,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
             np.add.at(near, np.maximum(at[a:b] - period + 1, 0), 1)
             np.add.at(near, np.minimum(at[a:b] + 1, len(w)), -1)
             begin = np.flatnonzero(np.cumsum(near)[: len(w) - window + 1] > 0)
-            held.append((window_hashes(_hashes().of(w), window)[begin], d, begin))
+            held.append((window_hashes(word_hashes().of(w), window)[begin], d, begin))
         if not held:
             return pa.Table.from_batches([], BLOCK)
         h = np.concatenate([x for x, _, _ in held])
