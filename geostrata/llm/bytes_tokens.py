@@ -9,7 +9,7 @@ import re
 import numpy as np
 
 #: Entries after which the cache of pieces is emptied, so that a task's memory stays bounded.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
 #: No normaliser, added token or pre-token of word_bpe_49k.json reaches across these characters.
 _WORDS = re.compile(r"[^ \n\t\r]+")
 #: Without these, lower-casing is per character and str.split() splits where the tokenizer does.
