@@ -27,6 +27,7 @@ from geostrata.llm.common import connected_components, drop_saved, mixed, saved,
 SHINGLE, THRESHOLD = 5, 75
 BINS, BAND_ROWS = 256, 5
 BANDS = BINS // BAND_ROWS
+FILTER_BITS = 1 << 24
 
 
 @functools.cache
@@ -97,6 +98,21 @@ def _confirmed(threshold: int):
     return run
 
 
+def _maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose doc is not in ids, so that their texts are not shuffled.
+
+    A bitmap of FILTER_BITS hashed ids, FILTER_BITS / 64 rows at most, is broadcast; where many ids fill it, it
+    lets more rows pass, and the exact join that follows decides.
+    """
+
+    at = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
+    place = [F.floor(F.col("__at") / 64).alias("word"), F.expr("shiftleft(1L, cast(pmod(__at, 64) as int))").alias("bit")]
+    marked = ids.withColumn("__at", at).select(*place)
+    bitmap = saved(marked.groupBy("word").agg(F.bit_or("bit").alias("bits")), "bitmap").withColumnRenamed("word", "__word")
+    asked = rows.withColumn("__at", at).select("*", *place)
+    return asked.join(F.broadcast(bitmap), asked["word"] == bitmap["__word"]).where("(bits & bit) <> 0").select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(doc, n, component): each row's key, the size of its shingle set and the smallest key that links reach.
 
@@ -115,7 +131,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-        texts = saved(rows.join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+        texts = saved(_maybe_in(rows, ids).join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
         with_b = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
         with_both = with_b.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
         out = saved(with_both.mapInPandas(_confirmed(threshold), "a long, b long"), "links")
