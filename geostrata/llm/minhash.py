@@ -4,10 +4,11 @@ A document's shingles are hashed once; the hash's top bits choose a bin and the
 value. An empty bin borrows from the first filled bin in its own fixed random order, which keeps the chance
 that two documents agree in a bin equal to their similarity. Bins are cut into bands; documents that agree in
 a band share a bucket. A bucket's edges form a star around its smallest document, so candidates grow with the
-rows, not with the square of a bucket. Candidates are confirmed on full shingle sets. Where a star's edge
-fails, its end may still belong with another member: such ends form new stars (around the smallest of them
-and around the bucket's largest document), round after round, until a round finds no new link. Documents
-with equal sets are one node from the start.
+rows, not with the square of a bucket. Candidates are confirmed on full shingle sets. A bucket whose ends do
+not all reach its smallest document stays open: its members become hubs in turn, about twice as many each
+round, and a hub meets all later members that are not in its component yet. A bucket is closed when those
+left in it are one component, so every pair of a bucket is either tried or joined otherwise; the rounds are
+the logarithm of the largest open bucket. Documents with equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -98,14 +99,14 @@ def _confirmed(threshold: int):
     return run
 
 
-def _maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows without most of those whose doc is not in ids, so that their texts are not shuffled.
+def _maybe_in(rows: DataFrame, ids: DataFrame, by: str = "doc") -> DataFrame:
+    """rows without most of those whose `by` is not in ids, so that they, with their texts, are not shuffled.
 
     A bitmap of FILTER_BITS hashed ids, FILTER_BITS / 64 rows at most, is broadcast; where many ids fill it, it
     lets more rows pass, and the exact join that follows decides.
     """
 
-    at = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
+    at = F.pmod(F.xxhash64(by), F.lit(FILTER_BITS))
     place = [F.floor(F.col("__at") / 64).alias("word"), F.expr("shiftleft(1L, cast(pmod(__at, 64) as int))").alias("bit")]
     marked = ids.withColumn("__at", at).select(*place)
     bitmap = saved(marked.groupBy("word").agg(F.bit_or("bit").alias("bits")), "bitmap").withColumnRenamed("word", "__word")
@@ -113,6 +114,19 @@ def _maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return asked.join(F.broadcast(bitmap), asked["word"] == bitmap["__word"]).where("(bits & bit) <> 0").select(*rows.columns)
 
 
+def _hub_pairs(left: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each hub of this turn with the later members of its bucket in other components. left: (band, doc, turn, part, main).
+
+    One end at least is outside the bucket's main component, so a hub inside it only meets those outside.
+    """
+    hub = left.where(F.col("turn") == turn).select("band", F.col("doc").alias("h"), F.col("part").alias("hub_part"), F.col("main").alias("hub_main"))
+    other = left.select("band", F.col("doc").alias("o"), "turn", "part", "main")
+    inside, outside = hub.where("hub_part = hub_main"), hub.where("hub_part <> hub_main")
+    later = (F.col("hub_part") != F.col("part")) & ((F.col("turn") > turn) | (F.col("o") > F.col("h")))
+    met = inside.join(other.where("part <> main"), "band").where(later).select("h", "o").union(outside.join(other, "band").where(later).select("h", "o"))
+    return met.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(doc, n, component): each row's key, the size of its shingle set and the smallest key that links reach.
 
@@ -124,18 +138,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     """
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     sketch = saved(rows.mapInArrow(_sketches, "doc long, n long, same binary, bands array<long>"), "sketch")
-    heads = sketch.where("n > 0 and doc is not null").groupBy("same").agg(F.min(F.struct("doc", "bands")).alias("h"))
-    heads = saved(heads.select("same", F.col("h.doc").alias("doc"), F.col("h.bands").alias("bands")), "heads")
+    heads = sketch.where("n > 0 and doc is not null").groupBy("same").agg(F.min(F.struct("doc", "n", "bands")).alias("h"))
+    heads = saved(heads.select("same", F.col("h.doc").alias("doc"), F.col("h.n").alias("n"), F.col("h.bands").alias("bands")), "heads")
     members = heads.select("doc", F.explode("bands").alias("band"))
-    buckets = saved(members.groupBy("band").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "buckets")
+    buckets = saved(members.groupBy("band").agg(F.min("doc").alias("first"), F.count("*").alias("size")).where("size > 1"), "buckets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """The links among pairs. Sets whose sizes alone keep them below the threshold are not compared."""
+        n_a, n_b = heads.select(F.col("doc").alias("a"), F.col("n").alias("n_a")), heads.select(F.col("doc").alias("b"), F.col("n").alias("n_b"))
+        pairs = pairs.join(n_a, "a").join(n_b, "b").where(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+        pairs = saved(pairs.select("a", "b"), "pairs")
         ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
         texts = saved(_maybe_in(rows, ids).join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
         with_b = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
         with_both = with_b.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
         out = saved(with_both.mapInPandas(_confirmed(threshold), "a long, b long"), "links")
         drop_saved(texts)
+        drop_saved(pairs)
         return out
 
     def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
@@ -147,20 +166,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     links = confirmed(tried)
     component = saved(connected_components(links), "components")
     failed = saved(apart(tried, component), "failed")
-    while not failed.isEmpty():
-        ends = heads.join(failed.select(F.col("b").alias("doc")).distinct(), "doc", "left_semi")
-        left = ends.select("doc", F.explode("bands").alias("band")).join(buckets, "band").join(failed.select(F.col("a").alias("first"), F.col("b").alias("doc")), ["first", "doc"])
-        left = saved(left.select("band", "doc", "last"), "left-over")
-        least = saved(left.groupBy("band").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("band", "least"), "least")
-        again = left.join(least, "band").where("least < doc").select(F.col("least").alias("a"), F.col("doc").alias("b"))
-        again = again.union(left.where("doc < last").select(F.col("doc").alias("a"), F.col("last").alias("b"))).distinct()
-        again = saved(apart(again, component).join(tried, ["a", "b"], "left_anti"), "tried")
-        new = confirmed(again)
-        if new.isEmpty():
+    ends = heads.join(failed.select(F.col("b").alias("doc")).distinct(), "doc", "left_semi").select("doc", F.explode("bands").alias("band"))
+    ends = ends.join(buckets.where("size > 2"), "band").join(failed.select(F.col("a").alias("first"), F.col("b").alias("doc")), ["first", "doc"], "left_semi")
+    unsettled = saved(ends.select("band", "first", "size").distinct(), "unsettled")
+    share = F.pmod(F.xxhash64("doc"), F.lit(1 << 30)) / F.lit(1 << 30)
+    left = _maybe_in(members, unsettled, "band").join(unsettled, "band").where("first < doc")
+    left = saved(left.select("band", "doc", F.floor(F.log2(F.greatest(F.lit(1.0), share * F.col("size")))).alias("turn")), "left-over")
+    while True:
+        parts = component.select(F.col("node").alias("doc"), F.col("component").alias("part"))
+        now = left.join(parts, "doc", "left").select("band", "doc", "turn", F.coalesce("part", "doc").alias("part"))
+        sizes = now.groupBy("band", "part").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("band").agg(F.max(F.struct("size", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+        now = saved(now.join(main.select("band", F.col("m.part").alias("main")), "band"), "open")
+        turn = now.agg(F.min("turn")).first()[0]
+        if turn is None:
             break
-        tried, links = saved(tried.union(again), "tried"), saved(links.union(new), "links")
-        component = saved(connected_components(links), "components")
-        failed = saved(apart(failed, component), "failed")
+        again = saved(_hub_pairs(now, turn).join(tried, ["a", "b"], "left_anti"), "tried")
+        new = confirmed(again)
+        tried = tried.union(again)
+        if not new.isEmpty():
+            links = links.union(new)
+            component = saved(connected_components(links), "components")
+        rest = saved(now.where(F.col("turn") > turn).select("band", "doc", "turn"), "left-over")
+        drop_saved(left)
+        drop_saved(now)
+        left = rest
     by_set = heads.join(component, heads["doc"] == component["node"], "left").select("same", F.coalesce("component", "doc").alias("component"))
     by_set = saved(by_set, "by-set")
     out = sketch.select("doc", "n", "same").join(by_set, "same", "left")

@@ -57,6 +57,25 @@ def test_minhash_matches_brute_force(spark):
     assert {x["doc"]: (x["n"], x["component"]) for x in got} == want
 
 
+def test_minhash_links_between_edited_copies(spark):
+    """Edited copies of one text in shared buckets: the many with more edits link with nothing, the few others only with each other."""
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for edits in [13] * 45 + [6, 7, 8] * 5 + [13] * 45:
+        words = list(base)
+        for at in r.sample(range(400), edits):
+            words[at] = f"e{r.random()}"
+        texts.append(" ".join(words))
+    ids = list(range(1000, 1000 + len(texts)))
+    r.shuffle(ids)
+    rows = list(zip(ids, texts, strict=True))
+    want = jaccard_classes(rows)
+    got = {x["doc"]: (x["n"], x["component"]) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({c for _, c in want.values()}) == 98
+    assert got == want
+
+
 def test_minhash_null_keys_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
     got = {(x["doc"], x["component"]) for x in minhash.near_duplicates(docs).collect()}
