@@ -4,8 +4,9 @@ Nearness by Euclidean distance is turned into an inner product: |q - x|^2 = |q|^
 Vectors are cut into small subspaces with 16 codewords each, so a code is four bits a subspace. Codebooks and
 codes minimise an anisotropic loss: residual error parallel to the vector, which shifts the scores of just
 those queries for which it ranks high, weighs `parallel` times as much as orthogonal error. A query's
-products with all codewords form a table; a scan adds one entry per subspace, and the best of each block of
-vectors are ranked by their exact distance.
+products with all codewords form a table; a scan adds one entry per subspace. The best of each block of vectors
+are ranked by their exact distance; then all rows of the block are that may be nearer than the k-th of these: a
+row is no nearer than the difference of the query's distance to its code and the code's error.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from geostrata.llm.common import saved
 from geostrata.llm.vectors import of_one_size, usable
 
 SAMPLE_ROWS, WIDTH, CODEWORDS, PARALLEL, ROUNDS = 10_000, 2, 16, 4.0, 8
-#: Vectors a scan takes at once, queries in a block, and vectors of a block that are ranked exactly per neighbour asked for.
+#: Vectors a scan takes at once, queries in a block, and vectors of a block that are ranked exactly at first per neighbour asked for.
 SCAN_ROWS, QUERY_BLOCK, RERANK = 8192, 4096, 12
 
 
@@ -133,20 +134,31 @@ def _first_copies(ids: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _scan(model: Quantiser, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of a block to each query: the best by table scan, then by exact distance."""
-    tables, bias = model.tables(queries).astype(np.float32), -0.5 * (x * x).sum(1)
+    """The k nearest rows of a block to each query: no row that may be among them is left out of the exact ranking."""
+    tables, decoded = model.tables(queries), model.books[np.arange(len(model.books)), codes]
+    error = np.sqrt(((model.cut(x) - decoded) ** 2).sum((1, 2)))
+    square = (decoded**2).sum((1, 2))
+    query_square = (queries * queries).sum(1)
+    rounding = np.sqrt((decoded[0].size + 8) * 1e-15) * (np.sqrt(query_square) + np.sqrt(square.max(initial=0)))
     out = []
     depth = min(len(x), k * RERANK)
-    step = max(1, (1 << 22) // max(1, len(x)))
+    step = max(1, (1 << 20) // max(1, len(x)))
     for a in range(0, len(queries), step):
         part = tables[:, :, a : a + step]
-        score = np.repeat(bias.astype(np.float32)[:, None], part.shape[2], 1)
+        product = np.zeros((len(x), part.shape[2]))
         for m in range(part.shape[0]):
-            score += part[m][codes[:, m]]
-        best = np.argpartition(-score, depth - 1, axis=0)[:depth] if depth < len(x) else np.repeat(np.arange(len(x))[:, None], part.shape[2], 1)
+            product += part[m][codes[:, m]]
+        to_code = np.maximum(square[:, None] - 2 * product + query_square[a : a + step], 0)
+        best = np.argpartition(to_code - (error * error)[:, None], depth - 1, axis=0)[:depth] if depth < len(x) else None
+        least = np.abs(np.sqrt(to_code) - error[:, None])
         for j in range(part.shape[2]):
-            near = best[:, j]
             q = queries[a + j]
+            near = np.arange(len(x))
+            if best is not None:
+                others = best[ids[best[:, j]] != query_ids[a + j], j]
+                if len(others) >= k:
+                    reach = np.partition(np.sqrt(((x[others] - q) ** 2).sum(1)), k - 1)[k - 1]
+                    near = np.flatnonzero(least[:, j] <= reach + rounding[a + j])
             distance = np.sqrt(((x[near] - q) ** 2).sum(1))
             own = ids[near] != query_ids[a + j]
             near, distance = near[own], distance[own]

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from geostrata.llm import language, neighbours, quality
@@ -111,3 +112,20 @@ def test_codes_weigh_parallel_error_more():
         return float((((x - back) * x).sum(1) ** 2 / (x * x).sum(1)).mean())
 
     assert parallel_error(sharp) < parallel_error(flat)
+
+
+@pytest.mark.parametrize("jitter", [0.02, 0.1, 0.3])
+def test_scan_finds_all_neighbours_in_a_group_of_near_copies(jitter):
+    """A full block with a third of its rows around one point, whose codes are almost equal."""
+    rng = np.random.default_rng(5)
+    n, d, k = neighbours.SCAN_ROWS, 64, 10
+    x = rng.normal(size=(n, d))
+    hot = rng.permutation(n)[: n // 3]
+    x[hot] = x[hot[0]] + jitter * rng.normal(size=(len(hot), d))
+    model = neighbours.fit_quantiser(x[:1500], rounds=2)
+    asked = np.concatenate([hot[:20], np.setdiff1d(np.arange(n), hot)[:20]])
+    got = neighbours._scan(model, np.arange(n), x, model.encode(x), asked, x[asked], k)
+    for q in asked:
+        distance = np.sqrt(((x - x[q]) ** 2).sum(1))
+        distance[q] = np.inf
+        assert got.vec_id[got.query_id == q].tolist() == np.lexsort((np.arange(n), distance))[:k].tolist()
