@@ -26,18 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geostrata.llm.common import byte_letters
+
 CACHE_WORDS = 1_000_000
 #: Fixed value: the public pre-token pattern of byte-level BPE.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letter that byte-level vocabularies write for each byte, and the byte: printable bytes stand for themselves, the others for letters from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class TokenAutomaton:
     """The automaton of a list of merges over byte strings, compiled gadget by gadget."""
 

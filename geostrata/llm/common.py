@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Entries after which a task's word cache is emptied, so that its memory stays bounded.
 CACHE_WORDS = 200_000
+#: Bits of a bitmap of ids; a power of 2.
+FILTER_BITS = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,11 +50,32 @@ def drop_saved(df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def with_maybe(rows: DataFrame, ids: DataFrame, by: str) -> DataFrame:
+    """rows with `maybe`: true where column `by` is among ids (one column), and rarely elsewhere, so that other rows need not be shuffled to be left out.
+
+    A bitmap of FILTER_BITS hashed ids, FILTER_BITS / 64 rows at most, is broadcast; where many ids fill it, it
+    is true of more rows, and the exact step that follows decides.
+    """
+    at = F.pmod(F.xxhash64(by), F.lit(FILTER_BITS))
+    word, bit = F.floor(at / 64), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{by}`), 64) as int))")
+    marked = ids.select(F.col(ids.columns[0]).alias(by)).select(word.alias("__word"), bit.alias("__bit"))
+    bitmap = saved(marked.groupBy("__word").agg(F.bit_or("__bit").alias("__bits")), "bitmap")
+    asked = rows.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(bitmap), "__word", "left")
+    return asked.withColumn("maybe", F.coalesce(F.expr("(__bits & __bit) <> 0"), F.lit(False)) & F.col(by).isNotNull()).drop("__word", "__bit", "__bits")
+
+
 def training_rows(doc_id) -> "F.Column":
     """True where crc32(doc_id as text) mod 5 is not 0: rows that a model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
+def byte_letters() -> dict[str, int]:
+    """The printable letter that byte-level vocabularies write for each byte, and the byte: printable bytes stand for themselves, the others for letters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class WordHashes(dict):
     """64-bit hashes of byte words, kept for words seen again; emptied when full."""
 
@@ -82,14 +105,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def window_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(word_hashes: np.ndarray, width: int, base: int = _MULTIPLIER) -> np.ndarray:
     """A 64-bit hash of each run of width words, by a polynomial in an odd base."""
     n = len(word_hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(width):
-        out = out * np.uint64(_MULTIPLIER) + word_hashes[k : k + n]
+        out = out * np.uint64(base) + word_hashes[k : k + n]
     return mixed(out)
 
 

@@ -2,7 +2,8 @@
 
 A file holds, in this order: zstandard frames, each with the ids of whole documents as little-endian
 unsigned 32-bit integers; one skippable frame with the document index (for each document its key, the
-number of its frame, the first id in that frame and the number of ids, as little-endian 64-bit integers);
+number of its frame, the first id in that frame, the number of ids and whether it has a key, as
+little-endian 64-bit integers);
 one skippable frame with the seek table of zstandard's public seekable format (compressed size,
 decompressed size and the low half of xxh64 for each frame, then the footer). Any zstandard tool can
 decompress it; a reader fetches the tail, then only the frames of the documents asked for.
@@ -43,8 +44,8 @@ class TokenFileWriter:
         self.out, self.frame_bytes, self.codec = out, frame_bytes, zstandard.ZstdCompressor(level=level)
         self.held, self.size, self.frames, self.docs = [], 0, [], []
 
-    def add(self, key: int, ids: bytes) -> None:
-        self.docs.append((key, len(self.frames), self.size // 4, len(ids) // 4))
+    def add(self, key: int | None, ids: bytes) -> None:
+        self.docs.append((key or 0, len(self.frames), self.size // 4, len(ids) // 4, key is not None))
         self.held.append(ids)
         self.size += len(ids)
         if self.size >= self.frame_bytes:
@@ -60,7 +61,7 @@ class TokenFileWriter:
     def close(self) -> None:
         if self.held:
             self._close_frame()
-        index = self.codec.compress(np.asarray(self.docs, "<i8").reshape(-1, 4).T.tobytes())
+        index = self.codec.compress(np.asarray(self.docs, "<i8").reshape(-1, 5).T.tobytes())
         self.out.write(struct.pack("<II", INDEX_MAGIC, len(index)) + index)
         table = b"".join(struct.pack("<III", *x) for x in [*self.frames, (len(index) + 8, 0, 0)])
         table += struct.pack("<IBI", len(self.frames) + 1, 0x80, SEEKABLE)
@@ -81,7 +82,7 @@ class TokenFileReader:
         self.begins = np.concatenate([[0], np.cumsum(self.entries[:, 0].astype(np.int64))])
         source.seek(int(self.begins[frames - 1]))
         length = struct.unpack("<II", source.read(8))[1]
-        self.docs = np.frombuffer(zstandard.ZstdDecompressor().decompress(source.read(length)), "<i8").reshape(4, -1).T
+        self.docs = np.frombuffer(zstandard.ZstdDecompressor().decompress(source.read(length)), "<i8").reshape(5, -1).T
 
     def frame(self, k: int) -> bytes:
         packed, size, check = self.entries[k].tolist()
@@ -91,14 +92,14 @@ class TokenFileReader:
             raise ValueError(f"frame {k} does not match its checksum")
         return raw
 
-    def documents(self, keys: Iterable[int] | None = None) -> Iterator[tuple[int, bytes]]:
-        """(key, ids as bytes), in file order; all documents, or those with the keys."""
-        rows = self.docs if keys is None else self.docs[np.isin(self.docs[:, 0], np.fromiter(keys, np.int64))]
+    def documents(self, keys: Iterable[int] | None = None) -> Iterator[tuple[int | None, bytes]]:
+        """(key or None, ids as bytes), in file order; all documents, or those with the keys."""
+        rows = self.docs if keys is None else self.docs[np.isin(self.docs[:, 0], np.fromiter(keys, np.int64)) & (self.docs[:, 4] == 1)]
         at, raw = -1, b""
-        for key, k, first, n in rows.tolist():
+        for key, k, first, n, keyed in rows.tolist():
             if k != at:
                 at, raw = k, self.frame(k)
-            yield key, raw[4 * first : 4 * (first + n)]
+            yield key if keyed else None, raw[4 * first : 4 * (first + n)]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
@@ -106,9 +107,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
 
     Returns (shard, path, n_docs, n_tokens), one row per file that has documents; shards ascend with the
     keys. Null text counts as empty: such a document has its end id alone. Rows with a null key come
-    first, as key -1 of the file; repeated keys stay separate documents, next to each other. Other
-    columns are left out, whatever their names. An empty table gives no file. A file is written under a
-    name of its attempt and then renamed, so repeated or speculative tasks leave one whole file.
+    first and stay without a key; repeated keys stay separate documents, next to each other. A very
+    long text is one document of one frame, held whole by its task. Other columns are left out, whatever
+    their names. An empty table gives no file. A file is written under a name of its attempt and then
+    renamed, so repeated or speculative tasks leave one whole file.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -122,13 +124,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
         for frame in frames:
             for start in range(0, len(frame), 256):
                 part = frame.iloc[start : start + 256]
-                for doc, ids in zip(part["key"], encoder.encode(part["text"].tolist()), strict=True):
+                for doc, ids in zip(part["key"].astype("Int64"), encoder.encode(part["text"].tolist()), strict=True):
                     if writer is None:
                         store.create_dir(at.rpartition("/")[0], recursive=True)
                         held = f"{at}.{context.taskAttemptId()}"
                         out = store.open_output_stream(held)
                         writer = TokenFileWriter(out)
-                    writer.add(int(doc), ids + end)
+                    writer.add(None if doc is pd.NA else int(doc), ids + end)
                     n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4 + 1
         if writer is not None:
             writer.close()
@@ -136,10 +138,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
             store.move(held, at)
             yield pd.DataFrame({"shard": [shard], "path": [final], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     return rows.repartitionByRange(n, "key").sortWithinPartitions("key").mapInPandas(write, "shard int, path string, n_docs long, n_tokens long")
 
 
+def _read(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["key", "start", "ids"]).astype({"key": "Int64"})
+
+
 def read_token_files(files: DataFrame) -> DataFrame:
     """(key, start, ids): every document of the files, with the ids of all documents before it and its own ids as binary.
 
@@ -160,10 +166,10 @@ def read_token_files(files: DataFrame) -> DataFrame:
                         held.append((key, first, ids))
                         first, size = first + len(ids) // 4, size + len(ids)
                         if size >= FRAME_BYTES:
-                            yield pd.DataFrame(held, columns=["key", "start", "ids"])
+                            yield _read(held)
                             held, size = [], 0
                     if held:
-                        yield pd.DataFrame(held, columns=["key", "start", "ids"])
+                        yield _read(held)
 
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartition(n, "shard").mapInPandas(read, "key long, start long, ids binary")
@@ -180,6 +186,6 @@ def op5_token_files(spark, sf_dir: str) -> DataFrame:
 
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            yield pd.DataFrame({"doc_id": x["key"], "start": x["start"], "n_tokens": [len(b) // 4 for b in x["ids"]], "ids_crc32": [zlib.crc32(b) for b in x["ids"]]})
+            yield pd.DataFrame({"doc_id": x["key"].astype("Int64"), "start": x["start"], "n_tokens": [len(b) // 4 for b in x["ids"]], "ids_crc32": [zlib.crc32(b) for b in x["ids"]]})
 
     return read_token_files(files).mapInPandas(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
