@@ -98,8 +98,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, key:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are its text's (null: none) and end_id, so every document has a piece. Rows with
-    null or repeated keys are documents of their own. Other columns are left out, whatever their names;
-    an empty table gives no rows. sequence_id is dense from 0: sequences of several pieces first, then
+    null or repeated keys are documents of their own. A very long text is cut into full windows and one
+    shorter piece; pieces of equal length are ranked by task and then as they come, which a repeated task
+    may do otherwise only before anything is placed, as the pieces are written first. Other columns are
+    left out, whatever their names; an empty table gives no rows. sequence_id is dense from 0: sequences of several pieces first, then
     the full windows cut from overlong documents.
     """
     spark = docs.sparkSession
@@ -146,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, key:
             offset = np.where(full, 0, row[:, 4] + nth % row[:, 3] * length)
             yield x.drop(columns=["nth", "earlier"]).assign(sequence_id=sequence, offset=offset)
 
-    ranked = pieces.join(by_task.select("length", "part", "earlier"), ["length", "part"])
+    ranked = pieces.join(by_task.select("length", "part", "earlier").hint("merge"), ["length", "part"])  # as many rows as tasks times lengths: not to be broadcast
     ranked = ranked.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "nth", "earlier")
     return ranked.mapInPandas(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
