@@ -1,4 +1,4 @@
-"""Label patches: picks, rasters, dilation, downsampling, patches, leakage-safe splits, weights and manifests."""
+"""Label patches: picks, rasters, dilation, downsampling, patches, weights and manifests."""
 
 from __future__ import annotations
 
@@ -52,9 +52,12 @@ def label_map(picks: DataFrame, nx: int, nz: int, keys: list[str], fault: str |
 def patches(labels: DataFrame, nx: int, nz: int, patch: int, stride: int, keys: list[str], min_label_pixels: int = 1) -> DataFrame:
     """(keys, x0, z0, label_pixels): full patches on a stride grid that hold at least min_label_pixels label pixels.
 
-    A pixel is sent to the patches that hold it, by arithmetic on the grid; nothing is joined.
+    A pixel is sent to the patches that hold it, by arithmetic on the grid; nothing is joined. A section
+    smaller than a patch has none.
     """
-    last_x, last_z = max(nx - patch + 1, 1) - 1, max(nz - patch + 1, 1) - 1
+    last_x, last_z = nx - patch, nz - patch
+    if min(last_x, last_z) < 0:
+        return labels.select(*keys, F.lit(0).alias("x0"), F.lit(0).alias("z0"), F.lit(0).cast("long").alias("label_pixels")).where(F.lit(False))
 
     def origins(c: str, last: int) -> Column:
         low = F.greatest(F.lit(0), F.ceil((F.col(c) - patch + 1) / stride)).cast("int")
@@ -65,36 +68,6 @@ def patches(labels: DataFrame, nx: int, nz: int, patch: int, stride: int, keys:
     return sent.groupBy(*keys, "x0", "z0").agg(F.count("*").alias("label_pixels")).where(F.col("label_pixels") >= min_label_pixels)
 
 
-def spatial_split(records: DataFrame, patch: int, guard: int | None = None, val_fraction: float = 0.2, source: str = "source_id") -> DataFrame:
-    """records with split: for each source the last ceil(n * fraction) origins in x are val, origins that end a guard before them train, the rest null.
-
-    Origins per source are distinct x0, so their number is the grid's, not the records'.
-    """
-    guard = patch if guard is None else guard
-    origins = records.select(source, "x0").distinct()
-    w = Window.partitionBy(source)
-    placed = origins.withColumn("n", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy(F.desc("x0"))))
-    take = F.greatest(F.lit(1), F.ceil(F.col("n") * val_fraction))
-    boundary = placed.where(F.col("nth") == take).select(source, F.col("x0").alias("boundary"))
-    split = F.when(F.col("x0") >= F.col("boundary"), "val").when(F.col("x0") + patch <= F.col("boundary") - guard, "train")
-    return records.join(boundary, source).withColumn("split", split)
-
-
-def inline_split(records: DataFrame, val_inlines: DataFrame, inline: str = "inline_id") -> DataFrame:
-    """records with split: val for the inlines of val_inlines, train for the others."""
-    marked = val_inlines.select(inline).distinct().withColumn("__val", F.lit(True))
-    return records.join(marked, inline, "left").withColumn("split", F.when(F.col("__val"), "val").otherwise("train")).drop("__val")
-
-
-def choose_val_inlines(records: DataFrame, fraction: float = 0.2, seed: int = 2026, inline: str = "inline_id") -> DataFrame:
-    """round(n * fraction) inlines, at least one and at most n - 1, the first by a seeded hash. One row per inline is ranked."""
-    each = records.select(inline).distinct()
-    n = each.agg(F.count("*").alias("n"))
-    ranked = each.withColumn("nth", F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(inline).cast("string"))), inline)))
-    take = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.rint(F.col("n") * fraction)))
-    return ranked.join(F.broadcast(n), F.col("nth") <= take).select(inline)  # n is one row
-
-
 def shuffle_and_cap(records: DataFrame, target: int, seed: int, key: str) -> DataFrame:
     """The first target records by a seeded hash of the key, with their rank."""
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
@@ -112,6 +85,13 @@ def overlapping_pairs(train: DataFrame, val: DataFrame, patch: int, source: str
     return met.where((F.abs(F.col("ax") - F.col("bx")) < patch) & (F.abs(F.col("az") - F.col("bz")) < patch)).select(source, "ax", "az", "bx", "bz")
 
 
+def grid_origins(spark, nx: int, nz: int, patch: int, stride: int) -> DataFrame:
+    """(x0, z0) of all full patches of a section, counted off on the stride grid."""
+    x = spark.range(0, max(0, (nx - patch) // stride + 1)).select((F.col("id") * stride).cast("int").alias("x0"))
+    rows = max(0, (nz - patch) // stride + 1)
+    return x.select("x0", F.explode(F.sequence(F.lit(0), F.lit(max(rows - 1, 0)))).alias("z0")).where(F.lit(rows > 0)).select("x0", (F.col("z0") * stride).alias("z0"))
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(w_pos, w_neg): the share of the other class, or (1, 1) if one class is empty."""
     counts = df.agg(F.count_if(F.col(label) > 0.5).alias("pos"), F.count_if(F.col(label) <= 0.5).alias("neg"))
@@ -126,6 +106,11 @@ def stem_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, F.coalesce("in_left", F.lit(False)).alias("in_left"), F.coalesce("in_right", F.lit(False)).alias("in_right"))
 
 
+def source_id(inline: Column, section: Column, sha256: Column) -> Column:
+    """A section's name by the checksum of its file: inline_<n>_section_<k>_<first 12 digits>."""
+    return F.format_string("inline_%d_section_%d_%s", inline, section, F.substring(sha256, 1, 12))
+
+
 def sample_id(source: Column, x0: Column, z0: Column, patch: int) -> Column:
     return F.format_string(f"%s_x%06d_z%06d_p{patch}", source, x0, z0)
 
