@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geostrata.operators.components import components
 from geostrata.storage import cut_lineage
 
 
@@ -37,28 +38,16 @@ def noise_mask(points: DataFrame, eps: float, min_samples: int, key: str = "inli
     return core.join(touched, [key, "pid"]).select(key, "pid", "core", (~F.col("touched")).alias("noise"))
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int, key: str = "inline_number", max_rounds: int = 64) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, min_samples: int, key: str = "inline_number") -> DataFrame:
     """(key, pid, label): clusters by density, -1 for noise. pid orders a section's points.
 
-    Clusters are numbered within a section by their smallest core pid; a border point takes the
-    lowest-numbered cluster of its core neighbours. Components of core points grow by taking the smallest
-    label around and then the label of that label, so a round doubles the reach.
+    Clusters are components of core points, numbered within a section by their smallest core pid; a border point
+    takes the lowest-numbered cluster of its core neighbours.
     """
     near = cut_lineage(neighbours(points, eps, key))
-    core = core_flags(near, min_samples, key)
-    cores = core.where("core").select(key, "pid")
-    edges = cut_lineage(near.join(cores, [key, "pid"], "left_semi").join(cores.select(key, F.col("pid").alias("other")), [key, "other"], "left_semi").select(key, "pid", "other"))
-    label = edges.groupBy(key, "pid").agg(F.min("other").alias("label"))
-    label = cut_lineage(label)
-    for _ in range(max_rounds):
-        around = edges.join(label.select(key, F.col("pid").alias("other"), F.col("label").alias("near")), [key, "other"]).groupBy(key, "pid").agg(F.min("near").alias("near"))
-        step = label.join(around, [key, "pid"]).select(key, "pid", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        jump = step.select(key, F.col("pid").alias("mid"), F.col("mid").alias("far"))
-        then = cut_lineage(step.join(jump, [key, "mid"], "left").select(key, "pid", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
-        moved = not then.where("old <> label").isEmpty()
-        label = then.drop("old")
-        if not moved:
-            break
+    cores = core_flags(near, min_samples, key).where("core").select(key, "pid")
+    edges = near.join(cores, [key, "pid"], "left_semi").join(cores.select(key, F.col("pid").alias("other")), [key, "other"], "left_semi").where("pid <= other")
+    label = cut_lineage(components(edges, key, "pid", "other").select(key, F.col("node").alias("pid"), F.col("component").alias("label")))
     number = label.select(key, "label").distinct().withColumn("number", F.dense_rank().over(Window.partitionBy(key).orderBy("label")) - 1)
     core_labels = cut_lineage(label.join(number, [key, "label"]).select(key, "pid", "number"))
     border = near.join(core_labels.select(key, F.col("pid").alias("other"), "number"), [key, "other"]).groupBy(key, "pid").agg(F.min("number").alias("border"))
@@ -82,63 +71,87 @@ def cluster_geometry(points: DataFrame, key: str = "inline_number") -> DataFrame
     )
 
 
+def near_boxes(points: DataFrame, reach: float, key: str = "inline_number") -> DataFrame:
+    """(key, i, j): clusters i < j of a section whose bounding boxes are nearer than reach, found on the cells of that width that the boxes cover."""
+    box = points.groupBy(key, "label").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("z").alias("z0"), F.max("z").alias("z1"))
+    span = lambda low, high, more: F.explode(F.sequence(F.floor(F.col(low) / reach) - more, F.floor(F.col(high) / reach) + more))
+    a = box.select(key, F.col("label").alias("i"), *[F.col(c).alias(f"a{c}") for c in ("x0", "x1", "z0", "z1")])
+    a = a.withColumn("cx", span("ax0", "ax1", 1)).withColumn("cz", span("az0", "az1", 1))
+    b = box.withColumnRenamed("label", "j").withColumn("cx", span("x0", "x1", 0)).withColumn("cz", span("z0", "z1", 0))
+    dx = F.greatest(F.lit(0.0), F.col("ax0") - F.col("x1"), F.col("x0") - F.col("ax1"))
+    dz = F.greatest(F.lit(0.0), F.col("az0") - F.col("z1"), F.col("z0") - F.col("az1"))
+    return a.join(b, [key, "cx", "cz"]).where("i < j").where(dx * dx + dz * dz < reach * reach).select(key, "i", "j").distinct()
+
+
+def _angle(a: str, b: str):
+    return F.degrees(F.acos(F.least(F.lit(1.0), F.abs(F.cos(F.col(a) - F.col(b))))))
+
+
+def pair_angles(pairs: DataFrame, points: DataFrame, key: str = "inline_number") -> DataFrame:
+    """pairs with the axial angle, in degrees, and the axes of both clusters."""
+    axis = cluster_geometry(points, key)
+    for side in ("i", "j"):
+        pairs = pairs.join(axis.select(key, F.col("label").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("theta", "mx", "mz")]), [key, side])
+    return pairs.withColumn("angle", _angle("theta_i", "theta_j"))
+
+
+def pair_extrapolation(pairs: DataFrame, points: DataFrame, key: str = "inline_number") -> DataFrame:
+    """pairs of pair_angles with extrapolation: the smaller of the mean distances of one cluster's points to the other's axis."""
+    own = points.select(key, "label", "x", "z")
+
+    def off(side: str, to: str) -> DataFrame:
+        line = pairs.select(key, "i", "j", F.col(side).alias("label"), F.col(f"theta_{to}").alias("t"), F.col(f"mx_{to}").alias("mx"), F.col(f"mz_{to}").alias("mz"))
+        away = F.abs(-F.sin("t") * (F.col("x") - F.col("mx")) + F.cos("t") * (F.col("z") - F.col("mz")))
+        return line.join(own, [key, "label"]).groupBy(key, "i", "j").agg(F.avg(away).alias(f"off_{side}"))
+
+    both = off("i", "j").join(off("j", "i"), [key, "i", "j"]).select(key, "i", "j", F.least("off_i", "off_j").alias("extrapolation"))
+    return pairs.join(both, [key, "i", "j"])
+
+
+def pair_distances(pairs: DataFrame, points: DataFrame, reach: float | None = None, key: str = "inline_number") -> DataFrame:
+    """(key, i, j, distance) between the nearest points of each pair; with reach, for pairs nearer than it alone, on cells of that width."""
+    a = pairs.select(key, "i", "j").join(points.select(key, F.col("label").alias("i"), "x", "z"), [key, "i"])
+    b = pairs.select(key, "i", "j").join(points.select(key, F.col("label").alias("j"), F.col("x").alias("x2"), F.col("z").alias("z2")), [key, "j"])
+    on = [key, "i", "j"]
+    if reach:
+        a = a.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x") / reach) - 1, F.floor(F.col("x") / reach) + 1)))
+        a = a.withColumn("cz", F.explode(F.sequence(F.floor(F.col("z") / reach) - 1, F.floor(F.col("z") / reach) + 1)))
+        b = b.withColumns({"cx": F.floor(F.col("x2") / reach), "cz": F.floor(F.col("z2") / reach)})
+        on += ["cx", "cz"]
+    met = a.join(b, on).groupBy(key, "i", "j").agg(F.min(F.hypot(F.col("x") - F.col("x2"), F.col("z") - F.col("z2"))).alias("distance"))
+    return met.where(F.col("distance") < reach) if reach else met
+
+
 def pair_metrics(points: DataFrame, key: str = "inline_number", max_distance: float | None = None) -> DataFrame:
     """(key, i, j, angle, distance, extrapolation) of cluster pairs i < j of a section.
 
     angle: axial, in degrees; distance: between the nearest points; extrapolation: the smaller of the mean
     distances of one cluster's points to the other's axis. With max_distance only pairs nearer than that are
-    given, found on cells of that width; without, all pairs of a section's clusters are.
+    given, and boxes rule the others out before any point is met; without, all pairs of a section's clusters are.
     """
-    geometry = cluster_geometry(points, key)
-    a = points.select(key, F.col("label").alias("i"), "x", "z")
-    b = points.select(key, F.col("label").alias("j"), F.col("x").alias("x2"), F.col("z").alias("z2"))
-    if max_distance:
-        w = max_distance
-        a = a.withColumns({"cx": F.explode(F.sequence(F.floor(F.col("x") / w) - 1, F.floor(F.col("x") / w) + 1))})
-        a = a.withColumns({"cz": F.explode(F.sequence(F.floor(F.col("z") / w) - 1, F.floor(F.col("z") / w) + 1))})
-        b = b.withColumns({"cx": F.floor(F.col("x2") / w), "cz": F.floor(F.col("z2") / w)})
-        met = a.join(b, [key, "cx", "cz"])
-    else:
-        met = a.join(b, key)
-    met = met.where("i < j").groupBy(key, "i", "j").agg(F.min(F.hypot(F.col("x") - F.col("x2"), F.col("z") - F.col("z2"))).alias("distance"))
-    if max_distance:
-        met = met.where(F.col("distance") < max_distance)
-    axis = geometry.select(key, "label", "mx", "mz", "theta")
-    pairs = met.join(axis.select(key, F.col("label").alias("i"), F.col("theta").alias("ti"), F.col("mx").alias("xi"), F.col("mz").alias("zi")), [key, "i"])
-    pairs = pairs.join(axis.select(key, F.col("label").alias("j"), F.col("theta").alias("tj"), F.col("mx").alias("xj"), F.col("mz").alias("zj")), [key, "j"])
-    own = points.select(key, "label", "x", "z")
-
-    def off(x: str, z: str, theta: str):
-        return F.avg(F.abs(-F.sin(theta) * (F.col("x") - F.col(x)) + F.cos(theta) * (F.col("z") - F.col(z))))
+    each = points.select(key, "label").distinct()
+    every = each.select(key, F.col("label").alias("i")).join(each.select(key, F.col("label").alias("j")), key).where("i < j")
+    pairs = pair_angles(near_boxes(points, max_distance, key) if max_distance else every, points, key)
+    distances = pair_distances(pairs, points, max_distance, key)
+    return pair_extrapolation(pairs, points, key).join(distances, [key, "i", "j"]).select(key, "i", "j", "angle", "distance", "extrapolation")
 
-    ij = pairs.join(own.withColumnRenamed("label", "i"), [key, "i"]).groupBy(key, "i", "j").agg(off("xj", "zj", "tj").alias("off_ij"))
-    ji = pairs.join(own.withColumnRenamed("label", "j"), [key, "j"]).groupBy(key, "i", "j").agg(off("xi", "zi", "ti").alias("off_ji"))
-    angle = F.degrees(F.acos(F.least(F.lit(1.0), F.abs(F.cos(F.col("ti") - F.col("tj"))))))
-    return pairs.join(ij, [key, "i", "j"]).join(ji, [key, "i", "j"]).select(key, "i", "j", angle.alias("angle"), "distance", F.least("off_ij", "off_ji").alias("extrapolation"))
 
-
-def merge_clusters(points: DataFrame, theta: float = 17, distance: float = 75, extrapolation: float = 8, key: str = "inline_number", max_rounds: int = 50) -> DataFrame:
+def merge_clusters(points: DataFrame, theta: float = 17, distance: float = 75, extrapolation: float = 8, key: str = "inline_number", max_rounds: int | None = None) -> DataFrame:
     """points with labels merged: pairs whose angle, distance and extrapolation are all strictly below the limits join, transitively.
 
-    Geometry is recomputed on merged clusters until nothing changes. Final labels are dense by the smallest
-    original member.
+    Geometry is recomputed on merged clusters until nothing changes, which takes at most as many rounds as there
+    are clusters; max_rounds stops earlier. Boxes and angles rule pairs out before points are met. Final labels
+    are dense by the smallest original member.
     """
-    now = cut_lineage(points)
-    for _ in range(max_rounds):
-        pairs = pair_metrics(now, key, distance).where((F.col("angle") < theta) & (F.col("extrapolation") < extrapolation)).select(key, "i", "j")
-        pairs = cut_lineage(pairs)
+    now, rounds = cut_lineage(points), 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
+        pairs = cut_lineage(pair_angles(near_boxes(now, distance, key), now, key).where(F.col("angle") < theta))
+        pairs = cut_lineage(pair_extrapolation(pairs, now, key).where(F.col("extrapolation") < extrapolation))
+        pairs = cut_lineage(pair_distances(pairs, now, distance, key))
         if pairs.isEmpty():
             break
-        both = pairs.union(pairs.select(key, F.col("j").alias("i"), F.col("i").alias("j")))
-        root = cut_lineage(both.groupBy(key, "i").agg(F.least(F.min("j"), F.first("i")).alias("root")))
-        while True:
-            around = both.join(root.select(key, F.col("i").alias("j"), F.col("root").alias("near")), [key, "j"]).groupBy(key, "i").agg(F.min("near").alias("near"))
-            then = cut_lineage(root.join(around, [key, "i"]).select(key, "i", F.col("root").alias("old"), F.least("root", "near").alias("root")))
-            moved = not then.where("old <> root").isEmpty()
-            root = then.drop("old")
-            if not moved:
-                break
-        now = cut_lineage(now.join(root.withColumnRenamed("i", "label"), [key, "label"], "left").withColumn("label", F.coalesce("root", "label")).drop("root"))
+        root = components(pairs, key, "i", "j").select(key, F.col("node").alias("label"), "component")
+        now = cut_lineage(now.join(root, [key, "label"], "left").withColumn("label", F.coalesce("component", "label")).drop("component"))
     dense = now.select(key, "label").distinct().withColumn("new", F.dense_rank().over(Window.partitionBy(key).orderBy("label")) - 1)
     return now.join(dense, [key, "label"]).drop("label").withColumnRenamed("new", "label")
-
