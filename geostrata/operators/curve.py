@@ -42,21 +42,28 @@ def gradient(df: DataFrame, value: str, name: str, keys: list[str] = KEYS) -> Da
     return df.withColumn(name, F.when(f[-1].isNull(), left).when(f[1].isNull(), right).otherwise(inner))
 
 
+def odd_window(window: int, minimum: int = 3) -> int:
+    """The window raised to the minimum and to an odd number."""
+    return max(minimum, window) | 1
+
+
 def moving_mean(df: DataFrame, value: str, window: int, name: str, keys: list[str] = KEYS) -> DataFrame:
-    """df with the centred mean of value over an odd window, end values repeated beyond the ends; the window shrinks to the rows there are.
+    """df with the centred mean of value over an odd window, end values repeated beyond the ends; in a cluster shorter than it, over the largest odd number of rows there are.
 
-    With fewer than three rows the value itself. Sums run in a frame: inner rows plus the missing ones at either end.
+    With fewer than three rows the value itself. Each row sums a bounded frame and adds the end values that it lacks.
     """
-    w = Window.partitionBy(*keys)
-    n = F.count("*").over(w)
-    odd = F.least(F.lit(window), F.when(n % 2 == 1, n).otherwise(n - 1))
-    order = w.orderBy("pos")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    values = F.collect_list(value).over(whole)
-    half = ((F.col("__odd") - 1) / 2).cast("int")
-    picked = F.transform(F.sequence(-half, half), lambda k: F.element_at(F.col("__all"), F.greatest(F.lit(1), F.least(F.col("__n"), F.col("pos") + 1 + k)).cast("int")))
-    mean = F.aggregate(picked, F.lit(0.0), lambda t, x: t + x) / F.col("__odd")
-    return df.withColumn("__n", n).withColumn("__odd", odd).withColumn("__all", values).withColumn(name, F.when(F.col("__n") < 3, F.col(value)).otherwise(mean)).drop("__n", "__odd", "__all")
+    half = odd_window(window) // 2
+    whole = Window.partitionBy(*keys)
+    order = whole.orderBy("pos")
+    ends = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = df.withColumns({"__n": F.count("*").over(whole), "__first": F.first(value).over(ends), "__last": F.last(value).over(ends)})
+    own = F.least(F.lit(half), F.floor((F.col("__n") - 1) / 2))
+    mean = F.col(value)
+    for h in range(1, half + 1):
+        before, after = F.greatest(F.lit(0), h - F.col("pos")), F.greatest(F.lit(0), h - (F.col("__n") - 1 - F.col("pos")))
+        total = F.sum(value).over(order.rowsBetween(-h, h)) + before * F.col("__first") + after * F.col("__last")
+        mean = F.when(own == h, total / (2 * h + 1)).otherwise(mean)
+    return df.withColumn(name, mean).drop("__n", "__first", "__last")
 
 
 def curvature(points: DataFrame, local_window: int = 7, tau: float = 0.5, delta: float = 0.001, edge_margin: int = 2, keys: list[str] = KEYS) -> DataFrame:
@@ -73,9 +80,9 @@ def curvature(points: DataFrame, local_window: int = 7, tau: float = 0.5, delta:
     return df.withColumn("eta", eta).withColumn("anomaly", inside & (F.col("eta") > tau)).drop("s", "__size", "__dx", "__dz", "__ddx", "__ddz", "__mean")
 
 
-def weak_smoothing(points: DataFrame, local_window: int = 7, smoothing_window: int = 5, tau: float = 0.5, delta: float = 0.001, blend: float = 0.01, max_shift: float = 0.05, keys: list[str] = KEYS) -> DataFrame:
+def weak_smoothing(points: DataFrame, local_window: int = 7, smoothing_window: int = 5, tau: float = 0.5, delta: float = 0.001, blend: float = 0.01, max_shift: float = 0.05, keys: list[str] = KEYS, edge_margin: int = 2) -> DataFrame:
     """points with anomalous ones moved a little towards their moving mean, by at most max_shift; no point goes. Adds anomaly."""
-    df = curvature(points, local_window, tau, delta, keys=keys)
+    df = curvature(points, local_window, tau, delta, edge_margin, keys)
     df = moving_mean(moving_mean(df, "x", smoothing_window, "__sx", keys), "z", smoothing_window, "__sz", keys)
     dx, dz = blend * (F.col("__sx") - F.col("x")), blend * (F.col("__sz") - F.col("z"))
     length = F.hypot(dx, dz)
@@ -114,15 +121,17 @@ def angle_filter(points: DataFrame, threshold: float = 90, max_rounds: int = 10,
 
 
 def interpolate_lines(points: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, x, z): z at every whole x from int(min x) to max x, linear between knots, half-even rounding; points of equal x count by the first pid.
+    """(keys, x, z): z at the whole parts of min x, min x + 1, ... below max x + 1, linear between knots, half-even rounding; points of equal x count by the first pid.
 
-    Clusters with fewer than two distinct x are left out. Each x below the first knot extends the first segment.
+    Clusters with fewer than two distinct x are left out. An x beyond the first or last knot extends that segment.
     """
     knots = points.groupBy(*keys, "x").agg(F.min_by("z", "pid").alias("z"))
     w = Window.partitionBy(*keys).orderBy("x")
-    segments = knots.withColumn("x2", F.lead("x").over(w)).withColumn("z2", F.lead("z").over(w)).withColumn("__first", F.lag("x").over(w).isNull()).withColumn("__last", F.lead("x", 2).over(w).isNull()).where(F.col("x2").isNotNull())
-    begin = F.when(F.col("__first"), F.col("x").cast("int")).otherwise(F.ceil("x").cast("int"))
-    end = F.when(F.col("__last"), F.floor("x2").cast("int")).otherwise((F.ceil("x2") - 1).cast("int"))
+    low, high = F.min("x").over(Window.partitionBy(*keys)), F.max("x").over(Window.partitionBy(*keys))
+    final = F.floor(low + F.ceil(high + 1 - low) - 1).cast("int")
+    segments = knots.withColumns({"x2": F.lead("x").over(w), "z2": F.lead("z").over(w), "__first": F.lag("x").over(w).isNull(), "__last": F.lead("x", 2).over(w).isNull(), "__final": final}).where(F.col("x2").isNotNull())
+    begin = F.when(F.col("__first"), F.floor("x").cast("int")).otherwise(F.ceil("x").cast("int"))
+    end = F.when(F.col("__last"), F.col("__final")).otherwise((F.ceil("x2") - 1).cast("int"))
     filled = segments.withColumn("__b", begin).withColumn("__e", end).where("__e >= __b").withColumn("xi", F.explode(F.sequence("__b", "__e")))
     value = F.col("z") + (F.col("xi") - F.col("x")) * (F.col("z2") - F.col("z")) / (F.col("x2") - F.col("x"))
     return filled.select(*keys, F.col("xi").alias("x"), F.rint(value).cast("int").alias("z"))

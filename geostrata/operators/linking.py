@@ -44,13 +44,14 @@ def orientation_difference(a: Column, b: Column) -> Column:
 
 
 def candidate_pairs(lines: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
-    """All forward pairs up to max_gap sections apart, with the lower bound of their energy and whether it prunes them.
+    """All forward pairs (a, b) up to max_gap sections apart, with the lower bound of their energy and whether it prunes them.
 
-    The band is an equi-join: each source line is sent to the sections it may link to. Only line-level
-    columns are used; a pair that is pruned here never meets its points.
+    The band is an equi-join: each source line is sent to the sections it may link to. The join carries
+    line-level columns alone; points are fetched by line afterwards, for pairs that are left.
     """
-    source = lines.select(F.struct(*lines.columns).alias("a"), F.explode(F.sequence(F.col("sec") + 1, F.col("sec") + config.max_gap)).alias("at"))
-    target = lines.select(F.struct(*lines.columns).alias("b"), F.col("sec").alias("at"))
+    whole = F.struct("line_id", "sec", "theta", "x0", "x1", "z0", "z1")
+    source = lines.select(whole.alias("a"), F.explode(F.sequence(F.col("sec") + 1, F.col("sec") + config.max_gap)).alias("at"))
+    target = lines.select(whole.alias("b"), F.col("sec").alias("at"))
     pairs = source.join(target, "at").withColumn("gap", F.col("b.sec") - F.col("a.sec"))
     step = F.col("gap") * config.section_scale
     apart = F.sqrt(bbox_gap() * bbox_gap() + step * step)
@@ -60,34 +61,46 @@ def candidate_pairs(lines: DataFrame, config: LinkConfig = LinkConfig()) -> Data
 
 
 def chamfer_parts(*columns: Column) -> Column:
-    """(ab, ba): the two directed mean nearest-neighbour distances of lines x, z and u, v at a distance of `step` along the section axis."""
+    """(ab, ba): the two directed mean nearest-neighbour distances of lines x, z and u, v at a distance of `step` along the section axis.
+
+    Marked as not deterministic, so that no filter on the result is moved before it and runs it a second time.
+    """
 
     @F.pandas_udf("ab double, ba double")
     def parts(ax: pd.Series, az: pd.Series, bx: pd.Series, bz: pd.Series, step: pd.Series) -> pd.DataFrame:
-        rows = [_nearest_with_step(np.stack([x, z], 1), np.stack([u, v], 1), float(s)) for x, z, u, v, s in zip(ax, az, bx, bz, step, strict=True)]
+        rows = [_nearest_with_step(x, z, u, v, float(s)) for x, z, u, v, s in zip(ax, az, bx, bz, step, strict=True)]
         return pd.DataFrame(rows, columns=["ab", "ba"])
 
-    return parts(*columns)
+    return parts.asNondeterministic()(*columns)
 
 
-def _nearest_with_step(a: np.ndarray, b: np.ndarray, step: float, rows: int = 2048) -> tuple[float, float]:
-    near_b, total = np.full(len(b), np.inf), 0.0
-    for at in range(0, len(a), rows):
-        d = (a[at : at + rows, None, 0] - b[None, :, 0]) ** 2 + (a[at : at + rows, None, 1] - b[None, :, 1]) ** 2
+def _nearest_with_step(x: np.ndarray, z: np.ndarray, u: np.ndarray, v: np.ndarray, step: float, rows: int = 128) -> tuple[float, float]:
+    """Points in blocks that stay in the cache: at most `rows` times the other line's points are held."""
+    near_b, total = np.full(len(u), np.inf), 0.0
+    for at in range(0, len(x), rows):
+        d = x[at : at + rows, None] - u
+        d *= d
+        e = z[at : at + rows, None] - v
+        e *= e
+        d += e
         total += np.sqrt(d.min(1) + step * step).sum()
-        near_b = np.minimum(near_b, d.min(0))
-    return float(total / len(a)), float(np.sqrt(near_b + step * step).mean())
+        np.minimum(near_b, d.min(0), out=near_b)
+    return float(total / len(x)), float(np.sqrt(near_b + step * step).mean())
 
 
 def score_candidates(lines: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
-    """Exact scores of the pairs that pruning leaves: chamfer both ways, orientation, similarity, above_threshold."""
-    left = candidate_pairs(lines, config).where("not pruned")
+    """Exact scores of the pairs that pruning leaves: chamfer both ways, orientation, similarity, above_threshold. A line's points meet each of its pairs once."""
+    left = candidate_pairs(lines, config).where("not pruned").select("a", "b", "gap", "orientation", F.col("a.line_id").alias("ia"), F.col("b.line_id").alias("ib"))
+    for side in ("ia", "ib"):
+        left = left.join(lines.select(F.col("line_id").alias(side), F.col("points.x").alias(f"{side}x"), F.col("points.z").alias(f"{side}z")), side)
     step = F.col("gap") * F.lit(config.section_scale)
-    scored = left.withColumn("c", chamfer_parts(F.col("a.points.x"), F.col("a.points.z"), F.col("b.points.x"), F.col("b.points.z"), step))
+    scored = left.withColumn("c", chamfer_parts(F.col("iax"), F.col("iaz"), F.col("ibx"), F.col("ibz"), step))
     scored = scored.withColumn("chamfer", F.col("c.ab") + F.col("c.ba"))
     similarity = F.exp(-(config.distance_weight * F.col("chamfer") + config.orientation_weight * F.col("orientation")))
+    inline = lambda sec: config.inline_origin + F.col(sec) * config.inline_step
     return scored.select(
-        F.col("a.line_id").alias("source_id"), F.col("b.line_id").alias("target_id"), F.col("a.sec").alias("source_sec"), F.col("b.sec").alias("target_sec"), "gap",
+        F.col("ia").alias("source_id"), F.col("ib").alias("target_id"), F.col("a.sec").alias("source_sec"), F.col("b.sec").alias("target_sec"),
+        inline("a.sec").alias("source_inline"), inline("b.sec").alias("target_inline"), "gap",
         F.col("c.ab").alias("chamfer_ab"), F.col("c.ba").alias("chamfer_ba"), "chamfer", "orientation", similarity.alias("similarity"),
     ).withColumn("above_threshold", F.col("similarity") > config.tau)
 
@@ -129,9 +142,9 @@ def build_tracks(matches: DataFrame, lines: DataFrame, config: LinkConfig = Link
     edges = matches.where("selected and gap = 1").select("source_id", "target_id")
     member = chains(edges).join(lines.select("line_id", "sec", "mean_x", "mean_z"), "line_id")
     tracks = member.groupBy("start").agg(F.count("*").alias("lines"), F.min("sec").alias("first"), F.avg("mean_x").alias("mx"), F.avg("mean_z").alias("mz")).where(F.col("lines") >= config.min_lines)
-    order = Window.orderBy("first", F.round("mx", 9), F.round("mz", 9), "start")  # one row per track
+    order = Window.orderBy("first", F.round("mx", 9), F.round("mz", 9), "start")  # one row per track, which a rank needs together
     tracks = tracks.withColumn("track_id", F.format_string("fault_%04d", F.row_number().over(order)))
-    return member.join(tracks.select("start", "track_id"), "start").select("track_id", (F.col("position") + 1).cast("int").alias("member_order"), "line_id", "sec")
+    return member.join(tracks.select("start", "track_id"), "start").select("track_id", F.col("position").cast("int").alias("member_order"), "line_id", "sec")
 
 
 def consecutive_runs(sections: DataFrame, k: int) -> DataFrame:
