@@ -44,3 +44,36 @@ def malformed_keys(df: DataFrame, key: str) -> DataFrame:
 def repeated_sections(df: DataFrame, checksum: str, section: str) -> DataFrame:
     """(checksum, section, n) of physical sections that are listed more than once."""
     return df.groupBy(checksum, section).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def select_inlines(available: DataFrame, origin: int, start: int, end: int, step: int = 1, allow_missing: bool = False, inline: str = "inline_number") -> DataFrame:
+    """(inline): the available ones among start, start + step, ..., end. Ends off the origin's step, repeated inlines, no inline at all, and missing ones unless allowed, are errors."""
+    for bad, why in (
+        (end < start, "end must not precede start"), (step <= 0, "step must be positive"), (start < origin, "start must not precede origin"),
+        (step > 0 and ((start - origin) % step != 0 or (end - origin) % step != 0), "start and end must lie on the origin's step"),
+    ):
+        if bad:
+            raise ValueError(why)
+    counts = available.groupBy(inline).agg(F.count("*").alias("n"))
+    wanted = counts.where((F.col(inline) >= start) & (F.col(inline) <= end) & ((F.col(inline) - start) % step == 0))
+    facts = counts.agg(F.count_if(F.col("n") > 1).alias("twice")).first(), wanted.count()
+    if facts[0]["twice"]:
+        raise ValueError("inlines are not unique")
+    if not facts[1] or (facts[1] < (end - start) // step + 1 and not allow_missing):
+        raise ValueError("no wanted inline is there" if not facts[1] else f"{(end - start) // step + 1 - facts[1]} wanted inlines are missing")
+    return wanted.select(inline)
+
+
+def missing_inlines(available: DataFrame, start: int, end: int, step: int = 1, inline: str = "inline_number") -> DataFrame:
+    """(inline, available) of every wanted inline."""
+    wanted = available.sparkSession.range(start, end + 1, step).select(F.col("id").alias(inline))
+    there = available.select(F.col(inline).cast("long").alias(inline)).distinct().withColumn("__a", F.lit(True))
+    return wanted.join(there, inline, "left").select(inline, F.coalesce("__a", F.lit(False)).alias("available"))
+
+
+def same_axis(axis_length: int, stride: int, expected: int) -> int:
+    """The stride that thins an axis of this length to the expected number of entries: the given one, or 1 if it was thinned already; else an error."""
+    for s in (stride, 1):
+        if -(-axis_length // s) == expected:
+            return s
+    raise ValueError(f"an axis of {axis_length} does not fit {expected} entries at stride {stride}")

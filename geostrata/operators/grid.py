@@ -1,4 +1,4 @@
-"""Operators on grids of pixels (key, x, z, value): thresholds, gradients, ridges, dilation, tiling, blending."""
+"""Operators on grids of pixels (key, x, z, value): thresholds, gradients, ridges, dilation, nearest distances."""
 
 from __future__ import annotations
 
@@ -36,6 +36,7 @@ def ridge_core(grid: DataFrame, gradient_ratio: float = 0.1, step: float = 1.0,
     """Pixels of grid (p, gx, gz) that are at least as high as both points a step along the gradient, where it is at least a share of the section's largest.
 
     The points are read by bilinear interpolation with the edge repeated: each needs four cells, joined by position.
+    "At least as high" allows for 1e-12, the rounding of the interpolation on a plateau.
     """
     size = F.hypot("gx", "gz")
     most = grid.groupBy(key).agg(F.max(size).alias("most"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("z").alias("z0"), F.max("z").alias("z1"))
@@ -110,30 +111,3 @@ def nearest_distance(points: DataFrame, core: DataFrame, key: str = KEY, first:
         if left.isEmpty():
             break
     return done
-
-
-def tile_origins(grid_sizes: DataFrame, patch: int, overlap: int, key: str = KEY) -> DataFrame:
-    """(key, tx, tz): origins of tiles that cover (nx, nz) with the overlap; tiles that would hold padding alone are left out."""
-    step = patch - overlap
-    tiles = lambda n: F.greatest(F.lit(1), F.rint((F.col(n) + overlap) / step + 0.5).cast("int"))
-    rows = grid_sizes.select(key, "nx", "nz", F.explode(F.sequence(F.lit(0), tiles("nx") - 1)).alias("i"), tiles("nz").alias("tz_n"))
-    rows = rows.select(key, "nx", "nz", "i", F.explode(F.sequence(F.lit(0), F.col("tz_n") - 1)).alias("j"))
-    return rows.select(key, (F.col("i") * step).alias("tx"), (F.col("j") * step).alias("tz"), "nx", "nz").where("tx < nx and tz < nz").select(key, "tx", "tz")
-
-
-def edge_weight(r, c, patch: int, overlap: int):
-    """Blending weight of a tile's pixel: a Gaussian taper towards the edges, columns' before rows'."""
-    sigma = max(overlap / 3.0, 1e-6)
-
-    def taper(i):
-        inward = F.least(i, F.lit(patch - 1) - i)
-        return F.when(inward < overlap, F.exp(-F.pow((F.lit(float(overlap)) - inward) / sigma, 2) / 2)).otherwise(1.0)
-
-    in_columns = F.least(c, F.lit(patch - 1) - c) < overlap
-    return F.when(in_columns, taper(c)).otherwise(taper(r))
-
-
-def blend_tiles(scored: DataFrame, patch: int, overlap: int, key: str = KEY) -> DataFrame:
-    """(key, x, z, p): weighted mean of the tiles' scores (key, tx, tz, x, z, p) at each pixel."""
-    w = edge_weight(F.col("x") - F.col("tx"), F.col("z") - F.col("tz"), patch, overlap)
-    return scored.withColumn("w", w).groupBy(key, "x", "z").agg((F.sum(F.col("p") * F.col("w")) / F.sum("w")).alias("p"))

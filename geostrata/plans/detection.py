@@ -28,20 +28,35 @@ def detect_lines(pixels: DataFrame, config: DetectionConfig = DetectionConfig())
     out["grouped"] = points
     labelled = points.join(cluster.dbscan(points, c.eps, c.min_samples), [KEY, "pid"]).where("label >= 0")
     out["clustered"] = cut_lineage(labelled)
-    out["smoothed"] = curve.weak_smoothing(out["clustered"], c.local_window, c.smoothing_window, c.tau, c.delta, c.blend, c.max_shift).drop("anomaly")
+    out["smoothed"] = curve.weak_smoothing(out["clustered"], c.local_window, c.smoothing_window, c.tau, c.delta, c.blend, c.max_shift, edge_margin=c.edge_margin).drop("anomaly")
     kept = curve.angle_filter(out["smoothed"], c.angle_threshold, c.max_rounds)
     renewed = kept.withColumn("pid", (F.row_number().over(Window.partitionBy(KEY).orderBy("label", "pid")) - 1).cast("long"))
     out["angles"] = cut_lineage(renewed)
-    noise = cluster.noise_mask(out["angles"], c.eps, c.second_min_samples).where("noise").select(KEY, "pid")
+    noise = cluster.noise_mask(out["angles"], c.second_eps, c.second_min_samples).where("noise").select(KEY, "pid")
     out["dense"] = cut_lineage(out["angles"].join(noise, [KEY, "pid"], "left_anti"))
     out["merged"] = cut_lineage(cluster.merge_clusters(out["dense"], c.merge_theta, c.merge_distance, c.merge_extrapolation))
     out["large"] = cut_lineage(cluster.large_clusters(out["merged"], c.min_cluster_points, c.min_vertical_range))
-    again = curve.weak_smoothing(out["large"], c.local_window, c.smoothing_window, c.tau, c.delta, c.blend, c.max_shift).drop("anomaly")
+    again = curve.weak_smoothing(out["large"], c.local_window, c.smoothing_window, c.tau, c.delta, c.blend, c.max_shift, edge_margin=c.edge_margin).drop("anomaly")
     out["cleaned"] = cut_lineage(curve.angle_filter(again, c.angle_threshold, c.max_rounds))
     out["interpolated"] = curve.interpolate_lines(out["cleaned"])
     return out
 
 
+# Published counts of the reference section, inline 600, at the default parameters: points and, once there are any, clusters.
+GOLDEN_COUNTS = {
+    "candidates": (32195, 0), "ridge_core": (836, 0), "preserved": (32163, 0), "grouped": (2253, 0), "clustered": (2031, 114), "angles": (1968, None), "dense": (1967, None),
+    "merged": (None, 81), "large": (1254, 15), "cleaned": (1202, None), "interpolated": (1927, 15),
+}
+
+
+def golden_mismatches(counts: DataFrame, inline: int, expected: dict[str, tuple[int | None, int | None]] = GOLDEN_COUNTS) -> DataFrame:
+    """(stage, points, clusters, expected_points, expected_clusters) of the inline's stages that differ from the expected counts; a count of None is not compared. Empty if all agree."""
+    wanted = counts.sparkSession.createDataFrame([(k, *v) for k, v in expected.items()], "stage string, expected_points long, expected_clusters long")
+    found = counts.where(F.col(KEY) == inline).select("stage", "points", "clusters")
+    off = lambda c: F.col(f"expected_{c}").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"expected_{c}"))
+    return wanted.join(found, "stage", "left").where(off("points") | off("clusters")).select("stage", "points", "clusters", "expected_points", "expected_clusters")
+
+
 def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     """(inline_number, stage, points, clusters) of every stage."""
     parts = []

@@ -1,16 +1,19 @@
-"""A data source for regular SEG-Y cubes, by the published byte layout: one partition per inline.
+"""A data source for SEG-Y files, by the published byte layout: regular cubes by inline, other files as one line of traces.
 
 spark.dataSource.register(SegyDataSource); spark.read.format("segy").option("path", ...).load()
-Options: xlineStride and sampleStride (1) thin the section out; inline (none) reads one inline only.
+Options: xlineStride and sampleStride (1) thin a section out; inline reads one inline only, section one by its
+place from 0; layout is auto, cube or line; pushFilters (false) takes `inline_number = n` from a query's filters,
+for which Spark wants spark.sql.python.filterPushdown.enabled. Planning reads the headers of the first inline and one header an
+inline; tasks read ranges of traces and check that these are where a regular cube has them.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 # Fixed values of the format: header sizes and, from 0, the places of the fields used.
 TEXT, BINARY, TRACE = 3200, 400, 240
@@ -25,58 +28,128 @@ def ibm_to_float(raw: np.ndarray) -> np.ndarray:
     return sign * (raw & np.uint32(0xFFFFFF)) / float(1 << 24) * np.power(16.0, exponent)
 
 
-def geometry(path: str) -> dict:
-    """Header scan: samples, interval, format code, inline and crossline of every trace; checks that the cube is regular."""
-    with open(path, "rb") as f:
+def opened(path: str):
+    """A file that can be sought, by URI or local path."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return store.open_input_file(at)
+
+
+def _key(f, at: int) -> tuple[int, int]:
+    f.seek(at + AT_INLINE)
+    return struct.unpack(">ii", f.read(8))
+
+
+def geometry(path: str, layout: str = "auto") -> dict:
+    """Samples, interval, format code, traces, and the inlines and crosslines of a regular cube sorted by inline and crossline; no inlines for a line.
+
+    With layout auto, traces that are not where a cube has them make the file a line; with cube they are an error.
+    """
+    with opened(path) as f:
         head = f.read(TEXT + BINARY)
         interval, samples, code = (struct.unpack(">H", head[at : at + 2])[0] for at in (AT_INTERVAL, AT_SAMPLES, AT_FORMAT))
         if code not in (1, 5):
             raise ValueError(f"format code {code} is not supported")
         size = TRACE + 4 * samples
-        f.seek(0, 2)
-        count, rest = divmod(f.tell() - TEXT - BINARY, size)
-        if rest:
+        count, rest = divmod(f.size() - TEXT - BINARY, size)
+        if rest or not count:
             raise ValueError("the file does not hold a whole number of traces")
-        keys = []
+        out = {"samples": samples, "interval": interval, "format": code, "traces": count, "inlines": [], "xlines": []}
+        if layout == "line":
+            return out
+        first, xlines = _key(f, TEXT + BINARY), []
         for k in range(count):
-            f.seek(TEXT + BINARY + k * size + AT_INLINE)
-            keys.append(struct.unpack(">ii", f.read(8)))
-    inlines = list(dict.fromkeys(i for i, _ in keys))
-    xlines = [x for i, x in keys if keys and i == keys[0][0]]
-    if keys != [(i, x) for i in inlines for x in xlines]:
+            inline, xline = _key(f, TEXT + BINARY + k * size)
+            if inline != first[0]:
+                break
+            xlines.append(xline)
+        inlines = [_key(f, TEXT + BINARY + k * size) for k in range(0, count, len(xlines))]
+    regular = count % len(xlines) == 0 and len(set(xlines)) == len(xlines) and len({i for i, _ in inlines}) == len(inlines) and all(x == xlines[0] for _, x in inlines)
+    if regular:
+        return out | {"inlines": [i for i, _ in inlines], "xlines": xlines}
+    if layout == "cube":
         raise ValueError("not a regular cube sorted by inline and crossline")
-    return {"samples": samples, "interval": interval, "format": code, "inlines": inlines, "xlines": xlines}
+    return out
+
+
+def steps(values: list[int]) -> int | None:
+    """The common difference of an axis, None if there is none."""
+    found = {b - a for a, b in zip(values, values[1:], strict=False)}
+    return found.pop() if len(found) == 1 else None
 
 
-class InlinePartition(InputPartition):
-    def __init__(self, number: int, inline: int):
-        self.number, self.inline = number, inline
+def geometry_record(shape: dict) -> dict:
+    """What a metadata record says of a file: traces, format and the extent and step of each axis."""
+    axes = {"inline": shape["inlines"], "crossline": shape["xlines"], "sample_coordinate": [k * shape["interval"] / 1000 for k in range(shape["samples"])]}
+    ends = {name: {"count": len(v), "minimum": v[0] if v else None, "maximum": v[-1] if v else None} for name, v in axes.items()}
+    ends["inline"]["regular_step"], ends["crossline"]["regular_step"], ends["sample_coordinate"]["regular_step"] = steps(shape["inlines"]), steps(shape["xlines"]), shape["interval"] / 1000
+    return {"trace_count": shape["traces"], "format_code": shape["format"], **ends}
+
+
+class TraceRange(InputPartition):
+    """Traces from begin up to end, of an inline unless the file is a line."""
+
+    def __init__(self, begin: int, end: int, inline: int | None):
+        self.begin, self.end, self.inline = begin, end, inline
 
 
 class SegyReader(DataSourceReader):
+    LINE_TRACES = 4096
+
     def __init__(self, options: dict):
-        self.path = options["path"]
-        self.strides = int(options.get("xlinestride", options.get("xlineStride", 1))), int(options.get("samplestride", options.get("sampleStride", 1)))
+        given = {k.lower(): v for k, v in options.items()}
+        self.path = given["path"]
+        self.strides = int(given.get("xlinestride", 1)), int(given.get("samplestride", 1))
         if min(self.strides) < 1:
             raise ValueError("strides must be positive")
-        self.only = options.get("inline")
-        self.shape = geometry(self.path)
-
-    def partitions(self) -> list[InlinePartition]:
-        found = [InlinePartition(k, i) for k, i in enumerate(self.shape["inlines"]) if self.only is None or i == int(self.only)]
+        self.inline = int(given["inline"]) if "inline" in given else None
+        self.section = int(given["section"]) if "section" in given else None
+        self.shape = geometry(self.path, given.get("layout", "auto"))
+        self.none = False
+
+    def partitions(self) -> list[InputPartition]:
+        inlines, n = self.shape["inlines"], len(self.shape["xlines"])
+        if not inlines:
+            if self.section not in (None, 0) or self.inline is not None:
+                raise ValueError("the file is one line of traces: it has section 0 alone")
+            return [TraceRange(a, min(a + self.LINE_TRACES, self.shape["traces"]), None) for a in range(0, self.shape["traces"], self.LINE_TRACES)]
+        if self.none:
+            return [TraceRange(0, 0, inlines[0])]
+        if self.section is not None and not 0 <= self.section < len(inlines):
+            raise ValueError(f"section {self.section} is not in the file")
+        found = [TraceRange(k * n, (k + 1) * n, i) for k, i in enumerate(inlines) if self.inline in (None, i) and self.section in (None, k)]
         if not found:
-            raise ValueError(f"inline {self.only} is not in the file")
+            raise ValueError(f"inline {self.inline} is not in the file")
         return found
 
-    def read(self, partition: InlinePartition) -> Iterator[tuple]:
+    def read(self, partition: TraceRange) -> Iterator[tuple]:
         g, (xs, ss) = self.shape, self.strides
-        size = TRACE + 4 * g["samples"]
-        with open(self.path, "rb") as f:
-            for k in range(0, len(g["xlines"]), xs):
-                f.seek(TEXT + BINARY + (partition.number * len(g["xlines"]) + k) * size + TRACE)
-                raw = f.read(4 * g["samples"])
+        size, xlines = TRACE + 4 * g["samples"], g["xlines"]
+        base = partition.begin if partition.inline is not None else 0
+        with opened(self.path) as f:
+            for k in range(partition.begin, partition.end):
+                place = k - base
+                if place % xs:
+                    continue
+                f.seek(TEXT + BINARY + k * size)
+                trace = f.read(size)
+                inline, xline = struct.unpack(">ii", trace[AT_INLINE : AT_INLINE + 8])
+                if partition.inline is not None and (inline, xline) != (partition.inline, xlines[place]):
+                    raise ValueError(f"trace {k} is not where a regular cube has it; read the file with layout line")
+                raw = trace[TRACE:]
                 values = np.frombuffer(raw, ">f4") if g["format"] == 5 else ibm_to_float(np.frombuffer(raw, ">u4").astype(np.uint32))
-                yield partition.inline, k // xs, g["xlines"][k], values[::ss].astype(float).tolist()
+                yield partition.inline, place // xs, xline, values[::ss].astype(float).tolist()
+
+
+class FilteredSegyReader(SegyReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("inline_number",) and self.shape["inlines"]:
+                self.none = self.none or f.value not in self.shape["inlines"] or self.inline not in (None, f.value)
+                self.inline = f.value if not self.none else self.inline
+            else:
+                yield f
 
 
 class SegyDataSource(DataSource):
@@ -88,4 +161,6 @@ class SegyDataSource(DataSource):
         return "inline_number int, xl_pos int, crossline int, amplitudes array<float>"
 
     def reader(self, schema) -> SegyReader:
-        return SegyReader(dict(self.options))
+        options = dict(self.options)
+        kind = FilteredSegyReader if {k.lower(): v for k, v in options.items()}.get("pushfilters", "false").lower() == "true" else SegyReader
+        return kind(options)
