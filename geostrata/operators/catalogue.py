@@ -1,7 +1,9 @@
-"""Surface catalogue: axes, lookups on axes, mesh faces, intersections, inventories, subsampling, checksums."""
+"""Surface catalogue: axes, lookups on axes, mesh faces, intersections, inventories, thinning, checks of grids."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,16 +74,59 @@ def intersections(vertices: DataFrame, slices: list[float], tolerance: float = 1
     return rows.withColumn("point_order", F.row_number().over(w) - 1).where(~F.isnan(F.col(z).cast("double")))
 
 
+def kept_positions(position: Column, last: Column, stride: int) -> Column:
+    """Whether a position stays when an axis is thinned: every stride-th and the last; all of them for a stride of 1 or up to two positions."""
+    return F.lit(stride <= 1) | (position % stride == 0) | (position == last) | (last <= 1)
+
+
 def subsample(df: DataFrame, position: str, last: Column, stride: int) -> DataFrame:
-    """Every stride-th position and the last one; all of them for a stride of 1 or up to two positions."""
-    if stride <= 1:
-        return df
-    return df.where((F.col(position) % stride == 0) | (F.col(position) == last) | (last <= 1))
+    """The rows of df whose position stays."""
+    return df.where(kept_positions(F.col(position), last, stride))
+
+
+def plot_stride(vertices: int, most: int) -> int:
+    """One stride for all meshes, so that about `most` of their vertices are shown."""
+    if most < 100:
+        raise ValueError("at least 100 vertices are to be shown")
+    return 1 if vertices <= most else max(2, math.ceil(math.sqrt(vertices / most)))
+
+
+def decimate(vertices: DataFrame, shapes: DataFrame, stride: int, key: str = "surface_id") -> DataFrame:
+    """Vertices (key, row, col, ...) thinned along both axes, edges kept. shapes: (key, rows, columns)."""
+    met = vertices.join(shapes.select(key, "rows", "columns"), key)
+    return subsample(subsample(met, "row", F.col("rows") - 1, stride), "col", F.col("columns") - 1, stride).drop("rows", "columns")
+
+
+def boundary(vertices: DataFrame, shapes: DataFrame, key: str = "surface_id") -> DataFrame:
+    """Vertices on the outer boundary of each grid with boundary_order, from 0: the first row, the last column, the last row backwards, the first column upwards; no corner twice."""
+    met = vertices.join(shapes.select(key, "rows", "columns"), key)
+    r, c, last_r, last_c = F.col("row"), F.col("col"), F.col("rows") - 1, F.col("columns") - 1
+    order = F.when(r == 0, c).when(c == last_c, last_c + r).when(r == last_r, last_c + last_r + (last_c - c)).when(c == 0, 2 * last_c + last_r + (last_r - r))
+    return met.withColumn("boundary_order", order.cast("int")).where(F.col("boundary_order").isNotNull()).drop("rows", "columns")
+
+
+def header_to_index(axis: DataFrame, header: int, idx: str = "idx", value: str = "value") -> int:
+    """The place of a header on an axis; an error unless it occurs once."""
+    found = axis.where(F.col(value) == header).select(idx).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{header} is not on the axis exactly once")
+    return found[0][0]
+
+
+def face_counts(shapes: DataFrame, key: str = "surface_id") -> DataFrame:
+    """(key, faces): two triangles a cell."""
+    return shapes.select(key, (2 * F.greatest(F.lit(0), F.col("rows") - 1) * F.greatest(F.lit(0), F.col("columns") - 1)).alias("faces"))
 
 
-def file_records(spark, path: str) -> DataFrame:
-    """(path, length, sha256) of files, read by Spark's binary source."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def grid_problems(vertices: DataFrame, shapes: DataFrame, exact: list[str], sparse: list[str], key: str = "surface_id") -> DataFrame:
+    """(key, problem): grids smaller than 2 x 2 or with missing vertices, values of `exact` that are not finite, and of `sparse`, where NaN means no data, that are infinite or never finite."""
+    bad = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c)) == float("inf"))
+    facts = vertices.groupBy(key).agg(F.count("*").alias("n"), *[F.count_if(bad(c)).alias(f"bad_{c}") for c in exact + sparse], *[F.count_if(F.abs(F.col(c)) == float("inf")).alias(f"infinite_{c}") for c in sparse])
+    met = shapes.select(key, "rows", "columns").join(facts, key, "full_outer")
+    rules = [(F.least("rows", "columns") < 2, "smaller than 2 x 2"), (~F.coalesce(F.col("n") == F.col("rows") * F.col("columns"), F.lit(False)), "not as many vertices as its shape has")]
+    rules += [(F.col(f"bad_{c}") > 0, f"{c} is not finite") for c in exact]
+    rules += [(F.col(f"infinite_{c}") > 0, f"{c} is infinite") for c in sparse] + [(F.col(f"bad_{c}") == F.col("n"), f"{c} has no finite value") for c in sparse]
+    return met.select(key, F.explode(F.array_compact(F.array(*[F.when(rule, what) for rule, what in rules]))).alias("problem"))
 
 
 def same_faces(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

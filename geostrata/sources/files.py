@@ -1,7 +1,10 @@
-"""Patch files, line configurations and manifests."""
+"""Patch files, picks, line configurations, checksums and manifests."""
 
 from __future__ import annotations
 
+import hashlib
+import io
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,18 +12,66 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geostrata.config import LabelConfig, LineConfig
+from geostrata.operators import labels
+from geostrata.sources import segy
+
 #: The fields of a line configuration.
 LINE_CONFIG = (
-    "inline_id int, segy_path string, csv_path string, split string, section_index int, x_col string, z_col string, fault_id_col string, "
+    "inline_id int, segy_path string, csv_path string, split string, section_index int, x_col int, z_col int, fault_id_col int, "
     "x_offset double, z_offset double, x_scale double, z_scale double, label_shape_before_downsample array<int>, downsample_x int, downsample_z int"
 )
+# The columns of a patch manifest, in order.
+MANIFEST = [
+    "sample_id", "split", "source_id", "inline_id", "section_index", "x0", "z0", "x1", "z1", "patch_size", "label_pixels", "array_axis_order",
+    "source_segy", "source_csv", "source_segy_sha256", "source_csv_sha256", "seismic_file", "label_file", "metadata_file",
+    "seismic_sha256", "label_sha256", "metadata_sha256", "seismic_dat_file", "label_dat_file", "seismic_dat_sha256", "label_dat_sha256",
+]
+
+
+def plain_path(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:")
+
+
+def _store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
 def read_line_configs(spark: SparkSession, path: str) -> DataFrame:
-    """Line configurations of a JSON object or list, with split in lower case."""
+    """Line configurations of a JSON object or list, with split in lower case; absent fields are null."""
     return spark.read.schema(LINE_CONFIG).option("multiLine", True).json(path).withColumn("split", F.lower("split"))
 
 
+def load_lines(spark: SparkSession, path: str) -> list[LineConfig]:
+    """The lines of a JSON object or non-empty list, with defaults filled in; unknown and missing fields are errors. A run has few lines."""
+    raw = json.loads("\n".join(x["value"] for x in spark.read.text(path, wholetext=True).collect()))
+    items = [raw] if isinstance(raw, dict) else raw
+    if not isinstance(items, list) or not items or not all(isinstance(x, dict) for x in items):
+        raise ValueError("line inputs are one object or a list of objects that is not empty")
+    return [LineConfig.of(x) for x in items]
+
+
+def check_lines(lines: list[LineConfig], config: LabelConfig = LabelConfig()) -> None:
+    """Raises where whole-line assignments can't hold: wanted inlines, declared splits."""
+    known, wanted, given = {x.inline_id for x in lines}, set(config.val_inlines), [x.split for x in lines if x.split is not None]
+    sides = {side: {x.inline_id for x in lines if x.split == side} for side in ("train", "val")}
+    rules = [
+        (not lines, "there is no line"),
+        (bool(wanted - known), f"val_inlines names unknown inlines {sorted(wanted - known)}"),
+        (bool(wanted) and wanted == known, "val_inlines must leave an inline to train on"),
+        (bool(set(given) - {"train", "val"}), "a declared split is neither train nor val"),
+        (0 < len(given) < len(lines), "splits are declared for some lines only"),
+        (bool(given) and set(given) != {"train", "val"}, "one declared side has no line"),
+        (bool(given) and (config.strategy != "inline" or bool(wanted)), "declared splits go with the inline strategy alone, without val_inlines"),
+        (bool(sides["train"] & sides["val"]), f"inlines {sorted(sides['train'] & sides['val'])} are on both sides"),
+    ]
+    for bad, why in rules:
+        if bad:
+            raise ValueError(why)
+
+
 def split_problems(configs: DataFrame) -> DataFrame:
     """(problem) rows: splits given for some lines only, one side missing, or an inline on both sides. Empty if all is well."""
     totals = configs.agg(F.count("*").alias("n"), F.count("split").alias("given"), F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "val").alias("val"))
@@ -30,17 +81,114 @@ def split_problems(configs: DataFrame) -> DataFrame:
     return partial.union(missing).union(both)
 
 
+def read_picks(spark: SparkSession, line: LineConfig) -> DataFrame:
+    """(x_idx, z_idx) and fault_id, if the line has such a column: picks of a CSV with a header, columns by position. Rows without all of these are left out."""
+    raw = spark.read.option("header", True).csv(line.csv_path)
+    need = max(line.x_col, line.z_col, -1 if line.fault_id_col is None else line.fault_id_col)
+    if len(raw.columns) <= need:
+        raise ValueError(f"the picks have {len(raw.columns)} columns, not {need + 1}")
+    places = {"px": line.x_col, "pz": line.z_col} | ({} if line.fault_id_col is None else {"fault_id": line.fault_id_col})
+    named = raw.toDF(*[f"c{k}" for k in range(len(raw.columns))]).select(*[F.col(f"c{k}").alias(name) for name, k in places.items()])
+    out = labels.picks_to_indices(named, "px", "pz", line.x_offset, line.x_scale, line.z_offset, line.z_scale)
+    return out.drop("px", "pz") if line.fault_id_col is None else out.where("fault_id is not null").drop("px", "pz")
+
+
+def read_section(spark: SparkSession, line: LineConfig) -> DataFrame:
+    """(x, amplitudes) of the line's section, thinned out."""
+    spark.dataSource.register(segy.SegyDataSource)
+    rows = spark.read.format("segy").option("path", line.segy_path).option("section", line.section_index).option("xlineStride", line.downsample_x).option("sampleStride", line.downsample_z)
+    return rows.load().select(F.col("xl_pos").alias("x"), "amplitudes")
+
+
 def read_patches(spark: SparkSession, path: str, side: int, dtype: str = "<f4") -> DataFrame:
-    """(stem, values) of headerless square patches in C order; a file of another length is an error."""
-    need = side * side * np.dtype(dtype).itemsize
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), "length", "content")
-    checked = files.withColumn("content", F.when(F.col("length") == need, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("a patch has another length: "), F.col("stem"))).cast("binary")))
+    """(stem, values) of square patches in C order: .npy files, or headerless ones; a file of another size is an error."""
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), F.col("path").endswith(".npy").alias("npy"), "content")
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            yield pd.DataFrame({"stem": x["stem"], "values": [np.frombuffer(b, dtype).astype(np.float32) for b in x["content"]]})
+            held = [np.load(io.BytesIO(b), allow_pickle=False) if npy else np.frombuffer(b, np.uint8) for npy, b in zip(x["npy"], x["content"], strict=True)]
+            for stem, npy, v in zip(x["stem"], x["npy"], held, strict=True):
+                if (v.shape != (side, side)) if npy else (v.nbytes != side * side * np.dtype(dtype).itemsize):
+                    raise ValueError(f"a patch has another length: {stem}")
+            yield pd.DataFrame({"stem": x["stem"], "values": [(v if npy else v.view(dtype)).astype(np.float32).ravel() for npy, v in zip(x["npy"], held, strict=True)]})
+
+    return files.mapInPandas(decode, "stem string, values array<float>")
+
+
+def checksums(spark: SparkSession, paths: list[str], hashed: bool = True) -> DataFrame:
+    """(path, size, sha256) of files, each read in pieces by one task; sha256 is null unless hashed. No file is held whole."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            rows = []
+            for path in x["path"]:
+                with segy.opened(path) as f:
+                    size, digest = f.size(), hashlib.sha256()
+                    while hashed and (part := f.read(1 << 20)):
+                        digest.update(part)
+                rows.append((plain_path(path), size, digest.hexdigest() if hashed else None))
+            yield pd.DataFrame(rows, columns=["path", "size", "sha256"])
+
+    names = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return names.mapInPandas(run, "path string, size long, sha256 string")
+
+
+def need_empty(spark: SparkSession, folder: str, allowed: tuple[str, ...] = (".gitignore",)) -> None:
+    """Raises where the folder is a file, or holds anything but plain files of the allowed names: stale payload must not enter a new run."""
+    from pyarrow import fs
+
+    store, at = _store(folder)
+    info = store.get_file_info(at)
+    if info.type == fs.FileType.NotFound:
+        return
+    if info.type != fs.FileType.Directory:
+        raise ValueError(f"{folder} is not a folder")
+    names = sorted(x.base_name for x in store.get_file_info(fs.FileSelector(at)) if not (x.base_name in allowed and x.type == fs.FileType.File))
+    if names:
+        raise ValueError(f"{folder} is not empty: {', '.join(names[:5])}{' ...' if len(names) > 5 else ''}")
+
+
+def write_patches(rows: DataFrame, folder: str, side: int, npy: bool = True, dat: bool = False) -> DataFrame:
+    """Writes each row's image and label as .npy or headerless files with a JSON record, and gives the manifest rows.
+
+    rows: (sample_id, split, nth, image, label, ...), nth from 1 within a split. Files are named by split and nth,
+    so a task that runs again writes the same files.
+    """
+    if not npy and not dat:
+        raise ValueError("patches are written as .npy, .dat or both")
+    kinds = {"inline_id": "int", "section_index": "int", "x0": "int", "z0": "int", "x1": "int", "z1": "int", "patch_size": "int", "label_pixels": "long"}
+    keep = ["sample_id", "split", "source_id", "inline_id", "section_index", "x0", "z0", "label_pixels", "source_nx", "source_nz", "requested_split", "source_segy", "source_csv", "source_segy_sha256", "source_csv_sha256"]
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, at = _store(folder)
+
+        def put(name: str, body: bytes) -> tuple[str, str]:
+            store.create_dir(f"{at}/{name.rpartition('/')[0]}", recursive=True)
+            with store.open_output_stream(f"{at}/{name}") as out:
+                out.write(body)
+            return name, hashlib.sha256(body).hexdigest()
+
+        for x in frames:
+            made = []
+            for row in x.to_dict("records"):
+                stem = f"{row['split']}_{row['nth'] - 1:06d}"
+                out = {k: row[k] for k in keep if k in MANIFEST} | {"x1": row["x0"] + side, "z1": row["z0"] + side, "patch_size": side, "array_axis_order": "x,z"}
+                arrays = {"seismic": np.asarray(row["image"], "<f4").reshape(side, side), "label": np.asarray(row["label"], np.uint8).reshape(side, side)}
+                for name, array in arrays.items():
+                    place = f"{row['split']}/{name}{'s' if name == 'label' else ''}/{stem}"
+                    body = io.BytesIO()
+                    np.save(body, array)
+                    numpy_file = put(f"{place}.npy", body.getvalue()) if npy else ("", "")
+                    plain_file = put(f"{place}.dat", array.tobytes()) if dat else ("", "")
+                    out[f"{name}_file"], out[f"{name}_sha256"] = numpy_file if npy else plain_file
+                    out[f"{name}_dat_file"], out[f"{name}_dat_sha256"] = plain_file
+                record = {k: row[k] for k in keep} | {"array_axis_order": ["x", "z"], "image_shape": [side, side], "patch_size": side}
+                out["metadata_file"], out["metadata_sha256"] = put(f"{row['split']}/metadata/{stem}.json", json.dumps(record, indent=2, sort_keys=True, default=int).encode())
+                made.append(out)
+            if made:
+                yield pd.DataFrame(made)[MANIFEST]
 
-    return checked.select("stem", "content").mapInPandas(decode, "stem string, values array<float>")
+    return rows.select(*keep, "nth", "image", "label").mapInPandas(write, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in MANIFEST))
 
 
 def write_manifest(rows: DataFrame, path: str, key: str = "sample_id") -> None:
