@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geostrata import adapters as A
-from geostrata.config import LinkConfig
+from geostrata.config import LabelConfig, LinkConfig, TileConfig
 from geostrata.functions import scalars
-from geostrata.operators import catalogue, cluster, contracts, curve, grid, islands, labels, linking, normalise
+from geostrata.operators import catalogue, cluster, contracts, curve, grid, islands, labels, linking, normalise, splits, surface, tiles
 from geostrata.plans import detection, reconstruction
+from geostrata.sources import surfaces as surface_files
+from geostrata.storage import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Scales that give links on the events view; all other parameters are the defaults.
+#: The published defaults, named because the SQL repeats them.
 LINK = LinkConfig(section_scale=1.0, profile_scale=1.0, depth_scale=1.0)
 PATCH, STRIDE, NX, NZ = 32, 16, 256, 256
 
@@ -101,30 +103,37 @@ def best_matches(spark, sf_dir):
     return linking.best_matches(linking.score_candidates(_lines(spark, sf_dir), LINK)).select("source_id", "target_id", "gap", "source_best", "selected")
 
 
-@query("link_counters", f"""{SCORED_SQL} SELECT (SELECT count(*) FROM bounded) AS considered, (SELECT count(*) FROM bounded WHERE pruned) AS pruned, (SELECT count(*) FROM scored) AS exact,
-  count(*) AS above, CAST(coalesce(sum(CASE WHEN source_best THEN 1 ELSE 0 END), 0) AS BIGINT) AS source_best, CAST(coalesce(sum(CASE WHEN selected THEN 1 ELSE 0 END), 0) AS BIGINT) AS selected,
-  CAST(coalesce(sum(CASE WHEN selected AND gap = 1 THEN 1 ELSE 0 END), 0) AS BIGINT) AS adjacent FROM matches""")
+@query("link_counters", f"""{TRACKS_SQL}, place AS (SELECT line_id, start, position FROM member JOIN tracks USING (start)),
+  edge AS (SELECT count(*) AS n FROM matches m JOIN place a ON a.line_id = m.source_id JOIN place b ON b.line_id = m.target_id WHERE selected AND gap = 1 AND a.start = b.start AND b.position = a.position + 1)
+  SELECT (SELECT count(*) FROM bounded) AS considered, (SELECT count(*) FROM bounded WHERE pruned) AS pruned, (SELECT count(*) FROM scored) AS exact,
+  count(*) AS above_threshold, CAST(coalesce(sum(CASE WHEN source_best THEN 1 ELSE 0 END), 0) AS BIGINT) AS source_best, CAST(coalesce(sum(CASE WHEN selected THEN 1 ELSE 0 END), 0) AS BIGINT) AS selected,
+  CAST(coalesce(sum(CASE WHEN selected AND gap = 1 THEN 1 ELSE 0 END), 0) AS BIGINT) AS adjacent, (SELECT n FROM edge) AS track_edge, (SELECT count(*) FROM lines) AS lines, (SELECT count(*) FROM tracks) AS tracks FROM matches""")
 def link_counters(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    pairs = linking.candidate_pairs(lines, LINK).agg(F.count("*").alias("considered"), F.count_if("pruned").alias("pruned"))
-    scored = linking.score_candidates(lines, LINK)
-    exact = scored.agg(F.count("*").alias("exact"))
-    found = linking.best_matches(scored).agg(F.count("*").alias("above"), F.count_if("source_best").alias("source_best"), F.count_if("selected").alias("selected"), F.count_if(F.col("selected") & (F.col("gap") == 1)).alias("adjacent"))
-    one = F.lit(1).alias("one")  # each side is one row
-    return pairs.select("*", one).join(exact.select("*", one), "one").join(found.select("*", one), "one").drop("one")
+    return reconstruction.reconstruct(A.fault_points(spark, sf_dir), LINK, surfaces=False)["counters"]
 
 
-@query("track_membership", f"{TRACKS_SQL} SELECT track_id, position + 1 AS member_order, line_id, sec FROM member JOIN tracks USING (start)")
+@query("link_table", f"""{TRACKS_SQL}, place AS (SELECT line_id, start, position FROM member JOIN tracks USING (start))
+  SELECT s.source_id, s.target_id, CAST(300 + s.source_sec AS INTEGER) AS source_inline, CAST(300 + s.target_sec AS INTEGER) AS target_inline, s.gap, round(s.similarity, 6) AS similarity, s.similarity > 0.7 AS above_threshold,
+  coalesce(m.source_best, false) AS source_best, coalesce(m.selected, false) AS selected, coalesce(m.selected AND s.gap = 1 AND a.start = b.start AND b.position = a.position + 1, false) AS track_edge
+  FROM scored s LEFT JOIN matches m ON m.source_id = s.source_id AND m.target_id = s.target_id LEFT JOIN place a ON a.line_id = s.source_id LEFT JOIN place b ON b.line_id = s.target_id""")
+def link_table(spark, sf_dir):
+    links = reconstruction.reconstruct(A.fault_points(spark, sf_dir), LINK, surfaces=False)["links"]
+    return links.select("source_id", "target_id", F.col("source_inline").cast("int").alias("source_inline"), F.col("target_inline").cast("int").alias("target_inline"), "gap", *_r("similarity"), "above_threshold", "source_best", "selected", "track_edge")
+
+
+@query("track_membership", f"""{TRACKS_SQL} SELECT track_id, position AS member_order, line_id, 'line_' || m.sec AS source_key, CAST(300 + m.sec AS INTEGER) AS inline_number, m.sec AS section_index, cluster AS cluster_id, n AS point_count
+  FROM member m JOIN tracks USING (start) JOIN lines USING (line_id)""")
 def track_membership(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    return linking.build_tracks(linking.best_matches(linking.score_candidates(lines, LINK)), lines, LINK)
+    lines = cut_lineage(_lines(spark, sf_dir))
+    tracks = linking.build_tracks(linking.best_matches(linking.score_candidates(lines, LINK)), lines, LINK)
+    return reconstruction.membership_table(tracks, lines, LINK).withColumn("inline_number", F.col("inline_number").cast("int"))
 
 
 @query("track_summary", f"""{TRACKS_SQL} SELECT track_id, count(*) AS lines, min(m.sec) AS first, max(m.sec) AS last, round(min(similarity), 6) AS min_similarity, round(avg(similarity), 6) AS mean_similarity
-  FROM member m JOIN tracks USING (start) LEFT JOIN (SELECT target_id, similarity FROM matches WHERE selected AND gap = 1) e ON e.target_id = m.line_id GROUP BY track_id""")
+  FROM member m JOIN tracks USING (start) LEFT JOIN (SELECT target_id, similarity FROM matches WHERE selected AND gap = 1) e ON e.target_id = m.line_id AND m.position > 0 GROUP BY track_id""")
 def track_summary(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    matches = linking.best_matches(linking.score_candidates(lines, LINK))
+    lines = cut_lineage(_lines(spark, sf_dir))
+    matches = cut_lineage(linking.best_matches(linking.score_candidates(lines, LINK)))
     out = reconstruction.track_summary(linking.build_tracks(matches, lines, LINK), matches)
     return out.select("track_id", "lines", "first", "last", *_r("min_similarity", "mean_similarity"))
 
@@ -246,13 +255,7 @@ def density_noise(spark, sf_dir):
     return cluster.noise_mask(_points(spark, sf_dir), 3, 3)
 
 
-@query("density_clusters", f"""WITH RECURSIVE {A.GRID_POINTS_SQL}, {GROUPED_SQL}, {NEAR_SQL},
-  ce AS (SELECT n.inline_number, n.pid, n.other FROM near n JOIN core c ON c.inline_number = n.inline_number AND c.pid = n.pid AND c.core JOIN core d ON d.inline_number = n.inline_number AND d.pid = n.other AND d.core),
-  reach AS (SELECT inline_number, pid, pid AS root FROM core WHERE core UNION SELECT e.inline_number, e.other, r.root FROM reach r JOIN ce e ON e.inline_number = r.inline_number AND e.pid = r.pid WHERE r.root < e.other),
-  comp AS (SELECT inline_number, pid, min(root) AS root FROM reach GROUP BY 1, 2),
-  num AS (SELECT inline_number, pid, dense_rank() OVER (PARTITION BY inline_number ORDER BY root) - 1 AS label FROM comp),
-  border AS (SELECT n.inline_number, n.pid, min(m.label) AS label FROM near n JOIN num m ON m.inline_number = n.inline_number AND m.pid = n.other GROUP BY 1, 2)
-  SELECT p.inline_number, p.pid, CAST(coalesce(m.label, b.label, -1) AS INTEGER) AS label FROM pts p LEFT JOIN num m ON m.inline_number = p.inline_number AND m.pid = p.pid LEFT JOIN border b ON b.inline_number = p.inline_number AND b.pid = p.pid""")
+@query("density_clusters")
 def density_clusters(spark, sf_dir):
     return cluster.dbscan(_points(spark, sf_dir), 3, 3)
 
@@ -303,19 +306,70 @@ def sharp_points(spark, sf_dir):
     return curve.sharp_points(_labelled(spark, sf_dir)).select("inline_number", "label", "pid", "bad")
 
 
-@query("angle_filter")
+def _angle_rounds_sql(first: str, rounds: int) -> str:
+    """CTEs kept1, kept2, ...: each is the one before without its sharp points; clusters of fewer than three points keep theirs."""
+    out, before = [], first
+    for k in range(1, rounds + 1):
+        arms = []
+        for axis in ("x", "z"):
+            arms.append(f"""SELECT inline_number, label, pid, lag(x) OVER w - x AS ax, lag(z) OVER w - z AS az, lead(x) OVER w - x AS bx, lead(z) OVER w - z AS bz
+              FROM {before} WINDOW w AS (PARTITION BY inline_number, label ORDER BY {axis}, pid)""")
+        out.append(f"""sharp{k} AS (SELECT DISTINCT inline_number, label, pid FROM ({' UNION ALL '.join(arms)}) WHERE sqrt(ax * ax + az * az) * sqrt(bx * bx + bz * bz) > 0
+            AND degrees(acos(greatest(-1.0, least(1.0, (ax * bx + az * bz) / nullif(sqrt(ax * ax + az * az) * sqrt(bx * bx + bz * bz), 0))))) < 90),
+          size{k} AS (SELECT inline_number, label, count(*) AS n FROM {before} GROUP BY 1, 2),
+          kept{k} AS (SELECT p.* FROM {before} p JOIN size{k} USING (inline_number, label) WHERE n < 3 OR NOT EXISTS (SELECT 1 FROM sharp{k} s WHERE s.inline_number = p.inline_number AND s.label = p.label AND s.pid = p.pid))""")
+        before = f"kept{k}"
+    return ",\n".join(out)
+
+
+@query("angle_filter", f"WITH {LABELLED_SQL}, {_angle_rounds_sql('labelled', 10)} SELECT inline_number, label, pid, round(x, 6) AS x, round(z, 6) AS z FROM kept10")
 def angle_filter(spark, sf_dir):
-    """Ten rounds at most; tested against a plain loop."""
-    return curve.angle_filter(_labelled(spark, sf_dir)).select("inline_number", "label", "pid", "x", "z")
+    return curve.angle_filter(_labelled(spark, sf_dir)).select("inline_number", "label", "pid", *_r("x", "z"))
+
+
+def _gradient_sql(value: str, name: str) -> str:
+    """The derivative of value by s on uneven spacing, second order, one-sided at the ends."""
+    h, k = "(s - s_1)", "(s1 - s)"
+    inner = f"(-{k} / ({h} * ({h} + {k})) * {value}_1 + ({k} - {h}) / ({h} * {k}) * {value} + {h} / ({k} * ({h} + {k})) * {value}1)"
+    a, b = "(s1 - s)", "(s2 - s1)"
+    left = f"(-(2 * {a} + {b}) / ({a} * ({a} + {b})) * {value} + ({a} + {b}) / ({a} * {b}) * {value}1 - {a} / ({b} * ({a} + {b})) * {value}2)"
+    c, d = "(s_1 - s_2)", "(s - s_1)"
+    right = f"({d} / ({c} * ({c} + {d})) * {value}_2 - ({c} + {d}) / ({c} * {d}) * {value}_1 + (2 * {d} + {c}) / ({d} * ({c} + {d})) * {value})"
+    return f"CASE WHEN s_1 IS NULL THEN {left} WHEN s1 IS NULL THEN {right} ELSE {inner} END AS {name}"
 
 
-@query("curvature")
+def _shifted(columns: list[str]) -> str:
+    return ", ".join(f"lag({c}) OVER w AS {c}_1, lag({c}, 2) OVER w AS {c}_2, lead({c}) OVER w AS {c}1, lead({c}, 2) OVER w AS {c}2" for c in columns)
+
+
+def _mean_sql(value: str, window: int, name: str) -> str:
+    """The centred mean, end values repeated, over the window or the largest odd number of rows there are."""
+    half = window // 2
+    cases = " ".join(f"WHEN least({half}, (n - 1) // 2) = {h} THEN (sum({value}) OVER (PARTITION BY inline_number, label ORDER BY pos ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING) + greatest(0, {h} - pos) * first_value({value}) OVER whole + greatest(0, {h} - (n - 1 - pos)) * last_value({value}) OVER whole) / {2 * h + 1}" for h in range(1, half + 1))
+    return f"CASE {cases} ELSE {value} END AS {name}"
+
+
+CURVE_SQL = f"""{LABELLED_SQL},
+axes AS (SELECT inline_number, label, avg(x) AS mx, avg(z) AS mz, 0.5 * atan2(2 * covar_pop(x, z), var_pop(x) - var_pop(z)) AS t FROM labelled GROUP BY 1, 2),
+placed AS (SELECT l.*, row_number() OVER (PARTITION BY inline_number, label ORDER BY round(cos(t) * (x - mx) + sin(t) * (z - mz), 9), pid) - 1 AS pos, count(*) OVER (PARTITION BY inline_number, label) AS n FROM labelled l JOIN axes USING (inline_number, label)),
+stepped AS (SELECT *, CASE WHEN pos = 0 THEN 0.0 ELSE greatest(sqrt(power(x - lag(x) OVER w, 2) + power(z - lag(z) OVER w, 2)), 1e-6) END AS step FROM placed WINDOW w AS (PARTITION BY inline_number, label ORDER BY pos)),
+along AS (SELECT *, sum(step) OVER (PARTITION BY inline_number, label ORDER BY pos) AS s FROM stepped),
+near1 AS (SELECT *, {_shifted(["s", "x", "z"])} FROM along WINDOW w AS (PARTITION BY inline_number, label ORDER BY pos)),
+d1 AS (SELECT inline_number, label, pid, pos, n, x, z, s, {_gradient_sql("x", "dx")}, {_gradient_sql("z", "dz")} FROM near1),
+near2 AS (SELECT *, {_shifted(["s", "dx", "dz"])} FROM d1 WINDOW w AS (PARTITION BY inline_number, label ORDER BY pos)),
+d2 AS (SELECT *, {_gradient_sql("dx", "ddx")}, {_gradient_sql("dz", "ddz")} FROM near2),
+bent AS (SELECT *, CASE WHEN n < 5 OR power(dx * dx + dz * dz, 1.5) <= 1e-12 THEN 0.0 ELSE abs(dx * ddz - dz * ddx) / power(dx * dx + dz * dz, 1.5) END AS kappa FROM d2),
+meant AS (SELECT *, {_mean_sql("kappa", 7, "mean")}, {_mean_sql("x", 5, "sx")}, {_mean_sql("z", 5, "sz")} FROM bent WINDOW whole AS (PARTITION BY inline_number, label ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+curved AS (SELECT *, abs(kappa - mean) / (mean + 0.001) AS eta, n >= 5 AND pos >= 2 AND pos < n - 2 AND abs(kappa - mean) / (mean + 0.001) > 0.5 AS anomaly FROM meant)"""
+
+
+@query("curvature", f"WITH {CURVE_SQL} SELECT inline_number, label, pid, CAST(pos AS INTEGER) AS pos, round(kappa, 4) AS kappa, round(eta, 3) AS eta, anomaly FROM curved")
 def curvature(spark, sf_dir):
-    """Tested against a NumPy version on small clusters."""
-    return curve.curvature(_labelled(spark, sf_dir)).select("inline_number", "label", "pid", "pos", *_r("kappa", "eta"), "anomaly")
+    return curve.curvature(_labelled(spark, sf_dir)).select("inline_number", "label", "pid", "pos", F.round("kappa", 4).alias("kappa"), F.round("eta", 3).alias("eta"), "anomaly")
 
 
-@query("weak_smoothing")
+@query("weak_smoothing", f"""WITH {CURVE_SQL}, m AS (SELECT *, 0.01 * (sx - x) AS ux, 0.01 * (sz - z) AS uz FROM curved), l AS (SELECT *, CASE WHEN sqrt(ux * ux + uz * uz) > 0.05 THEN 0.05 / sqrt(ux * ux + uz * uz) ELSE 1.0 END AS f FROM m)
+  SELECT inline_number, label, pid, round(CASE WHEN anomaly THEN x + f * ux ELSE x END, 6) AS x, round(CASE WHEN anomaly THEN z + f * uz ELSE z END, 6) AS z, anomaly FROM l""")
 def weak_smoothing(spark, sf_dir):
     return curve.weak_smoothing(_labelled(spark, sf_dir)).select("inline_number", "label", "pid", *_r("x", "z"), "anomaly")
 
@@ -329,8 +383,10 @@ def merge_clusters(spark, sf_dir):
 
 
 @query("interpolate_lines", f"""WITH {A.FAULT_POINTS_SQL}, k AS (SELECT sec, cluster, x * 3 AS x, min_by(z * 10, z) AS z FROM fault_points GROUP BY 1, 2, 3),
-  s AS (SELECT *, lead(x) OVER w AS x2, lead(z) OVER w AS z2, lag(x) OVER w IS NULL AS first, lead(x, 2) OVER w IS NULL AS last FROM k WINDOW w AS (PARTITION BY sec, cluster ORDER BY x)),
-  e AS (SELECT *, unnest(range(CAST(CASE WHEN first THEN trunc(x) ELSE ceil(x) END AS INTEGER), CAST(CASE WHEN last THEN floor(x2) ELSE ceil(x2) - 1 END AS INTEGER) + 1)) AS xi FROM s WHERE x2 IS NOT NULL)
+  s AS (SELECT *, lead(x) OVER w AS x2, lead(z) OVER w AS z2 FROM k WINDOW w AS (PARTITION BY sec, cluster ORDER BY x)),
+  ends AS (SELECT sec, cluster, min(x) AS low, max(x) AS high FROM k GROUP BY 1, 2 HAVING min(x) < max(x)),
+  wanted AS (SELECT sec, cluster, low, high, CAST(trunc(low + j) AS INTEGER) AS xi FROM (SELECT *, unnest(range(CAST(ceil(high + 1 - low) AS INTEGER))) AS j FROM ends)),
+  e AS (SELECT w.sec, w.cluster, xi, x, z, x2, z2 FROM wanted w JOIN s ON s.sec = w.sec AND s.cluster = w.cluster AND x2 IS NOT NULL AND ((xi >= x OR x = low) AND (xi < x2 OR x2 = high)))
   SELECT sec AS inline_number, cluster AS label, CAST(xi AS INTEGER) AS x, CAST(round_even(z + (xi - x) * (z2 - z) / (x2 - x), 0) AS INTEGER) AS z FROM e""")
 def interpolate_lines(spark, sf_dir):
     p = A.fault_points(spark, sf_dir).select(F.col("sec").alias("inline_number"), F.col("cluster").alias("label"), (F.col("x") * 3).alias("x"), (F.col("z") * 10).alias("z"), F.col("z").alias("pid"))
@@ -380,24 +436,84 @@ def label_patches(spark, sf_dir):
     return _patches(spark, sf_dir)
 
 
-SPLIT_SQL = f"""{PATCH_SQL},
-origins AS (SELECT DISTINCT inline_id, x0 FROM patch),
-ranked AS (SELECT *, count(*) OVER (PARTITION BY inline_id) AS n, row_number() OVER (PARTITION BY inline_id ORDER BY x0 DESC) AS nth FROM origins),
-bound AS (SELECT inline_id, x0 AS boundary FROM ranked WHERE nth = greatest(1, ceil(n * 0.2))),
-split AS (SELECT p.*, CASE WHEN x0 >= boundary THEN 'val' WHEN x0 + {PATCH} <= boundary - {PATCH} THEN 'train' END AS split FROM patch p JOIN bound USING (inline_id))"""
+SPLIT = LabelConfig(patch_size=PATCH, stride=STRIDE, strategy="spatial")
+
+
+def _records(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    return _patches(spark, sf_dir).withColumns({"source_id": none, "source_segy_sha256": none, "requested_split": none, "section_index": F.lit(0), "source_nx": F.lit(NX // 2), "source_nz": F.lit(NZ // 2)})
+
+
+def _spatial_sql(axis: str, side: int) -> str:
+    return f"""{PATCH_SQL},
+legal AS (SELECT i * {STRIDE} AS o FROM range(0, {side - PATCH} // {STRIDE} + 1) t(i)),
+boundary AS (SELECT o AS boundary FROM (SELECT o, row_number() OVER (ORDER BY o DESC) AS nth, count(*) OVER () AS n FROM legal) WHERE nth = greatest(1, ceil(n * 0.2))),
+split AS (SELECT p.*, boundary, CASE WHEN {axis}0 >= boundary THEN 'val' WHEN {axis}0 + {PATCH} <= boundary - {PATCH} THEN 'train' END AS split FROM patch p, boundary)"""
 
 
-@query("spatial_split", f"WITH {SPLIT_SQL} SELECT inline_id, CAST(x0 AS INTEGER) AS x0, CAST(z0 AS INTEGER) AS z0, split FROM split")
+@query("spatial_split", f"WITH {_spatial_sql('x', NX // 2)} SELECT inline_id, CAST(x0 AS INTEGER) AS x0, CAST(z0 AS INTEGER) AS z0, split FROM split")
 def spatial_split(spark, sf_dir):
-    return labels.spatial_split(_patches(spark, sf_dir), PATCH, source="inline_id").select("inline_id", "x0", "z0", "split")
+    return splits.spatial_split(_records(spark, sf_dir), SPLIT).select("inline_id", "x0", "z0", "split")
 
 
-@query("inline_split", f"""WITH {PATCH_SQL}, i AS (SELECT DISTINCT inline_id FROM patch),
-  v AS (SELECT inline_id FROM (SELECT inline_id, row_number() OVER (ORDER BY md5('2026:' || inline_id), inline_id) AS nth, count(*) OVER () AS n FROM i) WHERE nth <= greatest(1, least(n - 1, round_even(n * 0.2, 0))))
-  SELECT inline_id, CAST(x0 AS INTEGER) AS x0, CAST(z0 AS INTEGER) AS z0, CASE WHEN inline_id IN (SELECT inline_id FROM v) THEN 'val' ELSE 'train' END AS split FROM patch""")
+@query("spatial_boundaries", f"""WITH {_spatial_sql('z', NZ // 2)} SELECT 'inline_' || inline_id || '_section_0' AS physical_source, CAST({NZ // 2} AS INTEGER) AS source_length, CAST(any_value(boundary) AS INTEGER) AS boundary, 'z' AS axis,
+  CAST(any_value(boundary) - {PATCH} AS INTEGER) AS train_limit, count(*) FILTER (split = 'train') AS train_pool, count(*) FILTER (split = 'val') AS val_pool, count(*) FILTER (split IS NULL) AS discarded FROM split GROUP BY inline_id""")
+def spatial_boundaries(spark, sf_dir):
+    config = LabelConfig(patch_size=PATCH, stride=STRIDE, strategy="spatial", axis="z")
+    return splits.boundaries(splits.spatial_split(splits.with_sources(_records(spark, sf_dir)), config), config).drop("source_key")
+
+
+INLINE_SQL = f"""{PATCH_SQL}, i AS (SELECT DISTINCT inline_id FROM patch),
+  v AS (SELECT inline_id FROM (SELECT inline_id, row_number() OVER (ORDER BY md5('2026:' || inline_id), inline_id) AS nth, count(*) OVER () AS n FROM i) WHERE nth <= greatest(1, least(n - 1, round_even(n * (40.0 / 240.0), 0)))),
+  assigned AS (SELECT p.*, CASE WHEN inline_id IN (SELECT inline_id FROM v) THEN 'val' ELSE 'train' END AS split FROM patch p)"""
+
+
+@query("inline_split", f"WITH {INLINE_SQL} SELECT inline_id, CAST(x0 AS INTEGER) AS x0, CAST(z0 AS INTEGER) AS z0, split FROM assigned")
 def inline_split(spark, sf_dir):
     p = _patches(spark, sf_dir)
-    return labels.inline_split(p, labels.choose_val_inlines(p)).select("inline_id", "x0", "z0", "split")
+    return splits.inline_split(p, splits.choose_val_inlines(p)).select("inline_id", "x0", "z0", "split")
+
+
+@query("split_summary", f"""WITH {INLINE_SQL}, c AS (SELECT count(*) FILTER (split = 'train') AS t, count(*) FILTER (split = 'val') AS v FROM assigned)
+  SELECT 'inline' AS requested_strategy, 'inline' AS resolved_strategy, 'seeded inlines' AS assignment, t AS train_pool, v AS val_pool, CAST(0 AS BIGINT) AS discarded, least(t, 200) AS train, least(v, 40) AS val FROM c""")
+def split_summary(spark, sf_dir):
+    out = splits.split_records(_records(spark, sf_dir), LabelConfig(patch_size=PATCH, stride=STRIDE))
+    return out["summary"].drop("fallback_reason", "seed")
+
+
+@query("split_train", f"""WITH {INLINE_SQL}, s AS (SELECT 'inline_' || inline_id || printf('_section_0_x%06d_z%06d_p{PATCH}', x0, z0) AS sample_id FROM assigned WHERE split = 'train')
+  SELECT sample_id, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (ORDER BY md5('2027:' || sample_id), sample_id) AS nth FROM s) WHERE nth <= 200""")
+def split_train(spark, sf_dir):
+    return splits.split_records(_records(spark, sf_dir), LabelConfig(patch_size=PATCH, stride=STRIDE))["train"].select("sample_id", "nth")
+
+
+@query("single_inline_split", f"""WITH {_spatial_sql('x', NX // 2)}, one AS (SELECT * FROM split WHERE inline_id = (SELECT min(inline_id) FROM patch))
+  SELECT CAST(x0 AS INTEGER) AS x0, CAST(z0 AS INTEGER) AS z0, split FROM one""")
+def single_inline_split(spark, sf_dir):
+    """One inline alone falls back to the spatial split."""
+    rows = cut_lineage(_records(spark, sf_dir))
+    one = rows.join(F.broadcast(rows.agg(F.min("inline_id").alias("inline_id"))), "inline_id")  # one row
+    return splits.assign(one, LabelConfig(patch_size=PATCH, stride=STRIDE))[0].select("x0", "z0", "split")
+
+
+@query("split_problems", """WITH r AS (SELECT 'inline_' || c_nationkey || '_section_0' AS src, c_nationkey AS inline_id, CAST(c_custkey % 8 * 16 AS INTEGER) AS x0, CAST(c_custkey % 16 AS INTEGER) AS z0 FROM customer),
+  d AS (SELECT 'patch ' || src || ' ' || x0 || ' ' || z0 || ' occurs twice' AS problem FROM r GROUP BY src, x0, z0 HAVING count(*) > 1)
+  SELECT problem FROM d UNION ALL SELECT DISTINCT 'source ' || src || ' has origins off the grid' FROM r WHERE z0 % 16 <> 0 OR z0 + 32 > 128""")
+def split_problems(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    r = A.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("inline_id"), (F.col("c_custkey") % 8 * 16).cast("int").alias("x0"), (F.col("c_custkey") % 16).cast("int").alias("z0"))
+    r = splits.with_sources(r.withColumns({"source_id": none, "source_segy_sha256": none, "section_index": F.lit(0), "source_nx": F.lit(NX // 2), "source_nz": F.lit(NZ // 2)}))
+    return splits.record_problems(r).unionAll(splits.spatial_problems(r, LabelConfig(patch_size=PATCH, stride=STRIDE, strategy="spatial", axis="z")))
+
+
+@query("declared_split_problems", """WITH r AS (SELECT c_nationkey AS inline_id, 'inline_' || c_nationkey || '_section_0' AS src, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_nationkey < 5 AND c_custkey % 2 = 0 THEN 'VAL' ELSE 'train' END AS s FROM customer),
+  b AS (SELECT inline_id, src FROM r WHERE s IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT lower(s)) > 1)
+  SELECT 'splits are declared for some lines only' AS problem UNION ALL SELECT 'inline_id ' || inline_id || ' is on both sides' FROM b UNION ALL SELECT 'physical_source ' || src || ' is on both sides' FROM b""")
+def declared_split_problems(spark, sf_dir):
+    none, n = F.lit(None).cast("string"), F.col("c_custkey")
+    side = F.when(n % 7 == 0, None).when((F.col("c_nationkey") < 5) & (n % 2 == 0), "VAL").otherwise("train")
+    r = A.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("inline_id"), side.alias("requested_split"), none.alias("source_id"), none.alias("source_segy_sha256"), F.lit(0).alias("section_index"))
+    return splits.explicit_problems(splits.with_sources(r))
 
 
 @query("split_overlaps", f"""WITH {PATCH_SQL}, t AS (SELECT * FROM patch WHERE x0 % 32 = 0), v AS (SELECT * FROM patch WHERE x0 % 32 <> 0)
@@ -477,11 +593,61 @@ def value_to_index(spark, sf_dir):
     return catalogue.value_to_index(rows, axis, "y", "at", ["k"]).select("o_orderkey", *_r("at"))
 
 
-@query("surface_faces", """WITH g AS (SELECT n_nationkey AS s, n_nationkey + 2 AS r, n_regionkey + 2 AS c FROM nation), u AS (SELECT s, c, unnest(range(r - 1)) AS i FROM g), v AS (SELECT s, c, i, unnest(range(c - 1)) AS j FROM u)
+@query("surface_faces", """WITH g AS (SELECT c_custkey AS s, c_custkey % 3 + 2 AS r, c_custkey % 4 + 2 AS c FROM customer), u AS (SELECT s, c, unnest(range(r - 1)) AS i FROM g), v AS (SELECT s, c, i, unnest(range(c - 1)) AS j FROM u)
   SELECT s, CAST(i * c + j AS INTEGER) AS a, CAST(i * c + j + c AS INTEGER) AS b, CAST(i * c + j + 1 AS INTEGER) AS c FROM v UNION ALL SELECT s, CAST(i * c + j + 1 AS INTEGER), CAST(i * c + j + c AS INTEGER), CAST(i * c + j + c + 1 AS INTEGER) FROM v""")
 def surface_faces(spark, sf_dir):
-    g = A.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s"), (F.col("n_nationkey") + 2).alias("rows"), (F.col("n_regionkey") + 2).alias("columns"))
-    return catalogue.structured_faces(g, ["s"])
+    return catalogue.structured_faces(_shapes(spark, sf_dir), ["s"])
+
+
+def _shapes(spark, sf_dir):
+    return A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("s"), (F.col("c_custkey") % 3 + 2).cast("int").alias("rows"), (F.col("c_custkey") % 4 + 2).cast("int").alias("columns"))
+
+
+#: Grids of one surface a customer, whose vertices' depths come from the customer's balance; every seventh vertex has no data.
+GRID_SQL = """
+grids AS (SELECT c_custkey AS s, CAST(c_custkey % 3 + 2 AS INTEGER) AS r, CAST(c_custkey % 4 + 2 AS INTEGER) AS c, c_acctbal AS base FROM customer),
+cells AS (SELECT s, r, c, base, i AS row, unnest(range(c)) AS col FROM (SELECT *, unnest(range(r)) AS i FROM grids)),
+verts AS (SELECT s, r, c, row, col, row * c + col AS v, CASE WHEN (s + row * c + col) % 7 = 0 THEN NULL ELSE base + row * 10 + col END AS z FROM cells)"""
+
+
+def _vertices(spark, sf_dir):
+    g = A.table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("base"), F.col("c_custkey").alias("s")).join(_shapes(spark, sf_dir), "s")
+    g = g.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+    at = F.col("row") * F.col("columns") + F.col("col")
+    return g.select("s", "row", "col", at.alias("vertex"), F.when((F.col("s") + at) % 7 == 0, float("nan")).otherwise(F.col("base") + F.col("row") * 10 + F.col("col")).alias("z"))
+
+
+@query("finite_faces", f"""WITH {GRID_SQL}, f AS (SELECT s, v AS a, v + c AS b, v + 1 AS d FROM verts WHERE row < r - 1 AND col < c - 1 UNION ALL SELECT s, v + 1, v + c, v + c + 1 FROM verts WHERE row < r - 1 AND col < c - 1)
+  SELECT f.s, CAST(f.a AS INTEGER) AS a, CAST(f.b AS INTEGER) AS b, CAST(f.d AS INTEGER) AS c FROM f JOIN verts x ON x.s = f.s AND x.v = f.a AND x.z IS NOT NULL JOIN verts y ON y.s = f.s AND y.v = f.b AND y.z IS NOT NULL JOIN verts w ON w.s = f.s AND w.v = f.d AND w.z IS NOT NULL""")
+def finite_faces(spark, sf_dir):
+    return catalogue.finite_faces(catalogue.structured_faces(_shapes(spark, sf_dir), ["s"]), _vertices(spark, sf_dir), ["s"])
+
+
+@query("surface_boundary", f"""WITH {GRID_SQL}, o AS (SELECT s, row, col, 0 AS side, col AS k FROM verts WHERE row = 0 UNION ALL SELECT s, row, col, 1, row FROM verts WHERE col = c - 1 AND row > 0
+    UNION ALL SELECT s, row, col, 2, -col FROM verts WHERE row = r - 1 AND col < c - 1 UNION ALL SELECT s, row, col, 3, -row FROM verts WHERE col = 0 AND row > 0 AND row < r - 1)
+  SELECT s, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, CAST(row_number() OVER (PARTITION BY s ORDER BY side, k) - 1 AS INTEGER) AS boundary_order FROM o""")
+def surface_boundary(spark, sf_dir):
+    return catalogue.boundary(_vertices(spark, sf_dir), _shapes(spark, sf_dir), "s").select("s", "row", "col", "boundary_order")
+
+
+@query("decimated_vertices", f"""WITH {GRID_SQL} SELECT s, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col FROM verts
+  WHERE (row % 2 = 0 OR row = r - 1 OR r <= 2) AND (col % 2 = 0 OR col = c - 1 OR c <= 2)""")
+def decimated_vertices(spark, sf_dir):
+    return catalogue.decimate(_vertices(spark, sf_dir), _shapes(spark, sf_dir), 2, "s").select("s", "row", "col")
+
+
+@query("surface_catalogue", f"""WITH {GRID_SQL}, f AS (SELECT s, v AS a, v + c AS b, v + 1 AS d FROM verts WHERE row < r - 1 AND col < c - 1 UNION ALL SELECT s, v + 1, v + c, v + c + 1 FROM verts WHERE row < r - 1 AND col < c - 1),
+  t AS (SELECT f.s, count(*) AS n FROM f JOIN verts x ON x.s = f.s AND x.v = f.a AND x.z IS NOT NULL JOIN verts y ON y.s = f.s AND y.v = f.b AND y.z IS NOT NULL JOIN verts w ON w.s = f.s AND w.v = f.d AND w.z IS NOT NULL GROUP BY 1)
+  SELECT s AS surface_id, any_value(r) AS rows, any_value(c) AS columns, count(*) AS vertices, count(z) AS valid_vertices, count(*) - count(z) AS no_data_vertices, coalesce(any_value(n), 0) AS triangles, round(min(z), 6) AS sample_min, round(max(z), 6) AS sample_max
+  FROM verts LEFT JOIN t USING (s) GROUP BY s""")
+def surface_catalogue(spark, sf_dir):
+    v = _vertices(spark, sf_dir).select(F.col("s").alias("surface_id"), "row", "col", F.col("z").alias("sample"))
+    return surface_files.inventory_table(v, "parquet").select("surface_id", "rows", "columns", "vertices", "valid_vertices", "no_data_vertices", "triangles", *_r("sample_min", "sample_max"))
+
+
+@query("grid_problems", f"""WITH {GRID_SQL} SELECT s, 'z is not finite' AS problem FROM verts GROUP BY s HAVING count(*) > count(z)""")
+def grid_problems(spark, sf_dir):
+    return catalogue.grid_problems(_vertices(spark, sf_dir), _shapes(spark, sf_dir), ["z"], [], "s")
 
 
 @query("surface_inventory", """SELECT c_nationkey AS surface_id, count(*) AS vertices, count(*) FILTER (z IS NULL) AS z_missing, round(min(z), 6) AS z_min, round(max(z), 6) AS z_max
@@ -512,18 +678,103 @@ def section_keys(spark, sf_dir):
     return o.withColumn("inline_number", scalars.line_key_to_inline(F.col("line_key"), 30, 3))
 
 
-@query("inline_selection", """WITH w AS (SELECT unnest(range(1, 201, 4)) AS inline_number), a AS (SELECT DISTINCT c_custkey AS inline_number FROM customer WHERE c_mktsegment = 'BUILDING')
+@query("inline_selection", """WITH w AS (SELECT unnest(range(1, (SELECT max(c_custkey) FROM customer) + 1, 4)) AS inline_number), a AS (SELECT DISTINCT c_custkey AS inline_number FROM customer WHERE c_mktsegment = 'BUILDING')
   SELECT CAST(w.inline_number AS BIGINT) AS inline_number, a.inline_number IS NOT NULL AS available FROM w LEFT JOIN a USING (inline_number)""")
 def inline_selection(spark, sf_dir):
-    wanted = spark.range(1, 201, 4).select(F.col("id").alias("inline_number"))
-    there = A.table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("inline_number")).distinct().withColumn("a", F.lit(True))
-    return wanted.join(there, "inline_number", "left").select("inline_number", F.coalesce("a", F.lit(False)).alias("available"))
+    customer = A.table(spark, sf_dir, "customer")
+    there = customer.where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("inline_number"))
+    return contracts.missing_inlines(there, 1, customer.agg(F.max("c_custkey")).first()[0], 4)
+
+
+@query("selected_inlines", """SELECT c_custkey AS inline_number FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey >= 10 AND c_custkey <= 10 + ((SELECT max(c_custkey) FROM customer) - 10) // 5 * 5 AND c_custkey % 5 = 0""")
+def selected_inlines(spark, sf_dir):
+    customer = A.table(spark, sf_dir, "customer")
+    there = customer.where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("inline_number"))
+    last = customer.agg(F.max("c_custkey")).first()[0]
+    return contracts.select_inlines(there, 5, 10, 10 + (last - 10) // 5 * 5, 5, allow_missing=True)
+
+
+@query("natural_keys", """SELECT c_custkey, array_to_string(list_transform(regexp_extract_all(lower(c_name || ' v' || c_nationkey || '.' || c_custkey % 11), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p, 20, '0') ELSE p END), '') AS k FROM customer""")
+def natural_keys(spark, sf_dir):
+    name = F.concat("c_name", F.lit(" v"), F.col("c_nationkey").cast("string"), F.lit("."), (F.col("c_custkey") % 11).cast("string"))
+    return A.table(spark, sf_dir, "customer").select("c_custkey", scalars.natural_key(name).alias("k"))
+
+
+@query("source_keys", """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'src_' || doc_id END AS source_id, CASE WHEN doc_id % 2 = 0 THEN sha256(text) END AS sha, CAST(doc_id % 5 AS INTEGER) AS sec FROM documents),
+  k AS (SELECT *, coalesce(source_id, 'inline_' || doc_id || '_section_' || sec) AS source_key FROM r)
+  SELECT doc_id, source_key, coalesce('sha256:' || sha || ':section:' || sec, source_key) AS physical_source FROM k""")
+def source_keys(spark, sf_dir):
+    n = F.col("doc_id")
+    r = A.table(spark, sf_dir, "documents").select(n, F.when(n % 3 != 0, F.concat(F.lit("src_"), n.cast("string"))).alias("source_id"), F.when(n % 2 == 0, F.sha2("text", 256)).alias("source_segy_sha256"), n.cast("int").alias("inline_id"), (n % 5).cast("int").alias("section_index"))
+    return splits.with_sources(r).select("doc_id", "source_key", "physical_source")
+
+
+TILE, OVERLAP = 16, 4
+#: Sections from the pixels: one trace a column of the bounding box.
+TILES_SQL = f"""{DENSE_SQL},
+section AS (SELECT inline_number, CAST(x - min(x) OVER (PARTITION BY inline_number) AS INTEGER) AS x, CAST(z - min(z) OVER (PARTITION BY inline_number) AS INTEGER) AS z, CAST((CAST(p AS FLOAT) - min(CAST(p AS FLOAT)) OVER (PARTITION BY inline_number)) / (max(CAST(p AS FLOAT)) OVER (PARTITION BY inline_number) - min(CAST(p AS FLOAT)) OVER (PARTITION BY inline_number)) AS FLOAT) AS v FROM dense),
+size AS (SELECT inline_number, max(x) + 1 AS nx, max(z) + 1 AS nz FROM section GROUP BY 1),
+tile AS (SELECT inline_number, nx, nz, i * {TILE - OVERLAP} AS tx, j * {TILE - OVERLAP} AS tz FROM (SELECT *, unnest(range(CAST(round_even((nz + {OVERLAP}) / {TILE - OVERLAP} + 0.5, 0) AS INTEGER))) AS j FROM (SELECT *, unnest(range(CAST(round_even((nx + {OVERLAP}) / {TILE - OVERLAP} + 0.5, 0) AS INTEGER))) AS i FROM size)) WHERE i * {TILE - OVERLAP} < nx AND j * {TILE - OVERLAP} < nz),
+held AS (SELECT t.inline_number, tx, tz, nx, nz, a.r, b.c, coalesce(v, 0.0) AS v FROM tile t, (SELECT i AS r FROM range({TILE}) u(i)) a, (SELECT i AS c FROM range({TILE}) u(i)) b LEFT JOIN section s ON s.inline_number = t.inline_number AND s.x = tx + a.r AND s.z = tz + b.c),
+stats AS (SELECT inline_number, tx, tz, avg(v) AS m, stddev_pop(v) AS d FROM held GROUP BY 1, 2, 3)"""
+
 
+def _tile_traces(spark, sf_dir):
+    dense = grid.dense_grid(A.pixels(spark, sf_dir))
+    low = dense.groupBy("inline_number").agg(F.min("x").alias("x0"))
+    rows = dense.groupBy("inline_number", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("z", F.col("p").cast("float").alias("p")))), lambda r: r["p"]).alias("amplitudes"))
+    return rows.join(low, "inline_number").select("inline_number", (F.col("x") - F.col("x0")).cast("int").alias("xl_pos"), "amplitudes")
 
-@query("stage_counts", f"WITH {A.GRID_POINTS_SQL}, {GROUPED_SQL}, c AS (SELECT inline_number, 'points' AS stage, count(*) AS n FROM grid_points GROUP BY 1 UNION ALL SELECT inline_number, 'grouped', count(*) FROM grouped GROUP BY 1) SELECT inline_number, stage, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ROLLUP (inline_number, stage)")
+
+def _plain_scorer(x):
+    """Stands in for a model: the logistic function of each pixel."""
+    import numpy as np
+
+    return 1 / (1 + np.exp(-x.astype(float)))
+
+
+@query("tile_statistics", f"WITH {TILES_SQL} SELECT inline_number, CAST(tx AS INTEGER) AS tx, CAST(tz AS INTEGER) AS tz, round(m, 5) AS mean, round(d, 5) AS deviation FROM stats")
+def tile_statistics(spark, sf_dir):
+    cut = tiles.cut_tiles(tiles.scaled_traces(_tile_traces(spark, sf_dir)), TileConfig((TILE, TILE), OVERLAP))
+    pixel = cut.select("inline_number", "tx", "tz", F.explode("values").alias("v"))
+    return pixel.groupBy("inline_number", "tx", "tz").agg(F.round(F.avg("v"), 5).alias("mean"), F.round(F.stddev_pop("v"), 5).alias("deviation"))
+
+
+@query("probability_map", f"""WITH {TILES_SQL}, w AS (SELECT h.*, least(r, {TILE - 1} - r) AS er, least(c, {TILE - 1} - c) AS ec, 1 / (1 + exp(-(v - m) / d)) AS p FROM held h JOIN stats USING (inline_number, tx, tz)),
+  e AS (SELECT *, exp(-power(CASE WHEN ec < {OVERLAP} THEN ec ELSE er END - {OVERLAP} + 1, 2) * 0.5 / power({OVERLAP} / 4.0, 2)) AS taper FROM w),
+  f AS (SELECT *, CASE WHEN ec < {OVERLAP} OR er < {OVERLAP} THEN taper ELSE 1.0 END AS weight FROM e WHERE tx + r < nx AND tz + c < nz)
+  SELECT inline_number, CAST(tx + r AS INTEGER) AS x, CAST(tz + c AS INTEGER) AS z, round(sum(p * weight) / sum(weight), 4) AS p FROM f GROUP BY 1, 2, 3""")
+def probability_map(spark, sf_dir):
+    return tiles.probability_map(_tile_traces(spark, sf_dir), _plain_scorer, TileConfig((TILE, TILE), OVERLAP)).select("inline_number", "x", "z", F.round("p", 4).alias("p"))
+
+
+CLUSTERS_SQL = f"""{A.GRID_POINTS_SQL}, {GROUPED_SQL}, {NEAR_SQL},
+  ce AS (SELECT n.inline_number, n.pid, n.other FROM near n JOIN core c ON c.inline_number = n.inline_number AND c.pid = n.pid AND c.core JOIN core d ON d.inline_number = n.inline_number AND d.pid = n.other AND d.core),
+  reach AS (SELECT inline_number, pid, pid AS root FROM core WHERE core UNION SELECT e.inline_number, e.other, r.root FROM reach r JOIN ce e ON e.inline_number = r.inline_number AND e.pid = r.pid WHERE r.root < e.other),
+  comp AS (SELECT inline_number, pid, min(root) AS root FROM reach GROUP BY 1, 2),
+  num AS (SELECT inline_number, pid, dense_rank() OVER (PARTITION BY inline_number ORDER BY root) - 1 AS label FROM comp),
+  border AS (SELECT n.inline_number, n.pid, min(m.label) AS label FROM near n JOIN num m ON m.inline_number = n.inline_number AND m.pid = n.other GROUP BY 1, 2),
+  clustered AS (SELECT p.inline_number, p.pid, p.x, p.z, coalesce(m.label, b.label, -1) AS label FROM pts p LEFT JOIN num m ON m.inline_number = p.inline_number AND m.pid = p.pid LEFT JOIN border b ON b.inline_number = p.inline_number AND b.pid = p.pid)"""
+ORACLE_SQL["density_clusters"] = f"WITH RECURSIVE {CLUSTERS_SQL} SELECT inline_number, pid, CAST(label AS INTEGER) AS label FROM clustered"
+COUNTS_SQL = f"""{CLUSTERS_SQL}, counts AS (SELECT inline_number, 'candidates' AS stage, count(*) AS points, CAST(0 AS BIGINT) AS clusters FROM grid_points GROUP BY 1 UNION ALL SELECT inline_number, 'grouped', count(*), 0 FROM grouped GROUP BY 1
+  UNION ALL SELECT inline_number, 'clustered', count(*), count(DISTINCT label) FROM clustered WHERE label >= 0 GROUP BY 1)"""
+
+
+def _counts(spark, sf_dir):
+    points = cut_lineage(_points(spark, sf_dir))
+    label = cluster.dbscan(points, 3, 3).where("label >= 0")
+    return detection.stage_counts({"candidates": A.grid_points(spark, sf_dir), "grouped": points, "clustered": points.join(label, ["inline_number", "pid"])})
+
+
+@query("stage_counts", f"WITH RECURSIVE {COUNTS_SQL} SELECT * FROM counts")
 def stage_counts(spark, sf_dir):
-    c = [df.groupBy("inline_number").agg(F.count("*").alias("n")).select("inline_number", F.lit(name).alias("stage"), "n") for name, df in (("points", A.grid_points(spark, sf_dir)), ("grouped", _grouped(spark, sf_dir)))]
-    return c[0].union(c[1]).rollup("inline_number", "stage").agg(F.sum("n").alias("n"))
+    return _counts(spark, sf_dir)
+
+
+@query("golden_mismatches", f"""WITH RECURSIVE {COUNTS_SQL}, e AS (SELECT * FROM (VALUES ('candidates', 1000, 0), ('grouped', 300, NULL), ('clustered', NULL, 5)) t(stage, ep, ec))
+  SELECT e.stage, points, clusters, CAST(ep AS BIGINT) AS expected_points, CAST(ec AS BIGINT) AS expected_clusters FROM e LEFT JOIN counts c ON c.stage = e.stage AND c.inline_number = 3 WHERE (ep IS NOT NULL AND points IS DISTINCT FROM ep) OR (ec IS NOT NULL AND clusters IS DISTINCT FROM ec)""")
+def golden_mismatches(spark, sf_dir):
+    return detection.golden_mismatches(_counts(spark, sf_dir), 3, {"candidates": (1000, 0), "grouped": (300, None), "clustered": (None, 5)})
 
 
 @query("detected_lines")
@@ -541,9 +792,29 @@ def cluster_contract(spark, sf_dir):
     return contracts.cluster_contract(A.fault_points(spark, sf_dir), ["sec", "cluster"], F.lit(20), F.lit(10))
 
 
-@query("dense_ids", "SELECT DISTINCT n_regionkey, CAST(n_nationkey AS VARCHAR) AS cluster, CAST(dense_rank() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS id FROM nation")
+@query("dense_ids", """WITH r AS (SELECT DISTINCT CAST(floor((floor(epoch(ts)) - 1704067200) / 86400) AS INTEGER) AS sec, CASE WHEN user_id % 3 = 0 THEN event_type || user_id % 2 ELSE CAST(user_id AS VARCHAR) END AS cluster FROM events)
+  SELECT sec, cluster, CAST(row_number() OVER (PARTITION BY sec ORDER BY try_cast(cluster AS BIGINT) IS NULL, try_cast(cluster AS BIGINT), cluster) - 1 AS INTEGER) AS id FROM r""")
 def dense_ids(spark, sf_dir):
-    return contracts.dense_ids(A.table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").cast("string").alias("cluster")), "n_regionkey", "cluster")
+    n = F.col("user_id")
+    name = F.when(n % 3 == 0, F.concat("event_type", (n % 2).cast("string"))).otherwise(n.cast("string"))
+    rows = A.table(spark, sf_dir, "events").select(F.floor((F.unix_timestamp("ts") - A.EPOCH) / 86400).cast("int").alias("sec"), name.alias("cluster")).distinct()
+    return contracts.dense_ids(rows, "sec", "cluster")
+
+
+@query("malformed_keys", """WITH k AS (SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'line_' || o_custkey WHEN 1 THEN 'line_0' || o_custkey WHEN 2 THEN 'row_' || o_custkey ELSE NULL END AS line_key FROM orders)
+  SELECT line_key FROM k WHERE line_key IS NULL OR NOT regexp_full_match(line_key, 'line_(0|[1-9][0-9]*)')""")
+def malformed_keys(spark, sf_dir):
+    n, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    key = F.when(n == 0, F.concat(F.lit("line_"), c)).when(n == 1, F.concat(F.lit("line_0"), c)).when(n == 2, F.concat(F.lit("row_"), c))
+    return contracts.malformed_keys(A.table(spark, sf_dir, "orders").select(key.alias("line_key")), "line_key")
+
+
+@query("face_differences", """WITH f AS (SELECT l_orderkey AS s, l_partkey AS a, l_suppkey AS b, CAST(l_linenumber AS BIGINT) AS c FROM lineitem), g AS (SELECT s, list_sort([a, b, c]) AS face FROM f), h AS (SELECT s, face FROM g WHERE NOT (s % 10 = 0))
+  SELECT s, array_to_string(face, ',') AS face FROM (SELECT s, face FROM g EXCEPT ALL SELECT s, face FROM h)""")
+def face_differences(spark, sf_dir):
+    f = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("s"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_linenumber").cast("long").alias("c"))
+    out = catalogue.same_faces(f, f.where("s % 10 <> 0"), ["s"])
+    return out.select("s", F.array_join(F.transform("face", lambda x: x.cast("string")), ",").alias("face"))
 
 
 @query("count_mismatches", """WITH f AS (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1), d AS (SELECT o_orderkey, 4 AS n FROM orders)

@@ -6,13 +6,14 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from geostrata import queries
-from geostrata.config import DetectionConfig, LinkConfig
+from geostrata.config import DetectionConfig, LabelConfig, LineConfig, LinkConfig, TileConfig, as_json
 from geostrata.functions import scalars
-from geostrata.operators import catalogue, cluster, curve, grid, islands, labels, linking, normalise
+from geostrata.operators import catalogue, cluster, contracts, curve, grid, islands, labels, linking, normalise, splits
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -38,6 +39,31 @@ def test_perpendicular_lines_differ_by_one(spark):
     assert math.isclose(linking.candidate_pairs(lines).first()["orientation"], 1.0)
 
 
+def test_the_threshold_is_strict(spark):
+    kind = "source_id string, target_id string, gap int, similarity double"
+    for similarity, n in ((0.7, 0), (0.700001, 1)):
+        scored = spark.createDataFrame([("a", "x", 1, similarity)], kind).withColumn("above_threshold", F.col("similarity") > 0.7)
+        assert linking.best_matches(scored).count() == n
+
+
+def test_a_larger_gap_splits_a_path(spark):
+    """Six lines linked by gaps 1, 1, 2, 1, 1: two tracks of three."""
+    secs = [300, 301, 302, 304, 305, 306]
+    lines = spark.createDataFrame([(f"l{k}", s, 0.0, 0.0) for k, s in enumerate(secs)], "line_id string, sec int, mean_x double, mean_z double")
+    edges = [(f"l{k}", f"l{k + 1}", secs[k + 1] - secs[k], True) for k in range(5)]
+    tracks = linking.build_tracks(spark.createDataFrame(edges, "source_id string, target_id string, gap int, selected boolean"), lines).collect()
+    got = {}
+    for x in sorted(tracks, key=lambda x: x["member_order"]):
+        got.setdefault(x["track_id"], []).append(x["line_id"])
+    assert got == {"fault_0001": ["l0", "l1", "l2"], "fault_0002": ["l3", "l4", "l5"]}
+
+
+def test_scoring_runs_python_once(spark):
+    lines = lines_of(spark, [(s, "0", float(x), 0.0) for s in (300, 301) for x in range(3)])
+    plan = linking.best_matches(linking.score_candidates(lines))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_two_stage_selection(spark):
     rows = [("a", "x", 1, 0.80), ("a", "y", 2, 0.90), ("b", "y", 1, 0.85), ("c", "z", 1, 0.70)]
     scored = spark.createDataFrame(rows, "source_id string, target_id string, gap int, similarity double").withColumn("above_threshold", F.col("similarity") > 0.7)
@@ -58,9 +84,9 @@ def test_pruning_loses_no_link(spark):
     r = random.Random(3)
     rows = [(s, str(c), c * 6 + r.random() * 9, r.random() * 9) for s in range(4) for c in range(4) for _ in range(6)]
     lines = lines_of(spark, rows)
-    pairs = linking.candidate_pairs(lines).select(F.col("a.line_id").alias("s"), F.col("b.line_id").alias("t"), F.col("a.points").alias("p"), F.col("b.points").alias("q"), "gap", "orientation", "pruned").collect()
-    for x in pairs:
-        a, b = np.array([(u["x"], u["z"]) for u in x["p"]]), np.array([(u["x"], u["z"]) for u in x["q"]])
+    points = {x["line_id"]: np.array([(u["x"], u["z"]) for u in x["points"]]) for x in lines.collect()}
+    for x in linking.candidate_pairs(lines).select(F.col("a.line_id").alias("s"), F.col("b.line_id").alias("t"), "gap", "orientation", "pruned").collect():
+        a, b = points[x["s"]], points[x["t"]]
         d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2) + x["gap"] ** 2)
         similarity = math.exp(-(0.03 * (d.min(1).mean() + d.min(0).mean()) + x["orientation"]))
         assert not (x["pruned"] and similarity > 0.7)
@@ -189,6 +215,25 @@ def test_interpolation_rounds_half_to_even(spark):
     assert got == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 2)]
 
 
+def test_interpolation_steps_from_the_first_x_past_a_fractional_end(spark):
+    """From 3 in steps of 1 below 10.97: the last whole part is 10, beyond the last knot."""
+    p = spark.createDataFrame([(1, 0, 1, 3.0, 0.0), (1, 0, 2, 9.97, 6.97), (1, 1, 1, 3.5, 0.0), (1, 1, 2, 9.2, 5.7)], "inline_number int, label int, pid long, x double, z double")
+    got = curve.interpolate_lines(p).orderBy("label", "x").collect()
+    assert [(x["x"], x["z"]) for x in got if x["label"] == 0] == [(k, k - 3) for k in range(3, 11)]
+    assert [x["x"] for x in got if x["label"] == 1] == list(range(3, 10))
+
+
+def test_windows_are_made_odd():
+    assert [curve.odd_window(w) for w in (1, 2, 3, 4, 7)] == [3, 3, 3, 5, 7]
+
+
+def test_long_arms_stay_one_cluster(spark):
+    """A chain open towards small x whose two arms are 150 hops long each."""
+    rows = [(1, k, float(k) if k < 150 else float(299 - k), 0.0 if k < 150 else 100.0) for k in range(300)] + [(1, 300 + k, 150.0, float(k)) for k in range(101)]
+    got = cluster.dbscan(spark.createDataFrame(rows, "inline_number int, pid long, x double, z double"), 1.5, 2)
+    assert [x["label"] for x in got.select("label").distinct().collect()] == [0]
+
+
 def test_gap_groups(spark):
     df = spark.createDataFrame([(1, x, 5) for x in (0, 1, 2, 20, 21)], "inline_number int, x int, z int")
     assert sorted((r["x"], r["z"]) for r in islands.group_points(df, 10).collect()) == [(1, 5), (21, 5)]
@@ -209,12 +254,74 @@ def test_raster_is_the_nearest_pixels_of_each_segment(spark):
             assert abs(p[minor] - ((x0, z0)[minor] + share * ((x1, z1)[minor] - (x0, z0)[minor]))) <= 0.5 + 1e-9
 
 
-def test_spatial_split_keeps_the_guard(spark):
-    df = spark.createDataFrame([("s", x) for x in range(0, 17, 2)], "source_id string, x0 int")
-    got = {x["x0"]: x["split"] for x in labels.spatial_split(df, 4, guard=4).collect()}
-    first_val = min(k for k, v in got.items() if v == "val")
-    assert sum(v == "val" for v in got.values()) == 2
-    assert all(k + 4 <= first_val - 4 for k, v in got.items() if v == "train") and got[first_val - 2] is None
+RECORD = "inline_id int, x0 int, z0 int, source_id string, source_segy_sha256 string, section_index int, source_nx int, source_nz int, requested_split string"
+
+
+def records(spark, rows):
+    """rows: (inline_id, x0) or (inline_id, x0, requested_split), of sections 20 pixels wide and 4 high, one source an inline."""
+    return spark.createDataFrame([(r[0], r[1], 0, f"source_{r[0]}", None, 0, 20, 4, r[2] if len(r) > 2 else None) for r in rows], RECORD)
+
+
+SMALL = {"patch_size": 4, "stride": 2, "seed": 7}
+
+
+def test_whole_inlines_validate(spark):
+    out = splits.split_records(records(spark, [(i, x) for i in (10, 20, 30) for x in (0, 2, 4)]), LabelConfig(**SMALL))
+    train, val = ({x["inline_id"] for x in out[side].collect()} for side in ("train", "val"))
+    assert train and val and not train & val and len(val) == 1
+    assert out["summary"].first()["resolved_strategy"] == "inline" and out["train"].count() == 6
+
+
+def test_one_inline_falls_back_to_its_tail(spark):
+    out = splits.split_records(records(spark, [(10, x) for x in range(0, 17, 2)]), LabelConfig(**SMALL))
+    summary = out["summary"].first()
+    assert (summary["resolved_strategy"], summary["fallback_reason"]) == ("spatial", "one inline")
+    train, val = ([x["x0"] for x in out[side].collect()] for side in ("train", "val"))
+    assert min(val) == 14 and max(train) + 4 <= 14 - 4 and summary["discarded"] == 9 - len(train) - len(val)
+
+
+def test_the_boundary_lies_on_the_legal_grid(spark):
+    """Patches are kept on the left alone; the boundary is that of the section all the same."""
+    got = splits.spatial_split(splits.with_sources(records(spark, [(1, 0), (1, 2), (1, 14)])), LabelConfig(**SMALL, strategy="spatial")).collect()
+    assert {(x["x0"], x["boundary"], x["split"]) for x in got} == {(0, 14, "train"), (2, 14, "train"), (14, 14, "val")}
+
+
+def test_wanted_inlines_and_caps(spark):
+    rows = [(i, x) for i in (1, 2, 3) for x in (0, 4, 8)]
+    out = splits.split_records(records(spark, rows), LabelConfig(**SMALL, val_inlines=(2,), target_train=4, target_val=2))
+    assert {x["inline_id"] for x in out["val"].collect()} == {2} and out["train"].count() == 4 and out["val"].count() == 2
+    assert [x["nth"] for x in out["train"].orderBy("nth").collect()] == [1, 2, 3, 4]
+    for bad, why in (((9,), "without patches"), ((1, 2, 3), "leave an inline")):
+        with pytest.raises(ValueError, match=why):
+            splits.assign(records(spark, rows), LabelConfig(**SMALL, val_inlines=bad))
+
+
+def test_declared_lines(spark):
+    good = [(1, 0, "train"), (2, 0, "VAL")]
+    got = splits.split_records(records(spark, good), LabelConfig(**SMALL))
+    assert got["val"].first()["inline_id"] == 2 and got["summary"].first()["assignment"] == "declared"
+    for rows, why in (
+        ([(1, 0, "train"), (2, 0, None)], "some lines only"), ([(1, 0, "train"), (2, 0, "test")], "neither train nor val"), ([(1, 0, "train"), (2, 0, "train")], "has no patch"),
+        ([(1, 0, "train"), (1, 4, "val")], "both sides"),
+    ):
+        with pytest.raises(ValueError, match=why):
+            splits.assign(records(spark, rows), LabelConfig(**SMALL))
+    with pytest.raises(ValueError, match="inline strategy"):
+        splits.assign(records(spark, good), LabelConfig(**SMALL, strategy="spatial"))
+
+
+def test_one_file_under_two_names_is_one_source(spark):
+    rows = [(1, 0, 0, "a", "sum", 0, 20, 4, "train"), (2, 8, 0, "b", "sum", 0, 20, 4, "val")]
+    with pytest.raises(ValueError, match="several"):
+        splits.assign(spark.createDataFrame(rows, RECORD), LabelConfig(**SMALL))
+
+
+def test_what_no_split_can_take(spark):
+    for rows, why in (([], "no records"), ([(1, 0), (1, 0)], "occurs twice"), ([(1, 1)], "off the grid")):
+        with pytest.raises(ValueError, match=why):
+            splits.assign(records(spark, rows) if rows else spark.createDataFrame([], RECORD), LabelConfig(**SMALL, strategy="spatial"))
+    with pytest.raises(ValueError, match="no patch"):
+        splits.split_records(records(spark, [(1, 0)]), LabelConfig(**SMALL))
 
 
 def test_overlaps_may_touch(spark):
@@ -253,17 +360,59 @@ def test_faces_without_data_go(spark):
 
 
 def test_parameters_are_checked():
-    for bad in ({"threshold": 2}, {"eps": 0}):
+    assert DetectionConfig().max_gap == 20 and LabelConfig().gap == 256 and LinkConfig().axis_scales == (1.0, 1.0, 1.0)
+    for kind, bad in (
+        (DetectionConfig, {"threshold": 2}), (DetectionConfig, {"eps": 0}), (DetectionConfig, {"merge_theta": 0}), (DetectionConfig, {"blend": 2}), (DetectionConfig, {"delta": 0}), (DetectionConfig, {"max_gap": -1}),
+        (LinkConfig, {"tau": 1.5}), (LinkConfig, {"inline_step": 0}), (LinkConfig, {"inline_end": 1}), (LinkConfig, {"min_lines": 1}), (LinkConfig, {"observed_weight": 2}),
+        (LabelConfig, {"axis": "y"}), (LabelConfig, {"strategy": "random"}), (LabelConfig, {"target_val": 0}), (LabelConfig, {"strategy": "spatial", "val_inlines": (1,)}), (LabelConfig, {"guard": -1}),
+        (TileConfig, {"patch": (20, 16)}), (TileConfig, {"overlap": 0}), (LineConfig, {"inline_id": 1, "segy_path": "a", "csv_path": "b", "x_scale": 0}),
+    ):
         with pytest.raises(ValueError):
-            DetectionConfig(**bad)
+            kind(**bad)
+    line = LineConfig.of({"inline_id": 1, "segy_path": "a", "csv_path": "b", "split": "TRAIN", "label_shape_before_downsample": [4, 5]})
+    assert line.split == "train" and line.label_shape_before_downsample == (4, 5) and as_json(line)["label_shape_before_downsample"] == [4, 5]
+    for bad in ({"inline_id": 1}, {"inline_id": 1, "segy_path": "a", "csv_path": "b", "colour": 2}):
+        with pytest.raises(ValueError, match="fields"):
+            LineConfig.of(bad)
+
+
+def test_inlines_are_selected(spark):
+    there = spark.createDataFrame([(300,), (302,), (306,)], "inline_number int")
+    assert sorted(x[0] for x in contracts.select_inlines(there, 300, 300, 306, 2, True).collect()) == [300, 302, 306]
+    for given, why in (((300, 300, 306, 2), "missing"), ((300, 301, 306, 2), "origin's step"), ((301, 300, 306), "precede origin"), ((300, 306, 300), "precede start"), ((300, 310, 312), "no wanted")):
+        with pytest.raises(ValueError, match=why):
+            contracts.select_inlines(there, *given)
+    with pytest.raises(ValueError, match="unique"):
+        contracts.select_inlines(there.union(there), 300, 300, 306, 2, True)
+    assert contracts.same_axis(10, 3, 4) == 3 and contracts.same_axis(4, 3, 4) == 1
+    with pytest.raises(ValueError):
+        contracts.same_axis(10, 3, 5)
+
+
+def test_meshes_are_thinned():
+    assert (catalogue.plot_stride(100, 100), catalogue.plot_stride(101, 100), catalogue.plot_stride(1000, 100)) == (1, 2, 4)
     with pytest.raises(ValueError):
-        LinkConfig(tau=1.5)
+        catalogue.plot_stride(10, 9)
+
+
+def test_headers_are_found_once(spark):
+    axis = spark.createDataFrame([(0, 10), (1, 12), (2, 12)], "idx int, value int")
+    assert catalogue.header_to_index(axis, 10) == 0
+    for header in (11, 12):
+        with pytest.raises(ValueError):
+            catalogue.header_to_index(axis, header)
+    assert catalogue.face_counts(spark.createDataFrame([("s", 3, 4)], "surface_id string, rows int, columns int")).first()["faces"] == 12
+
+
+def test_wavelet_is_one_at_its_peak(spark):
+    got = spark.range(1).select(scalars.ricker(25.0, F.lit(0.0)).alias("a"), scalars.ricker(25.0, F.lit(1 / (math.sqrt(2) * math.pi * 25))).alias("b")).first()
+    assert got["a"] == 1.0 and abs(got["b"]) < 1e-12
 
 
 def _rows(df):
     out = []
     for row in df.itertuples(index=False, name=None):
-        out.append(repr(tuple(None if x is None or x != x else float(x) + 0.0 if isinstance(x, (int, float, np.integer, np.floating)) and not isinstance(x, bool) else x for x in row)))
+        out.append(repr(tuple(None if pd.isna(x) else float(x) + 0.0 if isinstance(x, (int, float, np.integer, np.floating)) and not isinstance(x, bool) else x for x in row)))
     return sorted(out)
 
 
