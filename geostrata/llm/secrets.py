@@ -118,5 +118,8 @@ def op9_secrets(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and all spans of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scan_secrets(docs, keep=["doc_id"])
-    count = [F.size(F.filter("secret_base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return found.select("doc_id", *count, F.sha2(named(F.col("secret_base")), 256).alias("base_sha256"), named(F.array_sort(F.concat("secret_base", "secret_linked"))).alias("spans"))
+
+    def count(kind: int) -> Column:  # no second parameter in the lambda: Spark would pass the index for it
+        return F.size(F.filter("secret_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    return found.select("doc_id", *map(count, range(3)), F.sha2(named(F.col("secret_base")), 256).alias("base_sha256"), named(F.array_sort(F.concat("secret_base", "secret_linked"))).alias("spans"))
