@@ -138,10 +138,47 @@ def track_summary(spark, sf_dir):
     return out.select("track_id", "lines", "first", "last", *_r("min_similarity", "mean_similarity"))
 
 
-@query("track_surfaces")
+def _smooth_sql(source: str, name: str, along: str, across: str) -> str:
+    """CTE name: v of source(track_id, axis, row, col, v) smoothed along one index by a Gaussian of sigma 1 cut off at four, edges repeated."""
+    return f"""{name} AS (SELECT s.track_id, s.axis, s.{along}, s.{across}, sum(w.w * t.v) AS v FROM {source} s JOIN tops b USING (track_id), gauss w, {source} t
+    WHERE t.track_id = s.track_id AND t.axis = s.axis AND t.{across} = s.{across} AND t.{along} = greatest(0, least(b.{along}, s.{along} + w.k)) GROUP BY 1, 2, 3, 4)"""
+
+
+SURFACES_SQL = f"""{TRACKS_SQL},
+  placed AS (SELECT track_id, m.sec, m.line_id, p.x, p.z FROM member m JOIN tracks USING (start) JOIN lines l USING (line_id) JOIN fault_points p ON p.sec = l.sec AND p.cluster = l.cluster),
+  axis_of AS (SELECT line_id, avg(x) AS mx, avg(z) AS mz, 0.5 * atan2(2 * covar_pop(x, z), var_pop(x) - var_pop(z)) AS t FROM placed GROUP BY 1),
+  sorted AS (SELECT p.*, row_number() OVER (PARTITION BY line_id ORDER BY round(cos(t) * (x - mx) + sin(t) * (z - mz), 9), x, z) - 1 AS pos FROM placed p JOIN axis_of USING (line_id)),
+  steps AS (SELECT *, CASE WHEN pos = 0 THEN 0.0 ELSE greatest(sqrt(power(x - lag(x) OVER w, 2) + power(z - lag(z) OVER w, 2)), 1e-6) END AS d FROM sorted WINDOW w AS (PARTITION BY line_id ORDER BY pos)),
+  arcs AS (SELECT *, sum(d) OVER (PARTITION BY line_id ORDER BY pos) AS s FROM steps),
+  scaled AS (SELECT *, s / max(s) OVER (PARTITION BY line_id) * 127 AS u FROM arcs),
+  spans AS (SELECT *, lead(u) OVER w AS u2, lead(x) OVER w AS x2, lead(z) OVER w AS z2, lead(u, 2) OVER w IS NULL AS last FROM scaled WINDOW w AS (PARTITION BY line_id ORDER BY pos)),
+  even AS (SELECT track_id, sec, i, x + least(1.0, (i - u) / (u2 - u)) * (x2 - x) AS x, z + least(1.0, (i - u) / (u2 - u)) * (z2 - z) AS z
+    FROM (SELECT *, unnest(range(CAST(ceil(u) AS INTEGER), CAST(CASE WHEN last THEN 127 ELSE ceil(u2) - 1 END AS INTEGER) + 1)) AS i FROM spans WHERE u2 IS NOT NULL)),
+  tips AS (SELECT a.track_id, a.sec, a.x AS ax, a.z AS az, b.x AS bx, b.z AS bz FROM even a JOIN even b ON a.track_id = b.track_id AND a.sec = b.sec AND a.i = 0 AND b.i = 127),
+  turns AS (SELECT *, sqrt(power(lag(ax) OVER w - bx, 2) + power(lag(az) OVER w - bz, 2)) + sqrt(power(lag(bx) OVER w - ax, 2) + power(lag(bz) OVER w - az, 2)) AS crossed,
+    sqrt(power(lag(ax) OVER w - ax, 2) + power(lag(az) OVER w - az, 2)) + sqrt(power(lag(bx) OVER w - bx, 2) + power(lag(bz) OVER w - bz, 2)) AS straight FROM tips WINDOW w AS (PARTITION BY track_id ORDER BY sec)),
+  parity AS (SELECT track_id, sec, sum(CASE WHEN crossed < straight THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY sec) % 2 AS turned FROM turns),
+  laid AS (SELECT e.track_id, e.sec - min(e.sec) OVER (PARTITION BY e.track_id) AS row, CASE WHEN turned = 1 THEN 127 - i ELSE i END AS col, e.sec, x, z FROM even e JOIN parity USING (track_id, sec)),
+  tops AS (SELECT track_id, max(row) AS row, max(col) AS col FROM laid GROUP BY 1),
+  raw AS (SELECT track_id, 'x' AS axis, row, col, x AS v FROM laid UNION ALL SELECT track_id, 'z', row, col, z FROM laid),
+  gauss AS (SELECT k, exp(-0.5 * k * k) / (SELECT sum(exp(-0.5 * j * j)) FROM range(-4, 5) t(j)) AS w FROM range(-4, 5) u(k)),
+  {_smooth_sql("raw", "once", "row", "col")}, {_smooth_sql("once", "twice", "col", "row")},
+  final AS (SELECT r.track_id, r.axis, r.row, r.col, 0.25 * r.v + 0.75 * t.v AS v, power(0.75 * (t.v - r.v), 2) AS e FROM raw r JOIN twice t USING (track_id, axis, row, col)),
+  errors AS (SELECT track_id, sqrt(sum(e) / (count(*) / 2)) AS rmse FROM final GROUP BY 1)"""
+
+
+@query("track_surfaces", f"""{SURFACES_SQL} SELECT l.track_id, CAST(l.row AS INTEGER) AS row, CAST(l.col AS INTEGER) AS col, CAST(300 + l.sec AS DOUBLE) AS inline, round(x.v, 5) AS profile, round(z.v, 5) AS depth, round(rmse, 5) AS rmse
+  FROM laid l JOIN final x ON x.track_id = l.track_id AND x.row = l.row AND x.col = l.col AND x.axis = 'x' JOIN final z ON z.track_id = l.track_id AND z.row = l.row AND z.col = l.col AND z.axis = 'z' JOIN errors e ON e.track_id = l.track_id""")
 def track_surfaces(spark, sf_dir):
-    """Vertices of every surface; smoothing is tested against a plain two-dimensional sum."""
-    return reconstruction.reconstruct(A.fault_points(spark, sf_dir), LINK)["surfaces"]
+    out = reconstruction.reconstruct(A.fault_points(spark, sf_dir), LINK)["surfaces"]
+    return out.select("track_id", "row", "col", "inline", *[F.round(c, 5).alias(c) for c in ("profile", "depth", "rmse")])
+
+
+@query("flat_faces", f"""{SURFACES_SQL}, shape AS (SELECT track_id, row + 1 AS r, col + 1 AS c, sum((row + 1) * (col + 1)) OVER (ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM tops),
+  cell AS (SELECT track_id, c, coalesce(o, 0) + i * c + j AS v FROM (SELECT *, unnest(range(c - 1)) AS j FROM (SELECT *, unnest(range(r - 1)) AS i FROM shape)))
+  SELECT track_id, CAST(v AS BIGINT) AS a, CAST(v + c AS BIGINT) AS b, CAST(v + 1 AS BIGINT) AS c FROM cell UNION ALL SELECT track_id, CAST(v + 1 AS BIGINT), CAST(v + c AS BIGINT), CAST(v + c + 1 AS BIGINT) FROM cell""")
+def flat_faces(spark, sf_dir):
+    return surface.flat_faces(reconstruction.reconstruct(A.fault_points(spark, sf_dir), LINK)["surfaces"]).select("track_id", *[F.col(c).cast("long").alias(c) for c in "abc"])
 
 
 @query("resampled_lines", f"""WITH {A.FAULT_POINTS_SQL}, o AS (SELECT sec, cluster, x, z, row_number() OVER (PARTITION BY sec, cluster ORDER BY x, z) - 1 AS pos FROM fault_points),
@@ -223,14 +260,19 @@ def ridge_preserved(spark, sf_dir):
     return out.select("inline_number", F.col("x").cast("int").alias("x"), F.col("z").cast("int").alias("z"))
 
 
-GROUPED_SQL = """
-by_x AS (SELECT inline_number, x, z, sum(b) OVER (PARTITION BY inline_number, z ORDER BY x) AS island FROM (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY inline_number, z ORDER BY x) > 3 THEN 1 ELSE 0 END AS b FROM grid_points)),
+def _grouped_sql(source: str, gap: int) -> str:
+    """CTEs grouped and pts: the middle of each run of points along x, then along z, a gap beyond `gap` ending a run."""
+    return f"""
+by_x AS (SELECT inline_number, x, z, sum(b) OVER (PARTITION BY inline_number, z ORDER BY x) AS island FROM (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY inline_number, z ORDER BY x) > {gap} THEN 1 ELSE 0 END AS b FROM {source})),
 rep_x AS (SELECT DISTINCT inline_number, x, z FROM (SELECT *, row_number() OVER (PARTITION BY inline_number, z, island ORDER BY x) - 1 AS n, count(*) OVER (PARTITION BY inline_number, z, island) // 2 AS m FROM by_x) WHERE n = m),
-by_z AS (SELECT inline_number, x, z, sum(b) OVER (PARTITION BY inline_number, x ORDER BY z) AS island FROM (SELECT *, CASE WHEN z - lag(z) OVER (PARTITION BY inline_number, x ORDER BY z) > 3 THEN 1 ELSE 0 END AS b FROM rep_x)),
+by_z AS (SELECT inline_number, x, z, sum(b) OVER (PARTITION BY inline_number, x ORDER BY z) AS island FROM (SELECT *, CASE WHEN z - lag(z) OVER (PARTITION BY inline_number, x ORDER BY z) > {gap} THEN 1 ELSE 0 END AS b FROM rep_x)),
 grouped AS (SELECT DISTINCT inline_number, x, z FROM (SELECT *, row_number() OVER (PARTITION BY inline_number, x, island ORDER BY z) - 1 AS n, count(*) OVER (PARTITION BY inline_number, x, island) // 2 AS m FROM by_z) WHERE n = m),
 pts AS (SELECT inline_number, x, z, row_number() OVER (PARTITION BY inline_number ORDER BY x, z) - 1 AS pid FROM grouped)"""
 
 
+GROUPED_SQL = _grouped_sql("grid_points", 3)
+
+
 def _grouped(spark, sf_dir):
     return islands.group_points(A.grid_points(spark, sf_dir), 3)
 
@@ -306,19 +348,19 @@ def sharp_points(spark, sf_dir):
     return curve.sharp_points(_labelled(spark, sf_dir)).select("inline_number", "label", "pid", "bad")
 
 
-def _angle_rounds_sql(first: str, rounds: int) -> str:
-    """CTEs kept1, kept2, ...: each is the one before without its sharp points; clusters of fewer than three points keep theirs."""
+def _angle_rounds_sql(first: str, rounds: int, mark: str = "") -> str:
+    """CTEs kept<mark>1, kept<mark>2, ...: each is the one before without its sharp points; clusters of fewer than three points keep theirs."""
     out, before = [], first
     for k in range(1, rounds + 1):
         arms = []
         for axis in ("x", "z"):
             arms.append(f"""SELECT inline_number, label, pid, lag(x) OVER w - x AS ax, lag(z) OVER w - z AS az, lead(x) OVER w - x AS bx, lead(z) OVER w - z AS bz
               FROM {before} WINDOW w AS (PARTITION BY inline_number, label ORDER BY {axis}, pid)""")
-        out.append(f"""sharp{k} AS (SELECT DISTINCT inline_number, label, pid FROM ({' UNION ALL '.join(arms)}) WHERE sqrt(ax * ax + az * az) * sqrt(bx * bx + bz * bz) > 0
+        out.append(f"""sharp{mark}{k} AS (SELECT DISTINCT inline_number, label, pid FROM ({' UNION ALL '.join(arms)}) WHERE sqrt(ax * ax + az * az) * sqrt(bx * bx + bz * bz) > 0
             AND degrees(acos(greatest(-1.0, least(1.0, (ax * bx + az * bz) / nullif(sqrt(ax * ax + az * az) * sqrt(bx * bx + bz * bz), 0))))) < 90),
-          size{k} AS (SELECT inline_number, label, count(*) AS n FROM {before} GROUP BY 1, 2),
-          kept{k} AS (SELECT p.* FROM {before} p JOIN size{k} USING (inline_number, label) WHERE n < 3 OR NOT EXISTS (SELECT 1 FROM sharp{k} s WHERE s.inline_number = p.inline_number AND s.label = p.label AND s.pid = p.pid))""")
-        before = f"kept{k}"
+          size{mark}{k} AS (SELECT inline_number, label, count(*) AS n FROM {before} GROUP BY 1, 2),
+          kept{mark}{k} AS (SELECT p.* FROM {before} p JOIN size{mark}{k} USING (inline_number, label) WHERE n < 3 OR NOT EXISTS (SELECT 1 FROM sharp{mark}{k} s WHERE s.inline_number = p.inline_number AND s.label = p.label AND s.pid = p.pid))""")
+        before = f"kept{mark}{k}"
     return ",\n".join(out)
 
 
@@ -349,18 +391,29 @@ def _mean_sql(value: str, window: int, name: str) -> str:
     return f"CASE {cases} ELSE {value} END AS {name}"
 
 
-CURVE_SQL = f"""{LABELLED_SQL},
-axes AS (SELECT inline_number, label, avg(x) AS mx, avg(z) AS mz, 0.5 * atan2(2 * covar_pop(x, z), var_pop(x) - var_pop(z)) AS t FROM labelled GROUP BY 1, 2),
-placed AS (SELECT l.*, row_number() OVER (PARTITION BY inline_number, label ORDER BY round(cos(t) * (x - mx) + sin(t) * (z - mz), 9), pid) - 1 AS pos, count(*) OVER (PARTITION BY inline_number, label) AS n FROM labelled l JOIN axes USING (inline_number, label)),
-stepped AS (SELECT *, CASE WHEN pos = 0 THEN 0.0 ELSE greatest(sqrt(power(x - lag(x) OVER w, 2) + power(z - lag(z) OVER w, 2)), 1e-6) END AS step FROM placed WINDOW w AS (PARTITION BY inline_number, label ORDER BY pos)),
-along AS (SELECT *, sum(step) OVER (PARTITION BY inline_number, label ORDER BY pos) AS s FROM stepped),
-near1 AS (SELECT *, {_shifted(["s", "x", "z"])} FROM along WINDOW w AS (PARTITION BY inline_number, label ORDER BY pos)),
-d1 AS (SELECT inline_number, label, pid, pos, n, x, z, s, {_gradient_sql("x", "dx")}, {_gradient_sql("z", "dz")} FROM near1),
-near2 AS (SELECT *, {_shifted(["s", "dx", "dz"])} FROM d1 WINDOW w AS (PARTITION BY inline_number, label ORDER BY pos)),
-d2 AS (SELECT *, {_gradient_sql("dx", "ddx")}, {_gradient_sql("dz", "ddz")} FROM near2),
-bent AS (SELECT *, CASE WHEN n < 5 OR power(dx * dx + dz * dz, 1.5) <= 1e-12 THEN 0.0 ELSE abs(dx * ddz - dz * ddx) / power(dx * dx + dz * dz, 1.5) END AS kappa FROM d2),
-meant AS (SELECT *, {_mean_sql("kappa", 7, "mean")}, {_mean_sql("x", 5, "sx")}, {_mean_sql("z", 5, "sz")} FROM bent WINDOW whole AS (PARTITION BY inline_number, label ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-curved AS (SELECT *, abs(kappa - mean) / (mean + 0.001) AS eta, n >= 5 AND pos >= 2 AND pos < n - 2 AND abs(kappa - mean) / (mean + 0.001) > 0.5 AS anomaly FROM meant)"""
+def _curve_sql(source: str, k: str = "") -> str:
+    """CTEs up to curved<k>: arc length along the principal axis, derivatives, curvature, moving means and anomalies of the source's clusters."""
+    return f"""axes{k} AS (SELECT inline_number, label, avg(x) AS mx, avg(z) AS mz, 0.5 * atan2(2 * covar_pop(x, z), var_pop(x) - var_pop(z)) AS t FROM {source} GROUP BY 1, 2),
+placed{k} AS (SELECT l.*, row_number() OVER (PARTITION BY inline_number, label ORDER BY round(cos(t) * (x - mx) + sin(t) * (z - mz), 9), pid) - 1 AS pos, count(*) OVER (PARTITION BY inline_number, label) AS n FROM {source} l JOIN axes{k} USING (inline_number, label)),
+stepped{k} AS (SELECT *, CASE WHEN pos = 0 THEN 0.0 ELSE greatest(sqrt(power(x - lag(x) OVER w, 2) + power(z - lag(z) OVER w, 2)), 1e-6) END AS step FROM placed{k} WINDOW w AS (PARTITION BY inline_number, label ORDER BY pos)),
+along{k} AS (SELECT *, sum(step) OVER (PARTITION BY inline_number, label ORDER BY pos) AS s FROM stepped{k}),
+near1{k} AS (SELECT *, {_shifted(["s", "x", "z"])} FROM along{k} WINDOW w AS (PARTITION BY inline_number, label ORDER BY pos)),
+d1{k} AS (SELECT inline_number, label, pid, pos, n, x, z, s, {_gradient_sql("x", "dx")}, {_gradient_sql("z", "dz")} FROM near1{k}),
+near2{k} AS (SELECT *, {_shifted(["s", "dx", "dz"])} FROM d1{k} WINDOW w AS (PARTITION BY inline_number, label ORDER BY pos)),
+d2{k} AS (SELECT *, {_gradient_sql("dx", "ddx")}, {_gradient_sql("dz", "ddz")} FROM near2{k}),
+bent{k} AS (SELECT *, CASE WHEN n < 5 OR power(dx * dx + dz * dz, 1.5) <= 1e-12 THEN 0.0 ELSE abs(dx * ddz - dz * ddx) / power(dx * dx + dz * dz, 1.5) END AS kappa FROM d2{k}),
+meant{k} AS (SELECT *, {_mean_sql("kappa", 7, "mean")}, {_mean_sql("x", 5, "sx")}, {_mean_sql("z", 5, "sz")} FROM bent{k} WINDOW whole AS (PARTITION BY inline_number, label ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+curved{k} AS (SELECT *, abs(kappa - mean) / (mean + 0.001) AS eta, n >= 5 AND pos >= 2 AND pos < n - 2 AND abs(kappa - mean) / (mean + 0.001) > 0.5 AS anomaly FROM meant{k})"""
+
+
+CURVE_SQL = f"{LABELLED_SQL},\n{_curve_sql('labelled')}"
+
+
+def _smoothed_sql(k: str = "") -> str:
+    """CTE smoothed<k> of curved<k>: anomalous points moved by a hundredth towards their moving mean, at most 0.05."""
+    return f"""pull{k} AS (SELECT *, 0.01 * (sx - x) AS ux, 0.01 * (sz - z) AS uz FROM curved{k}),
+smoothed{k} AS (SELECT inline_number, label, pid, CASE WHEN anomaly THEN x + f * ux ELSE x END AS x, CASE WHEN anomaly THEN z + f * uz ELSE z END AS z, anomaly
+  FROM (SELECT *, CASE WHEN sqrt(ux * ux + uz * uz) > 0.05 THEN 0.05 / sqrt(ux * ux + uz * uz) ELSE 1.0 END AS f FROM pull{k}))"""
 
 
 @query("curvature", f"WITH {CURVE_SQL} SELECT inline_number, label, pid, CAST(pos AS INTEGER) AS pos, round(kappa, 4) AS kappa, round(eta, 3) AS eta, anomaly FROM curved")
@@ -368,8 +421,7 @@ def curvature(spark, sf_dir):
     return curve.curvature(_labelled(spark, sf_dir)).select("inline_number", "label", "pid", "pos", F.round("kappa", 4).alias("kappa"), F.round("eta", 3).alias("eta"), "anomaly")
 
 
-@query("weak_smoothing", f"""WITH {CURVE_SQL}, m AS (SELECT *, 0.01 * (sx - x) AS ux, 0.01 * (sz - z) AS uz FROM curved), l AS (SELECT *, CASE WHEN sqrt(ux * ux + uz * uz) > 0.05 THEN 0.05 / sqrt(ux * ux + uz * uz) ELSE 1.0 END AS f FROM m)
-  SELECT inline_number, label, pid, round(CASE WHEN anomaly THEN x + f * ux ELSE x END, 6) AS x, round(CASE WHEN anomaly THEN z + f * uz ELSE z END, 6) AS z, anomaly FROM l""")
+@query("weak_smoothing", f"WITH {CURVE_SQL}, {_smoothed_sql()} SELECT inline_number, label, pid, round(x, 6) AS x, round(z, 6) AS z, anomaly FROM smoothed")
 def weak_smoothing(spark, sf_dir):
     return curve.weak_smoothing(_labelled(spark, sf_dir)).select("inline_number", "label", "pid", *_r("x", "z"), "anomaly")
 
@@ -748,13 +800,20 @@ def probability_map(spark, sf_dir):
     return tiles.probability_map(_tile_traces(spark, sf_dir), _plain_scorer, TileConfig((TILE, TILE), OVERLAP)).select("inline_number", "x", "z", F.round("p", 4).alias("p"))
 
 
-CLUSTERS_SQL = f"""{A.GRID_POINTS_SQL}, {GROUPED_SQL}, {NEAR_SQL},
-  ce AS (SELECT n.inline_number, n.pid, n.other FROM near n JOIN core c ON c.inline_number = n.inline_number AND c.pid = n.pid AND c.core JOIN core d ON d.inline_number = n.inline_number AND d.pid = n.other AND d.core),
-  reach AS (SELECT inline_number, pid, pid AS root FROM core WHERE core UNION SELECT e.inline_number, e.other, r.root FROM reach r JOIN ce e ON e.inline_number = r.inline_number AND e.pid = r.pid WHERE r.root < e.other),
-  comp AS (SELECT inline_number, pid, min(root) AS root FROM reach GROUP BY 1, 2),
-  num AS (SELECT inline_number, pid, dense_rank() OVER (PARTITION BY inline_number ORDER BY root) - 1 AS label FROM comp),
-  border AS (SELECT n.inline_number, n.pid, min(m.label) AS label FROM near n JOIN num m ON m.inline_number = n.inline_number AND m.pid = n.other GROUP BY 1, 2),
-  clustered AS (SELECT p.inline_number, p.pid, p.x, p.z, coalesce(m.label, b.label, -1) AS label FROM pts p LEFT JOIN num m ON m.inline_number = p.inline_number AND m.pid = p.pid LEFT JOIN border b ON b.inline_number = p.inline_number AND b.pid = p.pid)"""
+def _dbscan_sql(source: str, eps: float, least: int, k: str = "") -> str:
+    """CTE clustered<k> of source(inline_number, pid, x, z): components of core points numbered by their smallest, borders by the lowest number around, -1 for noise."""
+    on = lambda a, b: f"{a}.inline_number = {b}.inline_number"
+    return f"""near{k} AS (SELECT a.inline_number, a.pid, b.pid AS other FROM {source} a JOIN {source} b ON {on("a", "b")} AND (a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) <= {eps * eps}),
+  core{k} AS (SELECT inline_number, pid, count(*) >= {least} AS core FROM near{k} GROUP BY 1, 2),
+  ce{k} AS (SELECT n.inline_number, n.pid, n.other FROM near{k} n JOIN core{k} c ON {on("c", "n")} AND c.pid = n.pid AND c.core JOIN core{k} d ON {on("d", "n")} AND d.pid = n.other AND d.core),
+  reach{k} AS (SELECT inline_number, pid, pid AS root FROM core{k} WHERE core UNION SELECT e.inline_number, e.other, r.root FROM reach{k} r JOIN ce{k} e ON {on("e", "r")} AND e.pid = r.pid WHERE r.root < e.other),
+  comp{k} AS (SELECT inline_number, pid, min(root) AS root FROM reach{k} GROUP BY 1, 2),
+  num{k} AS (SELECT inline_number, pid, dense_rank() OVER (PARTITION BY inline_number ORDER BY root) - 1 AS label FROM comp{k}),
+  border{k} AS (SELECT n.inline_number, n.pid, min(m.label) AS label FROM near{k} n JOIN num{k} m ON {on("m", "n")} AND m.pid = n.other GROUP BY 1, 2),
+  clustered{k} AS (SELECT p.inline_number, p.pid, p.x, p.z, coalesce(m.label, b.label, -1) AS label FROM {source} p LEFT JOIN num{k} m ON {on("m", "p")} AND m.pid = p.pid LEFT JOIN border{k} b ON {on("b", "p")} AND b.pid = p.pid)"""
+
+
+CLUSTERS_SQL = f"{A.GRID_POINTS_SQL}, {GROUPED_SQL}, {_dbscan_sql('pts', 3, 3)}"
 ORACLE_SQL["density_clusters"] = f"WITH RECURSIVE {CLUSTERS_SQL} SELECT inline_number, pid, CAST(label AS INTEGER) AS label FROM clustered"
 COUNTS_SQL = f"""{CLUSTERS_SQL}, counts AS (SELECT inline_number, 'candidates' AS stage, count(*) AS points, CAST(0 AS BIGINT) AS clusters FROM grid_points GROUP BY 1 UNION ALL SELECT inline_number, 'grouped', count(*), 0 FROM grouped GROUP BY 1
   UNION ALL SELECT inline_number, 'clustered', count(*), count(DISTINCT label) FROM clustered WHERE label >= 0 GROUP BY 1)"""
@@ -777,10 +836,56 @@ def golden_mismatches(spark, sf_dir):
     return detection.golden_mismatches(_counts(spark, sf_dir), 3, {"candidates": (1000, 0), "grouped": (300, None), "clustered": (None, 5)})
 
 
-@query("detected_lines")
+def _merge_sql(source: str, theta: float, distance: float, extrapolation: float, rounds: int = 5) -> str:
+    """CTE merged of source(inline_number, label, pid, x, z): clusters joined while pairs are below all limits, labels dense by the smallest member. Five rounds are more than these tables need."""
+    out, before = [], source
+    off = "avg(abs(-sin(g.t) * (p.x - g.mx) + cos(g.t) * (p.z - g.mz)))"
+    for k in range(1, rounds + 1):
+        side = lambda mine, theirs: f"(SELECT d.inline_number, d.i, d.j, {off} AS o FROM d{k} d JOIN {before} p ON p.inline_number = d.inline_number AND p.label = d.{mine} JOIN g{k} g ON g.inline_number = d.inline_number AND g.label = d.{theirs} GROUP BY 1, 2, 3)"  # noqa: B023, E731
+        out.append(f"""g{k} AS (SELECT inline_number, label, avg(x) AS mx, avg(z) AS mz, 0.5 * atan2(2 * covar_pop(x, z), var_pop(x) - var_pop(z)) AS t FROM {before} GROUP BY 1, 2),
+  d{k} AS (SELECT a.inline_number, a.label AS i, b.label AS j, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z))) AS distance FROM {before} a JOIN {before} b ON a.inline_number = b.inline_number AND a.label < b.label GROUP BY 1, 2, 3),
+  join{k} AS (SELECT d.inline_number, d.i, d.j FROM d{k} d JOIN {side("i", "j")} u USING (inline_number, i, j) JOIN {side("j", "i")} v USING (inline_number, i, j) JOIN g{k} a ON a.inline_number = d.inline_number AND a.label = d.i JOIN g{k} b ON b.inline_number = d.inline_number AND b.label = d.j
+    WHERE distance < {distance} AND least(u.o, v.o) < {extrapolation} AND degrees(acos(least(1.0, abs(cos(a.t - b.t))))) < {theta}),
+  ways{k} AS (SELECT inline_number, i AS a, j AS b FROM join{k} UNION SELECT inline_number, j, i FROM join{k}),
+  far{k} AS (SELECT inline_number, a AS node, a AS root FROM ways{k} UNION SELECT f.inline_number, w.b, f.root FROM far{k} f JOIN ways{k} w ON w.inline_number = f.inline_number AND w.a = f.node WHERE f.root < w.b),
+  root{k} AS (SELECT inline_number, node AS label, min(root) AS root FROM far{k} GROUP BY 1, 2),
+  m{k} AS (SELECT p.inline_number, coalesce(r.root, p.label) AS label, p.pid, p.x, p.z FROM {before} p LEFT JOIN root{k} r ON r.inline_number = p.inline_number AND r.label = p.label)""")
+        before = f"m{k}"
+    out.append(f"merged AS (SELECT inline_number, dense_rank() OVER (PARTITION BY inline_number ORDER BY label) - 1 AS label, pid, x, z FROM {before})")
+    return ",\n  ".join(out)
+
+
+ORACLE_SQL["merge_clusters"] = f"WITH RECURSIVE {CLUSTERS_SQL}, kept AS (SELECT * FROM clustered WHERE label >= 0), {_merge_sql('kept', 17, 20, 4)} SELECT inline_number, pid, CAST(label AS INTEGER) AS label FROM merged"
+
+DETECTED_SQL = f"""WITH RECURSIVE {RIDGE_SQL}, cand AS (SELECT inline_number, x, z FROM pixels WHERE CAST(p AS FLOAT) > CAST(0.7 AS FLOAT)),
+  ridges AS (SELECT r.* FROM ridge r JOIN cand c ON c.inline_number = r.inline_number AND c.x = r.x AND c.z = r.z),
+  dist AS (SELECT c.inline_number, c.x, c.z, min(sqrt((c.x - r.x) * (c.x - r.x) + (c.z - r.z) * (c.z - r.z))) AS d FROM cand c JOIN ridges r USING (inline_number) GROUP BY 1, 2, 3),
+  ordered AS (SELECT *, row_number() OVER (PARTITION BY inline_number ORDER BY CASE WHEN d <= 2 THEN 0 ELSE d END, x, z) AS n, ceil(count(*) OVER (PARTITION BY inline_number) * 0.999) AS need FROM dist),
+  preserved AS (SELECT inline_number, x, z FROM ordered WHERE d <= 2 OR n <= need UNION ALL SELECT inline_number, x, z FROM cand WHERE inline_number NOT IN (SELECT inline_number FROM ridges)),
+  {_grouped_sql("preserved", 1)}, first_points AS (SELECT inline_number, pid, CAST(x AS DOUBLE) AS x, CAST(z AS DOUBLE) AS z FROM pts),
+  {_dbscan_sql("first_points", 4.2, 2)}, dense_points AS (SELECT * FROM clustered WHERE label >= 0),
+  {_curve_sql("dense_points", "_a")}, {_smoothed_sql("_a")}, {_angle_rounds_sql("smoothed_a", 10, "a")},
+  renewed AS (SELECT inline_number, label, x, z, row_number() OVER (PARTITION BY inline_number ORDER BY label, pid) - 1 AS pid FROM kepta10),
+  {_dbscan_sql("renewed", 4.2, 2, "_b")}, quiet AS (SELECT r.* FROM renewed r JOIN clustered_b c ON c.inline_number = r.inline_number AND c.pid = r.pid AND c.label >= 0),
+  {_merge_sql("quiet", 17, 10, 8)},
+  sizes AS (SELECT inline_number, label, min(pid) AS first FROM merged GROUP BY 1, 2 HAVING count(*) >= 3 AND max(z) - min(z) > 2),
+  large AS (SELECT m.inline_number, s.label, pid, x, z FROM merged m JOIN (SELECT inline_number, label AS old, row_number() OVER (PARTITION BY inline_number ORDER BY first) - 1 AS label FROM sizes) s ON s.inline_number = m.inline_number AND s.old = m.label),
+  {_curve_sql("large", "_c")}, {_smoothed_sql("_c")}, {_angle_rounds_sql("smoothed_c", 10, "c")},
+  knots AS (SELECT inline_number, label, x, min_by(z, pid) AS z FROM keptc10 GROUP BY 1, 2, 3),
+  spans AS (SELECT *, lead(x) OVER w AS x2, lead(z) OVER w AS z2 FROM knots WINDOW w AS (PARTITION BY inline_number, label ORDER BY x)),
+  ends AS (SELECT inline_number, label, min(x) AS low, max(x) AS high FROM knots GROUP BY 1, 2 HAVING min(x) < max(x)),
+  wanted AS (SELECT inline_number, label, low, high, CAST(trunc(low + j) AS INTEGER) AS xi FROM (SELECT *, unnest(range(CAST(ceil(high + 1 - low) AS INTEGER))) AS j FROM ends))
+  SELECT w.inline_number, CAST(w.label AS INTEGER) AS label, xi AS x, CAST(round_even(z + (xi - x) * (z2 - z) / (x2 - x), 0) AS INTEGER) AS z FROM wanted w JOIN spans s ON s.inline_number = w.inline_number AND s.label = w.label AND x2 IS NOT NULL AND (xi >= x OR x = low) AND (xi < x2 OR x2 = high)"""
+
+
+@query("detected_lines", DETECTED_SQL)
 def detected_lines(spark, sf_dir):
-    """The whole detection on one pixel grid per line number, with thresholds for its coarse counts; tested stage by stage."""
-    config = detection.DetectionConfig(threshold=0.7, max_gap=1, eps=4, min_samples=2, second_min_samples=2, merge_distance=10, min_cluster_points=3, min_vertical_range=2, support_radius=2)
+    """The whole detection on one pixel grid per line number, with thresholds for its coarse counts.
+
+    Points start on whole pixels, so a whole eps would be met exactly by many pairs and be decided by the last
+    bit of the smoothing's sums, which no two engines need share; 4.2 lies between the grid's distances.
+    """
+    config = detection.DetectionConfig(threshold=0.7, max_gap=1, eps=4.2, second_eps=4.2, min_samples=2, second_min_samples=2, merge_distance=10, min_cluster_points=3, min_vertical_range=2, support_radius=2)
     return detection.detect_lines(A.pixels(spark, sf_dir), config)["interpolated"]
 
 
