@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import posixpath
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,21 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geostrata.storage import shared_dir
+
 #: Entries after which a task's word cache is emptied, so that its memory stays bounded.
 CACHE_WORDS = 200_000
 #: Bits of a bitmap of ids; a power of 2.
 FILTER_BITS = 1 << 24
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one if unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 

@@ -1,6 +1,6 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
-For each language a raw-content dictionary is cut from a bounded sample of labelled rows. A text is cut into
+For each language a raw-content dictionary is cut from all over a bounded sample of labelled rows. A text is cut into
 blocks, every block is compressed with each dictionary, and the language with the smallest total wins. The
 margin to the second smallest total, in proportion to it, says how sure that is; a narrow margin is rejected.
 """
@@ -11,33 +11,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.llm.common import training_rows
 
-#: Bounds of the sample: rows per language, characters of one row, bytes of a dictionary.
-ROWS, ROW_CHARS, DICTIONARY_BYTES = 400, 2000, 96 * 1024
+#: Bounds of the sample: rows of a language, of whole texts; bytes of a dictionary; characters of a piece of one; languages.
+ROWS, DICTIONARY_BYTES, PIECE, LANGUAGES = 400, 96 * 1024, 512, 1000
 BLOCK, LEVEL, MARGIN = 4096, 6, 0.02
 UNKNOWN = "und"
 
 
-def fit_dictionaries(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", rows: int = ROWS, row_chars: int = ROW_CHARS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A dictionary for each non-null language, from at most `rows` rows of it, the first by a hash of the key.
+def fit_dictionaries(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", rows: int = ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+    """A dictionary for each non-null language, of pieces of at most `rows` rows of it, the first by a hash of the key.
 
-    Rows with null text or key give nothing. The sample's ids are chosen before any text is moved.
+    Sampled texts are read whole, and pieces at hashed places all over them fill the dictionary, so that no row
+    counts by its beginning. Rows are found by a threshold on the hash that follows from the language's count, so
+    what tasks pass on does not grow with them. Rows with null text or key give nothing; of rows that repeat a
+    key each counts. More than LANGUAGES languages are an error. No rows give no dictionaries.
     """
     good = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull())
-    order = Window.partitionBy("__lang").orderBy(F.xxhash64("__key"), "__key")
-    ids = good.select(F.col(lang).cast("string").alias("__lang"), F.col(key).alias("__key"))
-    ids = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= rows).select("__lang", "__key").distinct()
-    texts = good.select(F.col(lang).cast("string").alias("__lang"), F.col(key).alias("__key"), F.substring(text, 1, row_chars).alias("__text"))
-    got = texts.join(F.broadcast(ids), ["__lang", "__key"]).orderBy("__lang", F.xxhash64("__key"), "__key", "__text").select("__lang", "__text").collect()
-    held: dict[str, list[str]] = {}
+    good = good.select(F.col(lang).cast("string").alias("lang"), F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"))
+    share = F.pmod(F.xxhash64("key"), F.lit(1 << 52)) / F.lit(1 << 52)
+    counts = good.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not counts:
+        return {}
+    enough = rows + 6 * rows**0.5 + 20
+    limits = docs.sparkSession.createDataFrame([(x["lang"], min(1.0, enough / x["n"])) for x in counts], "lang string, most double")
+    near = good.withColumn("share", share).join(F.broadcast(limits), "lang").where("share <= most")  # at most LANGUAGES rows
+    ranked = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("share", "key", "text"))).where(F.col("nth") <= rows)
+    ranked = ranked.withColumn("whole", F.sum(F.octet_length("text")).over(Window.partitionBy("lang")))
+
+    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            held = []
+            for name, k, t, whole in zip(frame["lang"], frame["key"], frame["text"], frame["whole"], strict=True):
+                for at in range(0, len(t), PIECE):
+                    place = xxhash.xxh3_64_intdigest(f"{k}:{at}".encode())
+                    if place / 2**64 <= (size + 8 * PIECE) * 1.2 / whole:
+                        held.append((name, place - (1 << 63), t[at : at + PIECE].lower()))
+            yield pd.DataFrame(held, columns=["lang", "place", "piece"])
+
+    got = ranked.select("lang", "key", "text", "whole").mapInPandas(pieces, "lang string, place long, piece string").orderBy("lang", "place", "piece").collect()
+    found: dict[str, bytes] = {x["lang"]: b"" for x in counts}
     for x in got:
-        held.setdefault(x["__lang"], []).append(x["__text"].lower())
-    return {k: "\n".join(v).encode()[-size:] for k, v in sorted(held.items())}
+        if len(found[x["lang"]]) < size:
+            found[x["lang"]] += x["piece"].encode("utf-8", "replace") + b"\n"
+    return {k: v[:size] for k, v in sorted(found.items())}
 
 
 class LanguageClassifier:
@@ -72,7 +96,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id
     """(key, lang_pred, lang, score): the closest language, the same or `und` where the margin is narrow, and margin / (margin + threshold).
 
     Null texts and texts without a letter: `und`, score 0. A tie goes to the first language by name with
-    score 0. Texts are read whole, in blocks. Null and repeated keys keep their rows; other columns are left out.
+    score 0. Texts of any length are read whole, in blocks. Null and repeated keys keep their rows; other
+    columns are left out, whatever their names. An empty table gives no rows; with no dictionaries all is `und`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
