@@ -38,7 +38,6 @@ class TokenAutomaton:
 
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.label = {i: token for token, i in vocabulary.items()}
-        self.ids = {token: i for token, i in vocabulary.items()}
         self.target: dict[int, int] = {}  # token: the state to which its arcs lead
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: rank of its gadget, left and right part
         self.gadgets: dict[tuple[int, int], int] = {}  # (left, right): rank
@@ -90,8 +89,6 @@ class TokenAutomaton:
 
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of one pre-token. A byte without an id raises KeyError."""
-        if (whole := self.ids.get(word)) is not None:
-            return [whole]  # a token's own merges make it where it stands alone
         n, table, target, begins = len(word), self.table, self.target, self.begins
         last, begin = [-1] * (n + 1), [0] * (n + 1)
         reached = [0] + [-1] * n
