@@ -19,12 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import saved
-from geostrata.llm.vectors import of_one_size, usable
+from geostrata.llm.common import drop_saved, saved
+from geostrata.llm.vectors import common_size, few, matrix, usable
 
 SAMPLE_ROWS, WIDTH, CODEWORDS, PARALLEL, ROUNDS = 10_000, 2, 16, 4.0, 8
-#: Vectors a scan takes at once, queries in a block, and vectors of a block that are ranked exactly at first per neighbour asked for.
-SCAN_ROWS, QUERY_BLOCK, RERANK = 8192, 4096, 12
+#: Vectors a scan takes at once, vectors that a task holds, queries in a block, and vectors of a block that are ranked exactly at first per neighbour asked for.
+SCAN_ROWS, HELD_ROWS, QUERY_BLOCK, RERANK = 8192, 65_536, 4096, 12
 
 
 @dataclass
@@ -100,25 +100,30 @@ def fit_quantiser(x: np.ndarray, width: int = WIDTH, parallel: float = PARALLEL,
 
 
 def build_index(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE_ROWS) -> tuple[DataFrame, Quantiser]:
-    """(key, embedding, codes) of every usable row, and the quantiser, fitted on at most `sample` rows, the first by a hash of the key.
+    """(key, embedding, codes) of every usable row, and the quantiser, fitted on at most `sample` rows of the most common size, the first by a hash of the key.
 
-    Null keys and vectors that are null, empty, zero or not finite take no part, nor do those of another size
-    than most. Codes hold two subspaces a byte. Other columns are left out; repeated keys keep their rows.
+    Null keys and vectors that are null, empty, zero or not finite take no part. Rows of another size than most
+    have no codes and are searched exactly. Codes hold two subspaces a byte. Other columns are left out, whatever
+    their names; repeated keys keep their rows; an empty table gives an empty index.
     """
     rows = rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("embedding"))
-    rows, d = of_one_size(rows.where(F.col("key").isNotNull() & usable(F.col("embedding"))), "embedding")
-    some = rows.orderBy(F.xxhash64("key"), "key").limit(sample).select("embedding").toPandas()
+    rows = rows.where(F.col("key").isNotNull() & usable(F.col("embedding")))
+    d, n = common_size(rows, "embedding")
+    some = few(rows.where(F.size("embedding") == d), "key", n, sample).orderBy(F.xxhash64("key"), "key").limit(sample).select("embedding").toPandas()
     model = fit_quantiser(np.array(some["embedding"].tolist(), float).reshape(len(some), max(1, d)))
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            if len(x):
-                codes = shared.value.encode(np.array(x["embedding"].tolist()))
+            x = x.assign(codes=None)
+            fits = x["embedding"].map(len) == d
+            if fits.any():
+                codes = shared.value.encode(matrix(x.loc[fits, "embedding"]))
                 if codes.shape[1] % 2:
                     codes = np.pad(codes, ((0, 0), (0, 1)))
                 packed = (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
-                yield x.assign(codes=[r.tobytes() for r in packed])
+                x.loc[fits, "codes"] = pd.Series([r.tobytes() for r in packed], x.index[fits])
+            yield x
 
     return rows.mapInPandas(encode, "key long, embedding array<double>, codes binary"), model
 
@@ -168,54 +173,82 @@ def _scan(model: Quantiser, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, q
     return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
 
+def _exactly(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest rows of a block to each query, all distances taken."""
+    out = []
+    for qid, q in zip(query_ids, queries, strict=True):
+        own = ids != qid
+        distance = np.sqrt(((x[own] - q) ** 2).sum(1))
+        order = np.lexsort((ids[own], distance))[:k]
+        out.append(pd.DataFrame({"query_id": np.full(len(order), qid), "vec_id": ids[own][order], "score": distance[order]}))
+    return pd.concat(out)
+
+
 def search(index: DataFrame, model: Quantiser, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of the index found for each query but the query's own row.
 
-    Queries go in blocks of QUERY_BLOCK, each broadcast (at most QUERY_BLOCK vectors) and scanned against all
-    rows; ties go to the smaller key. Unusable queries have no rows; of repeated query keys one is used.
-    Fewer rows than k give fewer neighbours.
+    Queries are written in blocks of about QUERY_BLOCK as files of the shared folder; a task reads one block after
+    another for every HELD_ROWS rows of its part of the index, so that neither the driver nor a task holds all
+    queries. Ties go to the smaller key. Unusable queries have no rows; of repeated query keys the one with the
+    smallest vector counts. Vectors are compared with those of their own size. Fewer rows than k give fewer
+    neighbours; an empty index or no queries give none.
     """
-    spark, d = index.sparkSession, None
-    asked = queries.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("embedding")).where(F.col("key").isNotNull() & usable(F.col("embedding"))).dropDuplicates(["key"])
-    first = index.select(F.size("embedding").alias("d")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if first is None:
-        return empty
-    d = first["d"]
-    blocks, found = _blocks(asked.where(F.size("embedding") == d)), None
-    for ids, q in blocks:
-        shared = spark.sparkContext.broadcast((model, ids, q))
-
-        def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            model, ids, q = shared.value
-            for frame in frames:
-                for at in range(0, len(frame), SCAN_ROWS):
-                    some = frame.iloc[at : at + SCAN_ROWS]
-                    packed = np.frombuffer(b"".join(some["codes"]), np.uint8).reshape(len(some), -1)
-                    codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(some), -1)[:, : len(model.books)]
-                    keys, x = some["key"].to_numpy(), np.array(some["embedding"].tolist())
+    spark = index.sparkSession
+    asked = queries.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("embedding")).where(F.col("key").isNotNull() & usable(F.col("embedding")))
+    asked = saved(asked.groupBy("key").agg(F.min("embedding").alias("embedding")), "queries")
+    blocks = saved(asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK)), "key"), "query-blocks")
+    drop_saved(asked)
+    paths = sorted(blocks.inputFiles())  # one name a block
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def answer() -> Iterator[pd.DataFrame]:
+            rows = pd.concat(held, ignore_index=True)
+            sizes = rows["embedding"].map(len).to_numpy()
+            parts = []
+            for d in np.unique(sizes).tolist():
+                some = rows[sizes == d]
+                for at in range(0, len(some), SCAN_ROWS):
+                    block = some.iloc[at : at + SCAN_ROWS]
+                    keys, x, codes = block["key"].to_numpy(), matrix(block["embedding"]), None
                     kept = _first_copies(keys, x, k + 1)
-                    yield _scan(model, keys[kept], x[kept], codes[kept], ids, q, k)
-
-        part = index.mapInPandas(scan, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return empty
+                    if block["codes"].iloc[0] is not None:
+                        packed = np.frombuffer(b"".join(block["codes"]), np.uint8).reshape(len(block), -1)
+                        codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(block), -1)[kept, : len(model.books)]
+                    parts.append((d, keys[kept], x[kept], codes))
+            for path in paths:
+                block = _read_block(path)
+                long = block["embedding"].map(len).to_numpy()
+                found = []
+                for d, keys, x, codes in parts:
+                    some = block[long == d]
+                    if len(some):
+                        ids, q = some["key"].to_numpy(), matrix(some["embedding"])
+                        found.append(_exactly(keys, x, ids, q, k) if codes is None else _scan(model, keys, x, codes, ids, q, k))
+                if found:
+                    best = pd.concat(found).sort_values(["query_id", "score", "vec_id"])
+                    yield best.groupby("query_id").head(k)
+
+        for frame in frames:
+            held.append(frame)
+            if sum(map(len, held)) >= HELD_ROWS:
+                yield from answer()
+                held = []
+        if sum(map(len, held)):
+            yield from answer()
+
+    found = index.mapInPandas(scan, "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _blocks(asked: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries in blocks of bounded size; the driver holds one at a time."""
-    ids, rows = [], []
-    for x in asked.toLocalIterator():
-        ids.append(x["key"])
-        rows.append(x["embedding"])
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids), np.array(rows)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows)
+def _read_block(path: str) -> pd.DataFrame:
+    from pyarrow import fs, parquet
+
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_file(at) as source:
+        return parquet.read_table(source).to_pandas()
 
 
 def op4_neighbours(spark, sf_dir: str) -> DataFrame:

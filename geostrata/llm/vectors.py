@@ -13,14 +13,18 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
 
 
-def of_one_size(rows: DataFrame, vector: str) -> tuple[DataFrame, int]:
-    """The rows whose vectors have the most common number of components (the larger on a tie), and that number: others can't be compared with them."""
+def common_size(rows: DataFrame, vector: str) -> tuple[int, int]:
+    """(the most common number of components, the larger on a tie; the rows that have it), 0 and 0 without rows. What is fitted is fitted to these; others are compared among themselves."""
     sizes = rows.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    d = sizes["d"] if sizes else 0
-    return rows.where(F.size(vector) == d), d
+    return (sizes["d"], sizes["count"]) if sizes else (0, 0)
 
 
-def matrix(column, d: int) -> np.ndarray:
-    """Vectors of an Arrow list column as rows of doubles."""
-    flat = column.flatten() if hasattr(column, "flatten") else column
-    return np.asarray(flat, np.float64).reshape(-1, d)
+def few(rows: DataFrame, key: str, n: int, wanted: int) -> DataFrame:
+    """Of n rows about `wanted`, and rarely fewer, by a threshold on a hash of the key: what tasks pass on does not grow with them."""
+    most = min(1.0, (wanted + 6 * wanted**0.5 + 20) / max(1, n))
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 52)) / F.lit(1 << 52) <= most)
+
+
+def matrix(rows) -> np.ndarray:
+    """Vectors of one size as rows of doubles."""
+    return np.array(rows.tolist() if hasattr(rows, "tolist") else list(rows), np.float64)
