@@ -3,10 +3,10 @@
 Unit vectors link if their distance is at most eps, which a cosine threshold fixes. They are projected on
 leading principal axes and laid into a grid of cells eps wide. In the order of (label, cell, cell, ...) the
 sequence is cut into blocks of bounded size; two blocks are joined only if they share a label and their boxes
-on the principal axes are within eps, as distances on some axes never exceed the whole. Within a pair of
-blocks the two intervals are halved in turn and halves that are provably distant skipped; what is left is
-compared exactly. Equal vectors are one node with a weight, and a pair of blocks gives link counts and a
-spanning forest of its links, not the pairs.
+on the principal axes are within eps, as distances on some axes never exceed the whole. A block is sent once to
+a task and meets up to PARTNERS others there, one after another. Within a pair of blocks the two intervals are
+halved in turn and halves that are provably distant skipped; what is left is compared exactly. Equal vectors are
+one node with a weight, and a pair of blocks gives link counts and a spanning forest of its links, not the pairs.
 """
 
 from __future__ import annotations
@@ -15,29 +15,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import connected_components, saved
-from geostrata.llm.vectors import of_one_size, usable
+from geostrata.llm.common import connected_components, drop_saved, saved
+from geostrata.llm.vectors import common_size, matrix, usable
 
 THRESHOLD = 0.93
-AXES, BLOCK, LEAF, SLACK = 8, 512, 64, 1e-9
+AXES, BLOCK, LEAF, SLACK = 8, 4096, 64, 1e-9
+#: Blocks that a block meets in one task.
+PARTNERS = 32
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; the largest component first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def principal_axes(rows: DataFrame, d: int, axes: int = AXES) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, axes) of the unit vectors u: d*d sums per task, added on the driver's side of one aggregate."""
+    """(mean, axes) of the unit vectors of rows' x: d*d sums per task, added on the driver's side of one aggregate."""
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, total, square = 0, np.zeros(d), np.zeros((d, d))
         for x in frames:
             if len(x):
-                u = np.array(x["u"].tolist())
+                u = unit(matrix(x["x"]))
                 n, total, square = n + len(u), total + u.sum(0), square + u.T @ u
         flat = np.concatenate([[n], total, square.ravel()])
         yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
 
-    got = rows.select("u").mapInPandas(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # 1 + d + d * d rows
+    got = rows.select("x").mapInPandas(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # 1 + d + d * d rows
     flat = np.array([x["v"] for x in got]) if got else np.zeros(1 + d + d * d)
     n = max(1.0, flat[0])
     mean = flat[1 : 1 + d] / n
@@ -46,6 +54,13 @@ def principal_axes(rows: DataFrame, d: int, axes: int = AXES) -> tuple[np.ndarra
     return mean, vectors[:, ::-1][:, : min(axes, d)]
 
 
+def projected(u: np.ndarray, fitted: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Unit vectors on the principal axes, or on their first components where they are of another size: distances never grow. Missing axes are 0."""
+    mean, axes = fitted
+    p = (u - mean) @ axes if u.shape[1] == len(mean) else u[:, :AXES]
+    return np.pad(p, ((0, 0), (0, AXES - p.shape[1])))
+
+
 def _gap(a: np.ndarray, b: np.ndarray) -> float:
     """Distance of the boxes of two sets of projected points."""
     apart = np.maximum(0, np.maximum(a.min(0) - b.max(0), b.min(0) - a.max(0)))
@@ -92,34 +107,37 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """(key, n_links, component): links with cosine >= threshold within a label, and the smallest key that links reach.
 
-    Vectors that are null, empty, zero or not finite, those of another size than most, and those with a null
-    label link with nothing. A row with a null key has no links and a null component. Rows that repeat a key
-    count as vectors of their own with the same name. Other columns are left out; an empty table gives no rows.
+    Vectors that are null, empty, zero or not finite, and those with a null label, link with nothing; vectors of
+    different sizes never link. A row with a null key has no links and a null component. Rows that repeat a key
+    count as vectors of their own with the same name. Other columns are left out, whatever their names; an empty
+    table gives no rows. Cosines are taken in double precision of the vectors as given.
     """
     spark = rows.sparkSession
-    rows = rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("x"), F.col(label).cast("string").alias("label"))
-    good = rows.where(F.col("key").isNotNull() & F.col("label").isNotNull() & usable(F.col("x")))
-    good, d = of_one_size(good, "x")
-    d = max(1, d)
+    single = rows.schema[vector].dataType.simpleString() == "array<float>"
+    kind, bytes_of = ("array<float>", "<f4") if single else ("array<double>", "<f8")
+    rows = rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast(kind).alias("x"), F.col(label).cast("string").alias("label"))
+    fits = F.coalesce(F.col("key").isNotNull() & F.col("label").isNotNull() & usable(F.col("x")), F.lit(False))
+    good = rows.where(fits).withColumn("same", F.sha2(F.concat_ws(",", F.length("label").cast("string"), "label", F.col("x").cast("array<string>")), 256))
+    nodes = good.groupBy("same").agg(F.min("key").alias("node"), F.count("*").alias("weight"), F.min("label").alias("label"), F.min("x").alias("x"))
+    nodes = saved(nodes.withColumn("group", F.concat_ws(":", F.size("x").cast("string"), "label")), "vectors")
+    d, _ = common_size(nodes, "x")
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    good = good.withColumn("same", F.sha2(F.concat_ws(",", "label", F.col("x").cast("array<string>")), 256))
-    nodes = saved(good.groupBy("same").agg(F.min("key").alias("node"), F.count("*").alias("weight"), F.min("label").alias("label"), F.min("x").alias("x")), "vectors")
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, c: s + c * c))
-    unit = nodes.withColumn("norm", norm).select("node", "weight", "label", F.transform("x", lambda c: c / F.col("norm")).alias("u"))
-    mean, axes = principal_axes(unit, d)
-    shared = spark.sparkContext.broadcast((mean, axes))
-    k = axes.shape[1]
+    width = max(eps, 1e-6)
+    shared = spark.sparkContext.broadcast(principal_axes(nodes.where(F.size("x") == d), max(1, d)))
 
     def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mean, axes = shared.value
         for x in frames:
             if len(x):
-                p = (np.array(x["u"].tolist()) - mean) @ axes
-                cells = np.floor(p / max(eps, 1e-6)).astype(np.int64)
-                yield x.assign(p=list(p), cells=list(cells))
-
-    placed = unit.mapInPandas(project, "node long, weight long, label string, u array<double>, p array<double>, cells array<long>")
-    order = ["label", "cells", "node"]
+                p = np.zeros((len(x), AXES))
+                sizes = x["x"].map(len).to_numpy()
+                for size in np.unique(sizes).tolist():
+                    at = sizes == size
+                    p[at] = projected(unit(matrix(x.loc[at, "x"])), shared.value)
+                yield x.assign(p=list(p), cells=list(np.floor(p / width).astype(np.int64)))
+
+    columns = "node long, weight long, group string, x " + kind
+    placed = nodes.select("node", "weight", "group", "x").mapInPandas(project, columns + ", p array<double>, cells array<long>")
+    order = ["group", "cells", "node"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +147,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
             at = 0
             while at < len(x):
                 some = x.iloc[at : at + BLOCK]
-                some = some[some["label"] == some["label"].iloc[0]]
+                some = some[some["group"] == some["group"].iloc[0]]
                 if at + len(some) == len(x):
                     break
                 at += len(some)
@@ -140,28 +158,38 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     def _block(x: pd.DataFrame) -> pd.DataFrame:
         p = np.stack(x["p"])
-        packed = [np.ascontiguousarray(c).tobytes() for c in (x["node"].to_numpy(np.int64), x["weight"].to_numpy(np.int64), np.stack(x["u"]), p)]
-        return pd.DataFrame({"block": [int(x["node"].iloc[0])], "label": [x["label"].iloc[0]], "low": [p.min(0).tolist()], "high": [p.max(0).tolist()], "nodes": [packed[0]], "weights": [packed[1]], "units": [packed[2]], "points": [packed[3]]})
+        packed = [np.ascontiguousarray(c).tobytes() for c in (x["node"].to_numpy(np.int64), x["weight"].to_numpy(np.int64), np.stack(x["x"]).astype(bytes_of))]
+        return pd.DataFrame({"block": [int(x["node"].iloc[0])], "group": [x["group"].iloc[0]], "low": [p.min(0).tolist()], "high": [p.max(0).tolist()], "nodes": [packed[0]], "weights": [packed[1]], "vectors": [packed[2]]})
 
-    schema = "block long, label string, low array<double>, high array<double>, nodes binary, weights binary, units binary, points binary"
+    schema = "block long, group string, low array<double>, high array<double>, nodes binary, weights binary, vectors binary"
     cut = saved(placed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(blocks, schema), "vector-blocks")
-    width = max(eps, 1e-6)
-    cell = cut.select("label", "block", "low", "high", F.explode(F.sequence(F.floor(F.col("low")[0] / width) - 1, F.floor(F.col("high")[0] / width) + 1)).alias("cell"))
-    own = cut.select("label", F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(F.floor(F.col("low")[0] / width), F.floor(F.col("high")[0] / width))).alias("cell"))
+    span = lambda axis, more: F.explode(F.sequence(F.floor(F.col("low")[axis] / width) - more, F.floor(F.col("high")[axis] / width) + more))
+    cell = cut.select("group", "block", "low", "high").withColumn("c0", span(0, 1)).withColumn("c1", span(1, 1))
+    own = cut.select("group", "block", "low", "high").withColumn("c0", span(0, 0)).withColumn("c1", span(1, 0)).select("group", "c0", "c1", F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     apart = F.zip_with(F.zip_with("low", "high2", lambda a, b: F.greatest(a - b, F.lit(0.0))), F.zip_with("low2", "high", lambda a, b: F.greatest(a - b, F.lit(0.0))), lambda a, b: F.greatest(a, b))
     close = F.aggregate(F.transform(apart, lambda x: x * x), F.lit(0.0), lambda s, x: s + x) <= (eps + SLACK) ** 2
-    pairs = saved(cell.join(own, ["label", "cell"]).where("block <= other").where(close).select("block", "other").distinct(), "block-pairs")
-    left = cut.select("block", "nodes", "weights", "units", "points")
-    right = cut.select(F.col("block").alias("other"), *[F.col(c).alias(f"{c}2") for c in ("nodes", "weights", "units", "points")])
+    pairs = saved(cell.join(own, ["group", "c0", "c1"]).where("block <= other").where(close).select("block", "other").distinct(), "block-pairs")
+    hand = F.pmod(F.xxhash64("other"), F.ceil(F.count("*").over(Window.partitionBy("block")) / PARTNERS)).alias("hand")
+    hands = saved(pairs.select("block", "other", hand), "hands")
+    data = cut.select(F.col("block").alias("other"), "nodes", "weights", "vectors")
+    first = hands.select("block", "hand").distinct().join(data.withColumnRenamed("other", "block").hint("merge"), "block").select("block", "hand", F.lit(None).cast("long").alias("other"), "nodes", "weights", "vectors")
+    then = hands.join(data.hint("merge"), "other").select("block", "hand", "other", "nodes", "weights", "vectors")
+    met = first.union(then).repartition("block", "hand").sortWithinPartitions("block", "hand", F.col("other").asc_nulls_first())
+
+    def opened(x) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        nodes = np.frombuffer(x.nodes, np.int64)
+        u = unit(np.frombuffer(x.vectors, bytes_of).reshape(len(nodes), -1).astype(np.float64))
+        return nodes, np.frombuffer(x.weights, np.int64), u, projected(u, shared.value)
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = None
         for frame in frames:
             for x in frame.itertuples(index=False):
-                a, b = np.frombuffer(x.nodes, np.int64), np.frombuffer(x.nodes2, np.int64)
-                wa, wb = np.frombuffer(x.weights, np.int64), np.frombuffer(x.weights2, np.int64)
-                u, v = np.frombuffer(x.units).reshape(len(a), d), np.frombuffer(x.units2).reshape(len(b), d)
-                p, q = np.frombuffer(x.points).reshape(len(a), k), np.frombuffer(x.points2).reshape(len(b), k)
+                if pd.isna(x.other):
+                    mine = opened(x)
+                    continue
                 same = x.block == x.other
+                (a, wa, u, p), (b, wb, v, q) = mine, mine if same else opened(x)
                 ca, cb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
                 edges: list[tuple[int, int]] = []
                 for i, j in join_intervals(u, p, v, q, eps, threshold, same):
@@ -176,14 +204,14 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 hit = counted > 0
                 yield pd.DataFrame({"node": np.concatenate([nodes[hit], [y for _, y in edges]]).astype(np.int64), "links": np.concatenate([counted[hit], np.zeros(len(edges))]).astype(np.int64), "to": pd.array([None] * int(hit.sum()) + [x for x, _ in edges], dtype="Int64")})
 
-    met = saved(pairs.join(left, "block").join(right, "other").mapInPandas(compare, "node long, links long, to long"), "vector-links")
+    met = saved(met.mapInPandas(compare, "node long, links long, to long"), "vector-links")
+    drop_saved(cut)
     counts = met.groupBy("node").agg(F.sum("links").alias("links"))
     component = connected_components(met.where(F.col("to").isNotNull()).select(F.col("to").alias("a"), F.col("node").alias("b")))
     named = nodes.select("same", "node", "weight").join(counts, "node", "left").join(component, "node", "left")
     named = saved(named.select("same", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "vector-classes")
     linked = good.select("key", "same").join(named, "same").select("key", "n_links", "component")
-    rest = rows.where(~F.coalesce(F.col("key").isNotNull() & F.col("label").isNotNull() & usable(F.col("x")) & (F.size("x") == d), F.lit(False)))
-    return linked.unionAll(rest.select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component")))
+    return linked.unionAll(rows.where(~fits).select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component")))
 
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
