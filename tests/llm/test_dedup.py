@@ -76,6 +76,48 @@ def test_minhash_links_between_edited_copies(spark):
     assert got == want
 
 
+def families():
+    """4 families of 30 texts: 404 common words, then 22 of each text's own of which a pair of texts shares 6: background similarity 0.743, the pairs 0.763."""
+    r, out = random.Random(3), []
+    for f in range(4):
+        common = " ".join(f"f{f}c{k}" for k in range(404))
+        for k in range(15):
+            shared = " ".join(f"f{f}p{k}s{j}" for j in range(6))
+            out += [f"{common} {shared} " + " ".join(f"o{r.random()}" for _ in range(64)) for _ in range(2)]
+    r.shuffle(out)
+    return [(1000 + k, t) for k, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("tiles", [None, (2_000, 5_000)])
+def test_minhash_links_pairs_within_families(spark, monkeypatch, tiles):
+    """Pairs barely above the threshold among families barely below it; once more with tiles of a few texts."""
+    if tiles:
+        for name, value in zip(("TILE_HUBS", "TILE_MEMBERS"), tiles, strict=True):
+            monkeypatch.setattr(minhash, name, value)
+    rows = families()
+    want = jaccard_classes(rows)
+    got = {x["doc"]: (x["n"], x["component"]) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 4 < len({c for _, c in want.values()}) < 120
+    assert got == want
+
+
+def test_minhash_follows_drifting_copies(spark, monkeypatch):
+    """A chain of copies, each linked with its neighbours alone, in stars cut to three ends and tiles of a few texts."""
+    for name, value in (("STAR", 3), ("TILE_HUBS", 2_000), ("TILE_MEMBERS", 4_000)):
+        monkeypatch.setattr(minhash, name, value)
+    r, rows = random.Random(8), []
+    base = [f"w{k}" for k in range(500)]
+    for k in range(60):
+        words = list(base)
+        for at in range(0, 2 * k, 1):
+            words[(at * 7) % 500] = f"c{at}"
+        rows.append((k * 37 % 61, " ".join(words)))
+    r.shuffle(rows)
+    want = jaccard_classes(rows)
+    got = {x["doc"]: (x["n"], x["component"]) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_minhash_null_keys_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
     got = {(x["doc"], x["component"]) for x in minhash.near_duplicates(docs).collect()}
