@@ -167,21 +167,26 @@ def with_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> AdditiveModel:
-    """Fits on at most `rows` labelled rows whose key lets them be learned from, the first by a hash of the key.
+    """Fits on at most `rows` labelled keys that may be learned from, the first by a hash of the key.
 
-    A key with several labels counts by the largest; labels other than 0 and 1 and null keys are left out.
+    A key with several labels counts by the largest, a key of several texts by the one with the smallest features;
+    labels other than 0 and 1 and null keys are left out. Null and empty texts, and whole texts of any length,
+    are learned from alike; other columns are left out. With no labelled row every score is 0.5.
     """
     good = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & training_rows(F.col(key)))
     chosen = good.groupBy(F.col(key).cast("long").alias("key")).agg(F.max(label).cast("int").alias("__label")).orderBy(F.xxhash64("key"), "key").limit(rows)
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     got = with_features(texts.join(F.broadcast(chosen.select("key")), "key", "left_semi"), "key", "text").join(F.broadcast(chosen), "key")  # at most `rows` keys
-    data = got.orderBy("key").limit(2 * rows).toPandas()
+    data = got.groupBy("key").agg(F.min("features").alias("features"), F.max("__label").alias("__label")).orderBy("key").toPandas()  # at most `rows` keys
     x = np.array(data["features"].tolist(), float).reshape(len(data), len(FEATURES))
     return fit_additive(x, data["__label"].to_numpy(float))
 
 
 def score_quality(docs: DataFrame, model: AdditiveModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of every row of docs, by its whole text alone; a null text scores as an empty one."""
+    """(key, score) of every row of docs, by its whole text alone, however long; a null text scores as an empty one.
+
+    Null and repeated keys keep their rows; other columns are left out, whatever their names; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,7 +198,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel, key: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float, text: str = "text") -> DataFrame:
-    """The rows of docs, unchanged, whose score is at least the threshold."""
+    """The rows of docs, unchanged, whose score is at least the threshold. Rows are judged each for itself, whatever their keys and other columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
