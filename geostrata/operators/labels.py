@@ -92,6 +92,11 @@ def grid_origins(spark, nx: int, nz: int, patch: int, stride: int) -> DataFrame:
     return x.select("x0", F.explode(F.sequence(F.lit(0), F.lit(max(rows - 1, 0)))).alias("z0")).where(F.lit(rows > 0)).select("x0", (F.col("z0") * stride).alias("z0"))
 
 
+def flip_x(values: Column, side: int) -> Column:
+    """A square patch, an array in (x, z) order, with x reversed."""
+    return F.flatten(F.transform(F.sequence(F.lit(side - 1), F.lit(0)), lambda x: F.slice(values, x * side + 1, side)))
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(w_pos, w_neg): the share of the other class, or (1, 1) if one class is empty."""
     counts = df.agg(F.count_if(F.col(label) > 0.5).alias("pos"), F.count_if(F.col(label) <= 0.5).alias("neg"))

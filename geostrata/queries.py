@@ -587,6 +587,16 @@ def duplicate_patches(spark, sf_dir):
     return labels.duplicates(A.table(spark, sf_dir, "orders"), ["o_custkey"])
 
 
+@query("flipped_patches", """WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders), s AS (SELECT o_custkey, k, o_totalprice FROM r WHERE k < 4 AND o_custkey IN (SELECT o_custkey FROM r WHERE k = 3))
+  SELECT o_custkey, CAST((1 - k // 2) * 2 + k % 2 AS INTEGER) AS k, round(o_totalprice, 2) AS v FROM s""")
+def flipped_patches(spark, sf_dir):
+    """Patches of side 2 from each customer's first four orders."""
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    first = A.table(spark, sf_dir, "orders").withColumn("k", nth).where("k <= 4")
+    patch = first.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "o_totalprice"))), lambda x: x["o_totalprice"]).alias("v")).where("size(v) = 4")
+    return patch.select("o_custkey", F.posexplode(labels.flip_x(F.col("v"), 2)).alias("k", "v")).select("o_custkey", "k", F.round("v", 2).alias("v"))
+
+
 @query("class_weights", "SELECT round(CAST(count(*) FILTER (quality <= 0.5) AS DOUBLE) / count(*), 6) AS w_pos, round(CAST(count(*) FILTER (quality > 0.5) AS DOUBLE) / count(*), 6) AS w_neg FROM labels")
 def class_weights(spark, sf_dir):
     return labels.class_weights(A.table(spark, sf_dir, "labels"), "quality").select(*_r("w_pos", "w_neg"))
@@ -612,6 +622,17 @@ def minmax_by_section(spark, sf_dir):
     return normalise.minmax(A.pixels(spark, sf_dir), ["inline_number"], "p", "v", 1e-8).select("inline_number", "x", "z", *_r("v"))
 
 
+@query("minmax_strict", f"WITH {A.PIXELS_SQL} SELECT inline_number, x, z, round((p - min(p) OVER w) / (max(p) OVER w - min(p) OVER w), 6) AS v FROM pixels WINDOW w AS (PARTITION BY inline_number)")
+def minmax_strict(spark, sf_dir):
+    """No epsilon: a section of one value is an error."""
+    return normalise.minmax(A.pixels(spark, sf_dir), ["inline_number"], "p", "v").select("inline_number", "x", "z", *_r("v"))
+
+
+@query("zscore_by_section", f"WITH {A.PIXELS_SQL} SELECT inline_number, x, z, round((p - avg(p) OVER w) / (stddev_pop(p) OVER w + 1e-8), 6) AS v FROM pixels WINDOW w AS (PARTITION BY inline_number)")
+def zscore_by_section(spark, sf_dir):
+    return normalise.zscore(A.pixels(spark, sf_dir), ["inline_number"], "p", "v", 1e-8).select("inline_number", "x", "z", *_r("v"))
+
+
 @query("minmax_then_zscore", f"WITH {A.PIXELS_SQL}, m AS (SELECT inline_number, x, z, (p - min(p) OVER w) / (max(p) OVER w - min(p) OVER w) AS m FROM pixels WINDOW w AS (PARTITION BY inline_number)) SELECT inline_number, x, z, round((m - avg(m) OVER w) / stddev_pop(m) OVER w, 6) AS v FROM m WINDOW w AS (PARTITION BY inline_number)")
 def minmax_then_zscore(spark, sf_dir):
     return normalise.minmax_then_zscore(A.pixels(spark, sf_dir), ["inline_number"], "p", "v").select("inline_number", "x", "z", *_r("v"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import json
 from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostrata.config import LinkConfig
 from geostrata.functions import scalars
 from geostrata.operators import contracts
+from geostrata.sources import files
 
 # What a sidecar says of itself.
 SCHEMA_VERSION, ARTIFACT_TYPE, COORDINATE_MODE, POINT_COLUMNS = "1.0", "fault_lines_2d", "downsampled_array_index", ["processed_profile_index", "processed_sample_index"]
@@ -39,6 +43,30 @@ def totals(rows: DataFrame) -> dict:
     return t.first().asDict()
 
 
+def write_section_npz(points: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
+    """Writes points (inline_number, cluster_id, x, z) as one flat .npz a section and gives (inline_number, path, clusters, points).
+
+    A file holds points, cluster_ids, point_offsets and point_columns, without pickled objects. A section is one
+    group: its size is bounded by its pixels. A file that exists is an error unless overwrite.
+    """
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["cluster_id", "x", "z"])
+        ids, first = np.unique(part["cluster_id"].to_numpy(np.int32), return_index=True)
+        held, body = part[["x", "z"]].to_numpy(np.int32), io.BytesIO()
+        np.savez_compressed(body, points=held, cluster_ids=ids, point_offsets=np.append(first, len(part)).astype(np.int64), point_columns=np.array(["profile_index", "sample_index"]))
+        name = f"section_{int(part['inline_number'].iloc[0]):06d}.npz"
+        store, at = files.store(folder)
+        store.create_dir(at, recursive=True)
+        if not overwrite and store.get_file_info(f"{at}/{name}").is_file:
+            raise ValueError(f"{name} exists")
+        with store.open_output_stream(f"{at}/{name}") as out:
+            out.write(body.getvalue())
+        return pd.DataFrame({"inline_number": [part["inline_number"].iloc[0]], "path": [f"{folder}/{name}"], "clusters": [len(ids)], "points": [len(part)]})
+
+    return points.select("inline_number", "cluster_id", "x", "z").groupBy("inline_number").applyInPandas(write, "inline_number int, path string, clusters long, points long")
+
+
 def write_fault_lines(points: DataFrame, sections: DataFrame, folder: str, config: LinkConfig, metadata: dict | None = None, overwrite: bool = False, allow_empty: bool = False) -> dict:
     """Writes points (inline_number, cluster_id, x, z) and their sidecar, and gives the metadata. An existing folder is an error unless overwrite; so are no lines at all unless allow_empty."""
     mode = "overwrite" if overwrite else "errorifexists"

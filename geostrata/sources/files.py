@@ -33,7 +33,8 @@ def plain_path(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:")
 
 
-def _store(path: str):
+def store(path: str):
+    """The file system of a path and the path within it."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -133,17 +134,29 @@ def checksums(spark: SparkSession, paths: list[str], hashed: bool = True) -> Dat
     return names.mapInPandas(run, "path string, size long, sha256 string")
 
 
+def check_axis_order(spark: SparkSession, folder: str) -> None:
+    """Raises where a synthetic dataset's config.json does not declare the axes (x, z): older ones were stored as (z, x). Other folders pass."""
+    from pyarrow import fs
+
+    place, at = store(folder)
+    if place.get_file_info(f"{at}/config.json").type != fs.FileType.File:
+        return
+    found = json.loads("\n".join(x["value"] for x in spark.read.text(f"{folder}/config.json", wholetext=True).collect()))
+    if isinstance(found, dict) and {"height", "width", "num_train", "num_val"} <= set(found) and found.get("array_axis_order") != ["x", "z"]:
+        raise ValueError(f"{folder} declares the axes {found.get('array_axis_order')}, not x, z")
+
+
 def need_empty(spark: SparkSession, folder: str, allowed: tuple[str, ...] = (".gitignore",)) -> None:
     """Raises where the folder is a file, or holds anything but plain files of the allowed names: stale payload must not enter a new run."""
     from pyarrow import fs
 
-    store, at = _store(folder)
-    info = store.get_file_info(at)
+    place, at = store(folder)
+    info = place.get_file_info(at)
     if info.type == fs.FileType.NotFound:
         return
     if info.type != fs.FileType.Directory:
         raise ValueError(f"{folder} is not a folder")
-    names = sorted(x.base_name for x in store.get_file_info(fs.FileSelector(at)) if not (x.base_name in allowed and x.type == fs.FileType.File))
+    names = sorted(x.base_name for x in place.get_file_info(fs.FileSelector(at)) if not (x.base_name in allowed and x.type == fs.FileType.File))
     if names:
         raise ValueError(f"{folder} is not empty: {', '.join(names[:5])}{' ...' if len(names) > 5 else ''}")
 
@@ -160,11 +173,11 @@ def write_patches(rows: DataFrame, folder: str, side: int, npy: bool = True, dat
     keep = ["sample_id", "split", "source_id", "inline_id", "section_index", "x0", "z0", "label_pixels", "source_nx", "source_nz", "requested_split", "source_segy", "source_csv", "source_segy_sha256", "source_csv_sha256"]
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, at = _store(folder)
+        place, at = store(folder)
 
         def put(name: str, body: bytes) -> tuple[str, str]:
-            store.create_dir(f"{at}/{name.rpartition('/')[0]}", recursive=True)
-            with store.open_output_stream(f"{at}/{name}") as out:
+            place.create_dir(f"{at}/{name.rpartition('/')[0]}", recursive=True)
+            with place.open_output_stream(f"{at}/{name}") as out:
                 out.write(body)
             return name, hashlib.sha256(body).hexdigest()
 
@@ -175,11 +188,11 @@ def write_patches(rows: DataFrame, folder: str, side: int, npy: bool = True, dat
                 out = {k: row[k] for k in keep if k in MANIFEST} | {"x1": row["x0"] + side, "z1": row["z0"] + side, "patch_size": side, "array_axis_order": "x,z"}
                 arrays = {"seismic": np.asarray(row["image"], "<f4").reshape(side, side), "label": np.asarray(row["label"], np.uint8).reshape(side, side)}
                 for name, array in arrays.items():
-                    place = f"{row['split']}/{name}{'s' if name == 'label' else ''}/{stem}"
+                    stem_at = f"{row['split']}/{name}{'s' if name == 'label' else ''}/{stem}"
                     body = io.BytesIO()
                     np.save(body, array)
-                    numpy_file = put(f"{place}.npy", body.getvalue()) if npy else ("", "")
-                    plain_file = put(f"{place}.dat", array.tobytes()) if dat else ("", "")
+                    numpy_file = put(f"{stem_at}.npy", body.getvalue()) if npy else ("", "")
+                    plain_file = put(f"{stem_at}.dat", array.tobytes()) if dat else ("", "")
                     out[f"{name}_file"], out[f"{name}_sha256"] = numpy_file if npy else plain_file
                     out[f"{name}_dat_file"], out[f"{name}_dat_sha256"] = plain_file
                 record = {k: row[k] for k in keep} | {"array_axis_order": ["x", "z"], "image_shape": [side, side], "patch_size": side}

@@ -346,6 +346,30 @@ def test_tiles_cover_and_blend(spark):
         tiles.probability_map(traces, lambda x: x * 9, TileConfig((p, p), overlap)).count()
 
 
+def test_sections_as_flat_archives(spark, tmp_path):
+    points = spark.createDataFrame([(7, 1, 3, 4), (7, 0, 1, 2), (7, 0, 0, 2), (9, 0, 5, 5), (9, 0, 6, 5)], "inline_number int, cluster_id int, x int, z int")
+    done = {x["inline_number"]: x for x in fault_lines.write_section_npz(points, f"{tmp_path}/npz").collect()}
+    held = np.load(done[7]["path"], allow_pickle=False)
+    assert held["cluster_ids"].tolist() == [0, 1] and held["point_offsets"].tolist() == [0, 2, 3] and held["points"].tolist() == [[0, 2], [1, 2], [3, 4]] and done[9]["points"] == 2
+    with pytest.raises(Exception, match="exists"):
+        fault_lines.write_section_npz(points, f"{tmp_path}/npz").collect()
+    assert fault_lines.write_section_npz(points, f"{tmp_path}/npz", overwrite=True).count() == 2
+
+
+def test_axis_order_of_datasets(spark, tmp_path):
+    files.check_axis_order(spark, str(tmp_path))
+    config = {"height": 1, "width": 1, "num_train": 1, "num_val": 1}
+    for more, good in (({"array_axis_order": ["x", "z"]}, True), ({"array_axis_order": ["z", "x"]}, False), ({}, False)):
+        (tmp_path / "config.json").write_text(json.dumps(config | more))
+        if good:
+            files.check_axis_order(spark, str(tmp_path))
+        else:
+            with pytest.raises(ValueError, match="axes"):
+                files.check_axis_order(spark, str(tmp_path))
+    (tmp_path / "config.json").write_text('{"other": 1}')
+    files.check_axis_order(spark, str(tmp_path))
+
+
 def test_file_checksums(spark, tmp_path):
     import hashlib
 
