@@ -75,17 +75,17 @@ def chamfer_parts(*columns: Column) -> Column:
 
 
 def _nearest_with_step(x: np.ndarray, z: np.ndarray, u: np.ndarray, v: np.ndarray, step: float, rows: int = 128) -> tuple[float, float]:
-    """Points in blocks that stay in the cache: at most `rows` times the other line's points are held."""
+    """Squared distances as one matrix product, |a|^2 - 2 ab + |b|^2 about the second line's mean, in blocks that stay in the cache: at most `rows` times the other line's points are held."""
+    mx, mz = u.mean(), v.mean()
+    x, z, u, v = x - mx, z - mz, u - mx, v - mz
+    left = np.stack([-2 * x, -2 * z, np.ones(len(x)), x * x + z * z], 1)
+    right = np.stack([u, v, u * u + v * v, np.ones(len(u))])
     near_b, total = np.full(len(u), np.inf), 0.0
     for at in range(0, len(x), rows):
-        d = x[at : at + rows, None] - u
-        d *= d
-        e = z[at : at + rows, None] - v
-        e *= e
-        d += e
-        total += np.sqrt(d.min(1) + step * step).sum()
+        d = left[at : at + rows] @ right
+        total += np.sqrt(np.maximum(d.min(1), 0) + step * step).sum()
         np.minimum(near_b, d.min(0), out=near_b)
-    return float(total / len(x)), float(np.sqrt(near_b + step * step).mean())
+    return float(total / len(x)), float(np.sqrt(np.maximum(near_b, 0) + step * step).mean())
 
 
 def score_candidates(lines: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
