@@ -26,26 +26,38 @@ ENDPOINT = r"""(?i)(?:https?|ftp|jdbc|postgres|mysql|redis|mongodb|amqp|s3)://[^
 #: Roles by kind: identifiers 0, secrets 1, endpoints 2; and which roles support a weak part of each role.
 ROLES = [1, 0, 1, 0, 1, 2]
 SUPPORT = {0: [1], 1: [0, 2], 2: [1]}
-SCOPE, BLOCK = 200, 256
+SCOPE, BLOCK, RUN = 200, 256, 64
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 MASK = "[SECRET]"
 
 
-def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """Leftmost non-overlapping matches as (start, kind, end) in code points, and the matches themselves."""
+def _matches(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches as (m, gap): the match and the code points since the one before."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     zipped = F.zip_with(matches, between, lambda m, b: F.struct(m.alias("m"), F.length(b).alias("gap")))
-    zipped = F.filter(zipped, lambda x: x["m"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,m:string>>").alias("out"))
+    return F.filter(zipped, lambda x: x["m"].isNotNull())
+
+
+def _spans(found: Column, kind: int) -> Column:
+    """(start, kind, end, m) of matches, in code points.
+
+    Appending to an array copies it, so matches are placed in runs of RUN, each from its own offset: a text full of
+    matches costs their number times RUN, not its square.
+    """
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int"))), lambda k: F.slice(found, k * RUN + 1, RUN))
+    lengths = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["m"])))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    offsets = F.aggregate(lengths, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["m"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("m"))
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["m"])
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("m"))
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    return F.aggregate(zipped, start, step)["out"]
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int,m:string>>")
+    return F.flatten(F.zip_with(runs, offsets, lambda r, at: F.aggregate(r, F.struct(at.alias("at"), empty.alias("out")), step)["out"]))
 
 
 def _plain(spans: Column) -> Column:
@@ -55,10 +67,12 @@ def _plain(spans: Column) -> Column:
 def with_parts(docs: DataFrame, text: str, base: str, weak: str) -> DataFrame:
     """docs with two more columns: the base spans and the weak spans, each sorted. Null text counts as empty."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    long = F.filter(_spans(t, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 12)
-    found = F.concat(_plain(long), _plain(_spans(t, ACCESS, 1)), _plain(_spans(t, HEX, 2)))
-    more = F.concat(_plain(_spans(t, LOGIN, 3)), _plain(_spans(t, WEAK_SECRET, 4)), _plain(_spans(t, ENDPOINT, 5)))
-    return docs.withColumns({base: F.array_sort(found), weak: F.array_sort(more)})
+    patterns = [ASSIGN, ACCESS, HEX, LOGIN, WEAK_SECRET, ENDPOINT]
+    held = docs.withColumns({f"__found{k}": _matches(t, p) for k, p in enumerate(patterns)})
+    spans = [_spans(F.col(f"__found{k}"), k) for k in range(len(patterns))]
+    long = F.filter(spans[0], lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 12)
+    found, more = F.concat(_plain(long), *map(_plain, spans[1:3])), F.concat(*map(_plain, spans[3:]))
+    return held.withColumns({base: F.array_sort(found), weak: F.array_sort(more)}).drop(*[f"__found{k}" for k in range(len(patterns))])
 
 
 def link_weak(parts: DataFrame, row: str, base: str, weak: str, scope: int = SCOPE) -> DataFrame:
