@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import byte_letters
+from geostrata.llm.common import byte_letters, small_batches
 
 CACHE_WORDS = 1_000_000
 #: Fixed value: the public pre-token pattern of byte-level BPE.
@@ -187,6 +187,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
                 got = [bpe(x) for x in part["text"]]
                 yield pd.DataFrame({"key": part["key"].astype("Int64"), "n_tokens": [x[0] for x in got], "ids": [x[1] for x in got], "decoded": [x[2].decode("utf-8", "replace") for x in got]})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInPandas(run, "key long, n_tokens long, ids string, decoded string")
 

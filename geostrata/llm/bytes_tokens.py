@@ -11,7 +11,7 @@ import numpy as np
 from geostrata.llm.common import byte_letters
 
 #: Entries of the younger half of the cache of words; with the older half a worker keeps at most twice as many, of some 200 bytes each.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 #: No normaliser, added token or pre-token of word_bpe_49k.json reaches across these characters.
 _PIECES = re.compile(r"[^ \n\t\r]+")
 #: Without these, normalising is lower-casing per character.

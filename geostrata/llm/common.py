@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import posixpath
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +18,9 @@ from pyspark.sql import functions as F
 from geostrata.storage import shared_dir
 
 #: Entries after which a task's word cache is emptied, so that its memory stays bounded.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 #: Bits of a bitmap of ids; a power of 2.
 FILTER_BITS = 1 << 24
 
@@ -108,10 +113,18 @@ def window_hashes(word_hashes: np.ndarray, width: int, base: int = _MULTIPLIER)
     return mixed(out)
 
 
-def in_chunks(frames: Iterator, rows: int) -> Iterator:
-    for frame in frames:
-        for at in range(0, len(frame), rows):
-            yield frame.iloc[at : at + rows]
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of BATCH_ROWS rows from now on, unless the session has a number of its own: some are long, and a batch is held on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system: a worker outlives its tasks, and each operator's leftovers would add up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import training_rows
+from geostrata.llm.common import small_batches, training_rows
 
 #: Bounds of the sample: rows of a language, of whole texts; bytes of a dictionary; characters of a piece of one; languages.
 ROWS, DICTIONARY_BYTES, PIECE, LANGUAGES = 400, 96 * 1024, 512, 1000
@@ -99,6 +99,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id
     score 0. Texts of any length are read whole, in blocks. Null and repeated keys keep their rows; other
     columns are left out, whatever their names. An empty table gives no rows; with no dictionaries all is `und`.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import connected_components, drop_saved, mixed, saved, window_hashes, with_maybe, word_hashes
+from geostrata.llm.common import connected_components, drop_saved, mixed, saved, small_batches, tidy, window_hashes, with_maybe, word_hashes
 
 SHINGLE, THRESHOLD = 5, 75
 BINS, BAND_ROWS = 256, 5
@@ -90,6 +90,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((0, None, None, None))
             n, same, bins, keys = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([some["doc"], pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bins, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+    tidy()
 
 
 def least_agreement(n: np.ndarray, threshold: int) -> np.ndarray:
@@ -136,6 +137,7 @@ def _confirmed(threshold: int):
                         links.append((a, b))
                 a, b = zip(*links, strict=True) if links else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        tidy()
 
     return run
 
@@ -236,6 +238,8 @@ def _met_in_tiles(threshold: int):
                 held.append(batch.slice(a, b - a))
         if held:
             yield answer()
+        held.clear()
+        tidy()
 
     return run
 
@@ -250,6 +254,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append(((signature(h) & np.uint64(255)).astype(np.uint8).tobytes(), h.tobytes()) if len(h) else (None, None))
             bins, sets = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([some["doc"], pa.array(bins, pa.binary()), pa.array(sets, pa.binary())], names=["doc", "bins", "set"])
+    tidy()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -262,6 +267,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     A very long text is read whole, by one task, and counts by its distinct shingles like any other.
     Other columns are left out, whatever their names. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     sketch = saved(rows.mapInArrow(_sketches, "doc long, n long, same binary, bins binary, bands array<long>"), "sketch")
     heads = sketch.where("n > 0 and doc is not null").groupBy("same").agg(F.min(F.struct("doc", "n", "bins", "bands")).alias("h"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.llm.bytes_tokens import piece_encoder
-from geostrata.llm.common import saved
+from geostrata.llm.common import saved, small_batches, tidy
 
 PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, nth long"
 
@@ -105,6 +105,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, key:
     the full windows cut from overlong documents.
     """
     spark = docs.sparkSession
+    small_batches(spark)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, end = piece_encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
@@ -122,6 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, key:
                         rows.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), total, part, nth))
                 out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"])
                 yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+        tidy()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     pieces = saved(rows.mapInPandas(cut, PIECE), "pieces")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import training_rows
+from geostrata.llm.common import small_batches, training_rows
 
 #: Bounds and parameters of the fit.
 SAMPLE_ROWS = 20_000
@@ -159,6 +159,8 @@ def fit_additive(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 def with_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, features) of every row. Nulls, empty and very long texts, ties and repeated rows each keep their row; other columns are left out."""
 
+    small_batches(docs.sparkSession)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"key": frame["key"].astype("Int64"), "features": [features(x) for x in frame["text"]]})

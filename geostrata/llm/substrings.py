@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import drop_saved, saved, window_hashes, with_maybe, word_hashes
+from geostrata.llm.common import drop_saved, saved, small_batches, tidy, window_hashes, with_maybe, word_hashes
 
 WINDOW = 20
 #: Difference covers by period.
@@ -197,6 +197,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
     added names is replaced, whatever other columns are called. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     period, cover = cover_for(window)
     span = window - period + 1
@@ -234,6 +235,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
                 held, words = [], 0
         if held:
             yield flush()
+        held.clear()
+        tidy()
 
     def repeated(blocks: list[bytes]) -> list[tuple[int, bytes]]:
         h, doc, at = _gathered(blocks, "<u4", "steps", "<u4")
@@ -270,6 +273,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
                 held, words = [], 0
         if held:
             yield flush()
+        held.clear()
+        tidy()
 
     def later(blocks: list[bytes]) -> list[tuple[int, bytes]]:
         h, more, doc, at = _gathered(blocks, "<u8", "<u4", "steps", "<u4")
@@ -297,10 +302,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
         return pa.RecordBatch.from_arrays([some["row"], some["text"], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["row", "text", *ADDED])
 
     def cut_named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return (cut(some, ends, at) for ends, at, some in _with_places(batches))
+        yield from (cut(some, ends, at) for ends, at, some in _with_places(batches))
+        tidy()
 
     def cut_nothing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return (cut(some, {}, np.empty(0, np.int64)) for batch in batches for some in _slices(batch))
+        yield from (cut(some, {}, np.empty(0, np.int64)) for batch in batches for some in _slices(batch))
+        tidy()
 
     hits = _by_block(rows.select("key", "text").mapInArrow(anchors, BLOCK_SQL), repeated, n)
     asked = _laid_out(with_maybe(rows.select("key", "text"), _named(hits), "key").where("maybe").drop("maybe"), hits, n).mapInArrow(windows, BLOCK_SQL)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.llm.bytes_tokens import piece_encoder
-from geostrata.llm.common import new_path
+from geostrata.llm.common import new_path, small_batches
 
 # Fixed values of the public seekable format.
 SKIPPABLE, INDEX_MAGIC, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
@@ -113,6 +113,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
     renamed, so repeated or speculative tasks leave one whole file.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
