@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geostrata.operators import blocks
 from geostrata.storage import cut_lineage
 
 KEY = "inline_number"
@@ -32,27 +33,9 @@ def gradients(grid: DataFrame, key: str = KEY) -> DataFrame:
     return grid
 
 
-def ridge_core(grid: DataFrame, gradient_ratio: float = 0.1, step: float = 1.0, key: str = KEY) -> DataFrame:
-    """Pixels of grid (p, gx, gz) that are at least as high as both points a step along the gradient, where it is at least a share of the section's largest.
-
-    The points are read by bilinear interpolation with the edge repeated: each needs four cells, joined by position.
-    "At least as high" allows for 1e-12, the rounding of the interpolation on a plateau.
-    """
-    size = F.hypot("gx", "gz")
-    most = grid.groupBy(key).agg(F.max(size).alias("most"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("z").alias("z0"), F.max("z").alias("z1"))
-    steep = grid.join(most, key).where((F.col("most") > 0) & (F.hypot("gx", "gz") >= gradient_ratio * F.col("most")))
-    norm = F.hypot("gx", "gz") + F.lit(1.1920929e-07)
-    sides = steep.select(key, "x", "z", "p", "x0", "x1", "z0", "z1", (F.col("gx") / norm).alias("nx"), (F.col("gz") / norm).alias("nz"), F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("side"))
-    at_x = F.greatest(F.col("x0").cast("double"), F.least(F.col("x1").cast("double"), F.col("x") + F.col("side") * step * F.col("nx")))
-    at_z = F.greatest(F.col("z0").cast("double"), F.least(F.col("z1").cast("double"), F.col("z") + F.col("side") * step * F.col("nz")))
-    sides = sides.withColumns({"fx": F.floor(at_x), "fz": F.floor(at_z), "ax": at_x - F.floor(at_x), "az": at_z - F.floor(at_z)})
-    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    sides = sides.withColumn("c", corner)
-    weight = F.when(F.col("c.i") == 0, 1 - F.col("ax")).otherwise(F.col("ax")) * F.when(F.col("c.j") == 0, 1 - F.col("az")).otherwise(F.col("az"))
-    sides = sides.withColumns({"w": weight, "cx": F.least("x1", F.col("fx") + F.col("c.i")).cast("int"), "cz": F.least("z1", F.col("fz") + F.col("c.j")).cast("int")}).where("w > 0")
-    cells = grid.select(key, F.col("x").alias("cx"), F.col("z").alias("cz"), F.col("p").alias("cp"))
-    side = sides.join(cells, [key, "cx", "cz"]).groupBy(key, "x", "z", "side").agg(F.sum(F.col("w") * F.col("cp")).alias("v"), F.first("p").alias("p"))
-    return side.groupBy(key, "x", "z").agg((F.max("v") <= F.first("p") + 1e-12).alias("top")).where("top").select(key, "x", "z")
+def ridge_core(pixels: DataFrame, gradient_ratio: float = 0.1, step: float = 1.0, key: str = KEY) -> DataFrame:
+    """Pixels (p; absent cells of a section's bounding box being 0) that are at least as high as both points a step along the gradient, where it is at least a share of the section's largest."""
+    return blocks.ridge_core(pixels, gradient_ratio, step, key)
 
 
 def disk(radius: int) -> list[tuple[int, int]]:
@@ -64,9 +47,8 @@ def ellipse(a: int, c: int) -> list[tuple[int, int]]:
 
 
 def dilate(points: DataFrame, offsets: list[tuple[int, int]], keys: list[str]) -> DataFrame:
-    """Distinct points at the given offsets from points: each point is sent to its offsets."""
-    shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets]))
-    return points.select(*keys, "x", "z").distinct().withColumn("o", shifts).select(*keys, (F.col("x") + F.col("o.i")).alias("x"), (F.col("z") + F.col("o.j")).alias("z")).distinct()
+    """Distinct points at the given offsets from points."""
+    return blocks.dilate(points, offsets, keys)
 
 
 def preserve_around_ridges(points: DataFrame, core: DataFrame, radius: int = 8, min_keep_ratio: float = 0.999, key: str = KEY) -> DataFrame:
@@ -78,8 +60,8 @@ def preserve_around_ridges(points: DataFrame, core: DataFrame, radius: int = 8,
     if min_keep_ratio >= 1:
         return points.select(key, "x", "z")
     points, core = cut_lineage(points.select(key, "x", "z")), cut_lineage(core)
-    near = points.join(dilate(core, disk(radius), [key]), [key, "x", "z"], "left_semi").withColumn("d", F.lit(0.0))
-    rest = points.join(near.select(key, "x", "z"), [key, "x", "z"], "left_anti")
+    told = cut_lineage(blocks.within(points, core, disk(radius), [key]))
+    near, rest = told.where("near").drop("near"), told.where("not near").drop("near")
     nearest = nearest_distance(rest, core, key, first=radius)
     total = points.groupBy(key).agg(F.ceil(F.count("*") * min_keep_ratio).alias("need"))
     have = near.groupBy(key).agg(F.count("*").alias("have"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.config import LinkConfig
+from geostrata.operators import ranking
 from geostrata.storage import cut_lineage
 
 
@@ -142,8 +143,8 @@ def build_tracks(matches: DataFrame, lines: DataFrame, config: LinkConfig = Link
     edges = matches.where("selected and gap = 1").select("source_id", "target_id")
     member = chains(edges).join(lines.select("line_id", "sec", "mean_x", "mean_z"), "line_id")
     tracks = member.groupBy("start").agg(F.count("*").alias("lines"), F.min("sec").alias("first"), F.avg("mean_x").alias("mx"), F.avg("mean_z").alias("mz")).where(F.col("lines") >= config.min_lines)
-    order = Window.orderBy("first", F.round("mx", 9), F.round("mz", 9), "start")  # one row per track, which a rank needs together
-    tracks = tracks.withColumn("track_id", F.format_string("fault_%04d", F.row_number().over(order)))
+    tracks = tracks.withColumns({"mx": F.round("mx", 9), "mz": F.round("mz", 9)})
+    tracks = ranking.numbered(tracks, ["first", "mx", "mz", "start"]).withColumn("track_id", F.format_string("fault_%04d", F.col("place") + 1))
     return member.join(tracks.select("start", "track_id"), "start").select("track_id", F.col("position").cast("int").alias("member_order"), "line_id", "sec")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,53 +11,55 @@ from pyspark.sql import functions as F
 from geostrata.config import DetectionConfig, LinkConfig, TileConfig, as_json
 from geostrata.operators import contracts, tiles
 from geostrata.plans import detection
-from geostrata.sources import fault_lines, files, segy
-from geostrata.storage import cut_lineage
+from geostrata.sources import fault_lines, files, segy_index
+from geostrata.storage import cut_lineage, is_published
 
 KEY = "inline_number"
 
 
-def read_sections(spark: SparkSession, path: str, inlines: list[int] | None = None, xline_stride: int = 1, sample_stride: int = 1) -> DataFrame:
-    """(inline_number, xl_pos, crossline, amplitudes) of a regular cube, of the given inlines or all."""
-    spark.dataSource.register(segy.SegyDataSource)
-    rows = spark.read.format("segy").option("path", path).option("layout", "cube").option("xlineStride", xline_stride).option("sampleStride", sample_stride).load()
-    return rows if inlines is None else rows.where(F.col(KEY).isin(*inlines))
-
-
-def detect_sections(traces: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], tile: TileConfig = TileConfig(), config: DetectionConfig = DetectionConfig()) -> dict[str, DataFrame]:
+def detect_sections(traces: DataFrame, scorer: tiles.Scorer | tiles.ModelFile, tile: TileConfig = TileConfig(), config: DetectionConfig = DetectionConfig()) -> dict[str, DataFrame]:
     """The stages of detection on the sections' probability maps; `probabilities` among them."""
     pixels = cut_lineage(tiles.probability_map(traces, scorer, tile))
     return {"probabilities": pixels} | detection.detect_lines(pixels, config)
 
 
-def run_batch(spark: SparkSession, path: str, scorer: Callable[[np.ndarray], np.ndarray], folder: str, link: LinkConfig, xline_stride: int = 2, sample_stride: int = 2, tile: TileConfig = TileConfig(), config: DetectionConfig = DetectionConfig(), allow_missing: bool = False, fail_on_empty: bool = False, hash_input: bool = True, overwrite: bool = False) -> dict:
-    """Processes the inlines of link's range and writes the fault-line artefact; gives its metadata.
+def run_batch(spark: SparkSession, path: str, scorer: tiles.Scorer | tiles.ModelFile, folder: str, link: LinkConfig, xline_stride: int = 2, sample_stride: int = 2, tile: TileConfig = TileConfig(), config: DetectionConfig = DetectionConfig(), allow_missing: bool = False, fail_on_empty: bool = False, hash_input: bool = True, overwrite: bool = False) -> dict:
+    """Processes the inlines of link's range and publishes the fault-line artefact; gives its metadata.
 
-    The cube's geometry is small; pixels, tiles and points stay in Spark.
+    The cube may be one file or several (a folder or pattern), its traces in any order. Its axes come to the
+    driver, one row an inline and a crossline; headers, pixels, tiles and points stay in Spark.
     """
-    shape = segy.geometry(path, "cube")
-    available = spark.createDataFrame([(i,) for i in shape["inlines"]], f"{KEY} int")
-    chosen = [x[KEY] for x in contracts.select_inlines(available, link.inline_origin, link.inline_start, link.inline_end, link.inline_step, allow_missing).orderBy(KEY).collect()]  # at most one row an inline of the file
-    traces = read_sections(spark, path, chosen, xline_stride, sample_stride)
+    if not overwrite and is_published(spark, folder):
+        raise FileExistsError(f"{folder} exists")
+    index = cut_lineage(segy_index.scan_headers(spark, path))
+    facts = segy_index.layout_facts(index).first()
+    available = segy_index.inline_facts(index)
+    chosen = [x[KEY] for x in contracts.select_inlines(available.select(KEY), link.inline_origin, link.inline_start, link.inline_end, link.inline_step, allow_missing).orderBy(KEY).collect()]  # at most one row an inline
+    xlines = [x["crossline"] for x in index.select("crossline").distinct().orderBy("crossline").collect()]  # one row a crossline
+    traces = segy_index.read_sections(index, chosen, xline_stride, sample_stride)
     stages = detect_sections(traces, scorer, tile, config)
-    nx, nz = -(-len(shape["xlines"]) // xline_stride), -(-shape["samples"] // sample_stride)
+    samples, interval = facts["layout"]["samples"], facts["layout"]["interval"]
+    nx, nz = -(-len(xlines) // xline_stride), -(-samples // sample_stride)
     lines = fault_lines.normalised(cut_lineage(stages["interpolated"]), nx, nz)
     sections = spark.createDataFrame([(i,) for i in chosen], f"{KEY} int")
     if fail_on_empty:
         bare = sections.join(lines, KEY, "left_anti").first()
         if bare:
             raise ValueError(f"no fault line on inline {bare[KEY]}")
-    axes = {"crossline": (shape["xlines"], xline_stride), "sample": ([k * shape["interval"] / 1000 for k in range(shape["samples"])], sample_stride)}
+    parts = [x["path"] for x in index.select("path").distinct().collect()]  # one row a file
+    sums = {x["path"].rpartition("/")[2]: x["sha256"] for x in files.checksums(spark, parts, hash_input).orderBy("path").collect()}
+    whole = (next(iter(sums.values())) if len(sums) == 1 else hashlib.sha256("".join(sums.values()).encode()).hexdigest()) if hash_input else None
+    axes = {"crossline": (xlines, xline_stride), "sample": ([k * interval / 1000 for k in range(samples)], sample_stride)}
     records = {f"{kind}_{name}_axis": axis_record(values[:: stride if kind == "processed" else 1], stride if kind == "processed" else 1) for name, (values, stride) in axes.items() for kind in ("native", "processed")}
+    model = {"model_file": scorer.path.rpartition("/")[2], "model_sha256": scorer.sha256} if isinstance(scorer, tiles.ModelFile) else {}
     metadata = {
-        "input": {"segy_file": path.rpartition("/")[2], "segy_sha256": files.checksums(spark, [path], hash_input).first()["sha256"]},
+        "input": {"segy_file": path.rpartition("/")[2], "segy_sha256": whole, "segy_files": sums},
         "coordinates": {"processed_section_shape": [nx, nz], "crossline_stride": xline_stride, "sample_stride": sample_stride} | records,
+        "model": {"file": scorer.path.rpartition("/")[2], "sha256": scorer.sha256} if isinstance(scorer, tiles.ModelFile) else None,
         "parameters": {"tiles": as_json(tile), "detection": as_json(config)},
         "selected_inline_numbers": chosen,
     }
-    out = fault_lines.write_fault_lines(lines, sections, folder, link, metadata, overwrite)
-    detection.stage_counts(stages).write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{folder}/stage_counts")
-    return out
+    return fault_lines.write_fault_lines(lines, sections, folder, link, metadata, overwrite, more={"stage_counts": detection.stage_counts(stages)})
 
 
 def axis_record(values: list, stride: int) -> dict:

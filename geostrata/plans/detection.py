@@ -20,7 +20,7 @@ def detect_lines(pixels: DataFrame, config: DetectionConfig = DetectionConfig())
     """
     c = config
     out: dict[str, DataFrame] = {"candidates": grid.candidates(pixels, c.threshold).select(KEY, "x", "z")}
-    out["ridge_core"] = grid.ridge_core(grid.gradients(grid.dense_grid(pixels)), c.gradient_ratio, c.normal_step).join(out["candidates"], [KEY, "x", "z"], "left_semi")
+    out["ridge_core"] = grid.ridge_core(pixels, c.gradient_ratio, c.normal_step).join(out["candidates"], [KEY, "x", "z"], "left_semi")
     out["preserved"] = cut_lineage(grid.preserve_around_ridges(out["candidates"], out["ridge_core"], c.support_radius, c.min_keep_ratio))
     grouped = islands.group_points(out["preserved"], c.max_gap)
     order = Window.partitionBy(KEY).orderBy("x", "z")
@@ -57,13 +57,25 @@ def golden_mismatches(counts: DataFrame, inline: int, expected: dict[str, tuple[
     return wanted.join(found, "stage", "left").where(off("points") | off("clusters")).select("stage", "points", "clusters", "expected_points", "expected_clusters")
 
 
-def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
-    """(inline_number, stage, points, clusters) of every stage."""
-    parts = []
-    for name, df in stages.items():
-        clusters = F.countDistinct("label") if "label" in df.columns else F.lit(0).cast("long")
-        parts.append(df.groupBy(KEY).agg(F.count("*").alias("points"), clusters.alias("clusters")).select(KEY, F.lit(name).alias("stage"), "points", "clusters"))
+def tagged_stages(stages: dict[str, DataFrame]) -> DataFrame:
+    """(inline_number, stage, label) of all points of all stages; label is null in stages without clusters."""
+    parts = [df.select(KEY, F.lit(name).alias("stage"), (F.col("label") if "label" in df.columns else F.lit(None)).cast("string").alias("label")) for name, df in stages.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
     return out
+
+
+def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
+    """(inline_number, stage, points, clusters) of every stage."""
+    return stage_report(tagged_stages(stages)).where("level = 0").drop("level")
+
+
+def stage_report(tagged: DataFrame) -> DataFrame:
+    """(inline_number, stage, level, points, clusters): counts by inline and stage (level 0), by stage over all inlines (1) and over all (3), in one pass over tagged stages.
+
+    A cluster is a label within an inline and stage; points are added up by it first, so the rollup sees one row a cluster.
+    """
+    cluster = tagged.groupBy(KEY, "stage", "label").agg(F.count("*").alias("points"))
+    rolled = cluster.rollup("stage", KEY).agg(F.grouping_id("stage", KEY).alias("level"), F.sum("points").alias("points"), F.count("label").alias("clusters"))
+    return rolled.select(KEY, "stage", "level", "points", "clusters").where("points is not null")

@@ -245,7 +245,7 @@ ridge AS (SELECT inline_number, x, z FROM side_values GROUP BY 1, 2, 3 HAVING ma
 
 @query("ridge_core", f"WITH {RIDGE_SQL} SELECT inline_number, CAST(x AS INTEGER) AS x, CAST(z AS INTEGER) AS z FROM ridge")
 def ridge_core(spark, sf_dir):
-    return grid.ridge_core(grid.gradients(grid.dense_grid(A.pixels(spark, sf_dir)))).select("inline_number", F.col("x").cast("int").alias("x"), F.col("z").cast("int").alias("z"))
+    return grid.ridge_core(A.pixels(spark, sf_dir)).select("inline_number", F.col("x").cast("int").alias("x"), F.col("z").cast("int").alias("z"))
 
 
 @query("ridge_preserved", f"""WITH {RIDGE_SQL}, cand AS (SELECT inline_number, x, z FROM pixels WHERE CAST(p AS FLOAT) > CAST(0.3 AS FLOAT)),
@@ -255,7 +255,7 @@ def ridge_core(spark, sf_dir):
   SELECT inline_number, x, z FROM cand WHERE inline_number NOT IN (SELECT inline_number FROM ridge)""")
 def ridge_preserved(spark, sf_dir):
     pixels = A.pixels(spark, sf_dir)
-    core = grid.ridge_core(grid.gradients(grid.dense_grid(pixels)))
+    core = grid.ridge_core(pixels)
     out = grid.preserve_around_ridges(grid.candidates(pixels, 0.3), core, radius=1, min_keep_ratio=0.9)
     return out.select("inline_number", F.col("x").cast("int").alias("x"), F.col("z").cast("int").alias("z"))
 

@@ -15,6 +15,7 @@ from geostrata.config import LinkConfig
 from geostrata.functions import scalars
 from geostrata.operators import contracts
 from geostrata.sources import files
+from geostrata.storage import current_version, publish
 
 # What a sidecar says of itself.
 SCHEMA_VERSION, ARTIFACT_TYPE, COORDINATE_MODE, POINT_COLUMNS = "1.0", "fault_lines_2d", "downsampled_array_index", ["processed_profile_index", "processed_sample_index"]
@@ -67,29 +68,44 @@ def write_section_npz(points: DataFrame, folder: str, overwrite: bool = False) -
     return points.select("inline_number", "cluster_id", "x", "z").groupBy("inline_number").applyInPandas(write, "inline_number int, path string, clusters long, points long")
 
 
-def write_fault_lines(points: DataFrame, sections: DataFrame, folder: str, config: LinkConfig, metadata: dict | None = None, overwrite: bool = False, allow_empty: bool = False) -> dict:
-    """Writes points (inline_number, cluster_id, x, z) and their sidecar, and gives the metadata. An existing folder is an error unless overwrite; so are no lines at all unless allow_empty."""
-    mode = "overwrite" if overwrite else "errorifexists"
-    keyed = points.withColumn("line_key", scalars.inline_to_line_key(F.col("inline_number"), config.inline_origin, config.inline_step))
-    keyed.select("inline_number", "line_key", "cluster_id", "x", "z").write.mode(mode).parquet(f"{folder}/points")
-    spark = points.sparkSession
-    section_rows(spark.read.parquet(f"{folder}/points"), sections, config).write.mode(mode).parquet(f"{folder}/sections")
-    rows = spark.read.parquet(f"{folder}/sections")
-    odd = rows.where(F.col("line_key").isNull() | ~F.col("inline_number").between(config.inline_start, config.inline_end)).first()
-    counts = totals(rows)
-    if odd or (not counts["fault_lines"] and not allow_empty):
-        raise ValueError(f"section {odd['inline_number']} is off the declared inlines" if odd else "no section has a fault line")
-    record = (metadata or {}) | {
-        "schema_version": SCHEMA_VERSION, "artifact_type": ARTIFACT_TYPE, "line_mapping": {k: getattr(config, k) for k in MAPPING},
-        "coordinates": {"point_columns": POINT_COLUMNS, "coordinate_mode": COORDINATE_MODE} | (metadata or {}).get("coordinates", {}), "counts": counts,
-    }
-    spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.mode(mode).text(f"{folder}/metadata")
+def write_fault_lines(points: DataFrame, sections: DataFrame, folder: str, config: LinkConfig, metadata: dict | None = None, overwrite: bool = False, allow_empty: bool = False, more: dict[str, DataFrame] | None = None) -> dict:
+    """Publishes points (inline_number, cluster_id, x, z), their sidecar and the tables in more, and gives the metadata.
+
+    A new version is written beside the one before, checked, and then takes its place in one step (storage.publish), so an error
+    leaves what was there. An existing artefact is an error unless overwrite; so are sections off the declared
+    inlines, counts that disagree, and no lines at all unless allow_empty.
+    """
+    spark, record = points.sparkSession, {}
+
+    def write(version: str) -> None:
+        keyed = points.withColumn("line_key", scalars.inline_to_line_key(F.col("inline_number"), config.inline_origin, config.inline_step))
+        keyed.select("inline_number", "line_key", "cluster_id", "x", "z").write.parquet(f"{version}/points")
+        section_rows(spark.read.parquet(f"{version}/points"), sections, config).write.parquet(f"{version}/sections")
+        for name, table in (more or {}).items():
+            table.write.parquet(f"{version}/{name}")
+
+    def check(version: str) -> None:
+        rows = spark.read.parquet(f"{version}/sections")
+        odd = rows.where(F.col("line_key").isNull() | ~F.col("inline_number").between(config.inline_start, config.inline_end)).first()
+        counts = totals(rows)
+        if odd or (not counts["fault_lines"] and not allow_empty):
+            raise ValueError(f"section {odd['inline_number']} is off the declared inlines" if odd else "no section has a fault line")
+        record.update((metadata or {}) | {
+            "schema_version": SCHEMA_VERSION, "artifact_type": ARTIFACT_TYPE, "line_mapping": {k: getattr(config, k) for k in MAPPING},
+            "coordinates": {"point_columns": POINT_COLUMNS, "coordinate_mode": COORDINATE_MODE} | (metadata or {}).get("coordinates", {}), "counts": counts,
+        })
+        problem = reconcile(spark.read.parquet(f"{version}/points"), rows, record).first()
+        if problem:
+            raise ValueError(problem["problem"])
+        spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.text(f"{version}/metadata")
+
+    publish(spark, folder, write, check, overwrite)
     return record
 
 
-def read_metadata(spark: SparkSession, folder: str) -> dict:
-    """The sidecar's record, checked: version, type, a valid inline mapping, coordinate mode and columns."""
-    record = json.loads("\n".join(x["value"] for x in spark.read.text(f"{folder}/metadata", wholetext=True).collect()))  # one record
+def read_metadata(spark: SparkSession, version: str) -> dict:
+    """The record of a version's sidecar, checked: version, type, a valid inline mapping, coordinate mode and columns."""
+    record = json.loads("\n".join(x["value"] for x in spark.read.text(f"{version}/metadata", wholetext=True).collect()))  # one record
     mapping, coordinates = record.get("line_mapping") or {}, record.get("coordinates") or {}
     rules = [
         (record.get("schema_version") != SCHEMA_VERSION, f"schema_version is not {SCHEMA_VERSION}"),
@@ -140,9 +156,10 @@ def resolve_mapping(record: dict | None, config: LinkConfig = LinkConfig(), **wa
 
 
 def read_fault_lines(spark: SparkSession, folder: str, config: LinkConfig = LinkConfig(), **wanted: int) -> tuple[DataFrame, LinkConfig]:
-    """((sec, cluster, x, z) for reconstruction, the resolved configuration): reconciled with the sidecar, inlines outside the wanted range left out."""
-    record = read_metadata(spark, folder)
-    points, sections = spark.read.parquet(f"{folder}/points"), spark.read.parquet(f"{folder}/sections")
+    """((sec, cluster, x, z) for reconstruction, the resolved configuration) of the published version: reconciled with the sidecar, inlines outside the wanted range left out."""
+    version = current_version(spark, folder)
+    record = read_metadata(spark, version)
+    points, sections = spark.read.parquet(f"{version}/points"), spark.read.parquet(f"{version}/sections")
     problem = reconcile(points, sections, record).first()
     if problem:
         raise ValueError(problem["problem"])

@@ -10,15 +10,20 @@ inline; tasks read ranges of traces and check that these are where a regular cub
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 # Fixed values of the format: header sizes and, from 0, the places of the fields used.
 TEXT, BINARY, TRACE = 3200, 400, 240
 AT_INTERVAL, AT_SAMPLES, AT_FORMAT = 3216, 3220, 3224
 AT_INLINE, AT_XLINE = 188, 192
+#: Bytes read at once.
+READ_BYTES = 1 << 23
 
 
 def ibm_to_float(raw: np.ndarray) -> np.ndarray:
@@ -41,21 +46,50 @@ def _key(f, at: int) -> tuple[int, int]:
     return struct.unpack(">ii", f.read(8))
 
 
+def file_layout(f, length: int | None = None) -> dict:
+    """Samples, interval, format code and number of traces that a file's head and size tell."""
+    f.seek(0)
+    head = f.read(TEXT + BINARY)
+    if len(head) < TEXT + BINARY:
+        raise ValueError("the file does not hold a whole number of traces")
+    interval, samples, code = (struct.unpack(">H", head[at : at + 2])[0] for at in (AT_INTERVAL, AT_SAMPLES, AT_FORMAT))
+    if code not in (1, 5):
+        raise ValueError(f"format code {code} is not supported")
+    count, rest = divmod((f.size() if length is None else length) - TEXT - BINARY, TRACE + 4 * samples)
+    if rest or not count:
+        raise ValueError("the file does not hold a whole number of traces")
+    return {"samples": samples, "interval": interval, "format": code, "traces": count}
+
+
+def trace_ranges(f, layout: dict, runs: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first trace, traces as a structured array) of ranges of traces, in their order, READ_BYTES at most at once."""
+    kind = np.dtype([("head", f"V{AT_INLINE}"), ("inline", ">i4"), ("crossline", ">i4"), ("tail", f"V{TRACE - AT_XLINE - 4}"), ("data", ">f4" if layout["format"] == 5 else ">u4", (layout["samples"],))])
+    most = max(1, READ_BYTES // kind.itemsize)
+    for begin, end in runs:
+        f.seek(TEXT + BINARY + begin * kind.itemsize)
+        for at in range(begin, end, most):
+            n = min(most, end - at)
+            yield at, np.frombuffer(f.read(n * kind.itemsize), kind, n)
+
+
+def trace_batch(inlines: np.ndarray | None, places: np.ndarray, raw: np.ndarray, stride: int) -> pa.RecordBatch:
+    """Traces as a batch of (inline_number, xl_pos, crossline, amplitudes), every stride-th sample; no inlines make a null column."""
+    data = raw["data"][:, ::stride]
+    values = (data if data.dtype.kind == "f" else ibm_to_float(data.astype(np.uint32))).astype(np.float32)
+    n, width = values.shape
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.ravel()))
+    columns = [pa.nulls(n, pa.int32()) if inlines is None else pa.array(inlines), pa.array(places), pa.array(raw["crossline"].astype(np.int32)), lists]
+    return pa.RecordBatch.from_arrays(columns, names=["inline_number", "xl_pos", "crossline", "amplitudes"])
+
+
 def geometry(path: str, layout: str = "auto") -> dict:
     """Samples, interval, format code, traces, and the inlines and crosslines of a regular cube sorted by inline and crossline; no inlines for a line.
 
     With layout auto, traces that are not where a cube has them make the file a line; with cube they are an error.
     """
     with opened(path) as f:
-        head = f.read(TEXT + BINARY)
-        interval, samples, code = (struct.unpack(">H", head[at : at + 2])[0] for at in (AT_INTERVAL, AT_SAMPLES, AT_FORMAT))
-        if code not in (1, 5):
-            raise ValueError(f"format code {code} is not supported")
-        size = TRACE + 4 * samples
-        count, rest = divmod(f.size() - TEXT - BINARY, size)
-        if rest or not count:
-            raise ValueError("the file does not hold a whole number of traces")
-        out = {"samples": samples, "interval": interval, "format": code, "traces": count, "inlines": [], "xlines": []}
+        out = file_layout(f) | {"inlines": [], "xlines": []}
+        size, count = TRACE + 4 * out["samples"], out["traces"]
         if layout == "line":
             return out
         first, xlines = _key(f, TEXT + BINARY), []
@@ -123,23 +157,18 @@ class SegyReader(DataSourceReader):
             raise ValueError(f"inline {self.inline} is not in the file")
         return found
 
-    def read(self, partition: TraceRange) -> Iterator[tuple]:
+    def read(self, partition: TraceRange) -> Iterator[pa.RecordBatch]:
         g, (xs, ss) = self.shape, self.strides
-        size, xlines = TRACE + 4 * g["samples"], g["xlines"]
-        base = partition.begin if partition.inline is not None else 0
+        xlines, cube = np.asarray(g["xlines"]), partition.inline is not None
+        base = partition.begin if cube else 0
         with opened(self.path) as f:
-            for k in range(partition.begin, partition.end):
-                place = k - base
-                if place % xs:
-                    continue
-                f.seek(TEXT + BINARY + k * size)
-                trace = f.read(size)
-                inline, xline = struct.unpack(">ii", trace[AT_INLINE : AT_INLINE + 8])
-                if partition.inline is not None and (inline, xline) != (partition.inline, xlines[place]):
-                    raise ValueError(f"trace {k} is not where a regular cube has it; read the file with layout line")
-                raw = trace[TRACE:]
-                values = np.frombuffer(raw, ">f4") if g["format"] == 5 else ibm_to_float(np.frombuffer(raw, ">u4").astype(np.uint32))
-                yield partition.inline, place // xs, xline, values[::ss].astype(float).tolist()
+            for at, raw in trace_ranges(f, g, [(partition.begin, partition.end)]):
+                place = np.arange(at - base, at - base + len(raw), dtype=np.int32)
+                kept = np.flatnonzero(place % xs == 0)
+                place, raw = place[kept], raw[kept]
+                if cube and ((raw["inline"] != partition.inline).any() or (raw["crossline"] != xlines[place]).any()):
+                    raise ValueError("traces are not where a regular cube has them; read the file with layout line, or by an index")
+                yield trace_batch(np.full(len(raw), partition.inline, np.int32) if cube else None, place // xs, raw, ss)
 
 
 class FilteredSegyReader(SegyReader):
@@ -164,3 +193,42 @@ class SegyDataSource(DataSource):
         options = dict(self.options)
         kind = FilteredSegyReader if {k.lower(): v for k, v in options.items()}.get("pushfilters", "false").lower() == "true" else SegyReader
         return kind(options)
+
+
+def write_segy(traces: DataFrame, folder: str, interval: int = 1000) -> DataFrame:
+    """Writes (inline_number, crossline, amplitudes), in the order and the partitions they come in, one file a partition, and gives (path, traces).
+
+    All traces of a file must have as many samples. A task writes a file of its own name and then gives it its
+    place, so one that runs again or twice replaces it whole.
+    """
+    out_folder = folder
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, at = fs.FileSystem.from_uri(out_folder) if "://" in out_folder or out_folder.startswith("file:") else (fs.LocalFileSystem(), out_folder)
+        store.create_dir(at, recursive=True)
+        name, own, count, samples = f"{at}/part-{TaskContext.get().partitionId():05d}.sgy", f"{at}/.{uuid.uuid4().hex}", 0, None
+        with store.open_output_stream(own) as f:
+            for batch in batches:
+                for inline, crossline, values in zip(*[batch.column(k) for k in range(3)], strict=True):
+                    data = np.asarray(values.values, ">f4")
+                    if samples is None:
+                        samples, head = len(data), bytearray(TEXT + BINARY)
+                        for place, value in ((AT_INTERVAL, interval), (AT_SAMPLES, samples), (AT_FORMAT, 5)):
+                            head[place : place + 2] = struct.pack(">H", value)
+                        f.write(bytes(head))
+                    if len(data) != samples:
+                        raise ValueError("traces of one file differ in samples")
+                    header = bytearray(TRACE)
+                    header[AT_INLINE : AT_INLINE + 8] = struct.pack(">ii", inline.as_py(), crossline.as_py())
+                    f.write(bytes(header) + data.tobytes())
+                    count += 1
+        if count:
+            store.move(own, name)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], names=["path", "traces"])
+        else:
+            store.delete_file(own)
+
+    return traces.select("inline_number", "crossline", "amplitudes").mapInArrow(run, "path string, traces long")

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from geostrata import storage
 from geostrata.config import DetectionConfig, LabelConfig, LineConfig, LinkConfig, TileConfig
 from geostrata.operators import surface, tiles
 from geostrata.plans import batch, detection, label_dataset, reconstruction
@@ -200,10 +201,11 @@ def test_a_cube_becomes_fault_lines(spark, tmp_path):
     points, resolved = fault_lines.read_fault_lines(spark, folder, inline_start=1)
     got = points.toPandas()
     assert set(got["sec"]) == {1, 2} and (got["z"] - got["x"] - got["sec"]).abs().max() <= 1 and resolved.inline_start == 1
-    assert spark.read.parquet(f"{folder}/stage_counts").where("stage = 'interpolated'").count() == 3
+    counts = spark.read.parquet(f"{storage.current_version(spark, folder)}/stage_counts")
+    assert counts.where("stage = 'interpolated'").count() == 3
     whole, c = fault_lines.read_fault_lines(spark, folder)
     assert reconstruction.reconstruct(whole, c, surfaces=False)["tracks"].count() == 3
-    found = detection.golden_mismatches(spark.read.parquet(f"{folder}/stage_counts"), 0, {"interpolated": (1, 1), "large": (None, 1)}).collect()
+    found = detection.golden_mismatches(counts, 0, {"interpolated": (1, 1), "large": (None, 1)}).collect()
     assert [x["stage"] for x in found] == ["interpolated"]
     for wanted, why in (({"inline_origin": 5}, "conflicts"), ({"inline_end": 9}, "beyond"), ({"colour": 1}, "not part")):
         with pytest.raises(ValueError, match=why):
@@ -221,7 +223,8 @@ def test_sidecars_are_reconciled(spark, tmp_path):
     sections = spark.createDataFrame([(s,) for s in range(4)], "inline_number int")
     record = fault_lines.write_fault_lines(points, sections, f"{tmp_path}/f", config)
     assert record["counts"] == {"sections": 4, "nonempty_sections": 2, "fault_lines": 3, "points": 9}
-    saved, rows = spark.read.parquet(f"{tmp_path}/f/points"), spark.read.parquet(f"{tmp_path}/f/sections")
+    version = storage.current_version(spark, f"{tmp_path}/f")
+    saved, rows = spark.read.parquet(f"{version}/points"), spark.read.parquet(f"{version}/sections")
     assert fault_lines.reconcile(saved, rows, record).count() == 0
     assert fault_lines.reconcile(saved.where("x > 0"), rows, record).count() == 2
     assert [x["problem"] for x in fault_lines.reconcile(saved, rows, record | {"counts": record["counts"] | {"points": 1}}).collect()] == ["counts.points is inconsistent"]
@@ -229,7 +232,7 @@ def test_sidecars_are_reconciled(spark, tmp_path):
         fault_lines.normalised(lines, 2, 5)
     with pytest.raises(ValueError, match="off the declared"):
         fault_lines.write_fault_lines(points, spark.createDataFrame([(9,)], "inline_number int"), f"{tmp_path}/g", config)
-    spark.createDataFrame([(json.dumps(record | {"schema_version": "9"}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{tmp_path}/f/metadata")
+    spark.createDataFrame([(json.dumps(record | {"schema_version": "9"}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{version}/metadata")
     with pytest.raises(ValueError, match="schema_version"):
         fault_lines.read_fault_lines(spark, f"{tmp_path}/f")
 
