@@ -50,28 +50,34 @@ def structured_faces(grids: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def finite_faces(faces: DataFrame, vertices: DataFrame, keys: list[str], vertex: str = "vertex", z: str = "z") -> DataFrame:
-    """Faces all of whose vertices have a z: each face meets its three corners by an equi-join."""
+    """Faces all of whose vertices have a finite z: each face meets its three corners by an equi-join."""
     corner = faces.withColumn("__v", F.explode(F.array("a", "b", "c")))
-    good = vertices.where(F.col(z).isNotNull() & ~F.isnan(F.col(z).cast("double"))).select(*keys, F.col(vertex).alias("__v"))
+    good = vertices.where(is_finite(F.col(z))).select(*keys, F.col(vertex).alias("__v"))
     return corner.join(good, [*keys, "__v"]).groupBy(*keys, "a", "b", "c").agg(F.count("*").alias("n")).where("n = 3").drop("n")
 
 
+def is_finite(value: Column) -> Column:
+    """Neither null nor NaN nor infinite."""
+    x = value.cast("double")
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
 def inventory(vertices: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """One row per surface: vertices, those without data, and the finite range of each value (NaN left out, as Spark sorts it last)."""
+    """One row per surface: vertices, those without data (null, NaN or infinite), and the range of each value's finite ones, null without any."""
     aggregates = [F.count("*").alias("vertices")]
     for v in values:
         x = F.col(v).cast("double")
-        good = F.when(~F.isnan(x), x)
-        aggregates += [F.count_if(x.isNull() | F.isnan(x)).alias(f"{v}_missing"), F.min(good).alias(f"{v}_min"), F.max(good).alias(f"{v}_max")]
+        good = F.when(is_finite(x), x)
+        aggregates += [(F.count("*") - F.count(good)).alias(f"{v}_missing"), F.min(good).alias(f"{v}_min"), F.max(good).alias(f"{v}_max")]
     return vertices.groupBy(key).agg(*aggregates)
 
 
 def intersections(vertices: DataFrame, slices: list[float], tolerance: float = 1e-6, key: str = "surface_id", inline: str = "inline_index", profile: str = "profile", z: str = "z") -> DataFrame:
-    """Rows of surfaces on the given inlines with point_order by profile, counted before rows without data are left out."""
+    """Rows of surfaces on the given inlines with point_order by profile, counted before rows without data (null, NaN or infinite) are left out."""
     at = F.explode(F.array(*[F.lit(float(s)) for s in slices]))
     rows = vertices.withColumn("slice", at).where(F.abs(F.col(inline) - F.col("slice")) <= tolerance)
     w = Window.partitionBy(key, "slice").orderBy(profile, z)
-    return rows.withColumn("point_order", F.row_number().over(w) - 1).where(~F.isnan(F.col(z).cast("double")))
+    return rows.withColumn("point_order", F.row_number().over(w) - 1).where(is_finite(F.col(z)))
 
 
 def kept_positions(position: Column, last: Column, stride: int) -> Column:

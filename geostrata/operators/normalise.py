@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geostrata.operators.catalogue import is_finite
+
 
 def _finite(value: str):
     return F.when(~F.isnan(value), F.col(value))
 
 
 def minmax(df: DataFrame, keys: list[str], value: str, name: str, eps: float = 0.0) -> DataFrame:
-    """df with (value - min) / (max - min + eps) by group, NaN left out of both; with eps 0 a constant group is an error."""
+    """df with (value - min) / (max - min + eps) by group, NaN left out of both; with eps 0 a constant group is an error, and so is a value that is not finite."""
     stats = df.groupBy(*keys).agg(F.min(_finite(value)).alias("__low"), F.max(_finite(value)).alias("__high"))
     if not eps:
-        stats = stats.withColumn("__low", F.when(F.col("__high") == F.col("__low"), F.raise_error(F.lit("a group of one value can't be normalised"))).otherwise(F.col("__low")))
+        facts = df.groupBy(*keys).agg(F.min(_finite(value)).alias("__low"), F.max(_finite(value)).alias("__high"), F.bool_and(is_finite(F.col(value))).alias("__ok"))
+        why = F.when(~F.col("__ok"), "a value that is not finite").when(F.col("__high") == F.col("__low"), "a group of one value")
+        stats = facts.withColumn("__low", F.when(why.isNotNull(), F.raise_error(F.concat(why, F.lit(" can't be normalised"))).cast("double")).otherwise(F.col("__low"))).drop("__ok")
     return df.join(stats, keys).withColumn(name, (F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low") + eps)).drop("__low", "__high")
 
 
@@ -30,5 +34,7 @@ def minmax_then_zscore(df: DataFrame, keys: list[str], value: str, name: str) ->
 
 
 def robust_limit(df: DataFrame, keys: list[str], value: str, share: float, name: str = "limit") -> DataFrame:
-    """(keys, name): the exact percentile of |value| by linear interpolation; 1 where it is 0."""
-    return df.groupBy(*keys).agg(F.percentile(F.abs(F.col(value).cast("double")), share).alias("__l")).select(*keys, F.when(F.col("__l") == 0, 1.0).otherwise(F.col("__l")).alias(name))
+    """(keys, name): the exact percentile of the finite |value| by linear interpolation; 1 where it is 0. A group without a finite value is an error."""
+    size = F.when(is_finite(F.col(value)), F.abs(F.col(value).cast("double")))
+    limit = F.when(F.col("__l").isNull(), F.raise_error(F.lit("a group without a finite value has no limit")).cast("double")).when(F.col("__l") == 0, 1.0).otherwise(F.col("__l"))
+    return df.groupBy(*keys).agg(F.percentile(size, share).alias("__l")).select(*keys, limit.alias(name))

@@ -28,15 +28,22 @@ def common_extent(shape: tuple[int, int], line: LineConfig) -> tuple[int, int]:
     return min(shape[0], -(-high[0] // line.downsample_x)), min(shape[1], -(-high[1] // line.downsample_z))
 
 
+def bits_of(places: Column, n: int) -> Column:
+    """n zeros with a one at each of the places, an ascending array; null has none. Zeros between neighbours are laid out at once, so the work follows n."""
+    held = F.coalesce(places.cast("array<int>"), F.array().cast("array<int>"))
+    zeros = lambda k: F.array_repeat(F.lit(0), k)
+    gaps = F.zip_with(F.concat(F.array(F.lit(-1)), held), held, lambda a, b: F.when(b.isNotNull(), F.concat(zeros(b - a - 1), F.array(F.lit(1)))).otherwise(zeros(F.lit(n - 1) - a)))
+    return F.flatten(gaps)
+
+
 def patch_pixels(traces: DataFrame, label_map: DataFrame, origins: DataFrame, nx: int, nz: int, patch: int) -> DataFrame:
     """origins with image and label, arrays in (x, z) order. traces: (x, amplitudes); label_map: (x, z); origins: (x0, z0, ...).
 
     Each trace is cut to the patches that hold it, so a patch gathers its own pixels and no more; images are
     scaled to [0, 1] each for itself.
     """
-    marked = label_map.groupBy("x").agg(F.collect_set("z").alias("zs"))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(nz - 1)), lambda z: F.coalesce(F.array_contains("zs", z), F.lit(False)).cast("int"))
-    rows = traces.where(F.col("x") < nx).join(marked, "x", "left").select("x", "amplitudes", bits.alias("bits"))
+    marked = label_map.where(F.col("z").between(0, nz - 1)).groupBy("x").agg(F.array_sort(F.collect_set("z")).alias("zs"))
+    rows = traces.where(F.col("x") < nx).join(marked, "x", "left").select("x", "amplitudes", bits_of(F.col("zs"), nz).alias("bits"))
     columns = origins.select("x0").distinct().withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x0") + patch - 1)))
     cut = rows.join(columns, "x").join(origins.select("x0", "z0"), "x0")
     part = lambda c: F.slice(c, F.col("z0") + 1, patch)

@@ -147,18 +147,17 @@ def check_axis_order(spark: SparkSession, folder: str) -> None:
 
 
 def need_empty(spark: SparkSession, folder: str, allowed: tuple[str, ...] = (".gitignore",)) -> None:
-    """Raises where the folder is a file, or holds anything but plain files of the allowed names: stale payload must not enter a new run."""
+    """An error unless a run may write to folder: it does not exist, or holds no more than the allowed files."""
     from pyarrow import fs
 
     place, at = store(folder)
-    info = place.get_file_info(at)
-    if info.type == fs.FileType.NotFound:
-        return
-    if info.type != fs.FileType.Directory:
-        raise ValueError(f"{folder} is not a folder")
-    names = sorted(x.base_name for x in place.get_file_info(fs.FileSelector(at)) if not (x.base_name in allowed and x.type == fs.FileType.File))
-    if names:
-        raise ValueError(f"{folder} is not empty: {', '.join(names[:5])}{' ...' if len(names) > 5 else ''}")
+    kind = place.get_file_info(at).type
+    if kind == fs.FileType.File:
+        raise ValueError(f"a run needs a folder, and {folder} is a file")
+    held = place.get_file_info(fs.FileSelector(at)) if kind == fs.FileType.Directory else []
+    count = len([x for x in held if x.type != fs.FileType.File or x.base_name not in allowed])
+    if count:
+        raise ValueError(f"{folder} is not empty: {count} entries are none of this run")
 
 
 def write_patches(rows: DataFrame, folder: str, side: int, npy: bool = True, dat: bool = False) -> DataFrame:

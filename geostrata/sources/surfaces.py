@@ -102,33 +102,23 @@ def run_metadata(spark: SparkSession, folder: str, wanted: bool = False) -> dict
     return found
 
 
-def metadata_strides(record: dict) -> tuple[int, int]:
-    """The strides of crosslines and samples that the run's input was thinned out by."""
-    c = (record.get("input") or {}).get("coordinates") or {}
-    if c.get("coordinate_mode") != "downsampled_array_index":
-        raise ValueError("the run's coordinates are not places on thinned axes")
-    strides = c.get("crossline_stride"), c.get("sample_stride")
-    if not all(isinstance(s, int) and s >= 1 for s in strides):
-        raise ValueError("the run has no valid strides")
-    return strides
+def metadata_strides(record: dict | None) -> tuple[int | None, int | None]:
+    """The strides of crosslines and samples that a run's record names; None twice where it names no valid pair of places on thinned axes."""
+    c = ((record or {}).get("input") or {}).get("coordinates") or {}
+    pair = c.get("crossline_stride"), c.get("sample_stride")
+    usable = c.get("coordinate_mode") == "downsampled_array_index" and all(type(s) is int and s >= 1 for s in pair)
+    return pair if usable else (None, None)
 
 
 def resolve_strides(record: dict | None, crossline: int | None = None, sample: int | None = None) -> tuple[int, int]:
-    """The run's strides, which given ones must agree with; without usable ones both must be given."""
-    given = (crossline, sample)
-    try:
-        found = None if record is None else metadata_strides(record)
-    except ValueError:
-        if None in given:
-            raise
-        found = None
-    if found is None:
-        if None in given:
-            raise ValueError("strides are given by a run's record or both by the caller")
-        return given
-    if any(g not in (None, f) for g, f in zip(given, found, strict=True)):
-        raise ValueError(f"the strides {given} conflict with the run's {found}")
-    return found
+    """The strides of crosslines and samples. The run's record and the caller must name one stride of each between them, no more."""
+    out = []
+    for axis, named in zip(("crosslines", "samples"), zip(metadata_strides(record), (crossline, sample), strict=True), strict=True):
+        found = sorted(set(named) - {None})
+        if len(found) != 1:
+            raise ValueError(f"{axis} need one stride, not {found}")
+        out += found
+    return tuple(out)
 
 
 def mapped(vertices: DataFrame, inlines: DataFrame, crosslines: DataFrame, samples: DataFrame) -> DataFrame:

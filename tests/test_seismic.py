@@ -428,3 +428,29 @@ def test_query_matches_sql(spark, name):
     columns = sorted(got.columns)
     a, b = _rows(got[columns].astype(object)), _rows(want[columns].astype(object))
     assert a == b
+
+
+def test_values_without_data(spark):
+    """Null, NaN and infinite values are no data, and refused where a value is needed."""
+    from geostrata.operators import catalogue
+
+    inf, nan = float("inf"), float("nan")
+    v = spark.createDataFrame([("s", 0, k, 1.0, k, z) for k, z in enumerate([1.0, 2.0, inf, -inf, nan, None])] + [("t", 0, 0, 1.0, 0, nan)], "surface_id string, row int, col int, inline_index double, profile int, z double")
+    got = {x["surface_id"]: tuple(x)[1:] for x in catalogue.inventory(v, "surface_id", ["z"]).collect()}
+    assert got == {"s": (6, 4, 1.0, 2.0), "t": (1, 1, None, None)}
+    assert [(x["surface_id"], x["point_order"], x["z"]) for x in catalogue.intersections(v, [1.0]).orderBy("point_order").collect()] == [("s", 0, 1.0), ("s", 1, 2.0)]
+    groups = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", -3.0), ("a", nan), ("a", inf), ("a", None), ("b", 0.0)], "k string, v double")
+    assert {x["k"]: x["limit"] for x in normalise.robust_limit(groups, ["k"], "v", 1.0).collect()} == {"a": 3.0, "b": 1.0}
+    with pytest.raises(Exception, match="without a finite value"):
+        normalise.robust_limit(groups.where("isnan(v)"), ["k"], "v", 1.0).collect()
+    for bad in (nan, inf, None):
+        with pytest.raises(Exception, match="not finite"):
+            normalise.minmax(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", bad)], "k string, v double"), ["k"], "v", "m").collect()
+
+
+def test_bits_of_places(spark):
+    from geostrata.plans.label_dataset import bits_of
+
+    rows = spark.createDataFrame([([0, 1, 4],), ([],), (None,), ([2],), ([0, 1, 2, 3, 4],)], "p array<int>")
+    got = [x[0] for x in rows.select(bits_of(F.col("p"), 5)).collect()]
+    assert got == [[1, 1, 0, 0, 1], [0] * 5, [0] * 5, [0, 0, 1, 0, 0], [1] * 5]
