@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geostrata.operators import asof
+
 
 def axis_steps(axis: DataFrame, keys: list[str], idx: str = "idx", value: str = "value", tolerance: float = 1e-9) -> DataFrame:
     """(keys, n, first, last, regular, step, increasing) of each axis: step is null unless all steps are equal."""
@@ -18,26 +20,22 @@ def axis_steps(axis: DataFrame, keys: list[str], idx: str = "idx", value: str =
 
 
 def index_to_value(rows: DataFrame, axis: DataFrame, index: str, name: str, idx: str = "idx", value: str = "value") -> DataFrame:
-    """rows with the axis value at a fractional index, linear between neighbours; NaN stays NaN, beyond the axis is null."""
-    low = axis.select(F.col(idx).cast("long").alias("__i"), F.col(value).alias("__a"), F.lead(value).over(Window.orderBy(idx)).alias("__b"))  # one row per axis entry
+    """rows with the axis value at a fractional index, linear between neighbours; NaN stays NaN, beyond the axis is null. Entries meet the next, and rows theirs, by equi-joins on whole indices."""
+    here = axis.select(F.col(idx).cast("long").alias("__i"), F.col(value).alias("__a"))
+    low = here.join(axis.select((F.col(idx).cast("long") - 1).alias("__i"), F.col(value).alias("__b")), "__i", "left")
     out = rows.withColumn("__i", F.when(~F.isnan(F.col(index).cast("double")), F.floor(index))).join(low, "__i", "left")
     share = F.col(index) - F.col("__i")
     lerp = F.when(share == 0, F.col("__a")).otherwise(F.col("__a") + share * (F.col("__b") - F.col("__a")))
     return out.withColumn(name, F.when(F.isnan(F.col(index).cast("double")), F.lit(float("nan"))).otherwise(lerp)).drop("__i", "__a", "__b")
 
 
-def value_to_index(rows: DataFrame, axis: DataFrame, value: str, name: str, keys: list[str], idx: str = "idx", axis_value: str = "value", cells: float = 1.0) -> DataFrame:
-    """rows with the fractional index of a value on an increasing axis; rows beyond its ends are left out.
-
-    Axis intervals are sent to the cells of width `cells` that they cross, and rows meet them by cell.
-    """
-    w = Window.partitionBy(*keys).orderBy(axis_value)
-    seg = axis.select(*keys, F.col(idx).alias("__i"), F.col(axis_value).alias("__a"), F.lead(axis_value).over(w).alias("__b"), F.lead(idx).over(w).alias("__j"), F.lead(axis_value, 2).over(w).isNull().alias("__last"))
-    seg = seg.where("__b is not null").withColumn("__c", F.explode(F.sequence(F.floor(F.col("__a") / cells), F.floor(F.col("__b") / cells))))
-    met = rows.withColumn("__c", F.floor(F.col(value) / cells))
-    inside = (F.col(value) >= F.col("__a")) & ((F.col(value) < F.col("__b")) | (F.col("__last") & (F.col(value) == F.col("__b"))))
-    met = met.join(seg, [*keys, "__c"]).where(inside)
-    return met.withColumn(name, F.col("__i") + (F.col(value) - F.col("__a")) / (F.col("__b") - F.col("__a")) * (F.col("__j") - F.col("__i"))).drop("__c", "__i", "__a", "__b", "__j", "__last")
+def value_to_index(rows: DataFrame, axis: DataFrame, value: str, name: str, keys: list[str], idx: str = "idx", axis_value: str = "value") -> DataFrame:
+    """rows with the fractional index of a value on an increasing axis, linear between the entries before and after it; rows beyond its ends, null and NaN are left out."""
+    met = asof.neighbours(rows, axis, keys, value, axis_value, [idx])
+    a, b, i, j = F.col("before.at"), F.col("after.at"), F.col(f"before.`{idx}`"), F.col(f"after.`{idx}`")
+    v = F.col(value).cast("double")
+    inside = met.where(F.col("before").isNotNull() & (F.col("after").isNotNull() | (v == a)))
+    return inside.withColumn(name, F.when(v == a, i.cast("double")).otherwise(i + (v - a) / (b - a) * (j - i))).drop("before", "after")
 
 
 def structured_faces(grids: DataFrame, keys: list[str]) -> DataFrame:
