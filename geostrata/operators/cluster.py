@@ -1,58 +1,34 @@
-"""Density clustering and cluster geometry on points of many sections at once.
-
-Neighbours within eps are found by an equi-join on grid cells eps wide, each point going to the cells around
-it, so no section's points are paired with all others.
-"""
+"""Density clustering and cluster geometry on points of many sections at once: blocks find clusters (density.py), and what joins blocks is put together here."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geostrata.operators import density
 from geostrata.operators.components import components
 from geostrata.storage import cut_lineage
 
 
-def neighbours(points: DataFrame, eps: float, key: str = "inline_number") -> DataFrame:
-    """(key, pid, other): points at a distance of at most eps, each point with itself too. points: (key, pid, x, z)."""
-    cell = points.withColumns({"cx": F.floor(F.col("x") / eps), "cz": F.floor(F.col("z") / eps)})
-    around = cell.select(key, "pid", "x", "z", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"), "cz")
-    around = around.select(key, "pid", "x", "z", "cx", F.explode(F.sequence(F.col("cz") - 1, F.col("cz") + 1)).alias("cz"))
-    other = cell.select(key, F.col("pid").alias("other"), F.col("x").alias("x2"), F.col("z").alias("z2"), "cx", "cz")
-    near = around.join(other, [key, "cx", "cz"])
-    dx, dz = F.col("x") - F.col("x2"), F.col("z") - F.col("z2")
-    return near.where(dx * dx + dz * dz <= eps * eps).select(key, "pid", "other")
-
-
-def core_flags(near: DataFrame, min_samples: int, key: str = "inline_number") -> DataFrame:
-    """(key, pid, core): a core point has at least min_samples neighbours, itself included."""
-    return near.groupBy(key, "pid").agg((F.count("*") >= min_samples).alias("core"))
-
-
 def noise_mask(points: DataFrame, eps: float, min_samples: int, key: str = "inline_number") -> DataFrame:
-    """(key, pid, core, noise): noise is neither core nor next to a core point. Needs no components."""
-    near = cut_lineage(neighbours(points, eps, key))
-    core = core_flags(near, min_samples, key)
-    by = near.join(core.select(key, F.col("pid").alias("other"), F.col("core").alias("near_core")), [key, "other"])
-    touched = by.groupBy(key, "pid").agg(F.bool_or("near_core").alias("touched"))
-    return core.join(touched, [key, "pid"]).select(key, "pid", "core", (~F.col("touched")).alias("noise"))
+    """(key, pid, core, noise): a core point has at least min_samples points within eps, itself included; noise is neither core nor next to a core point."""
+    found = density.local_clusters(points, eps, min_samples, key).where("own")
+    return found.select(key, "pid", "core", (F.size("roots") == 0).alias("noise"))
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int, key: str = "inline_number") -> DataFrame:
-    """(key, pid, label): clusters by density, -1 for noise. pid orders a section's points.
+    """(key, pid, label): clusters by density, -1 for noise. pid, a whole number, orders a section's points.
 
     Clusters are components of core points, numbered within a section by their smallest core pid; a border point
     takes the lowest-numbered cluster of its core neighbours.
     """
-    near = cut_lineage(neighbours(points, eps, key))
-    cores = core_flags(near, min_samples, key).where("core").select(key, "pid")
-    edges = near.join(cores, [key, "pid"], "left_semi").join(cores.select(key, F.col("pid").alias("other")), [key, "other"], "left_semi").where("pid <= other")
-    label = cut_lineage(components(edges, key, "pid", "other").select(key, F.col("node").alias("pid"), F.col("component").alias("label")))
-    number = label.select(key, "label").distinct().withColumn("number", F.dense_rank().over(Window.partitionBy(key).orderBy("label")) - 1)
-    core_labels = cut_lineage(label.join(number, [key, "label"]).select(key, "pid", "number"))
-    border = near.join(core_labels.select(key, F.col("pid").alias("other"), "number"), [key, "other"]).groupBy(key, "pid").agg(F.min("number").alias("border"))
-    out = points.select(key, "pid").join(core_labels, [key, "pid"], "left").join(border, [key, "pid"], "left")
-    return out.select(key, "pid", F.coalesce("number", "border", F.lit(-1)).cast("int").alias("label"))
+    found = density.local_clusters(points, eps, min_samples, key)
+    joined = cut_lineage(density.joined_roots(found, key))
+    number = joined.select(key, "cluster").distinct().withColumn("number", F.dense_rank().over(Window.partitionBy(key).orderBy("cluster")) - 1)
+    named = joined.join(number, [key, "cluster"]).select(key, "root", "number")
+    own = found.where("own").select(key, "pid", F.explode_outer("roots").alias("root"))
+    out = own.join(named, [key, "root"], "left").groupBy(key, "pid").agg(F.min("number").alias("number"))
+    return out.select(key, "pid", F.coalesce("number", F.lit(-1)).cast("int").alias("label"))
 
 
 def large_clusters(points: DataFrame, min_points: int = 30, min_range: float = 30, key: str = "inline_number") -> DataFrame:

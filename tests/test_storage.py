@@ -253,3 +253,39 @@ def test_stage_report_rolls_up(spark):
         ("clustered", 1, 0): (2, 2), ("clustered", 2, 0): (2, 1), ("clustered", None, 1): (4, 3), (None, None, 3): (7, 3),
     }
     assert detection.stage_counts(stages).columns == ["inline_number", "stage", "points", "clusters"] and detection.stage_counts(stages).count() == 4
+
+
+def test_clusters_span_blocks(spark):
+    """Density clusters by small and large blocks against plain loops: chains over many blocks, borders between clusters, repeated places."""
+    from geostrata.operators import density
+
+    rng = np.random.default_rng(5)
+    for trial in range(3):
+        n = 250
+        p = np.round(rng.uniform(-20, 60, (n, 2)) * (1 if trial else 0.4), 0 if trial else 2)
+        p = np.concatenate([p, np.stack([np.arange(-20, 60, 1.5), np.full(54, 70.0)], 1), p[:5]])
+        pid = rng.permutation(len(p))
+        eps, least = ((3.0, 4), (2.0, 2), (4.5, 6))[trial]
+        near = ((p[:, None] - p[None]) ** 2).sum(-1) <= eps * eps
+        core = near.sum(1) >= least
+        left, groups = set(np.flatnonzero(core).tolist()), []
+        while left:
+            group, queue = set(), [left.pop()]
+            while queue:
+                k = queue.pop()
+                group.add(k)
+                more = {j for j in np.flatnonzero(near[k] & core).tolist() if j in left}
+                left -= more
+                queue += more
+            groups.append(group)
+        groups.sort(key=lambda g: min(pid[k] for k in g))
+        want = {int(pid[k]): next((c for c, g in enumerate(groups) if k in g or (not core[k] and any(near[k][j] for j in g))), -1) for k in range(len(p))}
+        points = spark.createDataFrame([(1, int(i), float(a), float(b)) for i, (a, b) in zip(pid, p, strict=True)], "inline_number int, pid long, x double, z double")
+        for side in (8, 256):
+            found = density.local_clusters(points, eps, least, "inline_number", side)
+            assert found.where("own").count() == len(p)
+            assert {x["pid"]: x["core"] for x in found.where("own").collect()} == {int(pid[k]): bool(core[k]) for k in range(len(p))}
+            joined = {x["root"]: x["cluster"] for x in density.joined_roots(found, "inline_number").collect()}
+            order = sorted(set(joined.values()))
+            got = {x["pid"]: min((order.index(joined[r]) for r in x["roots"]), default=-1) for x in found.where("own").collect()}
+            assert got == want
