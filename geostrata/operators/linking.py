@@ -44,16 +44,9 @@ def orientation_difference(a: Column, b: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.abs(F.cos(a - b))))
 
 
-def candidate_pairs(lines: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
-    """All forward pairs (a, b) up to max_gap sections apart, with the lower bound of their energy and whether it prunes them.
-
-    The band is an equi-join: each source line is sent to the sections it may link to. The join carries
-    line-level columns alone; points are fetched by line afterwards, for pairs that are left.
-    """
-    whole = F.struct("line_id", "sec", "theta", "x0", "x1", "z0", "z1")
-    source = lines.select(whole.alias("a"), F.explode(F.sequence(F.col("sec") + 1, F.col("sec") + config.max_gap)).alias("at"))
-    target = lines.select(whole.alias("b"), F.col("sec").alias("at"))
-    pairs = source.join(target, "at").withColumn("gap", F.col("b.sec") - F.col("a.sec"))
+def _bounded(source: DataFrame, target: DataFrame, on: list[str], config: LinkConfig) -> DataFrame:
+    """Pairs (a, b) that meet by `on`, with gap, orientation, the lower bound of their energy and whether it prunes them."""
+    pairs = source.join(target, on).withColumn("gap", F.col("b.sec") - F.col("a.sec"))
     step = F.col("gap") * config.section_scale
     apart = F.sqrt(bbox_gap() * bbox_gap() + step * step)
     pairs = pairs.withColumn("orientation", orientation_difference(F.col("a.theta"), F.col("b.theta")))
@@ -61,6 +54,35 @@ def candidate_pairs(lines: DataFrame, config: LinkConfig = LinkConfig()) -> Data
     return pairs.withColumn("bound", bound).withColumn("pruned", F.col("bound") >= -math.log(config.tau))
 
 
+def _ends(lines: DataFrame, config: LinkConfig) -> tuple[DataFrame, DataFrame]:
+    """Lines as sources `a`, sent to the sections that they may link to, and as targets `b`. Line-level columns alone; points are fetched by line for pairs that are left."""
+    whole = F.struct("line_id", "sec", "theta", "x0", "x1", "z0", "z1")
+    return lines.select(whole.alias("a"), F.explode(F.sequence(F.col("sec") + 1, F.col("sec") + config.max_gap)).alias("at")), lines.select(whole.alias("b"), F.col("sec").alias("at"))
+
+
+def candidate_pairs(lines: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
+    """All forward pairs (a, b) up to max_gap sections apart, with the lower bound of their energy and whether it prunes them: a report on every pair, by an equi-join on sections."""
+    return _bounded(*_ends(lines, config), ["at"], config)
+
+
+def near_pairs(lines: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
+    """The candidate pairs that are not pruned, without meeting all the others.
+
+    Boxes further apart than -ln(tau) / (2 distance_weight) are always pruned, so lines meet by section and by cells
+    along x, which the source's box reaches with that margin. A pair counts in the first cell that both have.
+    """
+    reach = -math.log(config.tau) / (2 * config.distance_weight) if config.distance_weight else math.inf
+    if not 0 < reach < math.inf:
+        return candidate_pairs(lines, config).where("not pruned")
+    source, target = _ends(lines, config)
+    width = 4 * reach
+    cell = lambda c: F.floor(c / width)
+    source = source.withColumns({"low": cell(F.col("a.x0") - reach), "cell": F.explode(F.sequence(cell(F.col("a.x0") - reach), cell(F.col("a.x1") + reach)))})
+    target = target.withColumns({"low2": cell(F.col("b.x0")), "cell": F.explode(F.sequence(cell(F.col("b.x0")), cell(F.col("b.x1"))))})
+    met = _bounded(source, target, ["at", "cell"], config)
+    return met.where((F.col("cell") == F.greatest("low", "low2")) & ~F.col("pruned"))
+
+
 def chamfer_parts(*columns: Column) -> Column:
     """(ab, ba): the two directed mean nearest-neighbour distances of lines x, z and u, v at a distance of `step` along the section axis.
 
@@ -75,23 +97,39 @@ def chamfer_parts(*columns: Column) -> Column:
     return parts.asNondeterministic()(*columns)
 
 
-def _nearest_with_step(x: np.ndarray, z: np.ndarray, u: np.ndarray, v: np.ndarray, step: float, rows: int = 128) -> tuple[float, float]:
-    """Squared distances as one matrix product, |a|^2 - 2 ab + |b|^2 about the second line's mean, in blocks that stay in the cache: at most `rows` times the other line's points are held."""
-    mx, mz = u.mean(), v.mean()
-    x, z, u, v = x - mx, z - mz, u - mx, v - mz
-    left = np.stack([-2 * x, -2 * z, np.ones(len(x)), x * x + z * z], 1)
-    right = np.stack([u, v, u * u + v * v, np.ones(len(u))])
-    near_b, total = np.full(len(u), np.inf), 0.0
-    for at in range(0, len(x), rows):
-        d = left[at : at + rows] @ right
-        total += np.sqrt(np.maximum(d.min(1), 0) + step * step).sum()
-        np.minimum(near_b, d.min(0), out=near_b)
-    return float(total / len(x)), float(np.sqrt(np.maximum(near_b, 0) + step * step).mean())
+def nearest_squared(x: np.ndarray, z: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each point (x, z) the squared distance to the nearest point (u, v).
+
+    The points (u, v) are sorted along the axis on which they spread more. A point looks at those beside its own
+    place, ever further out on both sides, until the step along that axis alone is as far as the best so far.
+    """
+    if np.ptp(v) > np.ptp(u):
+        x, z, u, v = z, x, v, u
+    order = np.argsort(u, kind="stable")
+    u, v, m = u[order], v[order], len(u)
+    best, at = np.full(len(x), np.inf), np.searchsorted(u, x)
+    for side, first in ((1, at), (-1, at - 1)):
+        left, place = np.arange(len(x)), first.copy()
+        while left.size:
+            inside = (place >= 0) & (place < m)
+            left, place = left[inside], place[inside]
+            along = (u[place] - x[left]) ** 2
+            nearer = along < best[left]
+            left, place, along = left[nearer], place[nearer], along[nearer]
+            best[left] = np.minimum(best[left], along + (v[place] - z[left]) ** 2)
+            place = place + side
+    return best
+
+
+def _nearest_with_step(x: np.ndarray, z: np.ndarray, u: np.ndarray, v: np.ndarray, step: float) -> tuple[float, float]:
+    """Mean distances of each line's points to the nearest of the other's, `step` apart along the section axis."""
+    there, back = nearest_squared(x, z, u, v), nearest_squared(u, v, x, z)
+    return float(np.sqrt(there + step * step).mean()), float(np.sqrt(back + step * step).mean())
 
 
 def score_candidates(lines: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     """Exact scores of the pairs that pruning leaves: chamfer both ways, orientation, similarity, above_threshold. A line's points meet each of its pairs once."""
-    left = candidate_pairs(lines, config).where("not pruned").select("a", "b", "gap", "orientation", F.col("a.line_id").alias("ia"), F.col("b.line_id").alias("ib"))
+    left = near_pairs(lines, config).select("a", "b", "gap", "orientation", F.col("a.line_id").alias("ia"), F.col("b.line_id").alias("ib"))
     for side in ("ia", "ib"):
         left = left.join(lines.select(F.col("line_id").alias(side), F.col("points.x").alias(f"{side}x"), F.col("points.z").alias(f"{side}z")), side)
     step = F.col("gap") * F.lit(config.section_scale)

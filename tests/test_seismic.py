@@ -454,3 +454,18 @@ def test_bits_of_places(spark):
     rows = spark.createDataFrame([([0, 1, 4],), ([],), (None,), ([2],), ([0, 1, 2, 3, 4],)], "p array<int>")
     got = [x[0] for x in rows.select(bits_of(F.col("p"), 5)).collect()]
     assert got == [[1, 1, 0, 0, 1], [0] * 5, [0] * 5, [0, 0, 1, 0, 0], [1] * 5]
+
+
+def test_near_pairs_are_those_that_are_not_pruned(spark):
+    """Lines met by cells against all pairs; swept nearest points against all distances."""
+    rng = np.random.default_rng(2)
+    rows = [(s, f"{c}", float(x0 + k), float(z0 + k * slope)) for s in range(6) for c in range(12) for x0, z0, slope, n in [(rng.uniform(-30, 60), rng.uniform(0, 12), rng.uniform(-1, 1), rng.integers(2, 40))] for k in range(n)]
+    lines = lines_of(spark, rows)
+    pair = lambda df: sorted((x["a"]["line_id"], x["b"]["line_id"], x["bound"]) for x in df.collect())
+    for config in (LinkConfig(section_scale=1.0), LinkConfig(section_scale=1.0, distance_weight=0.3, tau=0.5), LinkConfig(section_scale=1.0, distance_weight=0.0)):
+        got = pair(linking.near_pairs(lines, config))
+        assert got == pair(linking.candidate_pairs(lines, config).where("not pruned")) and got
+    for _ in range(100):
+        n, m = rng.integers(1, 50, 2)
+        a, b = rng.integers(0, 20, (n, 2)) / 2, rng.integers(0, 20, (m, 2)) / 2
+        assert np.allclose(linking.nearest_squared(*a.T, *b.T), ((a[:, None] - b[None]) ** 2).sum(-1).min(1))
