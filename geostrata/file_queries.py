@@ -13,10 +13,12 @@ from geostrata import adapters as A
 from geostrata import queries as Q
 from geostrata.config import LinkConfig, TileConfig
 from geostrata.operators import cluster, epochs, ranking, tiles
-from geostrata.plans import detection
+from geostrata.plans import detection, reconstruction
 from geostrata.queries import query
-from geostrata.sources import fault_lines, segy, segy_index
+from geostrata.sources import fault_lines, segy, segy_index, surfaces
+from geostrata.sources import flat_archive as archive
 from geostrata.storage import current_version, cut_lineage, publish, shared_dir
+from geostrata.streaming import islands as streamed
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -216,3 +218,36 @@ def stage_report(spark, sf_dir):
     points = cut_lineage(Q._points(spark, sf_dir))
     label = cluster.dbscan(points, 3, 3).where("label >= 0")
     return detection.stage_report(detection.tagged_stages({"candidates": A.grid_points(spark, sf_dir), "grouped": points, "clustered": points.join(label, ["inline_number", "pid"])}))
+
+
+@query("flat_archive", Q.ORACLE_SQL["track_surfaces"])
+def flat_archive(spark, sf_dir):
+    """Surfaces written as one flat archive by byte ranges, and read back."""
+    path = posixpath.join(_folder(spark, "archive"), "surfaces.npz")
+    archive.write_flat_npz(cut_lineage(reconstruction.reconstruct(A.fault_points(spark, sf_dir), Q.LINK)["surfaces"]), path)
+    back = surfaces.read_flat_npz(spark, [path])
+    return back.select(F.col("surface_id").alias("track_id"), "row", "col", "inline", F.round("profile", 5).alias("profile"), F.round("sample", 5).alias("depth"), F.round("rmse", 5).alias("rmse"))
+
+
+# Streams --------------------------------------------------------------------------------------------------------
+
+GAP = 3
+
+
+@query("streamed_islands", f"WITH {A.GRID_POINTS_SQL}, {Q._grouped_sql('grid_points', GAP)} SELECT inline_number, z, x FROM rep_x")
+def streamed_islands(spark, sf_dir):
+    """The middles of islands along each line of a section whose points arrive in several files, by a query that keeps each line's state until its watermark has passed."""
+    folder = _folder(spark, "points")
+    seconds = F.unix_timestamp("ts")
+    points = A.table(spark, sf_dir, "events").select(
+        F.floor((seconds - A.EPOCH) / 86400).cast("int").alias("inline_number"), F.floor(F.pmod(seconds, F.lit(86400)) / 864).cast("int").alias("x"),
+        F.floor(F.least("value", F.lit(100.0))).cast("int").alias("z"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    points.repartition(3).write.parquet(f"{folder}/0")
+    for k in (1, 2):  # time goes on, so that the last lines are given out
+        ends = points.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("int").alias("inline_number"), F.lit(0).alias("x"), F.lit(0).alias("z"), (F.col("ts") + F.expr(f"make_interval({k} * 10)")).alias("ts"))
+        ends.coalesce(1).write.parquet(f"{folder}/{k}")
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(folder)
+    out = _folder(spark, "islands")
+    streamed.write_islands(stream, ["inline_number", "z"], "x", f"{out}/rows", f"{out}/state", GAP, late="1000 days").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").where("inline_number is not null").select("inline_number", "z", F.col("middle").cast("int").alias("x"))

@@ -289,3 +289,31 @@ def test_clusters_span_blocks(spark):
             order = sorted(set(joined.values()))
             got = {x["pid"]: min((order.index(joined[r]) for r in x["roots"]), default=-1) for x in found.where("own").collect()}
             assert got == want
+
+
+def test_flat_archives_are_written_by_byte_ranges(spark, tmp_path):
+    """One archive by many tasks: NumPy and the reader of archives read it, its checksums hold, and large surfaces are split."""
+    import zipfile
+    import zlib
+
+    from geostrata.sources import flat_archive, surfaces
+
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        a, b = (rng.bytes(int(rng.integers(0, 300))) for _ in "ab")
+        assert flat_archive.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    shapes = {"fault_b": (7, 9), "fault_a": (2, 2), "größe": (3, 5)}
+    rows = [(k, r, c, 300.0 + r, float(c), rng.normal(), 0.5) for k, (n, m) in shapes.items() for r in range(n) for c in range(m)]
+    v = spark.createDataFrame(rows, "track_id string, row int, col int, inline double, profile double, depth double, rmse double").repartition(3)
+    path = f"{tmp_path}/s.npz"
+    assert flat_archive.write_flat_npz(v, path, chunk=16) == {"surfaces": 3, "vertices": 82, "faces": 2 * (48 + 1 + 8)}
+    assert zipfile.ZipFile(path).testzip() is None
+    held = np.load(path, allow_pickle=False)
+    assert held["surface_ids"].tolist() == ["fault_a", "fault_b", "größe"] and held["vertex_offsets"].tolist() == [0, 4, 67, 82] and held["grid_shapes"].tolist() == [[2, 2], [7, 9], [3, 5]]
+    back = [tuple(x) for x in surfaces.read_flat_npz(spark, [path]).collect()]
+    assert sorted(back) == sorted(rows)
+    with pytest.raises(FileExistsError):
+        flat_archive.write_flat_npz(v, path)
+    with pytest.raises(Exception, match="without a gap"):
+        flat_archive.write_flat_npz(v.where("not (row = 1 and col = 1)"), f"{tmp_path}/t.npz")
+    assert flat_archive.write_flat_npz(v.where("false"), f"{tmp_path}/none.npz")["surfaces"] == 0 and np.load(f"{tmp_path}/none.npz")["vertices"].shape == (0, 3)
