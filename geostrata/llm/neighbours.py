@@ -4,9 +4,10 @@ Nearness by Euclidean distance is turned into an inner product: |q - x|^2 = |q|^
 Vectors are cut into small subspaces with 16 codewords each, so a code is four bits a subspace. Codebooks and
 codes minimise an anisotropic loss: residual error parallel to the vector, which shifts the scores of just
 those queries for which it ranks high, weighs `parallel` times as much as orthogonal error. A query's
-products with all codewords form a table; a scan adds one entry per subspace. The best of each block of vectors
-are ranked by their exact distance; then all rows of the block are that may be nearer than the k-th of these: a
-row is no nearer than the difference of the query's distance to its code and the code's error.
+products with all codewords form a table; a scan adds one entry per subspace. What a code leaves of its vector is
+coded too, a byte a component, with an error some hundred times smaller. A row's distance differs from that to its
+code by no more than the code's error: so the best by the four-bit scan bound the k-th distance from above, by
+their codes of two stages, and only rows that neither code puts beyond that bound are ranked by their exact distance.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from geostrata.llm.common import drop_saved, saved
 from geostrata.llm.vectors import common_size, few, matrix, usable
 
 SAMPLE_ROWS, WIDTH, CODEWORDS, PARALLEL, ROUNDS = 10_000, 2, 16, 4.0, 8
-#: Vectors a scan takes at once, vectors that a task holds, queries in a block, and vectors of a block that are ranked exactly at first per neighbour asked for.
-SCAN_ROWS, HELD_ROWS, QUERY_BLOCK, RERANK = 8192, 65_536, 4096, 12
+#: Vectors a scan takes at once, queries in a block, and the best of a scan per neighbour asked for that bound the k-th distance.
+SCAN_ROWS, QUERY_BLOCK, BEST = 8192, 4096, 12
+#: Levels of a byte on either side of 0, for what a code leaves.
+LEVELS = 127
 
 
 @dataclass
@@ -62,6 +65,16 @@ class Quantiser:
                 total = rest + along[rows, m, codes[:, m]]
         return codes.astype(np.uint8)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """Rows (row, component) that codes stand for, with zeros after the last component."""
+        return self.books[np.arange(len(self.books)), codes].reshape(len(codes), -1)
+
+    def leftover(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What codes leave of the rows of x, a signed byte a component, and the step of each row."""
+        left = x - self.decode(codes)[:, : x.shape[1]]
+        unit = np.maximum(np.abs(left).max(1, initial=0), 1e-300) / LEVELS
+        return np.rint(left / unit[:, None]).astype(np.int8), unit
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Products of each query with each codeword: (subspace, codeword, query)."""
         return np.einsum("qmw,mcw->mcq", self.cut(q), self.books)
@@ -103,7 +116,8 @@ def build_index(rows: DataFrame, key: str = "vec_id", vector: str = "embedding",
     """(key, embedding, codes) of every usable row, and the quantiser, fitted on at most `sample` rows of the most common size, the first by a hash of the key.
 
     Null keys and vectors that are null, empty, zero or not finite take no part. Rows of another size than most
-    have no codes and are searched exactly. Codes hold two subspaces a byte. Other columns are left out, whatever
+    have no codes and are searched exactly. Codes hold two subspaces a byte; `rest` codes what they leave, a byte a
+    component in steps of `unit`. Other columns are left out, whatever
     their names; repeated keys keep their rows; an empty table gives an empty index.
     """
     rows = rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("embedding"))
@@ -115,17 +129,20 @@ def build_index(rows: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            x = x.assign(codes=None)
+            x = x.assign(codes=None, rest=None, unit=np.nan)
             fits = x["embedding"].map(len) == d
             if fits.any():
-                codes = shared.value.encode(matrix(x.loc[fits, "embedding"]))
+                held = matrix(x.loc[fits, "embedding"])
+                codes = shared.value.encode(held)
+                rest, x.loc[fits, "unit"] = shared.value.leftover(held, codes)
+                x.loc[fits, "rest"] = pd.Series([r.tobytes() for r in rest], x.index[fits])
                 if codes.shape[1] % 2:
                     codes = np.pad(codes, ((0, 0), (0, 1)))
                 packed = (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
                 x.loc[fits, "codes"] = pd.Series([r.tobytes() for r in packed], x.index[fits])
             yield x
 
-    return rows.mapInPandas(encode, "key long, embedding array<double>, codes binary"), model
+    return rows.mapInPandas(encode, "key long, embedding array<double>, codes binary, rest binary, unit double"), model
 
 
 def _first_copies(ids: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
@@ -138,39 +155,55 @@ def _first_copies(ids: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return np.sort(by_id[order[nth < n]])
 
 
-def _scan(model: Quantiser, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of a block to each query: no row that may be among them is left out of the exact ranking."""
-    tables, decoded = model.tables(queries), model.books[np.arange(len(model.books)), codes]
-    error = np.sqrt(((model.cut(x) - decoded) ** 2).sum((1, 2)))
-    square = (decoded**2).sum((1, 2))
-    query_square = (queries * queries).sum(1)
-    rounding = np.sqrt((decoded[0].size + 8) * 1e-15) * (np.sqrt(query_square) + np.sqrt(square.max(initial=0)))
-    out = []
-    depth = min(len(x), k * RERANK)
+@dataclass
+class Block:
+    """Vectors of one size that are scanned together. x is in single precision where that holds every component exactly; codes, rest and unit are None for sizes without codes."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    codes: np.ndarray | None = None
+    rest: np.ndarray | None = None
+    unit: np.ndarray | None = None
+
+
+def _scan(model: Quantiser, block: Block, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[pd.DataFrame, int]:
+    """The k nearest rows of a block to each query, and how many rows were ranked exactly: no row that may be among the nearest is left out."""
+    ids, x, codes = block.ids, block.x, block.codes
+    tables, coarse = model.tables(queries), model.decode(codes)[:, : x.shape[1]]
+    second = block.rest * block.unit[:, None]
+    fine = coarse + second
+    size = lambda v: np.sqrt((v * v).sum(1))
+    coarse_error, fine_error = size(x - coarse), size(x - fine)
+    coarse_square, fine_square, query_square = (coarse * coarse).sum(1), (fine * fine).sum(1), (queries * queries).sum(1)
+    rounding = np.sqrt((x.shape[1] + 8) * 4e-15) * (np.sqrt(query_square) + np.sqrt(max(coarse_square.max(initial=0), fine_square.max(initial=0))))
+    out, ranked = [], 0
+    depth = min(len(x), k * BEST)
     step = max(1, (1 << 20) // max(1, len(x)))
     for a in range(0, len(queries), step):
         part = tables[:, :, a : a + step]
         product = np.zeros((len(x), part.shape[2]))
         for m in range(part.shape[0]):
             product += part[m][codes[:, m]]
-        to_code = np.maximum(square[:, None] - 2 * product + query_square[a : a + step], 0)
-        best = np.argpartition(to_code - (error * error)[:, None], depth - 1, axis=0)[:depth] if depth < len(x) else None
-        least = np.abs(np.sqrt(to_code) - error[:, None])
+        to_coarse = np.sqrt(np.maximum(coarse_square[:, None] - 2 * product + query_square[a : a + step], 0))
+        product += second @ queries[a : a + step].T
+        to_fine = np.sqrt(np.maximum(fine_square[:, None] - 2 * product + query_square[a : a + step], 0))
+        best = np.argpartition(to_coarse, depth - 1, axis=0)[:depth] if depth else np.empty((0, part.shape[2]), np.int64)
         for j in range(part.shape[2]):
-            q = queries[a + j]
-            near = np.arange(len(x))
-            if best is not None:
-                others = best[ids[best[:, j]] != query_ids[a + j], j]
-                if len(others) >= k:
-                    reach = np.partition(np.sqrt(((x[others] - q) ** 2).sum(1)), k - 1)[k - 1]
-                    near = np.flatnonzero(least[:, j] <= reach + rounding[a + j])
+            qid, q, slack = query_ids[a + j], queries[a + j], rounding[a + j]
+            others = best[ids[best[:, j]] != qid, j]
+            near = np.flatnonzero(ids != qid)
+            if len(others) >= k:
+                reach = np.partition(to_fine[others, j] + fine_error[others], k - 1)[k - 1] + slack
+                near = near[to_coarse[near, j] - coarse_error[near] <= reach + slack]
+                bound = to_fine[near, j] + fine_error[near]
+                reach = min(reach, np.partition(bound, k - 1)[k - 1] + slack)
+                near = near[to_fine[near, j] - fine_error[near] <= reach + slack]
+            ranked += len(near)
             distance = np.sqrt(((x[near] - q) ** 2).sum(1))
-            own = ids[near] != query_ids[a + j]
-            near, distance = near[own], distance[own]
             order = np.lexsort((ids[near], distance))[:k]
-            out.append((np.full(len(order), query_ids[a + j]), ids[near[order]], distance[order]))
+            out.append((np.full(len(order), qid), ids[near[order]], distance[order]))
     q, v, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
+    return pd.DataFrame({"query_id": q, "vec_id": v, "score": s}), ranked
 
 
 def _exactly(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
@@ -184,14 +217,35 @@ def _exactly(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.
     return pd.concat(out)
 
 
+def _blocks(rows: pd.DataFrame, model: Quantiser, k: int) -> Iterator[tuple[int, Block]]:
+    """(size, block) of index rows, as plain arrays."""
+    sizes = rows["embedding"].map(len).to_numpy()
+    for d in np.unique(sizes).tolist():
+        some = rows[sizes == d]
+        for at in range(0, len(some), SCAN_ROWS):
+            part = some.iloc[at : at + SCAN_ROWS]
+            keys, x = part["key"].to_numpy(), matrix(part["embedding"])
+            kept = _first_copies(keys, x, k + 1)
+            with np.errstate(over="ignore"):  # what is too large for it is kept in double precision
+                single = x.astype(np.float32)
+            x = single if (single == x).all() else x
+            if part["codes"].iloc[0] is None:
+                yield d, Block(keys[kept], x[kept])
+                continue
+            packed = np.frombuffer(b"".join(part["codes"]), np.uint8).reshape(len(part), -1)
+            codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(part), -1)[kept, : len(model.books)]
+            rest = np.frombuffer(b"".join(part["rest"]), np.int8).reshape(len(part), -1)
+            yield d, Block(keys[kept], x[kept], codes, rest[kept], part["unit"].to_numpy()[kept])
+
+
 def search(index: DataFrame, model: Quantiser, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of the index found for each query but the query's own row.
 
-    Queries are written in blocks of about QUERY_BLOCK as files of the shared folder; a task reads one block after
-    another for every HELD_ROWS rows of its part of the index, so that neither the driver nor a task holds all
-    queries. Ties go to the smaller key. Unusable queries have no rows; of repeated query keys the one with the
-    smallest vector counts. Vectors are compared with those of their own size. Fewer rows than k give fewer
-    neighbours; an empty index or no queries give none.
+    Queries are written in blocks of about QUERY_BLOCK as files of the shared folder. A task holds its partition of the
+    index, as large as spark.sql.files.maxPartitionBytes lets it be, as plain arrays, reads one block of queries
+    after another and gives k rows a query for all of it. Ties go to the smaller key. Unusable queries have no
+    rows; of repeated query keys the one with the smallest vector counts. Vectors are compared with those of their
+    own size. Fewer rows than k give fewer neighbours; an empty index or no queries give none.
     """
     spark = index.sparkSession
     asked = queries.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("embedding")).where(F.col("key").isNotNull() & usable(F.col("embedding")))
@@ -201,42 +255,19 @@ def search(index: DataFrame, model: Quantiser, queries: DataFrame, k: int = 10,
     paths = sorted(blocks.inputFiles())  # one name a block
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def answer() -> Iterator[pd.DataFrame]:
-            rows = pd.concat(held, ignore_index=True)
-            sizes = rows["embedding"].map(len).to_numpy()
-            parts = []
-            for d in np.unique(sizes).tolist():
-                some = rows[sizes == d]
-                for at in range(0, len(some), SCAN_ROWS):
-                    block = some.iloc[at : at + SCAN_ROWS]
-                    keys, x, codes = block["key"].to_numpy(), matrix(block["embedding"]), None
-                    kept = _first_copies(keys, x, k + 1)
-                    if block["codes"].iloc[0] is not None:
-                        packed = np.frombuffer(b"".join(block["codes"]), np.uint8).reshape(len(block), -1)
-                        codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(block), -1)[kept, : len(model.books)]
-                    parts.append((d, keys[kept], x[kept], codes))
-            for path in paths:
-                block = _read_block(path)
-                long = block["embedding"].map(len).to_numpy()
-                found = []
-                for d, keys, x, codes in parts:
-                    some = block[long == d]
-                    if len(some):
-                        ids, q = some["key"].to_numpy(), matrix(some["embedding"])
-                        found.append(_exactly(keys, x, ids, q, k) if codes is None else _scan(model, keys, x, codes, ids, q, k))
-                if found:
-                    best = pd.concat(found).sort_values(["query_id", "score", "vec_id"])
-                    yield best.groupby("query_id").head(k)
-
-        for frame in frames:
-            held.append(frame)
-            if sum(map(len, held)) >= HELD_ROWS:
-                yield from answer()
-                held = []
-        if sum(map(len, held)):
-            yield from answer()
+        held = [x for frame in frames for x in _blocks(frame, model, k)]
+        for path in paths if held else []:
+            asked = _read_block(path)
+            long = asked["embedding"].map(len).to_numpy()
+            found = []
+            for d in np.unique(long).tolist():
+                some = asked[long == d]
+                ids, q = some["key"].to_numpy(), matrix(some["embedding"])
+                for block in [b for size, b in held if size == d]:
+                    found.append(_exactly(block.ids, block.x, ids, q, k) if block.codes is None else _scan(model, block, ids, q, k)[0])
+            if found:
+                best = pd.concat(found).sort_values(["query_id", "score", "vec_id"])
+                yield best.groupby("query_id").head(k)
 
     found = index.mapInPandas(scan, "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -3,6 +3,8 @@
 import random
 import zlib
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,8 +126,29 @@ def test_scan_finds_all_neighbours_in_a_group_of_near_copies(jitter):
     x[hot] = x[hot[0]] + jitter * rng.normal(size=(len(hot), d))
     model = neighbours.fit_quantiser(x[:1500], rounds=2)
     asked = np.concatenate([hot[:20], np.setdiff1d(np.arange(n), hot)[:20]])
-    got = neighbours._scan(model, np.arange(n), x, model.encode(x), asked, x[asked], k)
+    codes = model.encode(x)
+    got, ranked = neighbours._scan(model, neighbours.Block(np.arange(n), x, codes, *model.leftover(x, codes)), asked, x[asked], k)
     for q in asked:
         distance = np.sqrt(((x - x[q]) ** 2).sum(1))
         distance[q] = np.inf
         assert got.vec_id[got.query_id == q].tolist() == np.lexsort((np.arange(n), distance))[:k].tolist()
+    assert ranked < 0.05 * n * len(asked)
+
+
+def test_scan_ranks_few_rows_exactly():
+    """The given vectors: all neighbours found, less than a twentieth of the rows ranked exactly for the average query."""
+    import pyarrow.parquet
+
+    folder = os.environ.get("TEST_SF_LARGE", "/root/testdata/sf0.1")
+    rows = pyarrow.parquet.read_table(f"{folder}/embeddings.parquet").to_pandas()
+    good = rows["embedding"].map(lambda v: v is not None and len(v) > 0 and np.isfinite(np.asarray(v, float)).all() and bool(np.any(v)))
+    ids, x = rows.loc[good, "vec_id"].to_numpy(), np.stack(rows.loc[good, "embedding"]).astype(float)
+    model = neighbours.fit_quantiser(x)
+    codes = model.encode(x)
+    asked = np.flatnonzero(ids % 100 == 0)
+    got, ranked = neighbours._scan(model, neighbours.Block(ids, x.astype(np.float32) if (x.astype(np.float32) == x).all() else x, codes, *model.leftover(x, codes)), ids[asked], x[asked], 10)
+    for k in asked:
+        distance = np.sqrt(((x - x[k]) ** 2).sum(1))
+        distance[k] = np.inf
+        assert got.vec_id[got.query_id == ids[k]].tolist() == ids[np.lexsort((ids, distance))[:10]].tolist()
+    assert ranked < 0.05 * len(ids) * len(asked)
