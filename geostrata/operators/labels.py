@@ -49,22 +49,21 @@ def label_map(picks: DataFrame, nx: int, nz: int, keys: list[str], fault: str |
     return wide.where((F.col("x") % down_x == 0) & (F.col("z") % down_z == 0)).select(*keys, F.floor(F.col("x") / down_x).cast("int").alias("x"), F.floor(F.col("z") / down_z).cast("int").alias("z"))
 
 
-def patches(labels: DataFrame, nx: int, nz: int, patch: int, stride: int, keys: list[str], min_label_pixels: int = 1) -> DataFrame:
+def patches(labels: DataFrame, nx: int | Column, nz: int | Column, patch: int, stride: int, keys: list[str], min_label_pixels: int = 1) -> DataFrame:
     """(keys, x0, z0, label_pixels): full patches on a stride grid that hold at least min_label_pixels label pixels.
 
-    A pixel is sent to the patches that hold it, by arithmetic on the grid; nothing is joined. A section
-    smaller than a patch has none.
+    nx, nz: the sections' size, or columns of labels that tell it. A pixel is sent to the patches that hold it, by
+    arithmetic on the grid; nothing is joined. A section smaller than a patch has none.
     """
-    last_x, last_z = nx - patch, nz - patch
-    if min(last_x, last_z) < 0:
-        return labels.select(*keys, F.lit(0).alias("x0"), F.lit(0).alias("z0"), F.lit(0).cast("long").alias("label_pixels")).where(F.lit(False))
+    last_x, last_z = F.lit(nx) - patch, F.lit(nz) - patch
 
-    def origins(c: str, last: int) -> Column:
+    def origins(c: str, last: Column) -> Column:
         low = F.greatest(F.lit(0), F.ceil((F.col(c) - patch + 1) / stride)).cast("int")
-        high = F.least(F.lit(last // stride), F.floor(F.col(c) / stride)).cast("int")
+        high = F.least(F.floor(last / stride), F.floor(F.col(c) / stride)).cast("int")
         return F.when(high >= low, F.transform(F.sequence(low, F.greatest(low, high)), lambda k: k * stride)).otherwise(F.array().cast("array<int>"))
 
-    sent = labels.select(*keys, "z", F.explode(origins("x", last_x)).alias("x0")).select(*keys, "x0", F.explode(origins("z", last_z)).alias("z0"))
+    large = labels.where((last_x >= 0) & (last_z >= 0))
+    sent = large.select(*keys, F.explode(origins("x", last_x)).alias("x0"), origins("z", last_z).alias("__z0")).select(*keys, "x0", F.explode("__z0").alias("z0"))
     return sent.groupBy(*keys, "x0", "z0").agg(F.count("*").alias("label_pixels")).where(F.col("label_pixels") >= min_label_pixels)
 
 

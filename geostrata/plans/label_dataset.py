@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,82 +24,109 @@ def _finite(values: Column) -> Column:
     return F.filter(values, lambda v: ~F.isnan(v))
 
 
-def common_extent(shape: tuple[int, int], line: LineConfig) -> tuple[int, int]:
-    """The pixels that a section and its label map share, in (x, z)."""
-    high = line.label_shape_before_downsample or (shape[0] * line.downsample_x, shape[1] * line.downsample_z)
-    return min(shape[0], -(-high[0] // line.downsample_x)), min(shape[1], -(-high[1] // line.downsample_z))
-
-
-def bits_of(places: Column, n: int) -> Column:
+def bits_of(places: Column, n: int | Column) -> Column:
     """n zeros with a one at each of the places, an ascending array; null has none. Zeros between neighbours are laid out at once, so the work follows n."""
     held = F.coalesce(places.cast("array<int>"), F.array().cast("array<int>"))
     zeros = lambda k: F.array_repeat(F.lit(0), k)
-    gaps = F.zip_with(F.concat(F.array(F.lit(-1)), held), held, lambda a, b: F.when(b.isNotNull(), F.concat(zeros(b - a - 1), F.array(F.lit(1)))).otherwise(zeros(F.lit(n - 1) - a)))
+    gaps = F.zip_with(F.concat(F.array(F.lit(-1)), held), held, lambda a, b: F.when(b.isNotNull(), F.concat(zeros(b - a - 1), F.array(F.lit(1)))).otherwise(zeros(F.lit(n) - 1 - a)))
     return F.flatten(gaps)
 
 
-def patch_pixels(traces: DataFrame, label_map: DataFrame, origins: DataFrame, nx: int, nz: int, patch: int) -> DataFrame:
-    """origins with image and label, arrays in (x, z) order. traces: (x, amplitudes); label_map: (x, z); origins: (x0, z0, ...).
+def patch_pixels(traces: DataFrame, label_map: DataFrame, origins: DataFrame, patch: int) -> DataFrame:
+    """origins with image and label, arrays in (x, z) order. traces: (line, x, amplitudes, nx, nz); label_map: (line, x, z); origins: (line, x0, z0, ...).
 
     Each trace is cut to the patches that hold it, so a patch gathers its own pixels and no more; images are
     scaled to [0, 1] each for itself.
     """
-    marked = label_map.where(F.col("z").between(0, nz - 1)).groupBy("x").agg(F.array_sort(F.collect_set("z")).alias("zs"))
-    rows = traces.where(F.col("x") < nx).join(marked, "x", "left").select("x", "amplitudes", bits_of(F.col("zs"), nz).alias("bits"))
-    columns = origins.select("x0").distinct().withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x0") + patch - 1)))
-    cut = rows.join(columns, "x").join(origins.select("x0", "z0"), "x0")
+    marked = label_map.groupBy("line", "x").agg(F.array_sort(F.collect_set("z")).alias("zs"))
+    rows = traces.where(F.col("x") < F.col("nx")).join(marked, ["line", "x"], "left").select("line", "x", "amplitudes", bits_of(F.col("zs"), F.col("nz")).alias("bits"))
+    columns = origins.groupBy("line", "x0").agg(F.collect_list("z0").alias("z0s")).withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x0") + patch - 1)))
+    cut = rows.join(columns, ["line", "x"]).withColumn("z0", F.explode("z0s"))
     part = lambda c: F.slice(c, F.col("z0") + 1, patch)
-    held = cut.groupBy("x0", "z0").agg(F.array_sort(F.collect_list(F.struct("x", part("amplitudes").alias("a"), part("bits").alias("b")))).alias("rows"))
-    flat = held.select("x0", "z0", F.flatten(F.transform("rows", lambda r: r["a"])).alias("a"), F.flatten(F.transform("rows", lambda r: r["b"])).alias("label"))
+    held = cut.groupBy("line", "x0", "z0").agg(F.array_sort(F.collect_list(F.struct("x", part("amplitudes").alias("a"), part("bits").alias("b")))).alias("rows"))
+    flat = held.select("line", "x0", "z0", F.flatten(F.transform("rows", lambda r: r["a"])).alias("a"), F.flatten(F.transform("rows", lambda r: r["b"])).alias("label"))
     image = unit_range(F.col("a"), F.array_min(_finite(F.col("a"))), F.array_max(_finite(F.col("a"))))
-    return origins.join(flat.select("x0", "z0", image.alias("image"), "label"), ["x0", "z0"])
+    return origins.join(flat.select("line", "x0", "z0", image.alias("image"), "label"), ["line", "x0", "z0"])
 
 
-def line_records(traces: DataFrame, picks: DataFrame, line: LineConfig, config: LabelConfig = LabelConfig(), checksums: tuple[str, str] = ("", "")) -> DataFrame:
-    """One row per patch of a line: (x0, z0, label_pixels, image, label) and its source's columns.
+def line_table(spark: SparkSession, lines: list[LineConfig], checksums: list[tuple[str, str]]) -> DataFrame:
+    """One row a line, by its place in the list: what its patches say of their source, and how it is thinned out."""
+    rows = []
+    for k, (line, (segy_sum, csv_sum)) in enumerate(zip(lines, checksums, strict=True)):
+        tall = line.label_shape_before_downsample or (None, None)
+        rows.append((k, line.inline_id, line.section_index, line.segy_path, line.csv_path, segy_sum, csv_sum, line.split, line.fault_id_col is not None, line.downsample_x, line.downsample_z, *tall))
+    kinds = "line int, inline_id int, section_index int, source_segy string, source_csv string, source_segy_sha256 string, source_csv_sha256 string, requested_split string, faults boolean, down_x int, down_z int, tall_x int, tall_z int"
+    return spark.createDataFrame(rows, kinds)
 
-    traces: (x, amplitudes), thinned out already; picks: (x_idx, z_idx) and fault_id if the line has one, in
-    pixels before thinning. The section is scaled to [0, 1], then each patch. A section without traces is an error.
-    """
+
+def sized_lines(traces: DataFrame, table: DataFrame) -> DataFrame:
+    """table with each section's finite range, the label map's size before thinning and, as nx and nz, the pixels that both share. A line without traces is an error."""
     low, high = F.array_min(_finite(F.col("amplitudes"))), F.array_max(_finite(F.col("amplitudes")))
-    facts = traces.agg((F.max("x") + 1).alias("nx"), F.min(F.size("amplitudes")).alias("nz"), F.min(low).alias("low"), F.max(high).alias("high")).first()
-    if facts["nx"] is None:
-        raise ValueError("the section has no traces")
-    nx, nz = common_extent((facts["nx"], facts["nz"]), line)
-    scaled = traces.select("x", unit_range(F.col("amplitudes"), F.lit(facts["low"]), F.lit(facts["high"])).alias("amplitudes"))
-    tall = line.label_shape_before_downsample or (facts["nx"] * line.downsample_x, facts["nz"] * line.downsample_z)
-    one = picks.withColumn("line", F.lit(0))
-    fault = "fault_id" if line.fault_id_col is not None else None
-    label = labels.label_map(one, *tall, ["line"], fault, *config.ellipse, line.downsample_x, line.downsample_z)
-    label = cut_lineage(labels.inside(label, nx, nz).select("x", "z"))
-    found = labels.patches(label.withColumn("line", F.lit(0)), nx, nz, config.patch_size, config.stride, ["line"], config.min_label_pixels if config.positive_only else 1).drop("line")
+    facts = traces.groupBy("line").agg((F.max("x") + 1).alias("sx"), F.min(F.size("amplitudes")).alias("sz"), F.min(low).alias("low"), F.max(high).alias("high"))
+    found = table.join(facts, "line", "left")
+    tall = {f"tall_{c}": F.coalesce(f"tall_{c}", F.col(f"s{c}") * F.col(f"down_{c}")) for c in "xz"}
+    shared = {f"n{c}": F.least(F.col(f"s{c}"), F.ceil(F.col(f"tall_{c}") / F.col(f"down_{c}")).cast("int")) for c in "xz"}
+    out = cut_lineage(found.withColumns(tall).withColumns(shared))
+    bare = out.where("sx is null").first()
+    if bare:
+        raise ValueError(f"the section has no traces: {bare['source_segy']}")
+    return out
+
+
+def label_maps(picks: DataFrame, sized: DataFrame, ellipse: tuple[int, int]) -> DataFrame:
+    """(line, x, z): the label pixels of every line: picks in bounds, drawn by fault where the line has faults, dilated, thinned out and cut to the shared pixels. picks: (line, x_idx, z_idx, fault_id)."""
+    shape = sized.select("line", "faults", "tall_x", "tall_z", "down_x", "down_z", "nx", "nz")
+    points = picks.join(shape, "line").where(F.col("x_idx").between(0, F.col("tall_x") - 1) & F.col("z_idx").between(0, F.col("tall_z") - 1))
+    drawn = labels.raster(labels.polyline_segments(points.where("faults"), ["line", "fault_id"]), ["line"])
+    alone = points.where("not faults").select("line", F.col("x_idx").alias("x"), F.col("z_idx").alias("z"))
+    wide = labels.dilate(drawn.unionByName(alone).distinct(), labels.ellipse(*ellipse), ["line"]).join(shape, "line")
+    kept = wide.where(F.col("x").between(0, F.col("tall_x") - 1) & F.col("z").between(0, F.col("tall_z") - 1) & (F.col("x") % F.col("down_x") == 0) & (F.col("z") % F.col("down_z") == 0))
+    thin = kept.select("line", F.floor(F.col("x") / F.col("down_x")).cast("int").alias("x"), F.floor(F.col("z") / F.col("down_z")).cast("int").alias("z"), "nx", "nz")
+    return thin.where("x < nx and z < nz").select("line", "x", "z")
+
+
+def line_records(traces: DataFrame, picks: DataFrame, table: DataFrame, config: LabelConfig = LabelConfig()) -> DataFrame:
+    """One row per patch of all lines: (x0, z0, label_pixels, image, label) and its source's columns, in one plan keyed by line.
+
+    traces: (line, x, amplitudes), thinned out already; picks: (line, x_idx, z_idx, fault_id), in pixels before
+    thinning; table: line_table. A section is scaled to [0, 1], then each patch.
+    """
+    sized = sized_lines(traces, table)
+    size = sized.select("line", "nx", "nz")
+    scaled = traces.join(sized.select("line", "low", "high", "nx", "nz"), "line").select("line", "x", unit_range(F.col("amplitudes"), F.col("low"), F.col("high")).alias("amplitudes"), "nx", "nz")
+    label = cut_lineage(label_maps(picks, sized, config.ellipse))
+    found = labels.patches(label.join(size, "line"), F.col("nx"), F.col("nz"), config.patch_size, config.stride, ["line"], config.min_label_pixels if config.positive_only else 1)
     if not config.positive_only:
-        found = labels.grid_origins(traces.sparkSession, nx, nz, config.patch_size, config.stride).join(found, ["x0", "z0"], "left").fillna(0, ["label_pixels"])
-    out = patch_pixels(scaled, label, cut_lineage(found), nx, nz, config.patch_size)
-    source = labels.source_id(F.lit(line.inline_id), F.lit(line.section_index), F.lit(checksums[0]))
-    return out.withColumns({
-        "source_id": source, "inline_id": F.lit(line.inline_id), "section_index": F.lit(line.section_index), "source_nx": F.lit(nx), "source_nz": F.lit(nz),
-        "source_segy": F.lit(line.segy_path), "source_csv": F.lit(line.csv_path), "source_segy_sha256": F.lit(checksums[0]), "source_csv_sha256": F.lit(checksums[1]),
-        "requested_split": F.lit(line.split).cast("string"),
-    })
+        along = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col(c) - config.patch_size) / config.stride).cast("int")), lambda k: k * config.stride))
+        every = size.where(F.least("nx", "nz") >= config.patch_size).withColumn("x0", along("nx")).withColumn("z0", along("nz")).select("line", "x0", "z0")
+        found = every.join(found, ["line", "x0", "z0"], "left").fillna(0, ["label_pixels"])
+    out = patch_pixels(scaled, label, cut_lineage(found), config.patch_size)
+    source = labels.source_id(F.col("inline_id"), F.col("section_index"), F.col("source_segy_sha256"))
+    told = sized.select("line", source.alias("source_id"), "inline_id", "section_index", F.col("nx").alias("source_nx"), F.col("nz").alias("source_nz"), "source_segy", "source_csv", "source_segy_sha256", "source_csv_sha256", "requested_split")
+    return out.join(told, "line").drop("line")
+
+
+def read_lines(spark: SparkSession, lines: list[LineConfig]) -> tuple[DataFrame, DataFrame]:
+    """(line, x, amplitudes) and (line, x_idx, z_idx, fault_id) of all lines: one scan a file, put together."""
+    traces, picks = [], []
+    for k, line in enumerate(lines):
+        traces.append(files.read_section(spark, line).select(F.lit(k).alias("line"), "x", "amplitudes"))
+        some = files.read_picks(spark, line)
+        picks.append(some.select(F.lit(k).alias("line"), "x_idx", "z_idx", (F.col("fault_id") if "fault_id" in some.columns else F.lit(None)).cast("string").alias("fault_id")))
+    together = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    return together(traces), together(picks)
 
 
 def build_label_dataset(spark: SparkSession, lines: list[LineConfig], folder: str, config: LabelConfig = LabelConfig(), npy: bool = True, dat: bool = False) -> dict[str, DataFrame]:
-    """Reads every line, splits the patches and writes them with their manifest under folder; gives summary, assigned and manifest.
+    """Reads all lines, splits their patches and writes them with their manifest under folder; gives summary, assigned and manifest.
 
-    The folder must be new or empty. Lines are few; each is one branch of the plan, written before the next.
+    The folder must be new or empty. A line is a key of the plan, so lines are worked on side by side.
     """
     files.need_empty(spark, folder)
     files.check_lines(lines, config)
-    spark.dataSource.register(files.segy.SegyDataSource)
-    checksums = {x["path"]: x["sha256"] for x in files.checksums(spark, sorted({p for x in lines for p in (x.segy_path, x.csv_path)})).collect()}  # one row per input file
-    parts = []
-    for line in lines:
-        sums = tuple(checksums[files.plain_path(p)] for p in (line.segy_path, line.csv_path))
-        parts.append(cut_lineage(line_records(files.read_section(spark, line), files.read_picks(spark, line), line, config, sums)))
-    records = parts[0]
-    for part in parts[1:]:
-        records = records.unionByName(part)
+    found = {x["path"]: x["sha256"] for x in files.checksums(spark, sorted({p for x in lines for p in (x.segy_path, x.csv_path)})).collect()}  # one row per input file
+    table = line_table(spark, lines, [tuple(found[files.plain_path(p)] for p in (x.segy_path, x.csv_path)) for x in lines])
+    records = cut_lineage(line_records(*read_lines(spark, lines), table, config))
     twice = labels.duplicates(records.select("source_segy_sha256", "section_index", "x0", "z0"), ["source_segy_sha256", "section_index", "x0", "z0"]).first()
     if twice:
         raise ValueError(f"a physical section is listed twice: {twice}")

@@ -263,7 +263,8 @@ def test_a_label_dataset_from_files(spark, tmp_path):
     assert files.read_patches(spark, f"{tmp_path}/out/train/seismic/*.npy", 16).count() == files.read_patches(spark, f"{tmp_path}/out/train/seismic/*.dat", 16).count() > 0
     with pytest.raises(ValueError, match="not empty"):
         files.need_empty(spark, f"{tmp_path}/out")
-    every = label_dataset.line_records(files.read_section(spark, LineConfig.of(lines[0])), files.read_picks(spark, LineConfig.of(lines[0])), LineConfig.of(lines[0]), LabelConfig(ellipse=(1, 1), patch_size=16, stride=8, positive_only=False))
+    one = LineConfig.of(lines[0])
+    every = label_dataset.line_records(*label_dataset.read_lines(spark, [one]), label_dataset.line_table(spark, [one], [("", "")]), LabelConfig(ellipse=(1, 1), patch_size=16, stride=8, positive_only=False))
     assert every.count() == 4
 
 
