@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from geostrata import adapters as A
 from geostrata import queries as Q
-from geostrata.config import LinkConfig, TileConfig
-from geostrata.operators import cluster, epochs, ranking, tiles
+from geostrata.config import LabelConfig, LineConfig, LinkConfig, TileConfig
+from geostrata.operators import cluster, epochs, labels, ranking, tiles
 from geostrata.plans import detection, reconstruction
+from geostrata.plans import label_dataset as datasets
 from geostrata.queries import query
-from geostrata.sources import fault_lines, segy, segy_index, surfaces
+from geostrata.sources import fault_lines, files, segy, segy_index, surfaces
 from geostrata.sources import flat_archive as archive
 from geostrata.storage import current_version, cut_lineage, publish, shared_dir
 from geostrata.streaming import islands as streamed
@@ -196,7 +197,7 @@ def batch_members(spark, sf_dir):
 def model_probability_map(spark, sf_dir):
     """The probability map by a model file, here the slope of a logistic function, that each worker reads and checks once."""
     path, body = posixpath.join(_folder(spark, "model"), "weights"), b"1.0"
-    store, at = Q.surface_files.files.store(posixpath.dirname(path))
+    store, at = files.store(posixpath.dirname(path))
     store.create_dir(at, recursive=True)
     with store.open_output_stream(f"{at}/weights") as f:
         f.write(body)
@@ -251,3 +252,38 @@ def streamed_islands(spark, sf_dir):
     out = _folder(spark, "islands")
     streamed.write_islands(stream, ["inline_number", "z"], "x", f"{out}/rows", f"{out}/state", GAP, late="1000 days").awaitTermination()
     return spark.read.parquet(f"{out}/rows").where("inline_number is not null").select("inline_number", "z", F.col("middle").cast("int").alias("x"))
+
+
+# The label dataset ------------------------------------------------------------------------------------------------
+
+#: A section's amplitudes: ten times the picks of the column, and the row modulo 16; both axes are thinned by 2.
+PATCH_FILES_SQL = f"""WITH {Q.PATCH_SQL}, columns AS (SELECT inline_id, x_idx, count(*) AS n FROM picks WHERE x_idx >= 0 AND x_idx < {Q.NX} AND z_idx >= 0 AND z_idx < {Q.NZ} GROUP BY 1, 2),
+  cells AS (SELECT p.*, coalesce(n, 0) * 10 + (2 * (z0 + j)) % 16 AS a FROM (SELECT patch.*, i, j FROM patch, range({Q.PATCH}) t(i), range({Q.PATCH}) u(j)) p LEFT JOIN columns c ON c.inline_id = p.inline_id AND c.x_idx = 2 * (x0 + i)),
+  ends AS (SELECT inline_id, x0, z0, label_pixels, min(a) AS low, max(a) AS high, avg(a) AS mean FROM cells GROUP BY 1, 2, 3, 4)
+  SELECT CAST(inline_id AS INTEGER) AS inline_id, CASE WHEN inline_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, CAST(x0 AS INTEGER) AS x0, CAST(z0 AS INTEGER) AS z0, label_pixels, label_pixels AS ones, round((mean - low) / (high - low), 3) AS mean FROM ends"""
+
+
+@query("label_dataset", PATCH_FILES_SQL)
+def label_dataset(spark, sf_dir):
+    """Sections and picks written as SEG-Y and CSV, made into a dataset of patches, and its manifest and patch files read back."""
+    folder = _folder(spark, "labels")
+    picks = A.picks(spark, sf_dir)
+    inside = cut_lineage(labels.inside(picks, Q.NX, Q.NZ, "x_idx", "z_idx"))
+    inlines = [x[0] for x in picks.select("inline_id").distinct().orderBy("inline_id").collect()]  # one row a nation
+    counts = inside.groupBy("inline_id", F.col("x_idx").alias("crossline")).agg(F.count("*").alias("n"))
+    every = picks.select("inline_id").distinct().withColumn("crossline", F.explode(F.sequence(F.lit(0), F.lit(Q.NX - 1))))
+    traces = every.join(counts, ["inline_id", "crossline"], "left").select(
+        F.col("inline_id").cast("int").alias("inline_number"), "crossline", F.transform(F.sequence(F.lit(0), F.lit(Q.NZ - 1)), lambda z: (F.coalesce("n", F.lit(0)) * 10 + z % 16).cast("float")).alias("amplitudes")
+    )
+    path = segy.write_segy(traces.repartition(1).sortWithinPartitions("inline_number", "crossline"), f"{folder}/sections").first()["path"]
+    inside.select("inline_id", "x_idx", "z_idx", "fault_id").repartition("inline_id").write.option("header", True).partitionBy("inline_id").csv(f"{folder}/picks")
+    found = {int(p.rpartition("inline_id=")[2].partition("/")[0]): p for p in spark.read.option("header", True).csv(f"{folder}/picks").inputFiles()}
+    lines = [LineConfig(k, path, found[k], "val" if k % 5 == 0 else "train", place, fault_id_col=2, label_shape_before_downsample=(Q.NX, Q.NZ), downsample_x=2, downsample_z=2) for place, k in enumerate(inlines) if k in found]
+    config = LabelConfig(ellipse=(3, 2), patch_size=Q.PATCH, stride=Q.STRIDE, min_label_pixels=4, target_train=10**6, target_val=10**6)
+    manifest = datasets.build_label_dataset(spark, lines, f"{folder}/out", config)["manifest"]
+    values = lambda kind, side, dtype="<f4": files.read_patches(spark, f"{folder}/out/{side}/{kind}/*.npy", Q.PATCH, dtype).withColumn("split", F.lit(side))
+    mean = F.aggregate("values", F.lit(0.0), lambda a, v: a + v.cast("double")) / Q.PATCH**2
+    images = values("seismic", "train").unionByName(values("seismic", "val")).select("split", "stem", mean.alias("mean"))
+    marks = values("labels", "train").unionByName(values("labels", "val")).select("split", "stem", F.aggregate("values", F.lit(0.0), lambda a, v: a + v.cast("double")).cast("long").alias("ones"))
+    rows = manifest.withColumn("stem", F.regexp_extract("seismic_file", r"([^/]+)\.npy$", 1)).join(images, ["split", "stem"]).join(marks, ["split", "stem"])
+    return rows.select(F.col("inline_id").cast("int").alias("inline_id"), "split", F.col("x0").cast("int").alias("x0"), F.col("z0").cast("int").alias("z0"), F.col("label_pixels").cast("long").alias("label_pixels"), "ones", F.round("mean", 3).alias("mean"))

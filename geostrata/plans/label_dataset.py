@@ -16,8 +16,9 @@ EPS = 1e-8
 
 
 def unit_range(values: Column, low: Column, high: Column) -> Column:
-    """An array scaled to [0, 1] in single precision; NaN stays."""
-    return F.transform(values, lambda v: ((v - low) / (high - low + EPS)).cast("float"))
+    """An array scaled to [0, 1] in single precision; NaN stays. The ends are worked out once an array, not once an element, whatever they are made of."""
+    ends = F.array(F.struct(values.alias("v"), low.alias("low"), (high - low + EPS).alias("width")))
+    return F.transform(ends, lambda e: F.transform(e["v"], lambda v: ((v - e["low"]) / e["width"]).cast("float")))[0]
 
 
 def _finite(values: Column) -> Column:
@@ -107,10 +108,17 @@ def line_records(traces: DataFrame, picks: DataFrame, table: DataFrame, config:
 
 
 def read_lines(spark: SparkSession, lines: list[LineConfig]) -> tuple[DataFrame, DataFrame]:
-    """(line, x, amplitudes) and (line, x_idx, z_idx, fault_id) of all lines: one scan a file, put together."""
+    """(line, x, amplitudes) and (line, x_idx, z_idx, fault_id) of all lines. A section file is scanned once for all its lines that are thinned out alike, a file of picks once a line."""
+    scans: dict[tuple, list[int]] = {}
+    for k, line in enumerate(lines):
+        scans.setdefault((line.segy_path, line.downsample_x, line.downsample_z), []).append(k)
     traces, picks = [], []
+    for held in scans.values():
+        if len(held) == 1:
+            traces.append(files.read_section(spark, lines[held[0]]).select(F.lit(held[0]).alias("line"), "x", "amplitudes"))
+        else:
+            traces.append(files.read_sections(spark, [lines[k] for k in held], held))
     for k, line in enumerate(lines):
-        traces.append(files.read_section(spark, line).select(F.lit(k).alias("line"), "x", "amplitudes"))
         some = files.read_picks(spark, line)
         picks.append(some.select(F.lit(k).alias("line"), "x_idx", "z_idx", (F.col("fault_id") if "fault_id" in some.columns else F.lit(None)).cast("string").alias("fault_id")))
     together = lambda parts: functools.reduce(DataFrame.unionByName, parts)

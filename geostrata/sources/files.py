@@ -101,6 +101,18 @@ def read_section(spark: SparkSession, line: LineConfig) -> DataFrame:
     return rows.load().select(F.col("xl_pos").alias("x"), "amplitudes")
 
 
+def read_sections(spark: SparkSession, lines: list[LineConfig], numbers: list[int]) -> DataFrame:
+    """(line, x, amplitudes) of several sections of one cube, thinned out alike, by one scan; numbers name the lines. A section that the file lacks is an error."""
+    spark.dataSource.register(segy.SegyDataSource)
+    first, inlines = lines[0], segy.geometry(lines[0].segy_path)["inlines"]
+    wanted = [(inlines[line.section_index], k) for line, k in zip(lines, numbers, strict=True) if 0 <= line.section_index < len(inlines)]
+    if len(wanted) < len(lines):
+        raise ValueError(f"{first.segy_path} has {len(inlines)} sections, and lines name others")
+    rows = spark.read.format("segy").option("path", first.segy_path).option("xlineStride", first.downsample_x).option("sampleStride", first.downsample_z).load()
+    named = spark.createDataFrame(wanted, "inline_number int, line int")  # one row a line
+    return rows.join(F.broadcast(named), "inline_number").select("line", F.col("xl_pos").alias("x"), "amplitudes")
+
+
 def read_patches(spark: SparkSession, path: str, side: int, dtype: str = "<f4") -> DataFrame:
     """(stem, values) of square patches in C order: .npy files, or headerless ones; a file of another size is an error."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), F.col("path").endswith(".npy").alias("npy"), "content")
