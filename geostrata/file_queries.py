@@ -287,3 +287,34 @@ def label_dataset(spark, sf_dir):
     marks = values("labels", "train").unionByName(values("labels", "val")).select("split", "stem", F.aggregate("values", F.lit(0.0), lambda a, v: a + v.cast("double")).cast("long").alias("ones"))
     rows = manifest.withColumn("stem", F.regexp_extract("seismic_file", r"([^/]+)\.npy$", 1)).join(images, ["split", "stem"]).join(marks, ["split", "stem"])
     return rows.select(F.col("inline_id").cast("int").alias("inline_id"), "split", F.col("x0").cast("int").alias("x0"), F.col("z0").cast("int").alias("z0"), F.col("label_pixels").cast("long").alias("label_pixels"), "ones", F.round("mean", 3).alias("mean"))
+
+
+# Saved runs and files ---------------------------------------------------------------------------------------------
+
+
+@query("saved_tracks", Q.ORACLE_SQL["track_summary"])
+def saved_tracks(spark, sf_dir):
+    """The tracks of a reconstruction, as a reader of its folder finds them."""
+    folder = _folder(spark, "run")
+    reconstruction.save_reconstruction(reconstruction.reconstruct(A.fault_points(spark, sf_dir), Q.LINK, surfaces=False), folder, Q.LINK)
+    out = spark.read.parquet(f"{folder}/tracks")
+    return out.select("track_id", "lines", "first", "last", *[F.round(c, 6).alias(c) for c in ("min_similarity", "mean_similarity")])
+
+
+@query("file_checksums", """SELECT c_nationkey, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS size, sha256(concat(string_agg(c_name, chr(10) ORDER BY c_custkey), chr(10))) AS sha256 FROM customer GROUP BY 1""")
+def file_checksums(spark, sf_dir):
+    """Sizes and checksums of files, here the names of each nation's customers, read in pieces."""
+    folder = _folder(spark, "names")
+    names = A.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("rows"))
+    names.select("c_nationkey", F.array_join("rows.c_name", "\n").alias("value")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(folder)
+    paths = spark.read.text(folder).inputFiles()  # one name a nation
+    return files.checksums(spark, paths).select(F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("int").alias("c_nationkey"), "size", "sha256")
+
+
+@query("section_archives", f"{LINES_SQL} SELECT inline_number, CAST(cluster_id AS INTEGER) AS cluster_id, CAST(x AS INTEGER) AS x, CAST(z AS INTEGER) AS z FROM dense")
+def section_archives(spark, sf_dir):
+    """Fault points written as one archive a section, and read back."""
+    folder, _ = _published(spark, sf_dir)
+    points = spark.read.parquet(f"{current_version(spark, folder)}/points")
+    written = cut_lineage(fault_lines.write_section_npz(points, f"{folder}/archives"))
+    return fault_lines.read_section_npz(written)

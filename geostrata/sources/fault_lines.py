@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from geostrata.config import LinkConfig
 from geostrata.functions import scalars
 from geostrata.operators import contracts
-from geostrata.sources import files
+from geostrata.sources import files, segy
 from geostrata.storage import current_version, publish
 
 # What a sidecar says of itself.
@@ -68,6 +69,22 @@ def write_section_npz(points: DataFrame, folder: str, overwrite: bool = False) -
     return points.select("inline_number", "cluster_id", "x", "z").groupBy("inline_number").applyInPandas(write, "inline_number int, path string, clusters long, points long")
 
 
+def read_section_npz(files_of: DataFrame) -> DataFrame:
+    """(inline_number, cluster_id, x, z) of the archives that (inline_number, path) names, one task a file. Offsets that don't span the points, and arrays of objects, are errors."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for inline, path in zip(frame["inline_number"], frame["path"], strict=True):
+                with segy.opened(path) as f:
+                    held = np.load(io.BytesIO(f.read()), allow_pickle=False)
+                    points, ids, offsets = (held[k] for k in ("points", "cluster_ids", "point_offsets"))
+                if len(offsets) != len(ids) + 1 or offsets[0] or offsets[-1] != len(points) or (np.diff(offsets) < 1).any():
+                    raise ValueError(f"the offsets of {path} don't span its points")
+                yield pd.DataFrame({"inline_number": inline, "cluster_id": np.repeat(ids, np.diff(offsets)), "x": points[:, 0], "z": points[:, 1]})
+
+    return files_of.select("inline_number", "path").repartition("path").mapInPandas(read, "inline_number int, cluster_id int, x int, z int")
+
+
 def write_fault_lines(points: DataFrame, sections: DataFrame, folder: str, config: LinkConfig, metadata: dict | None = None, overwrite: bool = False, allow_empty: bool = False, more: dict[str, DataFrame] | None = None) -> dict:
     """Publishes points (inline_number, cluster_id, x, z), their sidecar and the tables in more, and gives the metadata.
 
