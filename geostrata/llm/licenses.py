@@ -10,6 +10,7 @@ that count only as a whole; a phrase ends where the state reached, or one on its
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -174,7 +175,7 @@ class LicenseAutomaton:
                         most, of = best[j] + gain, j
             best.append(most)
             back.append(of)
-        out: list[tuple[str, int, int, float]] = []
+        out: list[tuple[int, int, float]] = []  # by start
         for k in sorted(range(len(anchors)), key=lambda k: (-best[k], anchors[k])):
             if best[k] < COVER * self.sizes[template]:
                 break
@@ -182,9 +183,10 @@ class LicenseAutomaton:
             while back[begin] >= 0:
                 begin = back[begin]
             start = anchors[begin][0]
-            if all(end <= a or start >= b for _, a, b, _ in out):
-                out.append((self.labels[template], start, end, best[k] / self.sizes[template]))
-        return out
+            at = bisect.bisect(out, (start,))
+            if (at == 0 or out[at - 1][1] <= start) and (at == len(out) or end <= out[at][0]):
+                out.insert(at, (start, end, best[k] / self.sizes[template]))
+        return [(self.labels[template], *x) for x in out]
 
 
 @functools.cache

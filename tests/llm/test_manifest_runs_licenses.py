@@ -152,6 +152,13 @@ def test_edited_licenses_are_found():
     assert automaton.scan(licenses.words_of("the software is free of any license and in no event of the same kind " * 50))[1] == []
 
 
+def test_many_copies_are_all_found():
+    """Thousands of notices in one text, without the square of their number."""
+    automaton = licenses.LicenseAutomaton(list(licenses.TEMPLATES), list(licenses.PHRASES))
+    spans = [x for x in automaton.scan(licenses.words_of("licensed under CC BY-NC 4.0\nand " * 30_000))[1] if x[0] == "cc-by-nc"]
+    assert len(spans) == 30_000 and all(b - a == 7 and c == 1 for _, a, b, c in spans) and len({a for _, a, _, _ in spans}) == 30_000
+
+
 def test_licenses_of_odd_rows(spark):
     rows = [(1, "The MIT\nLicense, an Apache-License", "own"), (1, "The MIT\nLicense, an Apache-License", "own"), (None, None, None), (2, "", "own"), (3, "word " * 100_000 + "gnu General public license", "own")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string").withColumn("row", F.lit(3))
