@@ -6,7 +6,6 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from geostrata.config import DetectionConfig, LinkConfig, TileConfig, as_json
 from geostrata.operators import contracts, tiles
