@@ -209,7 +209,7 @@ def write_segy(traces: DataFrame, folder: str, interval: int = 1000) -> DataFram
 
         store, at = fs.FileSystem.from_uri(out_folder) if "://" in out_folder or out_folder.startswith("file:") else (fs.LocalFileSystem(), out_folder)
         store.create_dir(at, recursive=True)
-        name, own, count, samples = f"{at}/part-{TaskContext.get().partitionId():05d}.sgy", f"{at}/.{uuid.uuid4().hex}", 0, None
+        name, own, count, samples = f"part-{TaskContext.get().partitionId():05d}.sgy", f"{at}/.{uuid.uuid4().hex}", 0, None
         with store.open_output_stream(own) as f:
             for batch in batches:
                 for inline, crossline, values in zip(*[batch.column(k) for k in range(3)], strict=True):
@@ -226,8 +226,8 @@ def write_segy(traces: DataFrame, folder: str, interval: int = 1000) -> DataFram
                     f.write(bytes(header) + data.tobytes())
                     count += 1
         if count:
-            store.move(own, name)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], names=["path", "traces"])
+            store.move(own, f"{at}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{out_folder}/{name}"]), pa.array([count], pa.int64())], names=["path", "traces"])
         else:
             store.delete_file(own)
 
