@@ -48,10 +48,10 @@ def structured_faces(grids: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def finite_faces(faces: DataFrame, vertices: DataFrame, keys: list[str], vertex: str = "vertex", z: str = "z") -> DataFrame:
-    """Faces all of whose vertices have a finite z: each face meets its three corners by an equi-join."""
+    """Faces all of whose vertices have a finite z: each face meets its three corners by an equi-join, sorted on both sides, as vertices made from shapes look few enough to be broadcast and are not."""
     corner = faces.withColumn("__v", F.explode(F.array("a", "b", "c")))
     good = vertices.where(is_finite(F.col(z))).select(*keys, F.col(vertex).alias("__v"))
-    return corner.join(good, [*keys, "__v"]).groupBy(*keys, "a", "b", "c").agg(F.count("*").alias("n")).where("n = 3").drop("n")
+    return corner.join(good.hint("merge"), [*keys, "__v"]).groupBy(*keys, "a", "b", "c").agg(F.count("*").alias("n")).where("n = 3").drop("n")
 
 
 def is_finite(value: Column) -> Column:
@@ -97,13 +97,13 @@ def plot_stride(vertices: int, most: int) -> int:
 
 def decimate(vertices: DataFrame, shapes: DataFrame, stride: int, key: str = "surface_id") -> DataFrame:
     """Vertices (key, row, col, ...) thinned along both axes, edges kept. shapes: (key, rows, columns)."""
-    met = vertices.join(shapes.select(key, "rows", "columns"), key)
+    met = vertices.join(shapes.select(key, "rows", "columns").hint("merge"), key)
     return subsample(subsample(met, "row", F.col("rows") - 1, stride), "col", F.col("columns") - 1, stride).drop("rows", "columns")
 
 
 def boundary(vertices: DataFrame, shapes: DataFrame, key: str = "surface_id") -> DataFrame:
     """Vertices on the outer boundary of each grid with boundary_order, from 0: the first row, the last column, the last row backwards, the first column upwards; no corner twice."""
-    met = vertices.join(shapes.select(key, "rows", "columns"), key)
+    met = vertices.join(shapes.select(key, "rows", "columns").hint("merge"), key)
     r, c, last_r, last_c = F.col("row"), F.col("col"), F.col("rows") - 1, F.col("columns") - 1
     order = F.when(r == 0, c).when(c == last_c, last_c + r).when(r == last_r, last_c + last_r + (last_c - c)).when(c == 0, 2 * last_c + last_r + (last_r - r))
     return met.withColumn("boundary_order", order.cast("int")).where(F.col("boundary_order").isNotNull()).drop("rows", "columns")

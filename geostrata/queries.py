@@ -672,8 +672,8 @@ def surface_faces(spark, sf_dir):
     return catalogue.structured_faces(_shapes(spark, sf_dir), ["s"])
 
 
-def _shapes(spark, sf_dir):
-    return A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("s"), (F.col("c_custkey") % 3 + 2).cast("int").alias("rows"), (F.col("c_custkey") % 4 + 2).cast("int").alias("columns"))
+def _shapes(spark, sf_dir, *more):
+    return A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("s"), (F.col("c_custkey") % 3 + 2).cast("int").alias("rows"), (F.col("c_custkey") % 4 + 2).cast("int").alias("columns"), *more)
 
 
 #: Grids of one surface a customer, whose vertices' depths come from the customer's balance; every seventh vertex has no data.
@@ -684,7 +684,7 @@ verts AS (SELECT s, r, c, row, col, row * c + col AS v, CASE WHEN (s + row * c +
 
 
 def _vertices(spark, sf_dir):
-    g = A.table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("base"), F.col("c_custkey").alias("s")).join(_shapes(spark, sf_dir), "s")
+    g = _shapes(spark, sf_dir, F.col("c_acctbal").alias("base"))
     g = g.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
     at = F.col("row") * F.col("columns") + F.col("col")
     return g.select("s", "row", "col", at.alias("vertex"), F.when((F.col("s") + at) % 7 == 0, float("nan")).otherwise(F.col("base") + F.col("row") * 10 + F.col("col")).alias("z"))

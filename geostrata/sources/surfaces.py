@@ -134,7 +134,7 @@ def inventory_table(vertices: DataFrame, source_format: str, z_field: str = "sam
     values = [c for c, kind in vertices.dtypes if kind in ("double", "float") and c != "rmse"]
     shapes = vertices.groupBy(key).agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("columns"))
     facts = catalogue.inventory(vertices, key, values)
-    faces = catalogue.finite_faces(catalogue.structured_faces(shapes, [key]), vertices.join(shapes.select(key, "columns"), key).select(key, (F.col("row") * F.col("columns") + F.col("col")).alias("vertex"), F.col(z_field).alias("z")), [key])
+    faces = catalogue.finite_faces(catalogue.structured_faces(shapes, [key]), vertices.join(shapes.select(key, "columns").hint("merge"), key).select(key, (F.col("row") * F.col("columns") + F.col("col")).alias("vertex"), F.col(z_field).alias("z")), [key])
     triangles = faces.groupBy(key).agg(F.count("*").alias("triangles"))
     out = shapes.join(facts, key).join(triangles, key, "left")
     return out.select(

@@ -359,6 +359,13 @@ def test_faces_without_data_go(spark):
     assert catalogue.same_faces(faces, turned, ["s"]).count() == 0
 
 
+def test_vertices_are_not_broadcast(spark):
+    """Few shapes can have many vertices."""
+    for name in ("finite_faces", "decimated_vertices", "surface_boundary"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan, name
+
+
 def test_parameters_are_checked():
     assert DetectionConfig().max_gap == 20 and LabelConfig().gap == 256 and LinkConfig().axis_scales == (1.0, 1.0, 1.0)
     for kind, bad in (
