@@ -30,15 +30,16 @@ def neighbours(rows: DataFrame, axis: DataFrame, keys: list[str], value: str, ax
     dealt = cut_lineage(both.repartitionByRange(*keys, "__v").withColumn("__task", F.spark_partition_id()))
     group = ["__task", *keys]
     order = Window.partitionBy(*group).orderBy("__v", "__tag", "__e")
+    back = Window.partitionBy(*group).orderBy(F.desc("__v"), F.desc("__tag"), F.desc("__e"))  # a frame that grows; one that ends at the last row is gone through anew for each row
     near = dealt.withColumns({
         "before": F.last("__e", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "after": F.first("__e", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)),
+        "after": F.last("__e", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
     })
     ends = dealt.groupBy(*group).agg(F.min("__e").alias("__first"), F.max("__e").alias("__last"))  # one row a task and key
-    tasks = Window.partitionBy(*keys).orderBy("__task") if keys else Window.orderBy("__task")
+    tasks = Window.partitionBy(*keys)
     ends = ends.withColumns({
-        "__b": F.last("__last", ignorenulls=True).over(tasks.rowsBetween(Window.unboundedPreceding, -1)),
-        "__a": F.first("__first", ignorenulls=True).over(tasks.rowsBetween(1, Window.unboundedFollowing)),
+        "__b": F.last("__last", ignorenulls=True).over(tasks.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)),
+        "__a": F.last("__first", ignorenulls=True).over(tasks.orderBy(F.desc("__task")).rowsBetween(Window.unboundedPreceding, -1)),
     })
     met = near.where("__tag = 1").alias("n").join(ends.alias("e"), [F.col(f"n.{c}").eqNullSafe(F.col(f"e.{c}")) for c in group], "left")
     good = F.col("n.__v").isNotNull() & ~F.isnan("n.__v")

@@ -42,6 +42,14 @@ def test_neighbours_across_tasks(spark):
     assert "NestedLoop" not in plan and "Generate" not in plan
 
 
+def test_frames_of_lookups_only_grow(spark):
+    """A frame up to the last row of its group is gone through anew for each row, at the square of the group."""
+    axis = spark.createDataFrame([(k, float(k)) for k in range(5)], "idx int, value double")
+    found = asof.neighbours(spark.range(10).select(F.col("id").cast("double").alias("v")), axis, [], "v", "value", ["idx"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("unboundedpreceding") >= 4 and "unboundedfollowing" not in plan
+
+
 @pytest.mark.parametrize("split", [1, 2, 3])
 def test_streamed_islands_equal_those_of_a_table(spark, tmp_path, split):
     rng = random.Random(split)
