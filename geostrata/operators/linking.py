@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from geostrata.config import LinkConfig
 from geostrata.operators import ranking
+from geostrata.operators.nearest import nearest_squared
 from geostrata.storage import cut_lineage
 
 
@@ -97,30 +98,6 @@ def chamfer_parts(*columns: Column) -> Column:
     return parts.asNondeterministic()(*columns)
 
 
-def nearest_squared(x: np.ndarray, z: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """For each point (x, z) the squared distance to the nearest point (u, v).
-
-    The points (u, v) are sorted along the axis on which they spread more. A point looks at those beside its own
-    place, ever further out on both sides, until the step along that axis alone is as far as the best so far.
-    """
-    if np.ptp(v) > np.ptp(u):
-        x, z, u, v = z, x, v, u
-    order = np.argsort(u, kind="stable")
-    u, v, m = u[order], v[order], len(u)
-    best, at = np.full(len(x), np.inf), np.searchsorted(u, x)
-    for side, first in ((1, at), (-1, at - 1)):
-        left, place = np.arange(len(x)), first.copy()
-        while left.size:
-            inside = (place >= 0) & (place < m)
-            left, place = left[inside], place[inside]
-            along = (u[place] - x[left]) ** 2
-            nearer = along < best[left]
-            left, place, along = left[nearer], place[nearer], along[nearer]
-            best[left] = np.minimum(best[left], along + (v[place] - z[left]) ** 2)
-            place = place + side
-    return best
-
-
 def _nearest_with_step(x: np.ndarray, z: np.ndarray, u: np.ndarray, v: np.ndarray, step: float) -> tuple[float, float]:
     """Mean distances of each line's points to the nearest of the other's, `step` apart along the section axis."""
     there, back = nearest_squared(x, z, u, v), nearest_squared(u, v, x, z)
@@ -131,7 +108,8 @@ def score_candidates(lines: DataFrame, config: LinkConfig = LinkConfig()) -> Dat
     """Exact scores of the pairs that pruning leaves: chamfer both ways, orientation, similarity, above_threshold. A line's points meet each of its pairs once."""
     left = near_pairs(lines, config).select("a", "b", "gap", "orientation", F.col("a.line_id").alias("ia"), F.col("b.line_id").alias("ib"))
     for side in ("ia", "ib"):
-        left = left.join(lines.select(F.col("line_id").alias(side), F.col("points.x").alias(f"{side}x"), F.col("points.z").alias(f"{side}z")), side)
+        points = lines.select(F.col("line_id").alias(side), F.col("points.x").alias(f"{side}x"), F.col("points.z").alias(f"{side}z"))
+        left = left.join(points.hint("merge"), side)  # whole lines are not to be broadcast, and pairs stay spread over the tasks
     step = F.col("gap") * F.lit(config.section_scale)
     scored = left.withColumn("c", chamfer_parts(F.col("iax"), F.col("iaz"), F.col("ibx"), F.col("ibz"), step))
     scored = scored.withColumn("chamfer", F.col("c.ab") + F.col("c.ba"))

@@ -476,3 +476,22 @@ def test_near_pairs_are_those_that_are_not_pruned(spark):
         n, m = rng.integers(1, 50, 2)
         a, b = rng.integers(0, 20, (n, 2)) / 2, rng.integers(0, 20, (m, 2)) / 2
         assert np.allclose(linking.nearest_squared(*a.T, *b.T), ((a[:, None] - b[None]) ** 2).sum(-1).min(1))
+
+
+def test_nearest_points_take_few_steps():
+    """Against all distances, and as fast where lines lie apart or share their places, where sweeping along one axis takes the square."""
+    import time
+
+    from geostrata.operators import nearest
+
+    rng = np.random.default_rng(5)
+    clouds = lambda n: {"grid": np.c_[rng.integers(0, 100, n) / 4, rng.integers(0, 1000, n) / 100], "apart": rng.random((n, 2)) * 25 + (0, 40), "skew": rng.exponential(1, (n, 2)) ** 3, "one": np.ones((n, 2)), "column": np.c_[np.zeros(n), rng.random(n)]}
+    for n in (1, 2, 300):
+        for a in clouds(n).values():
+            for b in clouds(250).values():
+                d = ((a[:, None] - b[None]) ** 2).sum(-1).min(1)
+                assert np.array_equal(nearest.nearest_squared(*a.T, *b.T), d) and nearest.closest_squared(*a.T, *b.T) == d.min()
+    began = time.process_time()
+    for b in clouds(20_000).values():
+        nearest.nearest_squared(*(rng.random((20_000, 2)) * 25).T, *b.T)
+    assert time.process_time() - began < 6
