@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.operators import density
 from geostrata.operators.components import components
+from geostrata.operators.nearest import closest_squared
 from geostrata.storage import cut_lineage
 
+#: Points of a cluster that are searched at once for the nearest of another's.
+SLAB = 1 << 14
+
 
 def noise_mask(points: DataFrame, eps: float, min_samples: int, key: str = "inline_number") -> DataFrame:
     """(key, pid, core, noise): a core point has at least min_samples points within eps, itself included; noise is neither core nor next to a core point."""
@@ -85,17 +90,47 @@ def pair_extrapolation(pairs: DataFrame, points: DataFrame, key: str = "inline_n
 
 
 def pair_distances(pairs: DataFrame, points: DataFrame, reach: float | None = None, key: str = "inline_number") -> DataFrame:
-    """(key, i, j, distance) between the nearest points of each pair; with reach, for pairs nearer than it alone, on cells of that width."""
-    a = pairs.select(key, "i", "j").join(points.select(key, F.col("label").alias("i"), "x", "z"), [key, "i"])
-    b = pairs.select(key, "i", "j").join(points.select(key, F.col("label").alias("j"), F.col("x").alias("x2"), F.col("z").alias("z2")), [key, "j"])
-    on = [key, "i", "j"]
+    """(key, i, j, distance) between the nearest points of each pair; with reach, for pairs nearer than it alone, on cells of that width.
+
+    A cluster's points in a cell are dealt in their order to slabs of at most SLAB. Slabs meet by pair and cell as boxes
+    with one point each; only those whose boxes are no further apart than the nearest of these points fetch
+    their points, and a search in two slabs takes few steps a point.
+    """
+    cell = {c: F.floor(F.col(x) / reach) if reach else F.lit(0).cast("long") for c, x in (("cx", "x"), ("cz", "z"))}
+    used = pairs.select(key, F.explode(F.array("i", "j")).alias("label")).distinct()
+    own = points.where("x is not null and z is not null").join(used, [key, "label"], "left_semi").select(key, "label", F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z")).withColumns(cell)
+    order = Window.partitionBy(key, "label", "cx", "cz").orderBy("x", "z")
+    dealt = own.withColumn("slab", F.floor((F.row_number().over(order) - 1) / SLAB)).groupBy(key, "label", "cx", "cz", "slab")
+    slabs = cut_lineage(dealt.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("z").alias("z0"), F.max("z").alias("z1"), F.min(F.struct("x", "z")).alias("one"), F.collect_list(F.struct("x", "z")).alias("points")))
+    name = lambda side: F.struct(F.col("label").alias(side), "cx", "cz", "slab").alias(f"slab_{side}")
+    box = lambda side: slabs.select(key, F.col("label").alias(side), "cx", "cz", name(side), F.struct("x0", "x1", "z0", "z1", "one").alias(f"box_{side}"))
+    a = pairs.select(key, "i", "j").join(box("i"), [key, "i"])
     if reach:
-        a = a.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x") / reach) - 1, F.floor(F.col("x") / reach) + 1)))
-        a = a.withColumn("cz", F.explode(F.sequence(F.floor(F.col("z") / reach) - 1, F.floor(F.col("z") / reach) + 1)))
-        b = b.withColumns({"cx": F.floor(F.col("x2") / reach), "cz": F.floor(F.col("z2") / reach)})
-        on += ["cx", "cz"]
-    met = a.join(b, on).groupBy(key, "i", "j").agg(F.min(F.hypot(F.col("x") - F.col("x2"), F.col("z") - F.col("z2"))).alias("distance"))
-    return met.where(F.col("distance") < reach) if reach else met
+        around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
+        a = a.select(key, "i", "j", "slab_i", "box_i", around("cx"), "cz").select(key, "i", "j", "slab_i", "box_i", "cx", around("cz"))
+    met = a.join(box("j"), [key, "j", "cx", "cz"])
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"box_i.{c}0") - F.col(f"box_j.{c}1"), F.col(f"box_j.{c}0") - F.col(f"box_i.{c}1"))
+    step = lambda c: F.col(f"box_i.one.{c}") - F.col(f"box_j.one.{c}")
+    met = met.select(key, "i", "j", "slab_i", "slab_j", (gap("x") * gap("x") + gap("z") * gap("z")).alias("least"), (step("x") * step("x") + step("z") * step("z")).alias("most"))
+    if reach:
+        met = met.where(F.col("least") < reach * reach)
+    met = cut_lineage(met)
+    near = met.join(met.groupBy(key, "i", "j").agg(F.min("most").alias("bound")), [key, "i", "j"]).where("least <= bound").select(key, "i", "j", "slab_i", "slab_j")
+    for side in ("i", "j"):
+        held = slabs.select(key, name(side), F.col("points.x").alias(f"x_{side}"), F.col("points.z").alias(f"z_{side}"))
+        near = near.join(held.hint("merge"), [key, f"slab_{side}"])
+    found = near.withColumn("d", _closest("x_i", "z_i", "x_j", "z_j")).groupBy(key, "i", "j").agg(F.min("d").alias("distance"))
+    return found.where(F.col("distance") < reach) if reach else found
+
+
+def _closest(*columns: str) -> Column:
+    """The distance of the closest points of two slabs."""
+
+    @F.pandas_udf("double")
+    def closest(x: pd.Series, z: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([closest_squared(*each) for each in zip(x, z, u, v, strict=True)], dtype=float) ** 0.5
+
+    return closest(*columns)
 
 
 def pair_metrics(points: DataFrame, key: str = "inline_number", max_distance: float | None = None) -> DataFrame:

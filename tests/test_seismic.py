@@ -495,3 +495,18 @@ def test_nearest_points_take_few_steps():
     for b in clouds(20_000).values():
         nearest.nearest_squared(*(rng.random((20_000, 2)) * 25).T, *b.T)
     assert time.process_time() - began < 6
+
+
+def test_distances_of_clusters_by_slabs(spark, monkeypatch):
+    """Against all distances, on slabs of few points and over cells."""
+    monkeypatch.setattr(cluster, "SLAB", 7)
+    rng = np.random.default_rng(4)
+    rows = [(s, f"{c}", float(x), float(z)) for s in range(2) for c in range(6) for x, z in rng.normal(rng.uniform(-40, 40, 2), 6, (rng.integers(1, 40), 2)).round(1)]
+    points = spark.createDataFrame([*rows, (0, "0", None, 1.0)], "inline_number int, label string, x double, z double")
+    pairs = points.select("inline_number", F.col("label").alias("i")).distinct().join(points.select("inline_number", F.col("label").alias("j")).distinct(), "inline_number").where("i < j")
+    at = lambda s, c: np.array([r[2:] for r in rows if r[:2] == (s, c)])
+    want = {(s, f"{i}", f"{j}"): np.hypot(*(at(s, f"{i}")[:, None] - at(s, f"{j}")[None]).reshape(-1, 2).T).min() for s in range(2) for i in range(6) for j in range(i + 1, 6)}
+    for reach in (None, 15):
+        found = cluster.pair_distances(pairs, points, reach)
+        got = {(x["inline_number"], x["i"], x["j"]): x["distance"] for x in found.collect()}
+        assert got == {k: pytest.approx(d) for k, d in want.items() if reach is None or d < reach}
