@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geostrata.config import LinkConfig
 from geostrata.operators import ranking
-from geostrata.operators.nearest import nearest_squared
+from geostrata.operators.nearest import mutual_squared, nearest_squared  # noqa: F401  (the latter is part of this module's interface)
 from geostrata.storage import cut_lineage
 
 
@@ -100,16 +100,25 @@ def chamfer_parts(*columns: Column) -> Column:
 
 def _nearest_with_step(x: np.ndarray, z: np.ndarray, u: np.ndarray, v: np.ndarray, step: float) -> tuple[float, float]:
     """Mean distances of each line's points to the nearest of the other's, `step` apart along the section axis."""
-    there, back = nearest_squared(x, z, u, v), nearest_squared(u, v, x, z)
+    there, back = mutual_squared(x, z, u, v)
     return float(np.sqrt(there + step * step).mean()), float(np.sqrt(back + step * step).mean())
 
 
 def score_candidates(lines: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
-    """Exact scores of the pairs that pruning leaves: chamfer both ways, orientation, similarity, above_threshold. A line's points meet each of its pairs once."""
+    """Exact scores of the pairs that pruning leaves: chamfer both ways, orientation, similarity, above_threshold. A line's points meet each of its pairs once.
+
+    Pairs are dealt by line and gap, so that a line's pairs are not all one task's, and are searched by a number of tasks
+    that is not lowered by their bytes: a pair takes far more time than its bytes tell. Lines are read more than once:
+    give them with their lineage cut.
+    """
+    session = lines.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
     left = near_pairs(lines, config).select("a", "b", "gap", "orientation", F.col("a.line_id").alias("ia"), F.col("b.line_id").alias("ib"))
+    gaps = F.explode(F.sequence(F.lit(1), F.lit(config.max_gap))).alias("gap")
     for side in ("ia", "ib"):
-        points = lines.select(F.col("line_id").alias(side), F.col("points.x").alias(f"{side}x"), F.col("points.z").alias(f"{side}z"))
-        left = left.join(points.hint("merge"), side)  # whole lines are not to be broadcast, and pairs stay spread over the tasks
+        points = lines.select(F.col("line_id").alias(side), F.col("points.x").alias(f"{side}x"), F.col("points.z").alias(f"{side}z"), gaps)
+        dealt = left.repartition(tasks, side, "gap") if side == "ib" else left
+        left = dealt.join(points.hint("merge"), [side, "gap"])  # whole lines are not to be broadcast
     step = F.col("gap") * F.lit(config.section_scale)
     scored = left.withColumn("c", chamfer_parts(F.col("iax"), F.col("iaz"), F.col("ibx"), F.col("ibz"), step))
     scored = scored.withColumn("chamfer", F.col("c.ab") + F.col("c.ba"))

@@ -95,12 +95,12 @@ def link_candidates(spark, sf_dir):
 
 @query("link_scores", f"{SCORED_SQL} SELECT source_id, target_id, gap, round(chamfer_ab, 6) AS chamfer_ab, round(chamfer_ba, 6) AS chamfer_ba, round(similarity, 6) AS similarity FROM scored")
 def link_scores(spark, sf_dir):
-    return linking.score_candidates(_lines(spark, sf_dir), LINK).select("source_id", "target_id", "gap", *_r("chamfer_ab", "chamfer_ba", "similarity"))
+    return linking.score_candidates(cut_lineage(_lines(spark, sf_dir)), LINK).select("source_id", "target_id", "gap", *_r("chamfer_ab", "chamfer_ba", "similarity"))
 
 
 @query("best_matches", f"{SCORED_SQL} SELECT source_id, target_id, gap, source_best, selected FROM matches")
 def best_matches(spark, sf_dir):
-    return linking.best_matches(linking.score_candidates(_lines(spark, sf_dir), LINK)).select("source_id", "target_id", "gap", "source_best", "selected")
+    return linking.best_matches(linking.score_candidates(cut_lineage(_lines(spark, sf_dir)), LINK)).select("source_id", "target_id", "gap", "source_best", "selected")
 
 
 @query("link_counters", f"""{TRACKS_SQL}, place AS (SELECT line_id, start, position FROM member JOIN tracks USING (start)),

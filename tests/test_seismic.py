@@ -14,6 +14,7 @@ from geostrata import queries
 from geostrata.config import DetectionConfig, LabelConfig, LineConfig, LinkConfig, TileConfig, as_json
 from geostrata.functions import scalars
 from geostrata.operators import catalogue, cluster, contracts, curve, grid, islands, labels, linking, normalise, splits
+from geostrata.storage import cut_lineage
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -497,6 +498,34 @@ def test_nearest_points_take_few_steps():
     assert time.process_time() - began < 6
 
 
+def test_small_sets_are_compared_whole(monkeypatch):
+    """Against all distances on both sides of the limit; below it without strips, which took twice as long there."""
+    from geostrata.operators import nearest
+
+    rng = np.random.default_rng(7)
+    for n, m in ((1, 1), (1, 40), (40, 1), (70, 90), (200, 3)):
+        a, b = rng.integers(0, 30, (n, 2)) / 4, rng.integers(0, 30, (m, 2)) / 4
+        d = ((a[:, None] - b[None]) ** 2).sum(-1)
+        for small in (nearest.SMALL, 0):
+            monkeypatch.setattr(nearest, "SMALL", small)
+            monkeypatch.setattr(nearest, "BLOCK", 64)
+            monkeypatch.setattr(nearest, "SEARCHES", 16)
+            there, back = nearest.mutual_squared(*a.T, *b.T)
+            assert np.array_equal(there, d.min(1)) and np.array_equal(back, d.min(0))
+        monkeypatch.undo()
+    monkeypatch.setattr(nearest, "Strips", None)
+    assert linking._nearest_with_step(*rng.random((2, 600)), *rng.random((2, 700)), 1.0)
+
+
+def test_pairs_stay_spread_over_tasks(spark):
+    """Tasks of the exact distances are not joined by their bytes, and a line's pairs are dealt by gap too."""
+    lines = cut_lineage(lines_of(spark, [(s, "0", float(x), 0.0) for s in range(12) for x in range(3)]))
+    scored = linking.score_candidates(lines)
+    assert scored.count() == 45 and scored.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    tasks = scored.select("target_id", F.spark_partition_id().alias("task")).where("target_id = 'line_9_c0'").distinct().count()
+    assert tasks > 1
+
+
 def test_distances_of_clusters_by_slabs(spark, monkeypatch):
     """Against all distances, on slabs of few points and over cells."""
     monkeypatch.setattr(cluster, "SLAB", 7)
