@@ -125,7 +125,8 @@ def link_table(spark, sf_dir):
   FROM member m JOIN tracks USING (start) JOIN lines USING (line_id)""")
 def track_membership(spark, sf_dir):
     lines = cut_lineage(_lines(spark, sf_dir))
-    tracks = linking.build_tracks(linking.best_matches(linking.score_candidates(lines, LINK)), lines, LINK)
+    matches = cut_lineage(linking.best_matches(linking.score_candidates(lines, LINK)))  # read more than once
+    tracks = linking.build_tracks(matches, lines, LINK)
     return reconstruction.membership_table(tracks, lines, LINK).withColumn("inline_number", F.col("inline_number").cast("int"))
 
 

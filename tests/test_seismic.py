@@ -526,6 +526,15 @@ def test_pairs_stay_spread_over_tasks(spark):
     assert tasks > 1
 
 
+def test_tracks_score_their_pairs_once(spark, monkeypatch):
+    """Edges are read more than once by chains, so they come with no scoring behind them."""
+    seen, chains = [], linking.chains
+    monkeypatch.setattr(linking, "chains", lambda edges: seen.append(edges._jdf.queryExecution().executedPlan().toString()) or chains(edges))
+    for name in ("track_membership", "track_summary"):
+        queries.QUERIES[name](spark, SF)
+    assert len(seen) == 2 and not any("ArrowEvalPython" in plan for plan in seen)
+
+
 def test_distances_of_clusters_by_slabs(spark, monkeypatch):
     """Against all distances, on slabs of few points and over cells."""
     monkeypatch.setattr(cluster, "SLAB", 7)
